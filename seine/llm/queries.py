@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, url_filter
+from . import chat, decontam, html_text, jaccard_join, mixing, quality, sharding, token_counts, token_files, url_filter
 from .common import blank_words
 
 
@@ -15,12 +15,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file. Operators take such paths as parameters."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.classes(docs).select("doc_id", "class_id", "n_links")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{says}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.digest(chat.format_turns(rows.unionByName(own))).withColumnRenamed("conv", "conv_id")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index, _ = token_files.write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    return token_files.read_back(index).withColumnRenamed("key", "doc_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "source", F.size(blank_words(F.col("text"))).cast("long").alias("size"), mixing.quality_weight(F.col("text")).alias("weight"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raw = F.coalesce("text", F.lit("")).cast("binary")
@@ -49,15 +79,24 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_chat_format": op2_chat_format,
+    "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
+    "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
 }
