@@ -74,20 +74,19 @@ class Scanner:
         flagged = files.withColumn("success", F.col("text").isNotNull())
         return self._result(flagged)
 
-    def scan_files(self, listed: DataFrame) -> ScanResult:
-        """A listing as sources.files.walk makes it, with flags or without."""
-        c = self.config
-        if "is_binary" not in listed.columns:
-            listed = scannable(listed, c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary)
-        return self._result(decoded(listed).withColumn("streamed", streamed(F.col("length"))))
+    def scan_files(self, flagged: DataFrame, root: str, include_binary: bool | None = None) -> ScanResult:
+        """Files of a listing with the flags of sources.files.scannable."""
+        binary = self.config.include_binary if include_binary is None else include_binary
+        return self._result(decoded(flagged, root, binary).withColumn("streamed", streamed(F.col("length"))))
 
     def scan_directory(self, spark: SparkSession, root: str) -> ScanResult:
-        return self.scan_files(walk(spark, root))
+        c = self.config
+        return self.scan_files(scannable(walk(spark, root), c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary), root)
 
     def scan_paths(self, spark: SparkSession, root: str, paths: DataFrame) -> ScanResult:
         """An explicit list of paths: neither directory names nor the binary test apply."""
         c = self.config
-        return self.scan_files(scannable(from_paths(walk(spark, root), paths), c.ignore_paths, (), (), c.max_file_mib, True))
+        return self.scan_files(scannable(from_paths(walk(spark, root), paths), c.ignore_paths, (), (), c.max_file_mib, True), root, True)
 
     def _result(self, files: DataFrame) -> ScanResult:
         findings = self.findings(files.filter(F.col("text").isNotNull()))

@@ -2,19 +2,73 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.predicates import BINARY_EXTENSIONS, FILTERED_DIRECTORIES, IGNORED_PATHS, binary_content, binary_extension, glob_regex, in_filtered_directory, matches_glob, too_large
 
 
+LISTING = "path string, rel_path string, length long, modified timestamp"
+
+
+def _rows(infos, root: str) -> pa.RecordBatch:
+    files = [f for f in infos if f.type == pafs.FileType.File]
+    columns = [pa.array([f.path for f in files], pa.string()), pa.array([f.path[len(root) :].lstrip("/") for f in files], pa.string()), pa.array([f.size for f in files], pa.int64()), pa.array([f.mtime for f in files], pa.timestamp("us", "UTC"))]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "rel_path", "length", "modified"])
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, length, modified, content) of all regular files below a root. content is read only where used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.substring_index(F.col("path"), F.lit(root.split("://")[-1].rstrip("/") + "/"), -1)
-    return files.select("path", rel.alias("rel_path"), "length", F.col("modificationTime").alias("modified"), "content")
+    """(path, rel_path, length, modified) of all regular files below a root, hidden ones included.
+
+    Spark's own file sources leave out names that start with a dot or an underscore, so folders are listed by Arrow:
+    the root's entries on the driver, each folder below it in a task. No content is read.
+    """
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    entries = fs.get_file_info(pafs.FileSelector(top))
+    here = spark.createDataFrame(pa.Table.from_batches([_rows(entries, top)]), LISTING)
+    folders = [(e.path,) for e in entries if e.type == pafs.FileType.Directory]
+    if not folders:
+        return here
+
+    def below(batches):
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                yield _rows(fs.get_file_info(pafs.FileSelector(folder, recursive=True)), top)
+
+    spread = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000))
+    return here.unionByName(spread.mapInArrow(below, LISTING))
+
+
+def with_content(files: DataFrame, root: str, batch_bytes: int = 32 << 20) -> DataFrame:
+    """files plus content, read where the listing says; null for a file that cannot be read. Batches stay below a bound, but for single files beyond it."""
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    names = files.columns
+
+    def read(batches):
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with fs.open_input_stream(path) as f:
+                        held.append(f.read())
+                except OSError:
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= batch_bytes or i + 1 == batch.num_rows:
+                    part = batch.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=[*names, "content"])
+                    start, held, size = i + 1, [], 0
+
+    return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def ignore_rules(lines: Iterable[str]) -> list[tuple[bool, str]]:
@@ -41,22 +95,29 @@ def ignored_by_rules(rel_path: Column, rules: Sequence[tuple[bool, str]]) -> Col
 
 
 def scannable(files: DataFrame, ignore: Sequence[str] = IGNORED_PATHS, directories: Sequence[str] = FILTERED_DIRECTORIES, extensions: Sequence[str] = BINARY_EXTENSIONS, most_mib: int = 10, include_binary: bool = False, rules: Sequence[tuple[bool, str]] = ()) -> DataFrame:
-    """files of a walk that are listed (directory names and ignore rules applied), with is_ignored, is_large and is_binary.
+    """files of a listing, less those that directory names or ignore rules leave out, with is_ignored, is_large and is_binary (by extension).
 
-    Those three stay as flags: such files count as scanned, without findings.
+    Those three stay as flags: such files count as scanned, without findings. All three follow from the listing alone.
     """
-    kept = files.filter(~in_filtered_directory(F.col("rel_path"), directories))
+    kept = files.filter(~in_filtered_directory(F.col("rel_path"), directories)) if directories else files
     if rules:
         kept = kept.filter(~ignored_by_rules(F.col("rel_path"), rules))
-    binary = F.lit(False) if include_binary else binary_extension(F.col("rel_path"), extensions) | binary_content(F.col("content"))
+    binary = F.lit(False) if include_binary else binary_extension(F.col("rel_path"), extensions)
     return kept.withColumns({"is_ignored": matches_glob(F.col("rel_path"), ignore), "is_large": too_large(F.col("length"), most_mib), "is_binary": binary})
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """files plus text and success: content as UTF-8; invalid UTF-8 makes no text and no success."""
+def decoded(files: DataFrame, root: str, include_binary: bool = False) -> DataFrame:
+    """Flagged files plus text and success. Only files without a flag are read; invalid UTF-8, or a file that cannot be read, makes no text and no success.
+
+    Read files whose first bytes look binary are flagged as well.
+    """
     skip = F.col("is_ignored") | F.col("is_large") | F.col("is_binary")
-    text = F.when(~skip, F.try_validate_utf8(F.col("content").cast("string")))
-    return files.withColumn("text", text).withColumn("success", skip | F.col("text").isNotNull())
+    none = F.lit(None).cast("string")
+    skipped = files.filter(skip).withColumns({"text": none, "success": F.lit(True)})
+    read = with_content(files.filter(~skip), root)
+    looks = F.lit(False) if include_binary else F.coalesce(binary_content(F.col("content")), F.lit(False))
+    read = read.withColumn("is_binary", looks).withColumn("text", F.when(~F.col("is_binary"), F.try_validate_utf8(F.col("content").cast("string"))))
+    return skipped.unionByName(read.withColumn("success", F.col("is_binary") | F.col("text").isNotNull()).drop("content"))
 
 
 def fast_count(files: DataFrame, most_mib: int = 10, directories: Sequence[str] = FILTERED_DIRECTORIES) -> DataFrame:
