@@ -38,7 +38,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/seine/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables and files that operators of this application have written in the shared folder. Results that are not yet written or read need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
