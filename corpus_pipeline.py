@@ -39,7 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # repeated rows share a key: their copies are summed, and dealt out to their rows below
     plan = taken.groupBy("doc_id", "source", "_text_key").agg(F.sum(copies).cast("int").alias("_copies"), F.count(F.lit(1)).cast("int").alias("_rows"))
     packed = docs.select(F.struct("*").alias("__row"), "doc_id", "source", keyed(docs)[1])
-    joined = lookup(packed, cut(plan.filter("_copies > 0"), "mix-plan"), ["doc_id", "source", "_text_key"], "inner")
+    # the plan has a row a document, so it is never broadcast
+    joined = lookup(packed, cut(plan.filter("_copies > 0"), "mix-plan"), ["doc_id", "source", "_text_key"], "inner", max_rows=0)
     single = joined.filter("_rows = 1")
     repeated = joined.filter("_rows > 1").groupBy("doc_id", "source", "_text_key", "_copies", "_rows").agg(F.any_value("__row").alias("__row"))
     return single.select("__row", "_copies").unionByName(repeated.select("__row", "_copies")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("__row.*")
