@@ -136,11 +136,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
         writer, end = None, np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             writer = writer or SequenceWriter(file, encoder.dtype, length)
-            starts, counts = [], []
-            for value in batch.column("text"):
-                ids = encoder.encode(value.as_py()) + end
-                starts.append(writer.add(ids))
-                counts.append(len(ids) // encoder.dtype.itemsize)
+            ids, sizes = encoder.encode_batch(batch.column("text"))
+            starts, counts, at = [], [], 0
+            for n in sizes.tolist():
+                starts.append(writer.add(ids[at : at + n].tobytes() + end))
+                counts.append(n + 1)
+                at += n
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["key", "part", "file", "local", "n_tokens"])
         if writer:

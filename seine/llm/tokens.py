@@ -7,6 +7,8 @@ import re
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that the cache of a worker holds before it starts anew, and the longest piece it keeps.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
@@ -19,8 +21,6 @@ class WordEncoder:
     tokens are those of its white-space parts in turn. Each part is encoded by the library once while it stays cached.
     """
 
-    MARKS = frozenset(".,;:!?")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -28,6 +28,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         if self.suffix:
             # the same model without the normalizer, for words that it would leave as they are
@@ -39,46 +40,51 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian, one after the other."""
-        # str.split() also parts at these four, which are no white space to the library
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        parts = [p for p in re.split(r"[ \t\n\r\x0b\x0c]+", text) if p] if odd else text.split()
-        cache = self.cache
-        try:
-            return b"".join([cache[p] for p in parts])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        found = self._encode_new([p for p in dict.fromkeys(parts) if p not in cache])
-        cache.update((p, b) for p, b in found.items() if len(p) <= CACHE_CHARS)
-        return b"".join([found[p] if p in found else cache[p] for p in parts])
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
-    def _encode_new(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that the cache lacks.
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each). texts: a string array without nulls.
 
-        The pre-tokenizer always cuts between a letter or digit and a mark that is no apostrophe, and the normalizer
-        lower-cases; so ASCII parts are looked up in lower case, and without one closing mark, before they are encoded.
+        Arrow cuts the texts at white space and numbers the distinct parts. The pre-tokenizer always cuts between a
+        letter or digit and a mark that is no apostrophe, and the normalizer lower-cases; so distinct parts are put in
+        lower case (but for those that may hold a special token) and parted from a closing mark, and numbered again.
+        Ids are looked up once for each distinct piece and then gathered for all its places.
         """
-        cache, found, split, new = self.cache, {}, [], {}
-        for p in parts:
-            q = p.lower() if p.isascii() else p
-            stem, mark = (q[:-1], q[-1]) if q[-1] in self.MARKS and q[-2:-1].isalnum() else (q, "")
-            split.append((p, stem, mark))
-            if stem not in cache:
-                new[stem] = None
-            if mark and mark not in cache:
-                new[mark] = None
-        if self.suffix:
-            self._encode_letters([q for q in new if q.isalpha() and q == q.lower() and is_normalized("NFC", q)], found)
-        rest = [q for q in new if q not in found]
-        if rest:
-            for q, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                found[q] = np.array(e.ids, self.dtype).tobytes()
-        get = lambda q: found[q] if q in found else cache[q]
-        for p, stem, mark in split:
-            if p not in found:
-                found[p] = get(stem) + get(mark) if mark else get(stem)
-        return found
+        # these four part words for Arrow, but are no white space to the library
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            parts = pa.array([[p for p in re.split(r"[ \t\n\r\x0b\x0c]+", t) if p] for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            parts = pc.utf8_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary
+        words = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        pieces = pc.split_pattern(pc.replace_substring_regex(words, "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])$", r"\1 \2"), " ")
+        coded_pieces = pieces.flatten().dictionary_encode()
+        known = self._lookup(coded_pieces.dictionary.to_pylist())
+        return _gather(*_gather(*known, coded_pieces, pieces), coded, parts)
+
+    def _lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after the other, number of ids of each); none for an empty piece.
+
+        A full cache becomes the old generation, from which pieces that occur again are taken back.
+        """
+        if len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
+        found = [*map(self.cache.get, pieces)]
+        missed = [q for q, b in zip(pieces, found, strict=True) if b is None]
+        if missed:
+            fresh = {q: b for q, b in zip(missed, map(self.old.get, missed), strict=True) if b is not None}
+            fresh[""] = b""
+            new = [q for q in missed if q not in fresh]
+            if self.suffix:
+                self._encode_letters([q for q in new if q.isalpha() and (q.isascii() or (q == q.lower() and is_normalized("NFC", q)))], fresh)
+            rest = [q for q in new if q not in fresh]
+            if rest:
+                for q, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                    fresh[q] = np.array(e.ids, self.dtype).tobytes()
+            found = [fresh[q] if b is None else b for q, b in zip(pieces, found, strict=True)]
+            self.cache.update((q, b) for q, b in fresh.items() if len(q) <= CACHE_CHARS)
+        return np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
 
     def _encode_letters(self, words: list[str], found: dict[str, bytes]) -> None:
         """Words of lower-case letters in one call: each is one pre-token, whose last token, and no other, bears the suffix."""
@@ -91,6 +97,17 @@ class WordEncoder:
             found.update((w, raw[a:b]) for w, a, b in zip(words, starts, starts[1:], strict=False))
 
 
+def _gather(ids: np.ndarray, sizes: np.ndarray, coded: pa.DictionaryArray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """From ids and sizes by code: (ids of all coded values in order, number of ids of each list of them)."""
+    place = coded.indices.to_numpy(zero_copy_only=False)
+    own = sizes[place]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])
+    starts = (np.cumsum(sizes) - sizes)[place]
+    out = ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], own)]
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return out, ends[offsets[1:]] - ends[offsets[:-1]]
+
+
 class PrefixCounter:
     """Exact token counts of texts and of their prefixes by a sentencepiece BPE model.
 
