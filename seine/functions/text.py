@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What trimming removes: Unicode white space.
-_SPACE = r"[\s\x{85}\p{Z}]"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def lines_of(text: Column) -> Column:
@@ -22,7 +22,7 @@ def lines_of(text: Column) -> Column:
 
 def indent(line: Column) -> Column:
     """Bytes of leading white space."""
-    return F.octet_length(line) - F.octet_length(F.regexp_replace(line, rf"\A{_SPACE}+", ""))
+    return F.octet_length(line) - F.octet_length(F.ltrim(line, F.lit(_SPACE)))
 
 
 def html_escape(text: Column) -> Column:

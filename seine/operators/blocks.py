@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .predicates import TEST_ATTRIBUTES, TEST_MODULES, contains_any
+from .predicates import TEST_ATTRIBUTES, TEST_MODULES, contains_one, marker_texts
 
 
 def _starts(line: str, attributes: Sequence[str], modules: Sequence[str]) -> bool:
@@ -64,7 +64,7 @@ def test_blocks(lines: Column, path: Column, text: Column, attributes: Sequence[
         found = (None if f is None else [{"start_line": a, "end_line": b} for a, b in block_ranges(list(f), bool(p), attributes, modules)] for f, p in zip(files, python, strict=True))
         return pd.Series(list(found), index=files.index, dtype=object)
 
-    literal = [max(g.split("*"), key=len) for g in attributes] + list(modules)
-    marked = contains_any(text, [x for x in literal if x]) if all(literal) else F.lit(True)
+    texts = marker_texts(attributes, modules)
+    marked = F.lit(True) if texts is None else contains_one(text, texts)
     none = F.array().cast("array<struct<start_line:int,end_line:int>>")
     return F.coalesce(ranges(F.when(marked, lines), F.coalesce(path.endswith(".py"), F.lit(False))), none)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entropy import likely, with_randomness
 from ..functions.patterns import DIALECT, Pattern
-from .predicates import any_of
+from .predicates import any_of, contains_one
 
 #: Two code points that are no characters stand around matches while they are cut out; in a line they become a third one
 #: of equal length.
@@ -18,10 +18,15 @@ _OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufffd"
 
 def gate(line: Column, pattern: Pattern) -> Column:
     """A cheap test that every line with a match passes."""
-    if not pattern.anchors:
+    return any_of(line.contains(a) for a in pattern.anchors) if pattern.anchors else F.lit(True)
+
+
+def gate_all(line: Column, patterns: Sequence[Pattern]) -> Column:
+    """gate() of any of the patterns, as one small expression: a long disjunction would compile to a method too large for the JVM's compiler."""
+    if not all(p.anchors for p in patterns):
         return F.lit(True)
-    text = F.lower(line) if pattern.folded else line
-    return any_of(text.contains(a) for a in pattern.anchors)
+    anchors = dict.fromkeys(a for p in patterns for a in p.anchors)
+    return contains_one(line, [a for a in anchors if not any(b in a and b != a for b in anchors)])
 
 
 def matches_of(line: Column, pattern: Pattern) -> Column:
@@ -43,8 +48,7 @@ def find(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line", stri
     stays in one stage without a shuffle.
     """
     clean = F.translate(F.col(line), _OPEN + _CLOSE, _OTHER * 2)
-    rows = lines.filter(any_of(gate(F.col(line), p) for p in patterns)) if all(p.anchors for p in patterns) else lines
-    rows = rows.withColumn("_clean", F.when(F.col(line).contains(_OPEN) | F.col(line).contains(_CLOSE), clean).otherwise(F.col(line)))
+    rows = lines.filter(gate_all(F.col(line), patterns)).withColumn("_clean", F.when(F.col(line).contains(_OPEN) | F.col(line).contains(_CLOSE), clean).otherwise(F.col(line)))
     empty = F.lit(None).cast("struct<pattern_id:int,name:string,description:string,parts:array<string>,first:string,regex:string>")
     found = []
     for i, p in enumerate(patterns, 1):

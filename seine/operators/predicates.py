@@ -63,6 +63,11 @@ def contains_any(line: Column, parts: Iterable[str]) -> Column:
     return any_of(line.contains(p) for p in parts)
 
 
+def contains_one(line: Column, parts: Iterable[str]) -> Column:
+    """The same for long lists, as a search in a constant array."""
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(line, p))
+
+
 def one_star(text: Column, glob: str) -> Column:
     """With exactly one star: what stands before it starts the text and what stands behind ends it (they may overlap). Else equality."""
     if glob.count("*") != 1:
@@ -71,9 +76,19 @@ def one_star(text: Column, glob: str) -> Column:
     return text.startswith(head) & text.endswith(tail)
 
 
+def marker_texts(attributes: Iterable[str], modules: Iterable[str]) -> list[str] | None:
+    """Texts one of which every line with a marker holds; None if a marker has no text."""
+    parts = [max(g.split("*"), key=len) if g.count("*") == 1 else g for g in attributes] + list(modules)
+    return list(dict.fromkeys(parts)) if all(parts) else None
+
+
 def test_line(line: Column, attributes: Iterable[str] = TEST_ATTRIBUTES, modules: Iterable[str] = TEST_MODULES) -> Column:
+    """Whether the trimmed line matches an attribute's glob or holds a module's marker. Lines are trimmed only where they hold a marker's text."""
+    attributes, modules = list(attributes), list(modules)
+    texts = marker_texts(attributes, modules)
     bare = trim(line)
-    return any_of(one_star(bare, g) for g in attributes) | contains_any(bare, modules)
+    full = any_of(one_star(bare, g) for g in attributes) | contains_any(bare, modules)
+    return full if texts is None else contains_one(line, texts) & full
 
 
 def ignored_next(previous: Column, directive: str = IGNORE_NEXT) -> Column:

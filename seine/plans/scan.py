@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.patterns import Pattern, library
 from ..functions.text import lines_of
 from ..operators.blocks import test_blocks
-from ..operators.matcher import find, gate, gated
-from ..operators.predicates import any_of, contains_any, ignored_next, streamed, test_line
+from ..operators.matcher import find, gate_all, gated
+from ..operators.predicates import contains_any, ignored_next, streamed, test_line
 from ..operators.summaries import scan_stats
 from ..sources.config import ScanConfig
 from ..sources.files import decoded, from_paths, scannable, walk
@@ -54,8 +54,7 @@ class Scanner:
             # blocks are few and most files have none, so most lines are not tested against any
             kept = F.when(F.size("blocks") == 0, kept).otherwise(F.filter(kept, lambda r: ~F.exists(F.col("blocks"), lambda b: (b["start_line"] < r["line_number"]) & (r["line_number"] <= b["end_line"]))))
         rows = rows.select("path", "streamed", F.inline(kept))
-        if all(p.anchors for p in self.patterns):
-            rows = rows.filter(any_of(gate(F.col("line"), p) for p in self.patterns))
+        rows = rows.filter(gate_all(F.col("line"), self.patterns))
         line = F.col("line")
         rows = rows.filter(~contains_any(line, c.ignore_comments) & ~contains_any(line, c.ignore_patterns))
         if c.ignore_test_code:

@@ -14,7 +14,7 @@ from .operators.matcher import find
 from .functions.patterns import BUILT_IN, pattern_table
 from .plans import hooks, reports
 from .plans.scan import Scanner
-from .samples import BLOCKS, IGNORED, TOKENS, files_sql
+from .samples import BLOCKS, IGNORED, TOKENS
 from .sources import files as file_source
 from .sources import tables
 
@@ -24,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str, *groups) -> DataFrame:
-    table(spark, sf_dir, "supplier").select("s_suppkey").createOrReplaceTempView("supplier")
-    return spark.sql(files_sql(*groups))
+    """The sample files of a group of templates, from one scan of supplier."""
+    key = F.col("s_suppkey").cast("string")
+    seeds = tables.spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(key.alias("k"), F.md5(key).alias("h"), F.md5(F.concat(F.lit("g"), key)).alias("g"), F.lit("\n").alias("n"))
+    made = F.array(*[F.struct(F.expr(p).alias("path"), F.expr(t).alias("text")) for g in groups for p, t in g])
+    return seeds.select(F.inline(made))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return tables.as_files(docs, F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("text"))
 
 

@@ -48,7 +48,7 @@ BLOCKS: tuple[tuple[str, str], ...] = (
 
 
 def files_sql(*groups: tuple[tuple[str, str], ...]) -> str:
-    """A query of (path, text) over the view supplier."""
+    """A DuckDB query of (path, text) over the view supplier."""
     parts = [f"SELECT {p} AS path, {t} AS text FROM seeds" for g in groups for p, t in g]
     seeds = "SELECT cast(s_suppkey AS string) AS k, md5(cast(s_suppkey AS string)) AS h, md5('g' || cast(s_suppkey AS string)) AS g, chr(10) AS n FROM supplier"
     return f"WITH seeds AS ({seeds}) " + " UNION ALL ".join(parts)

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import lines_of
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, dealt out evenly if it has fewer partitions than there are cores.
+
+    A small file in one row group is one task otherwise. Tables of more partitions stay as they are, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def as_files(rows: DataFrame, path: Column, text: Column) -> DataFrame:
     """(path, text): each row's text as a file. A null text is an empty file."""
     return rows.select(path.cast("string").alias("path"), F.coalesce(text, F.lit("")).alias("text"))
