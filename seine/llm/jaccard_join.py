@@ -103,7 +103,8 @@ def leaves(records: DataFrame, runs: int) -> DataFrame:
     found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         level = cut(level, f"level{depth}")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # written, so that the join below has an exchange of its own on both sides, whose hot nodes adaptive execution can split
+        sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"sizes{depth}")
         level = cut(level.join(sizes, "node"), f"sized{depth}")
         stays = (F.col("n") <= LEAF) | (F.col("n") > DENSE * F.col("parent_n")) if depth < DEPTH else F.lit(True)
         stays = F.coalesce(stays, F.lit(False))
@@ -275,7 +276,8 @@ def settle(rows: DataFrame, similarity: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge, root being the smallest node of its component.
 
-    Large-star and small-star steps in turn, each from a written table, until the edges stay the same.
+    Large-star and small-star steps in turn, each from a written table, until the edges stay the same. The minima are
+    written as well: then the joins with them start from plain exchanges, whose hot nodes adaptive execution can split.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
 
@@ -285,9 +287,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct(), "small-star")
@@ -325,7 +327,8 @@ def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     roots = components(settled.filter("to is not null").select(F.col("record").alias("a"), F.col("to").alias("b")))
     grouped = records.select("record", "docs", "first").join(links, "record", "left").join(roots, F.col("record") == F.col("node"), "left")
     grouped = grouped.select("record", "first", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "record").alias("root")).filter("n_links > 0")
-    ids = grouped.groupBy("root").agg(F.min("first").alias("class_id"))
+    grouped = cut(grouped, "grouped")
+    ids = cut(grouped.groupBy("root").agg(F.min("first").alias("class_id")), "class-ids")
     table = cut(grouped.join(ids, "root").select("record", "root", "class_id", "n_links"), "classes")
     joined = lookup(signed.select(key, "_text_key", "record"), table, ["record"])
     return joined.select(key, "_text_key", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "record", "root")
@@ -337,7 +340,7 @@ def dedupe(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float =
     marked = cut(classes(docs, n, similarity, recall, key, text), "classes")
     linked = marked.filter("n_links > 0")
     place = F.struct(F.col(key).isNull().alias("last"), F.col(key), F.col("_text_key"))
-    best = linked.groupBy("root").agg(F.min(place).alias("best"))
+    best = cut(linked.groupBy("root").agg(F.min(place).alias("best")), "best")
     gone = linked.select("root", place.alias("place")).distinct().join(best, "root").filter("place != best").select(F.col(f"place.{key}").alias(key), F.col("place._text_key"))
     gone = cut(gone.distinct(), "gone").withColumn("_gone", F.lit(True))
     twice = marked.filter("record is not null").groupBy(key, "_text_key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
