@@ -26,6 +26,8 @@ from .common import blank_words, cut, keyed, lookup
 
 #: Coordinates of a signature; coordinates drawn at a node; records of a leaf; records of a block of a dense node.
 COORDINATES, BRANCH, LEAF, BLOCK = 64, 2, 128, 256
+#: Grams of a batch that are signed at once, more or less: a slice stays in the processor's cache.
+SLICE = 1 << 16
 #: Levels of a tree; a child that keeps more than this share of its parent's records is dense.
 DEPTH, DENSE = 5, 0.6
 #: A pair is settled exactly if its signatures agree in this share of coordinates less than the threshold, at least:
@@ -83,12 +85,15 @@ def signatures(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "te
                 records.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if len(one) else None)
             sig = np.zeros((batch.num_rows, COORDINATES), np.int32)
             full = np.flatnonzero(offsets[1:] > offsets[:-1])
-            if len(full):
-                starts = offsets[:-1][full]
-                for t in range(COORDINATES):
-                    sig[full, t] = (np.minimum.reduceat(values * _MULTIPLIERS[t], starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for rows in np.split(full, np.flatnonzero(np.diff(offsets[:-1][full] // SLICE)) + 1):
+                if len(rows):
+                    a, b = offsets[rows[0]], offsets[rows[-1] + 1]
+                    part, starts = values[a:b], offsets[:-1][rows] - a
+                    for t in range(COORDINATES):
+                        sig[rows, t] = (np.minimum.reduceat(part * _MULTIPLIERS[t], starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, COORDINATES, dtype=np.int32)), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_text_key"), pa.array(records, pa.binary()), pa.array(sizes, pa.int64()), lists], names=[key, "_text_key", "record", "size", "sig"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = with_ngrams(docs.select(F.col(key), F.col(text), keyed(docs, key, text)[1]), n, text)
     return rows.mapInArrow(run, f"{key} {kind}, _text_key long, record binary, size long, sig array<int>")
