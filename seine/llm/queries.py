@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import chat, decontam, html_text, jaccard_join, mixing, quality, sharding, token_counts, token_files, url_filter
 from .common import blank_words
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns of a table; one of fewer partitions than cores is dealt out evenly."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file. Operators take such paths as parameters."""
     import public_tokenizers
@@ -23,7 +29,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
     return jaccard_join.classes(docs).select("doc_id", "class_id", "n_links")
 
 
@@ -35,24 +41,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
     index, _ = token_files.write_tokens(docs, vocabulary("word_bpe_49k.json"), end_id=2)
     return token_files.read_back(index).withColumnRenamed("key", "doc_id")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "source", "text")
     rows = docs.select("doc_id", "source", F.size(blank_words(F.col("text"))).cast("long").alias("size"), mixing.quality_weight(F.col("text")).alias("weight"))
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.token_counts(docs, vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
     raw = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"))
     rows = sharding.shard(rows, 24).withColumn("grown_shard", sharding.rendezvous(F.col("doc_id"), sharding.even(25)))
@@ -66,7 +72,7 @@ BLOCKED_WORDS = ("casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = dealt(spark, sf_dir, "pages", "page_id", "url")
     rules = [url_filter.host_rule(*r) for r in URL_RULES]
     own = [url_filter.word_rule("block", w) for w in BLOCKED_WORDS]
     judged = url_filter.filter_urls(pages, [*rules, *own])
@@ -75,16 +81,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(dealt(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = quality.judged(dealt(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), keep=["doc_id"])
     return out.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
