@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seine.llm import decontam, jaccard_join, mixing, quality, sharding
 from seine.llm.common import blank_words, cut, keyed, lookup
+from seine.sources.tables import spread
 
 SHARDS = 24
 
@@ -65,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
