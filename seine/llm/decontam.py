@@ -36,11 +36,17 @@ def n_terms(text: Column) -> Column:
 
 
 def test_windows(benchmark: DataFrame, width: int, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(window, words, items): the distinct windows of `width` words; an item of fewer words, but not none, is one window."""
+    """(window, words, items): the distinct windows of `width` words; an item of fewer words, but not none, is one window.
+
+    items holds null once if an item without an id has the window.
+    """
     split = benchmark.select(F.col(item).alias("item"), terms(F.col(text)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     words = split.select("item", F.explode(F.transform(starts, lambda s: F.slice(F.col("w"), s, width))).alias("words"))
-    return words.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("window", F.xxhash64("words")).select("window", "words", "items")
+    named = F.array_sort(F.collect_set("item"))  # collect_set drops null
+    nameless = F.bool_or(F.col("item").isNull())
+    items = F.when(nameless, F.concat(named, F.array(F.lit(None).cast(words.schema["item"].dataType)))).otherwise(named)
+    return words.groupBy("words").agg(items.alias("items")).withColumn("window", F.xxhash64("words")).select("window", "words", "items")
 
 
 @dataclass(frozen=True)
@@ -113,28 +119,33 @@ def proximity_matches(index: PositionalIndex, slop: int, key: str = "doc_id") ->
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each contaminated document: key, _text_key, n_hit (words inside any occurrence), items (sorted, as strings)."""
+    """One row for each contaminated document: key, _text_key, n_hit (words inside any occurrence), n_items, items (sorted, as strings).
+
+    All items without an id count as one in n_items; items does not hold it.
+    """
     index = build_index(docs, test_windows(benchmark, width), width, key, text)
     found = phrase_matches(index, key)
     reach = Window.partitionBy(key, "_text_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.groupBy(key, "_text_key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     fresh = spans.withColumn("new", F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(reach), F.lit(0))))
     covered = fresh.groupBy(key, "_text_key").agg(F.sum(F.greatest(F.col("new"), F.lit(0))).cast("long").alias("n_hit"))
-    items = found.select(key, "_text_key", F.explode("items").alias("item")).distinct().groupBy(key, "_text_key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    ids = found.select(key, "_text_key", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct()
+    items = ids.groupBy(key, "_text_key").agg(F.count(F.lit(1)).cast("long").alias("n_items"), F.array_sort(F.collect_set("item")).alias("items"))
     joined = covered.alias("c").join(items.alias("i"), F.col(f"c.{key}").eqNullSafe(F.col(f"i.{key}")) & (F.col("c._text_key") == F.col("i._text_key")))
-    return joined.select(f"c.{key}", "c._text_key", "n_hit", "items")
+    return joined.select(f"c.{key}", "c._text_key", "n_hit", "n_items", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits. Repeated rows each get their row. Without items nothing is hit.
+    A benchmark row whose id is null hits like any other: all such rows are one item in n_items, and add nothing to items_sha256.
     """
     found = cut(hits(docs, benchmark, width, key, text), "hits")
     rows = lookup(docs.select(*keyed(docs, key, text), n_terms(F.col(text)).alias("n_words")), found, [key, "_text_key"])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select(key, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.select(key, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:

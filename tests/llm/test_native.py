@@ -197,6 +197,15 @@ def test_contamination_edges(spark):
     assert decontam.contamination(odd_docs(spark), items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_items_without_an_id_hit(spark):
+    items = spark.createDataFrame([(None, "a b c d e f g h i j k"), (None, "only this"), (7, "a b c d e f g h i j"), (8, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "z a b c d e f g h i j k"), (2, "but only this one, only this"), (3, "x"), (4, "none")], "doc_id long, text string")
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    got = {r["doc_id"]: tuple(r)[2:] for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (11, 2, sha("7"), True), 2: (4, 1, sha(""), True), 3: (1, 1, sha("8"), True), 4: (0, 0, sha(""), False)}
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, items).collect()] == [4]
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "beta x alpha"), (2, "alpha " + "x " * 30 + "beta"), (3, "alpha only")], "doc_id long, text string")
