@@ -165,6 +165,43 @@ def test_a_template_that_looks_far_back_is_rendered_whole():
     assert "".join(steps.add(("user", "x")).text for _ in range(150)) == numbered([("user", "x")] * 150)
 
 
+def naive_pieces(render, turns):
+    """(piece, start, rewrites) of each turn, by whole prefixes."""
+    out, pieces = "", []
+    for i in range(len(turns)):
+        now = render(turns[: i + 1])
+        at = next((k for k, (a, b) in enumerate(zip(now, out)) if a != b), min(len(now), len(out)))  # noqa: B905
+        pieces.append((now[at:], at, not now.startswith(out)))
+        out = now
+    return pieces
+
+
+def test_templates_that_rewrite_long_conversations(spark):
+    turns = [("user", f"t{i}") for i in range(150)]
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    last_only = lambda turns: "".join(f"{r}:{t}\n" if i + 1 == len(turns) else f"{r}:.\n" for i, (r, t) in enumerate(turns))
+    from_70 = lambda turns: "".join(f"{r}:{t}\n" if len(turns) < 70 or i + 70 > len(turns) else "" for i, (r, t) in enumerate(turns))
+    noticed = lambda turns: "".join("notice\n" * (i == 69) + f"{r}:{t}\n" for i, (r, t) in enumerate(turns))
+    for render, first in ((last_only, 1), (from_70, 69), (noticed, None)):
+        got = [(r["piece"], r["start"], r["rewrites"]) for r in chat.format_turns(frame, render).orderBy("place").collect()]
+        assert got == naive_pieces(render, turns)
+        assert [p[2] for p in got].index(True) == first if first is not None else not any(p[2] for p in got)
+
+
+def test_only_a_declared_template_forgets_turns():
+    bounded, steps = chat.Incremental(chat.render_inst), chat.Incremental(lambda turns: chat.render_inst(turns))
+    for i in range(150):
+        turn = ("user", f"t{i}")
+        assert bounded.add(turn) == steps.add(turn)
+    assert len(bounded.turns) == chat.WINDOW and len(steps.turns) == 150
+    late = chat.local(lambda turns: "".join(f"{t}." if t != "stop" else "" for _, t in turns) if turns[-1][1] != "stop" else "gone")
+    steps = chat.Incremental(late)
+    for _ in range(100):
+        steps.add(("user", "t"))
+    with pytest.raises(ValueError):
+        steps.add(("user", "stop"))
+
+
 # --- tokens
 
 WORDS, PIECES = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
