@@ -34,6 +34,13 @@ ASIDE_NAMES = frozenset(
 #: Names of layout classes, which say what a page has, not what they hold.
 LAYOUT = frozenset("has with without no is page layout".split())
 
+#: The start tags that leave a head open. Any other ends it, as does text.
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Elements of a head whose content, tags and all, is no text of the page.
+OPAQUE = frozenset("noscript template".split())
+#: Block-level tags that may stand in a select or break a line in any element; none ends an element that was left open.
+WITHIN = frozenset("br hr option legend".split())
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "aside", "heading")
 
 
@@ -59,21 +66,35 @@ def _names(attrs: Sequence[tuple[str, str | None]]) -> bool:
 
 
 class _Blocks(HTMLParser):
-    """Cuts a page into blocks. Open elements are kept with what they mean; unclosed ones end with what holds them."""
+    """Cuts a page into blocks. Open elements are kept with what they mean; unclosed ones end with what holds them.
+
+    A head may lack its end tag. Hidden elements are counted from 1 in their order: those that end with what holds them
+    are put in `unclosed`. A parser that is given their numbers ends them at the next block-level tag, as otherwise they
+    would hide all that follows.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, ended: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, bool, bool, bool, str | None]] = []  # tag, hidden, in main, aside, label; each with what holds it
+        self.numbers: list[int] = []  # beside each open element its number if it is hidden by itself, or 0
+        self.ended, self.unclosed, self.hidden = ended, set(), 0
         self.parts: list[str] = []
         self.link_words = self.in_link = 0
         self.heading = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.end_head(tag == "body")
         if tag in BLOCK:
             self.flush()
-            if self.open and self.open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self.open.pop()
+            if self.ended and tag not in WITHIN:
+                first = next((i for i, n in enumerate(self.numbers) if n in self.ended), None)
+                if first is not None:
+                    self.cut(first)
+            # a line break ends nothing, and a rule ends a paragraph only
+            if self.open and self.open[-1][0] in (("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag not in VOID else ("p",) if tag == "hr" else ()):
+                self.cut(len(self.open) - 1)
         if tag in VOID:
             return
         if tag == "a":
@@ -83,6 +104,8 @@ class _Blocks(HTMLParser):
             beside = tag in ASIDE_TAGS or (tag == "header" and not main) or (tag not in ("body", "html") and _names(attrs))
             label = next((v for k, v in attrs if k == "data-label"), label)
             self.open.append((tag, hidden or tag in HIDDEN, main or tag in MAIN_TAGS or ("role", "main") in attrs, aside or beside, label))
+            self.hidden += tag in HIDDEN
+            self.numbers.append(self.hidden if tag in HIDDEN else 0)
             self.heading = len(tag) == 2 and tag[0] == "h" and tag != "hr"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -97,11 +120,25 @@ class _Blocks(HTMLParser):
             self.flush()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self.unclosed.update(n for n in self.numbers[i + 1 :] if n)
+                self.cut(i)
                 self.in_link = self.in_link and tag not in BLOCK
                 break
 
+    def cut(self, at: int) -> None:
+        del self.open[at:], self.numbers[at:]
+
+    def end_head(self, whatever: bool = False) -> None:
+        """End an open head, unless one of its elements holds what comes; `whatever`: even then."""
+        for i, (tag, *_) in enumerate(self.open):
+            if tag == "head":
+                if whatever or OPAQUE.isdisjoint(t for t, *_ in self.open[i + 1 :]):
+                    self.cut(i)
+                return
+
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.end_head()
         if self.open and self.open[-1][1]:
             return
         self.parts.append(data)
@@ -117,11 +154,16 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str) -> list[Block]:
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    def parsed(ended: frozenset[int] = frozenset()) -> _Blocks:
+        parser = _Blocks(ended)
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        return parser
+
+    parser = parsed()
+    unclosed = parser.unclosed.union(n for n in parser.numbers if n)
+    return parsed(frozenset(unclosed)).blocks if unclosed else parser.blocks
 
 
 def features(page: Sequence[Block]) -> list[tuple[float, ...]]:

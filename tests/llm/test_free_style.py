@@ -317,6 +317,36 @@ def test_held_out_pages():
     assert html_text.main_text(page, tree) == f"Head & line\n{text}\nShort.\nItem one\nTwo\nA bold line <tag> é"
 
 
+def texts_of(html):
+    return [b.text for b in html_text.blocks(html)]
+
+
+def test_a_head_without_end_tag_ends():
+    assert texts_of("<html><head><title>T</title><meta charset=x><style>p{}</style><body><p>one<p>two</body></html>") == ["one", "two"]
+    assert texts_of("<head><title>T</title><link href=x><div>one</div><p>two") == ["one", "two"]
+    assert texts_of("<head><title>T</title>\n one <b>two</b><p>three") == ["one two", "three"]
+    assert texts_of("<head><title>T</title><span>one</span></head> two") == ["one two"]
+    assert texts_of("<head><noscript><p>no</p><img src=x></noscript><template><p>no</p></template><title>T</title><p>one") == ["one"]
+    assert texts_of("<head><noscript><img src=x><body><p>one") == ["one"]
+    assert texts_of("<head><title>T</title></head><body>one</body>") == ["one"]
+
+
+def test_hidden_elements_without_end_tag_end():
+    for tag in ("button", "svg", "object"):
+        assert texts_of(f"<div><p>one</p><{tag}>no<p>two</p><p>three</p></div><p>four") == ["one", "two", "three", "four"]
+        assert texts_of(f"<div><{tag}>no<div>no</div></{tag}>one</div>") == ["one"]
+        assert texts_of(f"<{tag}>no<p>one <{tag}>no</{tag}> two") == ["one two"]
+    assert texts_of("<div><select><option>no<option>no<p>one</p></div>") == ["one"]
+    assert texts_of("<div><select><option>no<option>no</select>one</div>") == ["one"]
+
+
+def test_a_line_break_does_not_end_a_marked_paragraph():
+    for at in ("<br>", "<br/>"):
+        assert [(b.text, b.aside) for b in html_text.blocks(f"<p class=ad>one{at}two{at}three</p><p>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
+    assert [(b.text, b.aside) for b in html_text.blocks("<h2 class=notice>one<br>two<hr>three</h2>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
+    assert [(b.text, b.aside) for b in html_text.blocks("<p class=ad>one<hr>two")] == [("one", True), ("two", False)]
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<article><p>x"), (3, "w", "plain text"), (4, "b", "<p>" * 2000 + "deep"), (5, "b", "</div></p><>< <a <!-- x")], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
