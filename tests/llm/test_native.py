@@ -261,6 +261,13 @@ def test_quality_verdicts(spark):
     assert kept.count() == 151 and kept.columns == clashing(docs).columns
 
 
+@pytest.mark.parametrize(("rows", "limit"), [(99, 4031 + 6 * 4031), (100, 3000)])
+def test_limits_from_the_data_and_their_fallback(spark, rows, limit):
+    docs = spark.range(100 + rows).select(F.lit("en").alias("lang"), F.when(F.col("id") < 100, "a").otherwise("b").alias("source"), *[F.when(F.col("id") < 100, 4000).otherwise(0).cast("long").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
+    got = {r["source"]: r["max_symbol_rate"] for r in quality.limits(docs).collect()}
+    assert got == {"a": 4031, "b": limit}  # 4031 ends the bin of 4000; of 99 rows the language decides
+
+
 def test_quality_edges(spark):
     assert quality.judged(empty_docs(spark)).count() == 0
     assert quality.judged(odd_docs(spark)).count() == 11
