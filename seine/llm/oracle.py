@@ -90,18 +90,13 @@ FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
 _BIN = "(greatest(length(bin({v})) - 6, 0) * 32 + ({v} >> greatest(length(bin({v})) - 6, 0)))"
-_MEASURES = {"symbol_rate": (6.0, 3000), "dup_line_rate": (6.0, 4000), "repeat_rate": (6.0, 3500), "mean_chars": (6.0, 1200)}
+#: measure: (low %, high %, spread, least distance, whether it has a lower limit)
+_MEASURES = {"symbol_rate": (25, 75, 6, 50, False), "dup_line_rate": (50, 95, 3, 1200, False), "repeat_rate": (50, 95, 8, 100, False), "mean_chars": (10, 90, 3, 16, True)}
 
 
 def _op10() -> str:
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS measure, {m} AS v, {a}::DOUBLE AS spread, {b}::DOUBLE AS least FROM rates" for m, (a, b) in _MEASURES.items())
-    levels = {"f": "lang, source, measure", "c": "lang, measure", "a": "measure"}
-    quart = ",\n".join(
-        f"""q_{k} AS (SELECT {by}, max(n) AS n, min(top) FILTER (below * 4 >= n) AS q1, min(top) FILTER (below * 4 >= n * 3) AS q3 FROM (
-  SELECT {by}, cell, top, sum(c) OVER (PARTITION BY {by} ORDER BY cell) AS below, sum(c) OVER (PARTITION BY {by}) AS n
-  FROM (SELECT {by}, cell, any_value(top) AS top, count(*) AS c FROM cells GROUP BY {by}, cell)) GROUP BY {by})"""
-        for k, by in levels.items()
-    )
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM rates" for m in _MEASURES)
+    fences = ", ".join(f"('{m}', {a}, {b}, {c}, {d}, {e})" for m, (a, b, c, d, e) in _MEASURES.items())
     return rf"""
 WITH t AS (
   SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -121,17 +116,31 @@ rates AS (
          CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeat_rate,
          CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS mean_chars FROM base),
 long AS ({long}),
+fence(measure, p_low, p_high, spread, least, two_sided) AS (VALUES {fences}),
 cells AS (
-  SELECT lang, source, measure, {_BIN.format(v="v")} AS cell,
-         (((v >> greatest(length(bin(v)) - 6, 0)) + 1) << greatest(length(bin(v)) - 6, 0)) - 1 AS top FROM long WHERE NOT base_failed),
-{quart},
+  SELECT lang, source, measure, {_BIN.format(v="v")} AS cell, any_value((((v >> greatest(length(bin(v)) - 6, 0)) + 1) << greatest(length(bin(v)) - 6, 0)) - 1) AS top, count(*)::HUGEINT AS c
+  FROM long WHERE NOT base_failed GROUP BY ALL),
+by_lang AS (SELECT lang, measure, cell, any_value(top) AS top, sum(c)::HUGEINT AS c FROM cells GROUP BY lang, measure, cell),
+by_all AS (SELECT measure, cell, any_value(top) AS top, sum(c)::HUGEINT AS c FROM cells GROUP BY measure, cell),
+grp AS (
+  SELECT d.lang, d.source, coalesce(n_l, 0)::HUGEINT AS n_l, (SELECT count(*) FROM rates WHERE NOT base_failed)::HUGEINT AS n_a
+  FROM (SELECT DISTINCT lang, source FROM rates) d LEFT JOIN (SELECT lang, count(*) AS n_l FROM rates WHERE NOT base_failed GROUP BY lang) x ON d.lang IS NOT DISTINCT FROM x.lang),
+mix AS (
+  SELECT grp.lang, grp.source, measure, cell, top, c * greatest(n_l, 1) * greatest(n_a, 1) AS c FROM grp JOIN cells ON grp.lang IS NOT DISTINCT FROM cells.lang AND grp.source IS NOT DISTINCT FROM cells.source
+  UNION ALL
+  SELECT grp.lang, grp.source, measure, cell, top, c * least(n_l, 100) * greatest(n_a, 1) FROM grp JOIN by_lang ON grp.lang IS NOT DISTINCT FROM by_lang.lang
+  UNION ALL
+  SELECT grp.lang, grp.source, measure, cell, top, c * (100 - least(n_l, 100)) * greatest(n_l, 1) FROM grp, by_all),
+ranked AS (
+  SELECT *, sum(c) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(c) OVER (PARTITION BY lang, source, measure) AS n
+  FROM (SELECT lang, source, measure, cell, any_value(top) AS top, sum(c)::HUGEINT AS c FROM mix GROUP BY ALL)),
+quant AS (
+  SELECT lang, source, measure, any_value(spread) AS spread, any_value(least) AS least, any_value(two_sided) AS two_sided,
+         min(top) FILTER (below * 100 >= n * p_low) AS low, min(top) FILTER (below * 100 >= n * p_high) AS high
+  FROM ranked JOIN fence USING (measure) GROUP BY lang, source, measure),
 over AS (
-  SELECT rid, max(v > greatest(least, coalesce(q3 + spread * (q3 - q1), least))) AS out FROM (
-    SELECT long.rid, v, spread, least,
-           CASE WHEN f.n >= 100 THEN f.q1 WHEN c.n >= 100 THEN c.q1 ELSE a.q1 END AS q1,
-           CASE WHEN f.n >= 100 THEN f.q3 WHEN c.n >= 100 THEN c.q3 ELSE a.q3 END AS q3
-    FROM long LEFT JOIN q_f f ON long.lang IS NOT DISTINCT FROM f.lang AND long.source IS NOT DISTINCT FROM f.source AND long.measure = f.measure
-    LEFT JOIN q_c c ON long.lang IS NOT DISTINCT FROM c.lang AND long.measure = c.measure LEFT JOIN q_a a ON long.measure = a.measure) GROUP BY rid)
+  SELECT rid, max(coalesce(v > high + spread * greatest(high - low, least) OR (two_sided AND v < low - spread * greatest(high - low, least)), false)) AS out
+  FROM long LEFT JOIN quant ON long.lang IS NOT DISTINCT FROM quant.lang AND long.source IS NOT DISTINCT FROM quant.source AND long.measure = quant.measure GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT out AS kept
 FROM rates JOIN over USING (rid)
 """

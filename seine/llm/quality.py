@@ -7,7 +7,7 @@ counts, and neither the order nor the partitioning of the rows changes the resul
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +21,28 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure's upper limit: Q3 + spread * (Q3 - Q1), but `least` at the lowest."""
+    """A measure's limits in a language and source: the quantile at `high` percent plus `spread` times the distance from
+    the quantile at `low` percent, and with `both` also the latter minus as much. The distance counts as `least` where
+    it is less, so that a measure which is the same in most documents does not reject every other value."""
 
-    spread: float
+    low: int
+    high: int
+    spread: int
     least: int
+    both: bool = False
 
 
-#: Measures are shares in units of 1/10000, but for mean_chars (1/100 of a code point).
+#: Measures are shares in units of 1/10000, but for mean_chars (1/100 of a code point). Measures that are 0 in most
+#: texts are judged by their upper tail; symbols by quartiles, as these stand up to a quarter of bad documents.
 FENCES: Mapping[str, Fence] = {
-    "symbol_rate": Fence(6.0, 3000),
-    "dup_line_rate": Fence(6.0, 4000),
-    "repeat_rate": Fence(6.0, 3500),
-    "mean_chars": Fence(6.0, 1200),
+    "symbol_rate": Fence(25, 75, 6, 50),
+    "dup_line_rate": Fence(50, 95, 3, 1200),
+    "repeat_rate": Fence(50, 95, 8, 100),
+    "mean_chars": Fence(10, 90, 3, 16, both=True),
 }
-#: A language and source with fewer rows takes the limits of its language; a language with fewer, those of all rows.
-MIN_ROWS = 100
+#: Every group's sketch is merged with a prior of so many rows: the sketch of its language, scaled down, and as far as
+#: that has fewer rows the sketch of all. So limits of small groups lean on their language, and those of large ones do not.
+PRIOR_ROWS = 100
 BIN_BITS = 5
 
 
@@ -118,53 +125,72 @@ def sketch(rows: DataFrame) -> DataFrame:
     return good.select("lang", "source", F.explode(cells).alias("c")).groupBy("lang", "source", "c.measure", "c.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(by, measure, rows, q1, q3) from sketches merged by the columns `by`."""
-    merged = cells.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
-    up = Window.partitionBy(*by, "measure").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by, "measure")
-    ranked = merged.withColumns({"below": F.sum("n").over(up), "rows": F.sum("n").over(whole)})
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("rows") * q, bin_top(F.col("bin"))))
-    return ranked.groupBy(*by, "measure").agg(F.first("rows").cast("long").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+def merged(cells: DataFrame, groups: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, measure, bin, n) of each group: its own sketch, merged with a prior of its language and of all rows.
 
-
-def limits(rows: DataFrame) -> DataFrame:
-    """(lang, source, one limit a measure) for each language and source of the rows, from their sketch or a merged one."""
+    Counts are whole numbers in units of 1 / (rows of the language * rows of all), so merging stays exact.
+    """
+    of_lang = cells.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n"))
+    of_all = cells.groupBy("measure", "bin").agg(F.sum("n").alias("n"))  # a few thousand bins, whatever the corpus
+    one = next(iter(FENCES))  # every good row has one value of each measure
+    lang_rows = of_lang.filter(F.col("measure") == one).groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("_l"))
+    all_rows = of_all.filter(F.col("measure") == one).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_a"))
+    sized = groups.join(lang_rows, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").join(F.broadcast(all_rows))
+    long = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)).cast("decimal(38,0)")
+    own = F.least(F.coalesce("_l", F.lit(0)), F.lit(prior_rows))
+    sized = sized.select("lang", "source", long("_l").alias("rows_lang"), long("_a").alias("rows_all"), own.alias("from_lang"), (F.lit(prior_rows) - own).alias("from_all"))
+    key = lambda a, b: F.col(f"{a}.lang").eqNullSafe(F.col(f"{b}.lang"))
+    columns = lambda t, n: ["g.lang", "g.source", f"{t}.measure", f"{t}.bin", n.alias("n")]
+    g, n = sized.alias("g"), F.col("n").cast("decimal(38,0)")
+    fine = g.join(cells.alias("f"), key("g", "f") & F.col("g.source").eqNullSafe(F.col("f.source"))).select(*columns("f", n * F.col("rows_lang") * F.col("rows_all")))
+    mid = g.join(of_lang.alias("c"), key("g", "c")).select(*columns("c", n * F.col("from_lang") * F.col("rows_all")))
+    top = g.join(F.broadcast(of_all).alias("a")).select(*columns("a", n * F.col("from_all") * F.col("rows_lang")))
+    return fine.unionByName(mid).unionByName(top).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
+def _by_measure(value: Callable[[Fence], int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, value(f))]), F.col("measure"))
+
+
+def limits(rows: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, max_ and min_ of each measure) for each language and source of the rows, read from merged sketches.
+
+    All are null if no row passes the base rules. min_ is null for measures without a lower limit.
+    """
     cells = cut(sketch(rows), "sketch")
-    fine, coarse, all_rows = quartiles(cells, ["lang", "source"]), quartiles(cells, ["lang"]), quartiles(cells, [])
-    groups = rows.select("lang", "source").distinct()
-    measures = groups.select("lang", "source", F.explode(F.array(*[F.lit(m) for m in FENCES])).alias("measure"))
-    f, c, a = (x.select(*[F.col(n).alias(f"{n}_{t}") for n in x.columns]) for x, t in ((fine, "f"), (coarse, "c"), (all_rows, "a")))
-    joined = measures.join(f, F.col("lang").eqNullSafe(F.col("lang_f")) & F.col("source").eqNullSafe(F.col("source_f")) & (F.col("measure") == F.col("measure_f")), "left")
-    joined = joined.join(c, F.col("lang").eqNullSafe(F.col("lang_c")) & (F.col("measure") == F.col("measure_c")), "left").join(a, F.col("measure") == F.col("measure_a"), "left")
-
-    def pick(q: str) -> Column:
-        return F.when(F.col("rows_f") >= MIN_ROWS, F.col(f"{q}_f")).when(F.col("rows_c") >= MIN_ROWS, F.col(f"{q}_c")).otherwise(F.col(f"{q}_a"))
-
-    spread = F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, f.spread)]), F.col("measure"))
-    least = F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, float(f.least))]), F.col("measure"))
-    limit = F.greatest(least, F.coalesce(pick("q3") + spread * (pick("q3") - pick("q1")), least))
-    return joined.select("lang", "source", "measure", limit.alias("limit")).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"max_{m}") for m in FENCES])
-
-
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
+    groups = cut(rows.select("lang", "source").distinct(), "groups")
+    up = Window.partitionBy("lang", "source", "measure").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("lang", "source", "measure")
+    ranked = merged(cells, groups, prior_rows).withColumns({"below": F.sum("n").over(up), "rows": F.sum("n").over(whole)})
+    at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("rows") * _by_measure(percent), bin_top(F.col("bin"))))
+    read = ranked.groupBy("lang", "source", "measure").agg(at(lambda f: f.low).alias("low"), at(lambda f: f.high).alias("high"))
+    reach = _by_measure(lambda f: f.spread) * F.greatest(F.col("high") - F.col("low"), _by_measure(lambda f: f.least))
+    read = read.select("lang", "source", "measure", (F.col("high") + reach).alias("most"), F.when(_by_measure(lambda f: f.both), F.col("low") - reach).alias("least"))
+    each = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{k}_{m}") for m in FENCES for k, c in (("max", "most"), ("min", "least"))]
+    return read.groupBy("lang", "source").agg(*each)
+
+
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Each row of docs (or its columns `keep`), in `__row`, with its measures, base_failed and kept.
 
-    kept: not base_failed, and no rate above the limit of the row's language and source. The measured rows are written
+    kept: not base_failed, and every rate within the limits of the row's language and source. The measured rows are written
     once and serve both the sketches and the verdicts. Null languages and sources are groups of their own. An empty
     table gives an empty result.
     """
     carried = [*keep, *({lang, source} - {*keep})] if keep else None
     rows = measured(docs, text, carried).withColumns({"lang": F.col(f"__row.{lang}"), "source": F.col(f"__row.{source}")})
     rows = cut(rows.withColumns(rates()), "measured")
-    table = cut(limits(rows), "limits")
+    table = cut(limits(rows, prior_rows), "limits")
     joined = lookup(rows, table, ["lang", "source"])
     within = F.lit(True)
     for m in FENCES:
-        within = within & (F.col(m) <= F.coalesce(f"max_{m}", F.lit(float("inf"))))
+        within = within & F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True)) & F.coalesce(F.col(m) >= F.col(f"min_{m}"), F.lit(True))
     return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & within})
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
+    """The rows of docs that the rules keep, with the columns of docs.
+
+    Null and empty texts fail the base rules and go. Repeated rows share their verdict. An empty table stays empty.
+    """
     return judged(docs, text, lang, source).filter("kept").select("__row.*")

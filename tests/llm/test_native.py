@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,12 +242,85 @@ def test_bins_ascend_and_bound_the_error(spark):
     assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
 
 
+def measures(spark, groups):
+    """Measured rows of groups {(lang, source): values}: every measure has the value."""
+    rows = [(lang, source, v) for (lang, source), values in groups.items() for v in values]
+    made = spark.createDataFrame(rows, "lang string, source string, v long")
+    return made.select("lang", "source", *[F.col("v").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
+
+
+def naive_limits(groups, prior=quality.PRIOR_ROWS):
+    """{(lang, source, measure): (most, least)} from whole lists of values, each with a weight."""
+
+    def top(v):
+        cut = max(v.bit_length() - 6, 0)
+        return ((v >> cut) + 1 << cut) - 1
+
+    everything = [v for values in groups.values() for v in values]
+    out = {}
+    for lang, source in groups:
+        own = [v for (la, _), values in groups.items() for v in values if la == lang]
+        lean = min(len(own), prior)
+        weights = Counter()
+        for values, weight in ((groups[lang, source], Fraction(1)), (own, Fraction(lean, max(len(own), 1))), (everything, Fraction(prior - lean, len(everything)))):
+            for v in values:
+                weights[top(v)] += weight
+        total = sum(weights.values())
+
+        def quantile(percent, weights=weights, total=total):
+            below = 0
+            for v in sorted(weights):
+                below += weights[v]
+                if below * 100 >= total * percent:
+                    return v
+
+        for m, f in quality.FENCES.items():
+            low, high = quantile(f.low), quantile(f.high)
+            reach = f.spread * max(high - low, f.least)
+            out[lang, source, m] = (high + reach, low - reach if f.both else None)
+    return out
+
+
+def test_limits_by_brute_force(spark):
+    rng = random.Random(5)
+    groups = {("en", "a"): [rng.randrange(2000) for _ in range(400)], ("en", "b"): [rng.randrange(50) for _ in range(99)], ("de", "a"): [rng.randrange(9000) for _ in range(7)], (None, None): [5, 5], ("fr", None): [0] * 150}
+    got = {(r["lang"], r["source"], m): (r[f"max_{m}"], r[f"min_{m}"]) for r in quality.limits(measures(spark, groups)).collect() for m in quality.FENCES}
+    assert got == naive_limits(groups)
+
+
 def test_sketches_merge(spark):
-    rows = spark.range(1000).select(F.lit("en").alias("lang"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"), *[F.col("id").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
-    whole = quality.quartiles(quality.sketch(rows), ["lang"]).filter("measure = 'symbol_rate'").first()
-    assert whole["rows"] == 1000 and 249 <= whole["q1"] <= 257 and 749 <= whole["q3"] <= 773
+    rows = measures(spark, {("en", "a"): range(0, 700), ("en", "b"): range(300, 1000)})
+    total = lambda parts: {tuple(r) for r in parts.groupBy("lang", "source", "measure", "bin").agg(F.sum("n")).collect()}
     parts = quality.sketch(rows.filter("symbol_rate % 2 = 0")).unionByName(quality.sketch(rows.filter("symbol_rate % 2 = 1")))
-    assert quality.quartiles(parts, ["lang"]).filter("measure = 'symbol_rate'").first() == whole
+    assert total(parts) == total(quality.sketch(rows))
+
+
+def test_sources_have_limits_of_their_own(spark):
+    """The same text is kept where such texts are usual, and goes where they are not; where usage moves, so do verdicts."""
+    rng = random.Random(11)
+
+    def text(signs, n=100):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+        for i in rng.sample(range(n), signs):
+            words[i] += "%"
+        return " ".join(words)
+
+    probe = text(30)
+    code = [(i, text(rng.randrange(5, 30)), "en", "code", 1) for i in range(300)]
+    news = [(1000 + i, text(0), "en", "news", 1) for i in range(300)]
+    probes = [(2000, probe, "en", "code", 1), (2001, probe, "en", "news", 1)]
+    verdict = lambda rows: {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, DOCS), keep=["doc_id"]).filter("__row.doc_id >= 2000").select("__row.doc_id", "kept").collect()}
+    assert verdict(code + news + probes) == {2000: True, 2001: False}
+    moved = [(i + 1000, t, lang, "news", n) for i, t, lang, _, n in code]
+    assert verdict(code + moved + probes) == {2000: True, 2001: True}
+
+
+@pytest.mark.parametrize("rows", [99, 100, 101])
+def test_limits_do_not_jump_with_the_size_of_a_group(spark, rows):
+    """A few rows more or less move a limit by a bin or two: no group size is a switch."""
+    groups = {("en", "a"): [v % 1000 for v in range(5000)], ("en", "b"): [(7 * v) % 300 for v in range(rows)]}
+    most = {r["source"]: r["max_repeat_rate"] for r in quality.limits(measures(spark, groups)).collect()}
+    assert most["a"] > 2 * 959 and abs(most["b"] - naive_limits({**groups, ("en", "b"): [(7 * v) % 300 for v in range(90)]})["en", "b", "repeat_rate"][0]) <= 1000
 
 
 def test_quality_verdicts(spark):
@@ -261,13 +335,6 @@ def test_quality_verdicts(spark):
     assert kept.count() == 151 and kept.columns == clashing(docs).columns
 
 
-@pytest.mark.parametrize(("rows", "limit"), [(99, 4031 + 6 * 4031), (100, 3000)])
-def test_limits_from_the_data_and_their_fallback(spark, rows, limit):
-    docs = spark.range(100 + rows).select(F.lit("en").alias("lang"), F.when(F.col("id") < 100, "a").otherwise("b").alias("source"), *[F.when(F.col("id") < 100, 4000).otherwise(0).cast("long").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
-    got = {r["source"]: r["max_symbol_rate"] for r in quality.limits(docs).collect()}
-    assert got == {"a": 4031, "b": limit}  # 4031 ends the bin of 4000; of 99 rows the language decides
-
-
 def test_quality_edges(spark):
     assert quality.judged(empty_docs(spark)).count() == 0
     assert quality.judged(odd_docs(spark)).count() == 11
