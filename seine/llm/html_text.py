@@ -1,21 +1,25 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over word counts and link densities.
 
 A page is cut at block-level tags into blocks of running text. A block's features are its own word count and link
-density, those of the blocks before and after it, and what it stands in. The tree is fitted on LABELLED, a table of a
-few hand-labelled pages; another table of the same form may be given.
+density, those of the blocks before and after it, whether it is a heading or in the page's marked main part, and how
+surely a name beside the text holds it. The tree is fitted on labelled_pages; another table of the same form may be given.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import labelled_pages
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is no text of the page.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object audio video canvas select textarea button".split())
@@ -25,12 +29,13 @@ BLOCK = frozenset(
 )
 ASIDE_TAGS = frozenset("nav aside footer form menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Words in class names, ids and roles that mark parts beside the text. A name counts if it has one of them as a part.
-ASIDE_NAMES = frozenset(
-    "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promotion related replies reply "
-    "share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split()
+#: Words in class names, ids and roles of parts beside the text, and words that stand on such parts as on the text
+#: itself. A name counts if it has one of them as a part.
+BESIDE_NAMES = frozenset(
+    "ad ads advert advertisement advertising adverts breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
+    "disqus footer gdpr menu modal nav navbar navigation newsletter notice pagination popup promo promotion replies reply sidebar signup sponsor sponsored subscribe toc".split()
 )
+UNSURE_NAMES = frozenset("banner masthead overlay related share sharing skip social teaser toolbar topbar widget".split())
 #: Names of layout classes, which say what a page has, not what they hold.
 LAYOUT = frozenset("has with without no is page layout".split())
 
@@ -41,7 +46,7 @@ OPAQUE = frozenset("noscript template".split())
 #: Block-level tags that may stand in a select or break a line in any element; none ends an element that was left open.
 WITHIN = frozenset("br hr option legend".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "aside", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "beside", "heading")
 
 
 @dataclass
@@ -50,19 +55,22 @@ class Block:
     words: int
     links: float
     in_main: bool
-    aside: bool
+    beside: int  # 0: no name, 1: an unsure one, 2: a sure one
     heading: bool
     label: str | None = None
 
 
-def _names(attrs: Sequence[tuple[str, str | None]]) -> bool:
+def _named(attrs: Sequence[tuple[str, str | None]]) -> int:
+    found = 0
     for key, value in attrs:
         if key in ("class", "id", "role") and value:
             for name in value.lower().split():
                 parts = re.split(r"[-_]+", name)
-                if parts[0] not in LAYOUT and not ASIDE_NAMES.isdisjoint(parts):
-                    return True
-    return False
+                if parts[0] not in LAYOUT:
+                    if not BESIDE_NAMES.isdisjoint(parts):
+                        return 2
+                    found = found or int(not UNSURE_NAMES.isdisjoint(parts))
+    return found
 
 
 class _Blocks(HTMLParser):
@@ -71,12 +79,17 @@ class _Blocks(HTMLParser):
     A head may lack its end tag. Hidden elements are counted from 1 in their order: those that end with what holds them
     are put in `unclosed`. A parser that is given their numbers ends them at the next block-level tag, as otherwise they
     would hide all that follows.
+
+    Open elements are counted by name, so that no tag makes the parser go through elements that stay open: the time is in
+    proportion to the page, however deep its elements.
     """
 
     def __init__(self, ended: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool, str | None]] = []  # tag, hidden, in main, aside, label; each with what holds it
+        self.open: list[tuple[str, bool, bool, int, str | None]] = []  # tag, hidden, in main, beside, label; each with what holds it
+        self.count: Counter[str] = Counter()  # open elements by tag
+        self.ended_at: list[int] = []  # places of open elements that `ended` names
         self.numbers: list[int] = []  # beside each open element its number if it is hidden by itself, or 0
         self.ended, self.unclosed, self.hidden = ended, set(), 0
         self.parts: list[str] = []
@@ -89,9 +102,8 @@ class _Blocks(HTMLParser):
         if tag in BLOCK:
             self.flush()
             if self.ended and tag not in WITHIN:
-                first = next((i for i, n in enumerate(self.numbers) if n in self.ended), None)
-                if first is not None:
-                    self.cut(first)
+                if self.ended_at:
+                    self.cut(self.ended_at[0])
             # a line break ends nothing, and a rule ends a paragraph only
             if self.open and self.open[-1][0] in (("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag not in VOID else ("p",) if tag == "hr" else ()):
                 self.cut(len(self.open) - 1)
@@ -100,12 +112,18 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.in_link = 1
         if tag in BLOCK or tag in HIDDEN:
-            _, hidden, main, aside, label = self.open[-1] if self.open else ("", False, False, False, None)
-            beside = tag in ASIDE_TAGS or (tag == "header" and not main) or (tag not in ("body", "html") and _names(attrs))
+            _, hidden, main, beside, label = self.open[-1] if self.open else ("", False, False, 0, None)
+            if tag in ASIDE_TAGS or (tag == "header" and not main):
+                beside = 2
+            elif tag not in ("body", "html"):
+                beside = max(beside, _named(attrs))
             label = next((v for k, v in attrs if k == "data-label"), label)
-            self.open.append((tag, hidden or tag in HIDDEN, main or tag in MAIN_TAGS or ("role", "main") in attrs, aside or beside, label))
             self.hidden += tag in HIDDEN
             self.numbers.append(self.hidden if tag in HIDDEN else 0)
+            if self.numbers[-1] in self.ended:
+                self.ended_at.append(len(self.open))
+            self.open.append((tag, hidden or tag in HIDDEN, main or tag in MAIN_TAGS or ("role", "main") in attrs, beside, label))
+            self.count[tag] += 1
             self.heading = len(tag) == 2 and tag[0] == "h" and tag != "hr"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -118,23 +136,27 @@ class _Blocks(HTMLParser):
             self.in_link = 0
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.unclosed.update(n for n in self.numbers[i + 1 :] if n)
-                self.cut(i)
-                self.in_link = self.in_link and tag not in BLOCK
-                break
+        if not self.count[tag]:
+            return
+        at = self.last(tag)
+        self.unclosed.update(n for n in self.numbers[at + 1 :] if n)
+        self.cut(at)
+        self.in_link = self.in_link and tag not in BLOCK
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag; what is looked at is about to be ended."""
+        return next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
 
     def cut(self, at: int) -> None:
+        self.count.subtract(t for t, *_ in self.open[at:])
         del self.open[at:], self.numbers[at:]
+        while self.ended_at and self.ended_at[-1] >= at:
+            self.ended_at.pop()
 
     def end_head(self, whatever: bool = False) -> None:
         """End an open head, unless one of its elements holds what comes; `whatever`: even then."""
-        for i, (tag, *_) in enumerate(self.open):
-            if tag == "head":
-                if whatever or OPAQUE.isdisjoint(t for t, *_ in self.open[i + 1 :]):
-                    self.cut(i)
-                return
+        while self.count["head"] and (whatever or not any(self.count[t] for t in OPAQUE)):
+            self.cut(self.last("head"))
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] == "head" and not data.isspace():
@@ -148,8 +170,8 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         words = "".join(self.parts).split()
         if words:
-            _, _, main, aside, label = self.open[-1] if self.open else ("", False, False, False, None)
-            self.blocks.append(Block(" ".join(words), len(words), min(1.0, self.link_words / len(words)), main, aside, self.heading, label))
+            _, _, main, beside, label = self.open[-1] if self.open else ("", False, False, 0, None)
+            self.blocks.append(Block(" ".join(words), len(words), min(1.0, self.link_words / len(words)), main, beside, self.heading, label))
         self.parts, self.link_words = [], 0
 
 
@@ -169,13 +191,13 @@ def blocks(html: str) -> list[Block]:
 def features(page: Sequence[Block]) -> list[tuple[float, ...]]:
     """A row for each block, in the order of FEATURES; beyond the ends of the page stand blocks of no words."""
     sizes = [(0, 0.0), *((b.words, b.links) for b in page), (0, 0.0)]
-    return [(float(b.words), b.links, *map(float, sizes[i]), *map(float, sizes[i + 2]), float(b.in_main), float(b.aside), float(b.heading)) for i, b in enumerate(page)]
+    return [(float(b.words), b.links, *map(float, sizes[i]), *map(float, sizes[i + 2]), float(b.in_main), float(b.beside), float(b.heading)) for i, b in enumerate(page)]
 
 
 Tree = tuple  # (feature, threshold, tree if <=, tree if >) or (share of text,)
 
 
-def grow(rows: Sequence[tuple[float, ...]], labels: Sequence[bool], depth: int = 6, least: int = 2) -> Tree:
+def grow(rows: Sequence[tuple[float, ...]], labels: Sequence[bool], depth: int = 10, least: int = 3) -> Tree:
     """A decision tree by Gini impurity. Ties go to the first feature and the lowest threshold, so it is always the same."""
     share = sum(labels) / len(labels)
     best = None
@@ -207,25 +229,7 @@ def is_text(tree: Tree, row: tuple[float, ...]) -> bool:
     return tree[0] >= 0.5
 
 
-_LONG = "The council met again on Tuesday to talk about the bridge over the river, which has been closed since the flood in early spring and may stay so for a year."
-_MID = "Work on the second arch begins next month, and the old stones will be used again."
-#: Labelled pages: data-label is 1 on what is text and 0 on what is not.
-LABELLED = (
-    f"""<body><header data-label=0><p>River Daily</p><p>{_MID}</p></header><nav data-label=0><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Sport and leisure</a></li></ul></nav>
-    <div class=ad data-label=0>Buy now and pay later.</div><article data-label=1><h1>Bridge stays closed</h1><p>{_LONG}</p><p>Rain.</p><p>{_MID}</p><p>See <a href=4>the report</a>.</p><p><a href=8>Map</a></p><p><a href=9>Photo gallery</a></p><div class=ad data-label=0>{_MID}</div><p>No.</p></article>
-    <aside data-label=0><h3>Most read</h3><p><a href=5>Ten walks by the river</a></p><p>{_LONG}</p></aside><footer data-label=0>All rights reserved. <a href=6>Contact</a></footer></body>""",
-    f"""<body><div id=menu data-label=0><a href=1>Start</a> <a href=2>About</a></div><div class=content data-label=1><h2>On bread</h2><p>{_LONG}</p><p>{_MID}</p><p>{_LONG}</p><p>{_MID}</p></div>
-    <div class=sidebar data-label=0><p>{_MID}</p><p><a href=3>Older posts</a></p></div><div class=comments data-label=0><p>{_LONG}</p><p>Agreed!</p><p>{_MID}</p></div><p data-label=0><a href=4>Imprint</a></p></body>""",
-    f"""<body><div class=cookie-notice data-label=0><p>We use cookies. {_MID}</p></div><main data-label=1><h1>Notes</h1><p>One.</p><ul><li>Two stones</li><li>Three stones</li></ul><p>{_LONG}</p><blockquote>{_MID}</blockquote></main>
-    <form data-label=0><p>Write to us: {_MID}</p><label>Name</label></form><footer data-label=0><p>{_LONG}</p></footer></body>""",
-    f"""<body><p data-label=0><a href=1>Home</a> <a href=2>Archive</a> <a href=3>Search</a></p><p data-label=1>{_LONG}</p><p data-label=1>{_MID} {_LONG}</p><p data-label=1>{_MID}</p><p data-label=0><a href=4>Next page of the archive</a></p><p data-label=0>Share</p></body>""",
-    f"""<body><table><tr><td data-label=0><a href=1>Index</a></td><td data-label=0><a href=2>Help and contact</a></td></tr></table><div data-label=1>{_LONG} <a href=3>More</a> {_MID}</div><div data-label=1>{_LONG}</div><div data-label=1>{_MID}</div>
-    <div class=newsletter data-label=0>{_LONG}</div><div class=related data-label=0><p><a href=5>{_MID}</a></p><p>{_MID}</p></div></body>""",
-    f"""<body><nav data-label=0><a href=1>A</a><p>{_LONG}</p></nav><article data-label=1><header><h1>Title of the piece</h1><p>By the river</p></header><p>{_MID}</p><p>Short one.</p><aside data-label=0><p>{_LONG}</p><p>Read more</p></aside><p>{_LONG}</p><p><a href=7>Source of all figures</a></p><p><a href=8>Errata</a></p><p><a href=9>Full text of the ruling</a></p><section class=comments data-label=0><h2>Comments</h2><p>{_MID}</p><p>Yes.</p></section></article></body>""",
-)
-
-
-def labelled_rows(pages: Iterable[str] = LABELLED) -> tuple[list[tuple[float, ...]], list[bool]]:
+def labelled_rows(pages: Iterable[str]) -> tuple[list[tuple[float, ...]], list[bool]]:
     rows, labels = [], []
     for page in pages:
         found = blocks(page)
@@ -236,8 +240,14 @@ def labelled_rows(pages: Iterable[str] = LABELLED) -> tuple[list[tuple[float, ..
     return rows, labels
 
 
-def fit(pages: Iterable[str] = LABELLED) -> Tree:
-    return grow(*labelled_rows(pages))
+@cache
+def _own_tree() -> Tree:
+    return grow(*labelled_rows(labelled_pages.pages()))
+
+
+def fit(pages: Iterable[str] | None = None) -> Tree:
+    """The tree of a labelled table; the module's own table by default. It sees a bounded table only, whatever the corpus."""
+    return _own_tree() if pages is None else grow(*labelled_rows(pages))
 
 
 def main_text(html: str, tree: Tree) -> str:
@@ -246,7 +256,11 @@ def main_text(html: str, tree: Tree) -> str:
 
 
 def extract(pages: DataFrame, tree: Tree | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) of every row; null or empty html has an empty text. A narrow step."""
+    """(key, url, text, n_chars) of every row; null or empty html has an empty text. A narrow step.
+
+    Nulls in key and url stay; repeated rows each get their row; other columns of pages may have any names and are left
+    out. Pages of any length are read whole, in time in proportion to it. An empty table gives an empty one.
+    """
     tree = tree or fit()
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
 

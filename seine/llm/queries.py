@@ -34,10 +34,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = dealt(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
-    own = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{says}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
-    return chat.digest(chat.format_turns(rows.unionByName(own))).withColumnRenamed("conv", "conv_id")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    own = spark.sql(f"SELECT CAST(-7 AS {kinds['conv_id']}) AS conv_id, CAST(turn AS {kinds['turn']}) AS turn, role, '{says}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    return chat.format_and_digest(rows.unionByName(own)).withColumnRenamed("conv", "conv_id")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Joins, chats, token files, counts, pages and the pipeline against plain Python, and their edge cases."""
 
 import hashlib
+import html
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,9 +14,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seine.llm import chat, html_text, jaccard_join, token_counts, token_files
+from seine.llm import chat, html_text, jaccard_join, labelled_pages, token_counts, token_files
+from seine.llm.queries import QUERIES
 from seine.llm.tokens import PrefixCounter, WordEncoder
 
+from ..test_queries import SF
 from .test_native import DOCS, LONG, WORD, clashing, empty_docs, odd_docs
 
 P = pytest.importorskip("public_tokenizers")
@@ -140,6 +145,8 @@ def test_chat_digests(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
         assert got[c]["formatted_chars"] == len(chat.render_inst(turns))
+    assert {r["conv"]: r for r in chat.format_and_digest(frame).collect()} == got
+    assert chat.format_and_digest(frame.limit(0)).count() == 0
     assert chat.digest(chat.format_turns(frame.limit(0))).count() == 0
 
 
@@ -154,7 +161,8 @@ def test_pieces_and_spans(spark):
 
 def test_templates_that_rewrite_history(spark):
     last_only = lambda turns: "".join(f"{r}:{t}\n" if i + 1 == len(turns) else f"{r}:.\n" for i, (r, t) in enumerate(turns))
-    assert chat.rewrites_history(last_only) and not chat.rewrites_history(chat.render_inst)
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
+    assert chat.rewrites_history(last_only, turns) and not chat.rewrites_history(chat.render_inst, turns)
     frame = spark.createDataFrame([(1, i, "user", "long text") for i in range(3)], "conv_id long, turn long, role string, text string")
     assert [r["rewrites"] for r in chat.format_turns(frame, last_only).orderBy("place").collect()] == [False, True, True]
 
@@ -192,14 +200,43 @@ def test_only_a_declared_template_forgets_turns():
     bounded, steps = chat.Incremental(chat.render_inst), chat.Incremental(lambda turns: chat.render_inst(turns))
     for i in range(150):
         turn = ("user", f"t{i}")
-        assert bounded.add(turn) == steps.add(turn)
-    assert len(bounded.turns) == chat.WINDOW and len(steps.turns) == 150
+        a, b = bounded.add(turn), steps.add(turn)
+        assert (a.text, a.rewrites) == (b.text, b.rewrites) and a.windowed == (i >= chat.WINDOW) and not b.windowed
+    assert len(bounded.turns) == 2 and len(steps.turns) == 150
     late = chat.local(lambda turns: "".join(f"{t}." if t != "stop" else "" for _, t in turns) if turns[-1][1] != "stop" else "gone")
     steps = chat.Incremental(late)
     for _ in range(100):
         steps.add(("user", "t"))
     with pytest.raises(ValueError):
         steps.add(("user", "stop"))
+    # keeps the last 100 turns: no window of two shows it, the whole output at a doubling does
+    forgets = chat.Incremental(chat.local(lambda turns: "".join(t for _, t in turns[-100:])))
+    with pytest.raises(ValueError):
+        for i in range(200):
+            forgets.add(("user", f"t{i}"))
+
+
+def test_a_template_that_keeps_the_last_hundred_turns():
+    turns = [("user", f"t{i}.") for i in range(150)]
+    kept = lambda prefix: "".join(t for _, t in prefix[-100:])
+    steps = chat.Incremental(kept)
+    assert [steps.add(t).rewrites for t in turns] == [False] * 100 + [True] * 50
+    emptied = lambda prefix: "".join(f"{r}:{t}\n" if len(prefix) < 80 or i + 1 == len(prefix) else "" for i, (r, t) in enumerate(prefix))
+    assert chat.rewrites_history(emptied, turns)
+
+
+def test_five_thousand_turns():
+    steps, out = chat.Incremental(lambda turns: "".join(t for _, t in turns)), []
+    out = [steps.add(("user", f"{i};")) for i in range(5000)]
+    assert "".join(p.text for p in out) == "".join(f"{i};" for i in range(5000)) and not any(p.rewrites or p.windowed for p in out)
+
+
+def test_large_ids_beside_a_missing_one(spark):
+    big = 2**53 + 1
+    rows = [(c, i, "user", f"{c} {i}") for c in (big - 1, big, big + 1, None) for i in range(2)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    for got in (chat.format_and_digest(frame), chat.digest(chat.format_turns(frame))):
+        assert sorted(((r["conv"], r["n_turns"]) for r in got.collect()), key=str) == sorted([(big - 1, 2), (big, 2), (big + 1, 2), (None, 2)], key=str)
 
 
 # --- tokens
@@ -303,7 +340,8 @@ def test_token_counts(spark, counter):
 
 def test_tree_fits_its_table_and_short_text_stays():
     tree = html_text.fit()
-    rows, labels = html_text.labelled_rows()
+    rows, labels = html_text.labelled_rows(labelled_pages.pages())
+    assert 500 < len(rows) < 1000
     assert sum(html_text.is_text(tree, r) == y for r, y in zip(rows, labels, strict=True)) / len(rows) > 0.95
     assert html_text.fit() == tree
 
@@ -317,8 +355,59 @@ def test_held_out_pages():
     assert html_text.main_text(page, tree) == f"Head & line\n{text}\nShort.\nItem one\nTwo\nA bold line <tag> é"
 
 
-def texts_of(html):
-    return [b.text for b in html_text.blocks(html)]
+#: Pages of shapes that the labelled table lacks; [n] is a link of n words.
+HELD_OUT = (
+    "<body><div data-label=0>[1] - [1] - [2] - [1]</div><div data-label=1><h1>Of walls</h1><p>{35}</p><p>{60}</p><p>{14}</p><p>{27} [2] {5}</p></div><div data-label=0>[2]</div><div data-label=0>[3]</div><div data-label=0>{2} [1]</div></body>",
+    "<body><div class=page><div class=skip-link data-label=0>[3]</div><div class=post data-label=1><h2>{4}</h2><p>{31}</p><p>{45}</p><div class=social-contract>{52}</div></div><div class=post-comments data-label=0><p>{30}</p><p>{8}</p></div></div></body>",
+    "<body><dl data-label=0><dt>[1]</dt><dd>[2]</dd><dt>[1]</dt><dd>[3]</dd></dl><section data-label=1><p>{22}</p><p>{90}</p><p>{41}</p></section><center data-label=0>[1] [1] [1]</center></body>",
+    "<body><main data-label=1><h1>{3}</h1><p>{6}</p><p>{80}</p><table><tr><td>{3}</td><td>{4}</td></tr></table><p>[2]</p></main><div id=related data-label=0>[5] [4] [6]</div><div id=footer data-label=0>{12}</div></body>",
+    "<body><ul class=nav data-label=0><li>[1]</li><li>[2]</li></ul><div class=widget-theory data-label=1><p>{44}</p><p>{71}</p></div><div class=widget data-label=0>[2]</div><div class='ads right' data-label=0>{33}</div></body>",
+)
+
+
+def test_features_decide_held_out_blocks():
+    """The tree errs on few blocks of unseen shapes, and does not just repeat the sure names."""
+    tree = html_text.fit()
+    pages = [labelled_pages._fill(p, scale, 7 * i) for i, p in enumerate(HELD_OUT) for scale in (0.7, 1.4)]
+    rows, labels = html_text.labelled_rows(pages)
+    said = [html_text.is_text(tree, r) for r in rows]
+    hit = sum(s and y for s, y in zip(said, labels, strict=True))
+    names = [r[html_text.FEATURES.index("beside")] < 2 for r in rows]
+    assert len(rows) > 70 and hit / sum(said) >= 0.95 and hit / sum(labels) >= 0.9
+    assert sum(s != n for s, n in zip(said, names, strict=True)) / len(rows) > 0.15
+    by_name = sum(n and y for n, y in zip(names, labels, strict=True))
+    assert by_name / sum(names) < hit / sum(said)
+
+
+def test_word_counts_and_links_alone_learn_most():
+    """Without names, main parts and headings, a tree on the sizes and links of a block and its neighbours still tells most apart."""
+    rows, labels = html_text.labelled_rows(labelled_pages.pages())
+    bare = [r[:6] + (0.0, 0.0, 0.0) for r in rows]
+    tree = html_text.grow(bare, labels)
+    assert sum(html_text.is_text(tree, r) == y for r, y in zip(bare, labels, strict=True)) / len(rows) > 0.8
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20000 + "</b>" * 20000, "<div>x" * 20000 + "</p>" * 20000, "<head><noscript>" + "<div>x" * 20000, "<div>" * 20000 + "<button>x<div>y" * 10000, "<head>" * 20000 + "<p>x", "<section>" + "<div>x</p>" * 20000 + "</section>"])
+def test_no_page_takes_quadratic_time(page):
+    began = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - began < 8  # minutes, if tags went through all open elements
+
+
+def test_the_query_by_brute_force(spark):
+    """The pages of the test tables hold their text in one article of p, h1 and br."""
+    got = {r["page_id"]: r for r in QUERIES["op9_html_text"](spark, str(SF)).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        body = re.search(r"<article>(.*?)(?:</article>|$)", p["html"], re.S)[1]
+        parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)(?:\s[^>]*)?/?>", body))
+        want = "\n".join(x for x in parts if x)
+        assert (got[p["page_id"]]["text"], got[p["page_id"]]["n_chars"], got[p["page_id"]]["url"]) == (want, len(want), p["url"])
+
+
+def texts_of(page):
+    return [b.text for b in html_text.blocks(page)]
 
 
 def test_a_head_without_end_tag_ends():
@@ -342,9 +431,9 @@ def test_hidden_elements_without_end_tag_end():
 
 def test_a_line_break_does_not_end_a_marked_paragraph():
     for at in ("<br>", "<br/>"):
-        assert [(b.text, b.aside) for b in html_text.blocks(f"<p class=ad>one{at}two{at}three</p><p>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
-    assert [(b.text, b.aside) for b in html_text.blocks("<h2 class=notice>one<br>two<hr>three</h2>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
-    assert [(b.text, b.aside) for b in html_text.blocks("<p class=ad>one<hr>two")] == [("one", True), ("two", False)]
+        assert [(b.text, b.beside == 2) for b in html_text.blocks(f"<p class=ad>one{at}two{at}three</p><p>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
+    assert [(b.text, b.beside == 2) for b in html_text.blocks("<h2 class=notice>one<br>two<hr>three</h2>four")] == [("one", True), ("two", True), ("three", True), ("four", False)]
+    assert [(b.text, b.beside == 2) for b in html_text.blocks("<p class=ad>one<hr>two")] == [("one", True), ("two", False)]
 
 
 def test_extract_edges(spark):
