@@ -2,7 +2,7 @@
 
 {n} stands for n words of running text and [n] for a link of n words. Each layout is filled once for every scale, which
 stretches its passages of text (links, labels and headings keep their length), so that the table has blocks of many
-sizes: about 20 layouts and 540 blocks, all made up for this purpose.
+sizes: 34 layouts and about 720 blocks, all made up for this purpose.
 """
 
 from __future__ import annotations
@@ -46,6 +46,22 @@ LAYOUTS = (
     # shops and landing pages: mostly parts beside the text
     "<body><header data-label=0>{3}</header><div class=menu data-label=0>[1] [1] [1]</div><div data-label=0>[4]</div><div data-label=0>[3]</div><div data-label=0>[5]</div><article data-label=1><p>{27}</p></article><div data-label=0>[2]</div><div class=promo data-label=0>{21}</div></body>",
     "<body><div class=widget data-label=0>{6} [3]</div><div class=toolbar data-label=0>[1] [1]</div><div class=share data-label=0>{2}</div><div data-label=1><p>{58}</p><p>{39}</p><p>{41}</p></div><div class=overlay data-label=0>{4} [1]</div><div class=masthead data-label=0>{3}</div></body>",
+    # pages that end with their text, or have little else
+    "<body><article data-label=1><h1>{5}</h1><p>{30}</p><p>{3}</p></article></body>",
+    "<body><article data-label=1><p>{1}</p></article></body>",
+    "<body><div data-label=0>[1] [1]</div><main data-label=1><p>{25}</p><p>{2}</p><p>[2]</p></main></body>",
+    "<body><div data-label=1><h1>{4}</h1><p>{50}</p><p>{20}</p><p>{6}</p></div></body>",
+    "<body><nav data-label=0>[1] [1]</nav><h1 data-label=1>{4}</h1><p data-label=1>{36}</p><p data-label=1>{8}</p></body>",
+    "<body><nav data-label=0>[1] [1]</nav><article data-label=1><p>{2}</p></article><div class=ad data-label=0>{6}</div><article data-label=1><h2>{1}</h2><p>{3}</p><p>{2}</p></article></body>",
+    "<body><article data-label=1><p>{20}</p><p>[2]</p><p>{19}</p></article></body>",
+    "<body><article data-label=1><p>{20} [9]</p><p>{12}</p><p>{1}</p><p>[2]</p><p>{15}</p><p>{1}</p><p>[3]</p><p>{2}</p></article></body>",
+    "<body><article data-label=1><h1>{4}</h1><p>[3]</p><p>{40}</p><p>{1}</p><p>[2]</p><p>{1}</p></article><footer data-label=0>{9}</footer></body>",
+    "<body><main data-label=1><p>{10} [6]</p><p>{11}</p><p>{1}</p></main></body>",
+    "<body><div data-label=1><p>{30}</p><p>{8} [4]</p><p>{20}</p></div></body>",
+    "<body><nav data-label=0>[1] [2]</nav><div class=social-studies data-label=1><p>{30}</p><p>{22}</p></div><ul data-label=0><li>[9]</li><li>[12]</li><li>[10]</li></ul></body>",
+    "<body><div data-label=0>[9]</div><div data-label=0>[11]</div><div class=banner-weaving data-label=1><p>{40}</p><p>{33}</p></div><div class=related data-label=0>{2} [14] [11]</div></body>",
+    "<body><p data-label=1>{3}</p></body>",
+    "<body><p data-label=1>{14}</p><p data-label=1>{2}</p></body>",
 )
 
 
