@@ -3,8 +3,10 @@
 Each distinct n-gram set is a record with a MinHash signature, a list of sampled tokens that two records share at each
 coordinate with a probability equal to their Jaccard similarity. A run splits the records along coordinates drawn for
 each node of a tree: records with the same token at the drawn coordinate go to the same child. Nodes of few records are
-leaves and compared by brute force; so are dense nodes, whose records stay together whatever is drawn, in cells of
-bounded size. Runs are repeated until the chance that a pair at the threshold has met reaches the target recall.
+leaves and compared by brute force. Larger nodes are split on, to any depth, unless the average similarity of their
+records comes near the threshold: then most pairs are links or nearly so, no coordinate parts them, and they are
+compared in cells of bounded size. Runs are repeated until the expected share of pairs at the threshold that have met
+reaches the target recall.
 
 A pair may meet in several leaves. It belongs to the smallest leaf that both have in common, which each leaf can tell
 from its records' lists of leaves; so links are counted once without a list of pairs. Leaves return a link count for
@@ -19,34 +21,67 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blank_words, cut, keyed, lookup
 
-#: Coordinates of a signature; coordinates drawn at a node; records of a leaf; records of a block of a dense node.
-COORDINATES, BRANCH, LEAF, BLOCK = 64, 2, 128, 256
+#: Coordinates of a signature; records of a leaf.
+COORDINATES, LEAF = 64, 128
+#: From level TOP on nodes of so many leaves are compared, as each level costs a few jobs whatever its size.
+DEEP_LEAF = 8
+#: Draws at a node of the first TOP levels; below, every other node draws twice, so that a node with an average similarity
+#: below the threshold has fewer comparisons in its children together than in itself, and hardly more rows.
+BRANCH, TOP = 2, 6
+#: A node of this average similarity or more is compared as it is: 0.9 of the threshold. It is estimated from so many of
+#: the node's records and a quarter of the coordinates; the estimate decides where pairs are compared, never whether.
+DENSE, SAMPLE = 0.9, 64
+#: No path draws more coordinates than this. What is left there is compared in cells.
+DEPTH = 48
+#: Records of a block of a node that is compared in cells: BLOCK, and more where the node has over 16 blocks, up to
+#: MOST_BLOCK, but at most so many that their n-gram sets have BLOCK_BYTES on average.
+BLOCK, MOST_BLOCK, BLOCK_BYTES = 256, 1024, 32 << 20
+#: Nodes that hold more than one in so many rows are hot; so there are no more of them than this.
+HOT_NODES = 20_000
 #: Grams of a batch that are signed at once, more or less: a slice stays in the processor's cache.
 SLICE = 1 << 16
-#: Levels of a tree; a child that keeps more than this share of its parent's records is dense.
-DEPTH, DENSE = 5, 0.6
+#: Rows of a cell whose signatures are compared with all others at once.
+SLAB = 256
 #: A pair is settled exactly if its signatures agree in this share of coordinates less than the threshold, at least:
 #: four standard deviations at a similarity of 0.8.
 MARGIN = 0.2
+#: The expected share of links at the threshold itself that are found, in a tree without end.
+RECALL = 0.985
 
 _MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(b"seine%d" % i, digest_size=8).digest(), "little") | 1 for i in range(COORDINATES)], np.uint64)
 
 
-def meeting_chance(similarity: float, branch: int = BRANCH, depth: int = DEPTH) -> float:
-    """The chance that a pair of this similarity shares a leaf of one run: each level asks for one agreement in `branch` draws."""
+def meeting_chance(similarity: float, levels: int = 200) -> float:
+    """The chance that a pair of this similarity shares a leaf of one run which `levels` draws lead to."""
     p = 1.0
-    for _ in range(depth):
-        p = 1 - (1 - similarity * p) ** branch
+    for level in range(levels, 0, -1):
+        q = similarity * p
+        twice = 1 - (1 - q) ** BRANCH
+        p = twice if level <= TOP else (q + twice) / 2
     return p
 
 
+def expected_recall(similarity: float, runs: int, levels: int = 200) -> float:
+    """The expected share of pairs of this similarity that meet in a leaf and pass the signature test.
+
+    Runs draw from the same coordinates, so the number that the pair agrees in is fixed first.
+    """
+    least = math.ceil((similarity - MARGIN) * COORDINATES)
+    agree = ((a / COORDINATES, math.comb(COORDINATES, a) * similarity**a * (1 - similarity) ** (COORDINATES - a)) for a in range(least, COORDINATES + 1))
+    return sum(p * (1 - (1 - meeting_chance(share, levels)) ** runs) for share, p in agree)
+
+
 def runs_needed(similarity: float, recall: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meeting_chance(similarity))))
+    """Runs by which pairs at the similarity are expected to meet, even where the tree never ends; for other pairs it is more."""
+    for runs in range(1, COORDINATES // BRANCH + 1):
+        if expected_recall(similarity, runs) >= recall:
+            return runs
+    raise ValueError(f"a recall of {recall} at {similarity} needs more than {COORDINATES} coordinates")
 
 
 def with_ngrams(rows: DataFrame, n: int, text: str) -> DataFrame:
@@ -99,41 +134,79 @@ def signatures(docs: DataFrame, n: int = 5, key: str = "doc_id", text: str = "te
     return rows.mapInArrow(run, f"{key} {kind}, _text_key long, record binary, size long, sig array<int>")
 
 
-def leaves(records: DataFrame, runs: int) -> DataFrame:
-    """(record, leaf, n): the leaves of two records or more, with their sizes, that the records reach in all runs."""
+def with_sizes(level: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of level whose node is in sizes, with its columns.
+
+    No hot node is shuffled: those that hold more than one in HOT_NODES rows are at most HOT_NODES, and are broadcast. The
+    others are joined by a shuffle that brings together no more rows of one node than that.
+    """
+    most = max(LEAF, level.count() // HOT_NODES)
+    hot = sizes.filter(F.col("n") > most)
+    fields = [c for c in sizes.columns if c != "node"]
+    marked = level.join(F.broadcast(hot), "node", "left")
+    rest = marked.filter("n is null").drop(*fields).join(sizes.filter(F.col("n") <= most), "node")
+    return marked.filter("n is not null").unionByName(rest)
+
+
+def density(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, density) of nodes (record, node, used, n): the average similarity of a sample of their records, from coordinates that the path has not used."""
+    picked = rows.filter(F.pmod(F.xxhash64("record", "node", F.lit("pick")), F.col("n")) < SAMPLE).select("record", "node", "used")
+    values = picked.join(records.select("record", "sig"), "record").select("node", "used", F.posexplode("sig").alias("c", "v"))
+    values = values.filter((F.pmod(F.xxhash64("node", "c"), F.lit(4)) == 0) & ((F.call_function("shiftright", "used", "c") % 2) == 0))
+    counts = values.groupBy("node", "c", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("node", "c").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+    return counts.groupBy("node").agg(F.try_divide(F.sum(F.col("kk") - F.col("m")), F.sum(F.col("m") * (F.col("m") - 1))).alias("density"))
+
+
+def _draws(depth: int) -> Column:
+    """The coordinates that a node draws: one or two that its path has not drawn."""
+    tries = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.pmod(F.xxhash64(F.col("node"), i), F.lit(COORDINATES)).cast("int"))
+    free = F.array_distinct(F.filter(tries, lambda c: F.call_function("shiftright", F.col("used"), c) % 2 == 0))
+    return F.slice(free, F.lit(1), F.lit(BRANCH) if depth < TOP else F.when(F.pmod("node", F.lit(2)) == 0, 1).otherwise(BRANCH))
+
+
+def leaves(records: DataFrame, runs: int, similarity: float = 0.8) -> DataFrame:
+    """(record, leaf, n, block): the leaves of two records or more that the records (record, size, sig) reach in all runs,
+    with their sizes and the records of a block in them."""
     order = sorted(range(COORDINATES), key=lambda i: hashlib.blake2b(b"root%d" % i).digest())
     roots = [(r, order[(r * BRANCH + b) % COORDINATES]) for r in range(runs) for b in range(BRANCH)]
-    first = F.array(*[F.xxhash64(F.lit(r), F.lit(c), F.get("sig", F.lit(c))) for r, c in roots])
-    level = records.select("record", F.explode(first).alias("node"), F.lit(None).cast("long").alias("parent_n"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
+    first = F.array(*[F.struct(F.xxhash64(F.lit(r), F.lit(c), F.get("sig", F.lit(c))).alias("node"), bit(F.lit(c)).alias("used")) for r, c in roots])
+    level = records.select("record", "size", F.inline(first))
     found: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         level = cut(level, f"level{depth}")
-        # written, so that the join below has an exchange of its own on both sides, whose hot nodes adaptive execution can split
-        sizes = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"sizes{depth}")
-        level = cut(level.join(sizes, "node"), f"sized{depth}")
-        stays = (F.col("n") <= LEAF) | (F.col("n") > DENSE * F.col("parent_n")) if depth < DEPTH else F.lit(True)
-        stays = F.coalesce(stays, F.lit(False))
-        found.append(level.filter(stays).select("record", F.col("node").alias("leaf"), "n"))
-        wide = level.filter(~stays)
-        if depth == DEPTH or wide.isEmpty():
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("grams")).filter("n > 1")
+        sized = cut(with_sizes(level, cut(sizes, f"sizes{depth}")), f"sized{depth}")
+        few = LEAF if depth < TOP else LEAF * DEEP_LEAF
+        found.append(sized.filter(F.col("n") <= few))
+        wide = sized.filter(F.col("n") > few)
+        if wide.isEmpty():
+            break
+        if depth == DEPTH:
+            found.append(wide)
             break
-        drawn = wide.select("record", "node", F.col("n").alias("parent_n"), F.explode(F.array(*[F.lit(b) for b in range(BRANCH)])).alias("b"))
-        drawn = drawn.withColumn("c", F.pmod(F.xxhash64("node", "b"), F.lit(COORDINATES)).cast("int"))
-        level = drawn.join(records.select("record", "sig"), "record").select("record", F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), "parent_n")
+        known = cut(wide.groupBy("node").agg(F.first("n").alias("n")).join(density(wide, records), "node", "left"), f"density{depth}")
+        judged = cut(with_sizes(wide.drop("n"), known), f"judged{depth}").withColumn("_draws", _draws(depth))
+        stays = F.coalesce(F.col("density") >= DENSE * similarity, F.lit(True)) | (F.size("_draws") == 0)
+        found.append(judged.filter(stays).drop("density", "_draws"))
+        drawn = judged.filter(~stays).select("record", "size", "node", "used", F.explode("_draws").alias("c"))
+        level = drawn.join(records.select("record", "sig"), "record").select("record", "size", F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), (F.col("used").bitwiseOR(bit(F.col("c")))).alias("used"))
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole.distinct()
+    fits = F.greatest(F.lit(16.0), F.lit(float(BLOCK_BYTES)) / (8 * F.col("grams")))
+    block = F.least(F.greatest(F.lit(float(BLOCK)), F.least(F.col("n") / 16, F.lit(float(MOST_BLOCK)))), fits).cast("int")
+    return whole.select("record", F.col("node").alias("leaf"), "n", F.when(F.col("n") <= LEAF, F.col("n").cast("int")).otherwise(block).alias("block"))
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """Rows (record, leaf, n, ...) spread over cells of bounded size: adds side, low, high.
+    """Rows (record, leaf, n, block, ...) spread over cells of bounded size: adds side, low, high.
 
-    A leaf of n records has ceil(n / BLOCK) blocks (one, up to LEAF); each pair of blocks is a cell, and a record is in
-    the cells of its block. side: 0 if the record's block is the cell's lower one, 1 else.
+    A leaf of n records has ceil(n / block) blocks; each pair of blocks is a cell, and a record is in the cells of its
+    block. side: 0 if the record's block is the cell's lower one, 1 else.
     """
-    blocks = F.when(F.col("n") <= LEAF, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("record", "leaf"), F.col("_blocks")).cast("int"))
+    rows = members.withColumn("_blocks", F.ceil(F.col("n") / F.col("block")).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("record", "leaf"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return rows.select("*", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"), (F.col("_own") > F.col("_other")).cast("int").alias("side")).drop("_blocks", "_own", "_other")
 
@@ -171,9 +244,12 @@ def _owned(cell: pa.RecordBatch) -> np.ndarray:
     pairs = np.ones((n, n), bool)
     if smaller.any():
         names, place = np.unique(values[smaller], return_inverse=True)
-        hot = np.zeros((n, len(names)), np.float32)
-        hot[rows[smaller], place] = 1
-        pairs = hot @ hot.T == 0
+        rows = rows[smaller]
+        for a in range(0, len(names), 2048):
+            part = (place >= a) & (place < a + 2048)
+            hot = np.zeros((n, min(2048, len(names) - a)), np.float32)
+            hot[rows[part], place[part] - a] = 1
+            pairs &= hot @ hot.T == 0
     if low != high:
         side = cell.column("side").to_numpy(zero_copy_only=False)
         pairs &= side[:, None] != side[None, :]
@@ -184,14 +260,16 @@ def _likely(cell: pa.RecordBatch, least: float, similarity: float) -> np.ndarray
     """Which pairs agree in a share `least` of their signatures and have sizes that allow the similarity."""
     n = cell.num_rows
     sig = _lists(cell.column("sig"))[0].reshape(n, COORDINATES)
-    same = np.zeros((n, n), np.int16)
-    for t in range(COORDINATES):
-        same += sig[:, None, t] == sig[None, :, t]
+    same = np.zeros((n, n), np.uint8)
+    by_coordinate = np.ascontiguousarray(sig.T)
+    for a in range(0, n, SLAB):
+        for one in by_coordinate:
+            same[a : a + SLAB] += one[a : a + SLAB, None] == one[None, :]
     size = cell.column("size").to_numpy(zero_copy_only=False)
     return (same >= least * COORDINATES) & (np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-9)
 
 
-def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """The sizes of all intersections in a cell: products of 0/1 matrices over the grams that two sets or more share."""
     n = len(sets)
     names, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -199,7 +277,7 @@ def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     shared = count[place] > 1
     number = np.cumsum(count > 1) - 1
     rows, place = rows[shared], number[place[shared]]
-    out = np.zeros((n, n), np.float64)
+    out = np.zeros((n, n), np.float32)  # exact up to 2 ** 24
     order = np.argsort(place, kind="stable")
     rows, place = rows[order], place[order]
     for a in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
@@ -305,20 +383,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, _text_key, class_id, n_links, record, root (the class's name, where it has links).
 
     n_links: the other rows whose n-gram set has at least the similarity to this row's, equal sets included. class_id:
     the smallest key among rows linked to it by a chain of links (nulls aside). Null and empty texts are linked to
-    nothing. Repeated rows count as copies.
+    nothing. Repeated rows count as copies. Texts of any length are whole sets; other columns of docs may have any names.
+    An empty table gives an empty one.
     """
     signed = cut(signatures(docs, n, key, text), "signed")
     records = cut(
         signed.filter("record is not null").groupBy("record").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("first"), F.min(F.struct(key, "_text_key")).alias("row"), F.min("size").alias("size"), F.min("sig").alias("sig")),
         "records",
     )
-    found = cut(leaves(records.select("record", "sig"), runs_needed(similarity, recall)), "leaves")
-    lists = found.groupBy("record").agg(F.collect_list(F.struct("leaf", "n")).alias("all"))
+    found = cut(leaves(records.select("record", "size", "sig"), runs_needed(similarity, recall), similarity), "leaves")
+    lists = found.groupBy("record").agg(F.collect_list(F.struct("leaf", "n", "block")).alias("all"))
     rows = lists.join(records.select("record", "size", "sig"), "record").withColumn("leaves", F.transform("all", lambda x: x["leaf"]))
     members = rows.select("record", "size", "sig", "leaves", F.inline("all"))
     likely = cut(candidates(cells(members), similarity), "candidates")
@@ -339,9 +418,9 @@ def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     return joined.select(key, "_text_key", F.coalesce("class_id", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "record", "root")
 
 
-def dedupe(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class: the one of the smallest key (null last), then the smallest text hash; of
-    repeated rows one stays. Rows without words stay."""
+    repeated rows one stays, the first as JSON if they differ in other columns. Rows without words stay."""
     marked = cut(classes(docs, n, similarity, recall, key, text), "classes")
     linked = marked.filter("n_links > 0")
     place = F.struct(F.col(key).isNull().alias("last"), F.col(key), F.col("_text_key"))
@@ -352,5 +431,5 @@ def dedupe(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float =
     packed = docs.select(F.struct("*").alias("__row"), F.col(key), keyed(docs, key, text)[1])
     kept = lookup(packed, cut(gone, "gone"), [key, "_text_key"]).filter("_gone is null").drop("_gone")
     kept = lookup(kept, cut(twice, "repeated"), [key, "_text_key"])
-    one = kept.filter("m > 1").groupBy(key, "_text_key").agg(F.any_value("__row").alias("__row"))
+    one = kept.filter("m > 1").groupBy(key, "_text_key").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
     return kept.filter("m is null").select("__row.*").unionByName(one.select("__row.*"))

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seine.llm import chat, html_text, jaccard_join, labelled_pages, token_counts, token_files
+from seine.llm import chat, common, html_text, jaccard_join, labelled_pages, token_counts, token_files
 from seine.llm.queries import QUERIES
 from seine.llm.tokens import PrefixCounter, WordEncoder
 
@@ -87,6 +87,54 @@ def test_a_large_group_is_compared_in_cells(spark, monkeypatch):
     assert got == {i: (tops[i], links[i]) for i in range(len(texts))}
 
 
+def recall_of(spark, docs, queries):
+    """Links found and links there are, of the documents `queries`, by an inverted index over all n-grams."""
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.classes(docs).collect()}
+    sets = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
+    having = defaultdict(list)
+    for i, g in sets.items():
+        for x in g:
+            having[x].append(i)
+    found = there = 0
+    for q in queries:
+        shared = Counter(i for x in sets[q] for i in having[x] if i != q)
+        links = sum(n >= 0.8 * (len(sets[q]) + len(sets[i]) - n) - 1e-9 for i, n in shared.items())
+        assert got[q] <= links
+        found, there = found + got[q], there + links
+    return found, there
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_recall_on_documents(spark):
+    """Every id divisible by 50 against all rows, at production constants."""
+    docs = spark.read.parquet(f"{SF.parent}/sf0.1/documents.parquet").select("doc_id", "text")
+    found, there = recall_of(spark, docs, range(0, docs.count(), 50))
+    assert there > 20 and found >= 0.98 * there
+
+
+def test_recall_within_boilerplate(spark, monkeypatch):
+    """Most words of 500 texts are the same, yet too few for a link; some have near copies. No leaf holds them all, and links are found."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    rng = random.Random(2)
+    shared = " ".join(f"b{i}" for i in range(160))
+    texts = [f"{shared} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    for t in texts[:50]:
+        texts += near_copies(rng, t, 2, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found, there = recall_of(spark, docs, range(400))
+    assert there > 80 and found >= 0.95 * there
+    records = common.cut(jaccard_join.signatures(docs).select("record", "size", "sig").dropDuplicates(["record"]), "records")
+    assert jaccard_join.leaves(records, 1).agg(F.max("n")).first()[0] < 300
+
+
+def test_hot_nodes_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", 2)
+    level = spark.createDataFrame([(i, 7 if i < 20 else i // 2) for i in range(60)], "record long, node long")
+    sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("grams"))
+    got = jaccard_join.with_sizes(level, sizes)
+    assert got.count() == 60 and got.filter("node = 7").agg(F.min("n"), F.count("*")).first() == (20, 20)
+
+
 def test_dedupe_keeps_one_of_each_class(spark):
     kept = jaccard_join.dedupe(clashing(odd_docs(spark)))
     got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
@@ -114,7 +162,8 @@ def test_components(spark):
 
 def test_chance_and_runs():
     assert jaccard_join.meeting_chance(1.0) == 1.0 and 0.93 < jaccard_join.meeting_chance(0.8) < 0.97
-    assert jaccard_join.runs_needed(0.8, 0.999) == 3
+    assert jaccard_join.runs_needed(0.8, jaccard_join.RECALL) == 3
+    assert jaccard_join.expected_recall(0.8, 3, levels=3) > 0.995 and jaccard_join.expected_recall(0.85, 3) > 0.998
 
 
 # --- chats
