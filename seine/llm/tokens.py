@@ -108,126 +108,107 @@ def _gather(ids: np.ndarray, sizes: np.ndarray, coded: pa.DictionaryArray, lists
     return out, ends[offsets[1:]] - ends[offsets[:-1]]
 
 
+#: Where a word that the recurrence runs over may start: at a line feed, or at the spaces before what is neither.
+_WORD = re.compile(r"\n| *[^ \n]+| +")
+
+
 class PrefixCounter:
-    """Exact token counts of texts and of their prefixes by a sentencepiece BPE model.
+    """Exact token counts of every prefix of a text by a sentencepiece BPE model, without encoding any prefix.
+
+    The recurrence: a sequence of pieces is the encoding of their text if and only if each two neighbours are the
+    encoding of theirs. So count[i] = count[i - len(t)] + 1 with t the one piece ending at i that goes with the last
+    piece of the prefix before it; which pairs go together is asked of the library once for each pair. No piece of the
+    vocabulary holds a space behind another character, or a line feed, so the recurrence starts anew at each word (its
+    leading spaces and what follows, or a line feed), and a word's table is kept for its other occurrences.
 
-    The recurrence: no piece of the vocabulary holds a space behind another character, or a line feed, so a merge never
-    crosses from one word into the next, and count(prefix ending with a word) = count(prefix before it) + count(word).
-    A word is its leading spaces and what follows, or a line feed. The counts at all word ends are stored; a prefix
-    that ends inside a word adds that word's own table of prefix counts.
+    The model puts a space before every text. Models that the recurrence does not suit (pieces across words, no bytes
+    for unknown characters, normalization) have each prefix encoded instead: exact, but in quadratic time.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(i) for i in range(size) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i))]
-        #: Whether the recurrence holds for this model; else whole texts are encoded.
-        self.splits = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and self.model.encode("a  b\n") == self.model.encode("a  b") + self.model.encode("\n")[1:]
-        self.after_feed = len(self.model.encode("\n"))
-        self.cache: dict[str, int] = {}
-        self.counts_in: dict[str, list[int]] = {}
-
-    def _fill(self, words: list[str]) -> dict[str, int]:
-        """Counts of words that follow a space (key: the word) or a line feed (key: line feed + word)."""
-        found = {}
-        for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
-            found[w] = len(ids) - (self.after_feed if w[0] == "\n" else 0)
-        return found
-
-    def _keys(self, text: str) -> tuple[list[str], int]:
-        """The words of a text as cache keys, in order, and the number of its line feeds."""
-        first, *rest = text.split("\n")
-        keys = first.split(" ") if text else []
-        for line in rest:
-            head, *more = line.split(" ")
-            if head:
-                keys.append("\n" + head)
-            keys += more
-        return keys, len(rest)
-
-    def plain(self, text: str) -> bool:
-        """Whether single spaces stand between words, so that the words can be cut by split()."""
-        return self.splits and "  " not in text and " \n" not in text and not text.endswith(" ") and not text.startswith((" ", "\n")) and "▁" not in text
-
-    def _counts(self, keys: list[str]) -> list[int]:
-        cache = self.cache
-        try:
-            return [cache[k] for k in keys]
-        except KeyError:
-            pass
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        found = self._fill([k for k in dict.fromkeys(keys) if k not in cache])
-        cache.update((k, n) for k, n in found.items() if len(k) <= CACHE_CHARS)
-        return [found[k] if k in found else cache[k] for k in keys]
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        special = [i for i in range(m.get_piece_size()) if m.is_control(i) or m.is_byte(i) or m.is_unknown(i) or m.is_unused(i)]
+        pieces = {m.id_to_piece(i): i for i in range(m.get_piece_size())}
+        for i in special:
+            pieces.pop(m.id_to_piece(i), None)
+        self.pieces = pieces
+        self.ends = {p[k:] for p in pieces for k in range(len(p))}
+        self.feed = m.encode("\n")
+        odd = "\ufb01\u2460e\u0301 \tA\u3000  b "  # a model that normalizes changes some of these
+        self.splits = (
+            not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+            and sum(map(m.is_byte, range(m.get_piece_size()))) == 256
+            and m.decode(m.encode(odd)) == odd
+            and m.encode("a  b\n") == m.encode("a  b") + self.feed[1:]
+        )
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def count(self, text: str) -> int:
-        """The last entry of the recurrence."""
+    def _together(self, before: str, piece: str) -> bool:
+        """Whether the encoding of before + piece is just these two; before: empty where nothing can merge with the piece."""
+        if len(self.pairs) > CACHE_PIECES:
+            self.pairs.clear()
+        ids = self.model.encode("\n" + (before + piece).replace("▁", " "))[len(self.feed) :]
+        known = self.pairs[before, piece] = ids == ([self.pieces[before]] if before else []) + [self.pieces[piece]]
+        return known
+
+    def _word(self, word: str) -> bytes:
+        """The table of one word: the count at each of its characters, as 32-bit integers."""
+        word = word.replace(" ", "▁")
+        # the last piece of each prefix; none for the empty one, and behind a character that the vocabulary lacks: it
+        # becomes bytes, and nothing merges with these
+        last, counts = [""], [0]
+        pieces, ends, pairs = self.pieces, self.ends, self.pairs
+        for i in range(1, len(word) + 1):
+            at = i - 1
+            while at >= 0:
+                piece = word[at:i]
+                if piece in pieces:
+                    fits = pairs.get((last[at], piece))
+                    if self._together(last[at], piece) if fits is None else fits:
+                        last.append(piece)
+                        counts.append(counts[at] + 1)
+                        break
+                elif piece not in ends:
+                    at = 0
+                at -= 1
+            else:
+                last.append("")
+                counts.append(counts[i - 1] + len(word[i - 1].encode()))
+        return np.array(counts[1:], "<u4").tobytes()
+
+    def table(self, text: str) -> np.ndarray:
+        """The exact token count of text[:1], text[:2], ... and of the whole text."""
         if not text:
-            return 0
-        if not self.plain(text):
-            return int(self.word_table(text)[1][-1])
-        keys, feeds = self._keys(text)
-        return sum(self._counts(keys)) + feeds
-
-    def words(self, text: str) -> list[str]:
-        """The words that the recurrence runs over; joined, they are the text."""
-        return re.findall(r"\n| *[^ \n]+| +", text) if self.splits and "▁" not in text else [text] * bool(text)
-
-    def word_table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, counts): the character at which each word ends, and the exact token count of the prefix up to there."""
-        words = self.words(text)
-        if not words:
-            return np.zeros(1, int), np.zeros(1, int)
-        # the model puts a space before every text: a word after one space is encoded bare, any other after a line feed
-        keys = [w[1:] if w[0] == " " and len(w) > 1 and w[1] != " " else "\n" + w for w in words]
-        counts = self._counts(keys)
-        counts[0] = len(self.model.encode(words[0]))
-        return np.cumsum(list(map(len, words))), np.cumsum(counts)
-
-    def inside(self, word: str, first: bool) -> list[int]:
-        """Token counts of the prefixes of 1, 2, ... characters of a word, each found by encoding that prefix."""
-        key = ("" if first else "\n") + word
-        if key not in self.counts_in:
-            if len(self.counts_in) > 10_000:
-                self.counts_in.clear()
-            off = 0 if first else self.after_feed
-            at = len(key) - len(word)
-            self.counts_in[key] = [len(ids) - off for ids in self.model.encode([key[: at + k] for k in range(1, len(word) + 1)], num_threads=1)]
-        return self.counts_in[key]
-
-    def prefix_count(self, text: str, chars: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The exact token count of text[:chars], from the stored table."""
-        ends, counts = table or self.word_table(text)
-        if chars <= 0 or not text:
-            return 0
-        k = int(np.searchsorted(ends, min(chars, len(text))))
-        start = int(ends[k - 1]) if k else 0
-        before = int(counts[k - 1]) if k else 0
-        if chars >= ends[k]:
-            return int(counts[k])
-        word = text[start : int(ends[k])]
-        return before + self.inside(word, k == 0)[chars - start - 1]
-
-    def truncate(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The characters of the longest prefix that ends with a word, or inside the word after it, within the budget."""
-        ends, counts = table or self.word_table(text)
-        if not text or counts[-1] <= budget:
-            return len(text)
-        k = int(np.searchsorted(counts, budget, side="right"))
-        start = int(ends[k - 1]) if k else 0
-        before = int(counts[k - 1]) if k else 0
-        word = text[start : int(ends[k])]
-        if len(word) > 1000:  # a word without end is cut where its tokens end
-            room = budget - before
-            key = ("" if k == 0 else "\n") + word
-            pieces = self.model.encode(key, return_type="proto").pieces
-            last = (0 if k == 0 else self.after_feed) + room - 1
-            kept = len(key.encode()[: pieces[last].end].decode(errors="ignore")) if room > 0 else 0  # the library counts bytes
-            return start + max(0, kept - (len(key) - len(word)))
-        return start + max((j for j, n in enumerate(self.inside(word, k == 0), 1) if before + n <= budget), default=0)
+            return np.zeros(0, np.int64)
+        if not self.splits:
+            return np.fromiter(map(len, self.model.encode([text[: k + 1] for k in range(len(text))], num_threads=1)), np.int64, len(text))
+        words = _WORD.findall(" " + text.replace("▁", " "))  # to the model, both are the same
+        found = [*map(self.cache.get, words)]
+        if None in found:
+            if len(self.cache) > CACHE_PIECES:  # it becomes the old generation, from which words that occur again are taken back
+                self.old, self.cache = self.cache, {}
+            old = self.old.get
+            fresh = {w: old(w) or self._word(w) for w in {w for w, t in zip(words, found, strict=True) if t is None}}
+            found = [fresh[w] if t is None else t for w, t in zip(words, found, strict=True)]
+            self.cache.update((w, t) for w, t in fresh.items() if len(w) <= CACHE_CHARS)
+        inside = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        totals = inside[np.cumsum(sizes) - 1].astype(np.int64)
+        return (inside + np.repeat(np.cumsum(totals) - totals, sizes))[1:]
+
+    def count(self, text: str) -> int:
+        """The last entry of the table."""
+        return int(self.table(text)[-1]) if text else 0
+
+
+def longest_prefix(table: np.ndarray, budget: int) -> int:
+    """The characters of the longest prefix of at most `budget` tokens, from a text's table. Counts need not ascend, so it may lie behind a prefix of more tokens."""
+    fits = np.flatnonzero(table <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 _made: dict[tuple[type, str], object] = {}

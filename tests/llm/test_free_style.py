@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seine.llm import chat, common, html_text, jaccard_join, labelled_pages, token_counts, token_files
 from seine.llm.queries import QUERIES
-from seine.llm.tokens import PrefixCounter, WordEncoder
+from seine.llm.tokens import PrefixCounter, WordEncoder, longest_prefix
 
 from ..test_queries import SF
 from .test_native import DOCS, LONG, WORD, clashing, empty_docs, odd_docs
@@ -316,18 +316,18 @@ def test_encoder_and_counter_agree_with_the_libraries(encoder, counter, text):
     for _ in range(2):  # the second time from the cache
         assert ids_of(encoder, text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert counter.count(text) == len(counter.model.encode(text))
-    ends, counts = counter.word_table(text)
-    assert counts[-1] == len(counter.model.encode(text)) and ends[-1] == len(text)
+    table = counter.table(text)
+    assert all(table[k - 1] == len(counter.model.encode(text[:k])) for k in range(1, len(text) + 1, 1 + len(text) // 200))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aB é,.'\n\t ▁ñ日😀sStTx0́<|>")), max_size=40), st.integers(0, 40), st.integers(0, 12))
-def test_any_text_and_prefix(encoder, counter, text, at, budget):
+@given(st.text(alphabet=st.sampled_from(list("aB é,.'\n\t ▁ñ日😀sStTx0́<|>")), max_size=40), st.integers(0, 12))
+def test_any_text_and_prefix(encoder, counter, text, budget):
     assert ids_of(encoder, text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert counter.count(text) == len(counter.model.encode(text))
-    assert counter.prefix_count(text, at) == len(counter.model.encode(text[:at]))
-    cut = counter.truncate(text, budget)
-    assert cut == 0 or len(counter.model.encode(text[:cut])) <= budget
+    table = counter.table(text)
+    assert table.tolist() == [len(counter.model.encode(text[: k + 1])) for k in range(len(text))]
+    assert longest_prefix(table, budget) == max((k for k in range(len(text) + 1) if len(counter.model.encode(text[:k])) <= budget), default=0)
 
 
 def test_a_full_cache_starts_anew(monkeypatch):
@@ -380,8 +380,46 @@ def test_token_counts(spark, counter):
         n = len(counter.model.encode(t))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 10)
         assert len(counter.model.encode(t[: r["fit_chars"]])) <= 10
-    table = {r["doc_id"]: r for r in token_counts.prefix_tables(docs, PIECES).collect()}
-    assert all(counter.prefix_count(TEXTS[i], e) == c for i in (12, 22) for e, c in zip(table[i]["ends"], table[i]["counts"], strict=True))
+    table = {r["doc_id"]: r["counts"] for r in token_counts.prefix_tables(docs, PIECES).collect()}
+    assert all(table[i] == [len(counter.model.encode(TEXTS[i][: k + 1])) for k in range(len(TEXTS[i]))] for i in (12, 16, 22)) and table[None] == []
+
+
+def test_token_count_edges(spark):
+    got = token_counts.token_counts(clashing(odd_docs(spark)), PIECES, limit=10)
+    assert got.count() == 11 and got.filter("doc_id = 1").distinct().count() == 1
+    assert token_counts.token_counts(empty_docs(spark), PIECES, limit=10).count() == 0 and token_counts.prefix_tables(empty_docs(spark), PIECES).count() == 0
+
+
+def test_long_words_have_tables_too(counter):
+    rng = random.Random(8)
+    for n in (1500, 40_000):
+        text = "".join(rng.choice("etaoinshr") for _ in range(n))
+        table = counter.table(text)
+        for k in (1, 2, 999, n // 2, n):
+            assert table[k - 1] == len(counter.model.encode(text[:k]))
+        cut = longest_prefix(table, 200)
+        assert table[cut - 1] <= 200 and (table[cut:] > 200).all()
+
+
+def test_a_model_without_the_property_is_encoded_by_prefixes(counter, monkeypatch):
+    monkeypatch.setattr(counter, "splits", False)
+    assert counter.table("ab  c\nd").tolist() == [len(counter.model.encode("ab  c\nd"[: k + 1])) for k in range(7)]
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_the_token_queries_by_the_libraries(spark, encoder, counter):
+    """op3 and op5 on all documents against the libraries."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op5_token_counts"](spark, str(SF)).collect():
+        n = len(counter.model.encode(docs[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 4096)
+    got = {r["doc_id"]: r for r in QUERIES["op3_token_files"](spark, str(SF)).collect()}
+    at = 0
+    for i in sorted(docs):
+        ids = [*encoder.tokenizer.encode(docs[i], add_special_tokens=False).ids, 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert len(got) == len(docs)
 
 
 # --- pages
