@@ -83,6 +83,11 @@ class SequenceWriter:
         self.out.close()
         self.fs.move(self.temporary, self.path)
 
+    def abort(self) -> None:
+        """Delete what is written; the file does not appear."""
+        self.out.close()
+        self.fs.delete_file(self.temporary)
+
 
 class SequenceFile:
     """A written file, mapped into memory where the file system allows it."""
@@ -121,29 +126,36 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_i
 
     Returns the index (key, n_tokens, file, local start in it, start among all ids; a row a document) and the folder.
     Each task writes the file of its range of keys; its name is decided by the range, and a task that is run again
-    replaces it by the same ids. Rows of one key may spread over ranges.
+    replaces it by the same ids. Rows of one key may spread over ranges. Rows of one key stand in the order of a hash of
+    their text, and repeated rows are documents like any other; other columns of docs may have any names. A text of any length is
+    encoded whole, in a task that holds one batch of texts. An empty table makes no file and an empty index.
     """
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("spread"))
-    order = [F.col("key").asc_nulls_first(), F.col("spread")]
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("spread")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("key").asc_nulls_first(), F.col("hash"), F.col("spread")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(WordEncoder, tokenizer)
         part = TaskContext.get().partitionId()
         file = f"{folder}/part-{part:06d}.arrow"
         writer, end = None, np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            writer = writer or SequenceWriter(file, encoder.dtype, length)
-            ids, sizes = encoder.encode_batch(batch.column("text"))
-            starts, counts, at = [], [], 0
-            for n in sizes.tolist():
-                starts.append(writer.add(ids[at : at + n].tobytes() + end))
-                counts.append(n + 1)
-                at += n
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["key", "part", "file", "local", "n_tokens"])
+        try:
+            for batch in batches:
+                writer = writer or SequenceWriter(file, encoder.dtype, length)
+                ids, sizes = encoder.encode_batch(batch.column("text"))
+                starts, counts, at = [], [], 0
+                for n in sizes.tolist():
+                    starts.append(writer.add(ids[at : at + n].tobytes() + end))
+                    counts.append(n + 1)
+                    at += n
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.string()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["key", "part", "file", "local", "n_tokens"])
+        except BaseException:  # also where the task is killed
+            if writer:
+                writer.abort()
+            raise
         if writer:
             writer.close()
 

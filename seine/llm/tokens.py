@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from unicodedata import is_normalized
@@ -14,11 +15,33 @@ import pyarrow.compute as pc
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
 
 
+#: The rules of a tokenizers file by which a text's tokens are those of its pieces in turn.
+_BY_PIECE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _by_piece(path: str) -> bool:
+    """Whether a tokenizers file has these rules, and no added token that white space or a missing <| would hide."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+    return plain and all(rules[k] == v for k, v in _BY_PIECE.items())
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file whose tokens never cross white space, as 16- or 32-bit arrays.
+    """Ids of whole texts by a tokenizers file, as 16- or 32-bit arrays.
 
-    The file's normalizer turns white space runs into a space and its pre-tokenizer drops white space, so a text's
-    tokens are those of its white-space parts in turn. Each part is encoded by the library once while it stays cached.
+    With a normalizer that turns white space runs into a space and lower-cases, and a pre-tokenizer that drops white
+    space, a text's tokens are those of its white-space parts in turn, and each part is encoded by the library once while
+    it stays cached. A file of any other rules has whole texts encoded by the library.
     """
 
     def __init__(self, path: str):
@@ -26,6 +49,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_piece = _by_piece(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -50,6 +76,9 @@ class WordEncoder:
         lower case (but for those that may hold a special token) and parted from a closing mark, and numbered again.
         Ids are looked up once for each distinct piece and then gathered for all its places.
         """
+        if not self.by_piece:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return np.array([i for e in found for i in e.ids], self.dtype), np.fromiter((len(e.ids) for e in found), np.int64, len(found))
         # these four part words for Arrow, but are no white space to the library
         if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
             parts = pa.array([[p for p in re.split(r"[ \t\n\r\x0b\x0c]+", t) if p] for t in texts.to_pylist()], pa.list_(pa.string()))
