@@ -28,20 +28,24 @@ def even(shards: int) -> dict[int, float]:
 
 
 def shard(docs: DataFrame, shards: Mapping[int, float] | int, key: str = "doc_id") -> DataFrame:
-    """docs with a column `shard`: a narrow projection, no shuffle. A column `shard` of docs is replaced."""
+    """docs with a column `shard`: a narrow projection, no shuffle. A column `shard` of docs is replaced.
+
+    Rows of one key share their shard, whatever their text; null keys share one. An empty table stays empty."""
     weights = even(shards) if isinstance(shards, int) else shards
     return docs.withColumn("shard", rendezvous(F.col(key), weights))
 
 
 def slots(rows: DataFrame, key: str, ties: list[str]) -> DataFrame:
-    """rows (narrow, with `shard`) plus `slot`: 0, 1, 2 ... within each shard by key (nulls first), then ties.
+    """rows (narrow, with `shard`; other columns of any names) plus `slot`: 0, 1, 2 ... within each shard by key (nulls
+    first), then ties. A column `slot` of rows is replaced.
 
     The rows are written once in the order (shard, key, ties) as range-partitioned files; a slot is the row's place in
     its file plus what earlier files hold of the shard. No window runs over a shard. Rows that agree in all of these
     columns may stand in either order; a number for each row spreads them over files. Empty rows: empty result.
     """
-    spread = rows.withColumn("_spread", F.monotonically_increasing_id())
-    table = ordered_table(spread, [F.col("shard"), F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties], F.col("_spread")], "slots")
+    packed = rows.select(F.struct(*[c for c in rows.columns if c != "slot"]).alias("__row"), F.col("shard"), F.col(key).alias("_key"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)])
+    packed = packed.withColumn("_spread", F.monotonically_increasing_id())
+    table = ordered_table(packed, [F.col("shard"), F.col("_key").asc_nulls_first(), *[F.col(f"_tie{i}").asc_nulls_first() for i in range(len(ties))], F.col("_spread")], "slots")
     start = bases(table, ["shard"], F.count(F.lit(1)), "slots")
     placed = lookup(table, start, ["_split", "shard"], "inner")
-    return placed.withColumn("slot", (F.col("base") + F.col("_pos") - F.col("first")).cast("long")).drop("_spread", "_split", "_pos", "base", "first")
+    return placed.select("__row.*", (F.col("base") + F.col("_pos") - F.col("first")).cast("long").alias("slot"))
