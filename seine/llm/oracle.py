@@ -4,12 +4,12 @@ from __future__ import annotations
 
 OP4 = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         length(translate(coalesce(text, ''), '#*$%&|<>', '')) / greatest(length(coalesce(text, '')), 1) AS clean
-  FROM documents),
+  SELECT doc_id, source, len(w)::BIGINT AS size, clean, sqrt(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END) AS varied
+  FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               length(translate(coalesce(text, ''), '#*$%&|<>', '')) / greatest(length(coalesce(text, '')), 1) AS clean FROM documents)),
 k AS (
   SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-            / greatest(clean * clean, 0.01) AS key FROM d),
+            / greatest(clean * clean * varied, 0.01) AS key FROM d),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w

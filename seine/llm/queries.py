@@ -50,7 +50,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(spark, sf_dir, "documents", "doc_id", "source", "text")
     rows = docs.select("doc_id", "source", F.size(blank_words(F.col("text"))).cast("long").alias("size"), mixing.quality_weight(F.col("text")).alias("weight"))
-    return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(rows, ties=["weight"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

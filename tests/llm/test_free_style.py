@@ -362,6 +362,26 @@ def test_token_files_read_back(spark, encoder):
     assert token_files.read_back(empty).count() == 0
 
 
+def test_files_of_other_rules_have_whole_texts_encoded():
+    e = WordEncoder(P.path("byte_bpe_50k.json"))
+    assert not e.by_piece and WordEncoder(WORDS).by_piece
+    for text in TEXTS:
+        assert ids_of(e, text) == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_file_edges(spark):
+    index, _ = token_files.write_tokens(clashing(odd_docs(spark)), WORDS, 2)
+    got = token_files.read_back(index)
+    assert got.count() == 11 and got.filter("n_tokens = 1").count() == 4 and got.filter("key = 1").select("n_tokens", "ids_crc32").distinct().count() == 1
+
+
+def test_a_failed_file_leaves_nothing(tmp_path):
+    w = token_files.SequenceWriter(f"file://{tmp_path}/a.arrow", np.dtype("<u2"), 8, 2)
+    w.add(np.arange(90, dtype="<u2").tobytes())
+    w.abort()
+    assert not list(tmp_path.iterdir())
+
+
 def test_last_sequence_is_filled_up(tmp_path):
     w = token_files.SequenceWriter(f"file://{tmp_path}/a.arrow", np.dtype("<u2"), 8, 2)
     starts = [w.add(np.arange(n, dtype="<u2").tobytes()) for n in (5, 0, 20, 3)]

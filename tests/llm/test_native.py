@@ -32,7 +32,7 @@ def empty_docs(spark):
 
 def clashing(docs):
     """With columns named like those that the operators make."""
-    for name in ("n_words", "shard", "slot", "size", "kept", "_text_key", "record", "host", "w", "n_hit", "key", "grams", "__row"):
+    for name in ("base", "first", "target", "source_size", "taken", "weight", "_pos", "_split", "_key", "_spread", "lang_f", "n", "n_words", "shard", "slot", "size", "kept", "_text_key", "record", "host", "w", "n_hit", "key", "grams", "__row"):
         docs = docs.withColumn(name, F.lit("own"))
     return docs
 
@@ -398,6 +398,26 @@ def test_heavier_documents_are_taken_more_often(spark):
     assert taken[True] > 2 * taken[False] and taken[True] + taken[False] == 10_000
 
 
+def test_mix_with_clashing_columns_and_ties(spark):
+    rows = clashing(spark.range(500).select((F.col("id") % 100).alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 5).alias("tie"))).withColumns({"size": F.lit(10).cast("long"), "weight": F.lit(1.0)})
+    runs = [sorted((r["doc_id"], r["tie"], r["taken"]) for r in mixing.mix(rows.repartition(n), weights=(1,), share=0.5, ties=["tie"]).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1] and sum(t for *_, t in runs[0]) == 2500
+    out = mixing.mix(rows)
+    assert set(out.columns) == {*rows.columns, "source_size", "target", "taken"} - {"weight"} and out.filter("base = 'own' and first = 'own' and _pos = 'own' and _key = 'own'").count() == 500
+
+
+def test_slots_with_clashing_columns(spark):
+    rows = clashing(spark.range(40).select(F.col("id").alias("doc_id"))).withColumn("shard", (F.col("doc_id") % 3).cast("int"))
+    out = sharding.slots(rows, "doc_id", ["base"])
+    assert sorted(out.columns) == sorted(rows.columns) and all(r["slot"] == r["doc_id"] // 3 and r["base"] == "own" for r in out.collect())
+
+
+def test_weights_of_odd_texts(spark):
+    texts = ["", None, " \n ", "%%% $$$", "a b c d", "a a a a", LONG]
+    got = [r["w"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.quality_weight(F.col("t")).alias("w")).orderBy("i").collect()]
+    assert got[:3] == [0.01] * 3 and 0.01 < got[3] < 0.03 and got[4] == 1.0 and got[5] == 0.5 and 0.1 < got[6] < 0.2
+
+
 def test_mix_edges(spark):
     assert mixing.mix(mixture_rows(spark).limit(0)).count() == 0
     zero = spark.createDataFrame([(1, "a", 0, 1.0), (2, "a", None, 1.0)], "doc_id long, source string, size long, weight double")
