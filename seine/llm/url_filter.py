@@ -5,14 +5,15 @@ A URL's tokens fetch the rules indexed under them, and only those rules run thei
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, lookup
+from .common import LOWER, UPPER, cut, lookup, may_broadcast
 
 _TOKEN = r"[a-z0-9]+"
 
@@ -40,7 +41,17 @@ def host_rule(verdict: str, host: str, path: str = "/") -> Rule:
 
 def word_rule(verdict: str, word: str) -> Rule:
     """Fits URLs whose host holds the word whole, between dots, hyphens or the ends. Any host rule outranks it."""
-    return Rule(word, verdict, rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)", len(word), tuple(re.findall(_TOKEN, word)))
+    return Rule(word, verdict, rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|\z)", len(word), tuple(re.findall(_TOKEN, word)))
+
+
+def segment_rule(verdict: str, word: str) -> Rule:
+    """Fits URLs that have the word as a whole segment of their path. Any host rule outranks it."""
+    return Rule(f"/{word}/", verdict, rf"^[^/]*/(?:[\s\S]*/)?{re.escape(word)}(?:/|\z)", len(word), tuple(re.findall(_TOKEN, word)))
+
+
+def label_rule(verdict: str, label: str) -> Rule:
+    """Fits URLs whose host starts with the label. Any host rule outranks it."""
+    return Rule(f"{label}.", verdict, rf"^{re.escape(label)}\.", len(label), tuple(re.findall(_TOKEN, label)))
 
 
 def url_host(url: Column) -> Column:
@@ -53,13 +64,18 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def rule_table(spark, rules: Sequence[Rule], seen: DataFrame) -> DataFrame:
+def _values(spark: SparkSession, rows: list[dict], columns: str) -> DataFrame:
+    """A small table from the driver as one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{columns}>>")))
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule], seen: DataFrame) -> DataFrame:
     """(token, regex, name, verdict, rank): each rule under that of its tokens which the fewest URLs have.
 
-    seen: (token, urls) for the tokens of rules. Rules without a token have a null token and are tried on every URL.
+    seen: (token, urls) for the tokens of rules. Rules without a token are not in it.
     """
-    rows = [(i, r.name, r.verdict, r.regex, r.rank, t) for i, r in enumerate(rules) for t in (r.tokens or (None,))]
-    table = spark.createDataFrame(rows, "id int, name string, verdict string, regex string, rank int, token string")
+    rows = [{"id": i, "name": r.name, "verdict": r.verdict, "regex": r.regex, "rank": r.rank, "token": t} for i, r in enumerate(rules) for t in r.tokens]
+    table = _values(spark, rows, "id: int, name: string, verdict: string, regex: string, rank: int, token: string")
     counted = table.join(seen, "token", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
     return counted.groupBy("id", "name", "verdict", "regex", "rank").agg(F.min_by("token", F.struct("urls", "token")).alias("token")).drop("id")
 
@@ -79,21 +95,23 @@ def judge(urls: DataFrame, rules: Sequence[Rule], default: str = "allow", url: s
     target = F.concat("host", "path")
     tokens = F.array_distinct(F.regexp_extract_all(F.translate(target, UPPER, LOWER), F.lit(f"({_TOKEN})"), F.lit(1)))
     words = parsed.filter(F.col("host") != "").select("url", target.alias("target"), F.explode(tokens).alias("token"))
-    wanted = cut(spark.createDataFrame(sorted({(t,) for r in rules for t in r.tokens}) or [("",)], "token string"), "rule-tokens")
+    wanted = cut(_values(spark, [{"token": t} for t in sorted({t for r in rules for t in r.tokens})], "token: string"), "rule-tokens")
     seen = cut(lookup(words.select("token"), wanted, ["token"], "inner").groupBy("token").agg(F.count(F.lit(1)).alias("urls")), "token-counts")
     index = cut(rule_table(spark, rules, seen), "rule-index")
-    fetched = _fetch(words, index.filter("token is not null"))
-    if any(not r.tokens for r in rules):
-        always = index.filter("token is null")
-        fetched = fetched.unionByName(parsed.filter("host != ''").select("url", target.alias("target")).join(F.broadcast(always.drop("token")) if always.count() <= 1000 else always.drop("token"), F.rlike("target", F.col("regex"))))
-    best = fetched.filter(F.rlike("target", F.col("regex"))).groupBy("url").agg(F.min(F.struct(-F.col("rank"), "name", "verdict")).alias("hit"))
+    fits = _fetch(words, index).filter(F.rlike("target", F.col("regex"))).select("url", "rank", "name", "verdict")
+    bare = [r for r in rules if not r.tokens]
+    if bare:
+        # without a token to look up, each is tried on every URL, in a projection
+        tried = [F.when(F.rlike(target, F.lit(r.regex)), F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))) for r in bare]
+        fits = fits.unionByName(parsed.filter("host != ''").select("url", F.inline(F.array_compact(F.array(*tried)))))
+    best = fits.groupBy("url").agg(F.min(F.struct(-F.col("rank"), "name", "verdict")).alias("hit"))
     decided = parsed.join(best, "url", "left")
     return decided.select("url", "host", "path", F.col("hit.name").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
 def _fetch(words: DataFrame, index: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """The rules that each url's tokens fetch. A small index is broadcast; a large one is joined by a shuffle, whose hot tokens adaptive execution splits."""
-    side = F.broadcast(index) if index.count() <= max_rows else index.hint("merge")
+    side = F.broadcast(index) if may_broadcast(index, max_rows) else index.hint("merge")
     return words.join(side, "token").drop("token")
 
 
