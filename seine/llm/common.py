@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A lookup side of at most so many rows may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: A lookup side of at most so many rows and bytes may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 #: The ASCII white space that parts words: tab, line feed, vertical tab, form feed, carriage return, space.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -54,14 +54,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def may_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int | None = None) -> bool:
+    """Whether the written table small is within both bounds. Its bytes are those of its rows as JSON, which is more than they take in a broadcast; they are summed only if there are few rows."""
+    if small.count() > max_rows:
+        return False
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return size <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
 def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join big to the written table small on null-safe equality of the columns `on`.
 
-    small is counted first. Up to max_rows it is broadcast; beyond that both sides are shuffled, and adaptive
-    execution splits what a hot key of big makes large. small has one row for each key.
+    small is measured first. Up to max_rows and BROADCAST_BYTES it is broadcast; beyond that both sides are shuffled, and
+    adaptive execution splits what a hot key of big makes large. small has one row for each key.
     """
     renamed = small.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in small.columns])
-    renamed = F.broadcast(renamed) if small.count() <= max_rows else renamed.hint("merge")
+    renamed = F.broadcast(renamed) if may_broadcast(small, max_rows) else renamed.hint("merge")
     match = F.lit(True)
     for c in on:
         match = match & big[c].eqNullSafe(renamed[f"__r_{c}"])

@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, keyed, lookup
+from .common import ascii_lower, cut, keyed, lookup, may_broadcast
 
 #: What parts words after lower-casing: ASCII that is neither digit nor lower-case letter.
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing.
 _GAPS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: A vocabulary or list of windows of at most so many rows may be broadcast.
+#: A vocabulary or list of windows of at most so many rows may be broadcast, if its bytes allow it as well.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -62,8 +62,8 @@ class PositionalIndex:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, broadcast if its counted size allows it, else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_WINDOWS else df.hint("merge")
+    """The written table df, broadcast if its rows and bytes allow it, else joined by a shuffle."""
+    return F.broadcast(df) if may_broadcast(df, BROADCAST_WINDOWS) else df.hint("merge")
 
 
 def build_index(docs: DataFrame, windows: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> PositionalIndex:
@@ -149,8 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose text holds a benchmark window."""
+    """docs without the rows whose text holds a benchmark window.
+
+    Null and empty texts stay. Repeated rows share their verdict. Benchmark rows without an id count like any other, and
+    those without words have no window. Columns of docs may have any names. Empty tables: nothing is taken.
+    """
     found = cut(hits(docs, benchmark, width, key, text).select(key, "_text_key"), "hits")
     marked = found.select(F.col(key).alias("__k"), F.col("_text_key").alias("__t"))
-    marked = F.broadcast(marked) if marked.count() <= BROADCAST_WINDOWS else marked.hint("merge")
-    return docs.join(marked, docs[key].eqNullSafe(F.col("__k")) & (keyed(docs, key, text)[1] == F.col("__t")), "left_anti")
+    return docs.join(_small(marked), docs[key].eqNullSafe(F.col("__k")) & (keyed(docs, key, text)[1] == F.col("__t")), "left_anti")

@@ -67,8 +67,11 @@ m AS (
                WHERE (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)) AS hit
   FROM u)
 SELECT page_id, host, path, hit.rule AS rule,
-       coalesce(hit.verdict, CASE WHEN regexp_matches(host, '(^|[.-])(casino|pills|poker|porn|spam|viagra|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM m
+       coalesce(hit.verdict, CASE WHEN regexp_matches(host, '(^|[.-])(' || words || ')(s|24|365|online|club)?([.-]|\z)')
+           OR regexp_matches(path, '/(' || words || ')s?(/|\z)')
+           OR regexp_matches(host, '^(ad|ads|adserver|banner|banners|beacon|click|clicks|pixel|stats|track|tracker)([0-9]|[1-9][0-9])\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM m, (SELECT 'adult|bet|betting|bingo|bitcoin|blackjack|bonus|cam|camgirl|casino|cialis|cracked|crypto|dating|doubleclick|escort|forex|gamble|gambling|hentai|jackpot|keygen|loan|lottery|malware|milf|nude'
+  || '|payday|phishing|pill|pills|pirate|poker|porn|pornhub|roulette|serial|sex|slot|spam|sportsbet|steroid|torrent|viagra|warez|wager|webcam|xanax|xxx' AS words)
 """
 
 OP8 = r"""

@@ -21,6 +21,12 @@ def test_lookup_matches_nulls_and_keeps_all_rows(spark, most):
     assert common.lookup(big, small, ["k"], "inner", most).count() == 3
 
 
+def test_a_broadcast_is_bounded_in_bytes(spark):
+    small = common.cut(spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("t")), "small")
+    assert common.may_broadcast(small) and not common.may_broadcast(small, max_bytes=50_000) and not common.may_broadcast(small, max_rows=99)
+    assert common.may_broadcast(small.limit(0))
+
+
 @pytest.fixture
 def many_files(spark):
     """Small tables stay in as many files as there are shuffle partitions."""

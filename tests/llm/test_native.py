@@ -142,6 +142,20 @@ def test_rules_without_whole_tokens_are_tried_everywhere(spark):
     assert url_filter.host_rule("block", "a.example", "/part").tokens == ("a", "example")
 
 
+def test_own_rules(spark):
+    """The kinds of rules that the query adds, and URLs of any length."""
+    from seine.llm.queries import own_url_rules
+
+    cases = {
+        "http://casino24.example.com/": "block", "http://my-casinos.x/": "block", "http://casinox.x/": "allow", "http://x.y/a/poker/b": "block", "http://x.y/a/poker": "block", "http://x.y/a/Poker/": "allow", "http://x.y/pokers": "block", "http://x.y/pokerx/": "allow",
+        "http://ads7.x.y/": "block", "http://ads77.x/": "block", "http://ads777.x/": "allow", "http://ads07.x/": "allow", "http://x.ads7.y/": "allow", "http://x.y/" + "a/" * 50_000 + "slots/?q": "block", "http://x.y/" + "a" * 100_000: "allow",
+    }
+    rules = own_url_rules()
+    assert len(rules) > 1500 and all(r.tokens for r in rules)
+    got = {r["url"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in cases], "url string"), rules).collect()}
+    assert got == cases
+
+
 def test_url_edge_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     rules = [url_filter.host_rule(*r) for r in RULES]
