@@ -3,10 +3,9 @@
 Each distinct n-gram set is a record with a MinHash signature, a list of sampled tokens that two records share at each
 coordinate with a probability equal to their Jaccard similarity. A run splits the records along coordinates drawn for
 each node of a tree: records with the same token at the drawn coordinate go to the same child. Nodes of few records are
-leaves and compared by brute force. Larger nodes are split on, to any depth, unless the average similarity of their
-records comes near the threshold: then most pairs are links or nearly so, no coordinate parts them, and they are
-compared in cells of bounded size. Runs are repeated until the expected share of pairs at the threshold that have met
-reaches the target recall.
+leaves and compared by brute force. Larger nodes are split on, to any depth, unless their records are so alike that
+splitting would not save comparisons: such nodes are compared in cells of bounded size. Runs are repeated until the
+expected share of pairs at the threshold that have met reaches the target recall.
 
 A pair may meet in several leaves. It belongs to the smallest leaf that both have in common, which each leaf can tell
 from its records' lists of leaves; so links are counted once without a list of pairs. Leaves return a link count for
@@ -30,12 +29,12 @@ from .common import blank_words, cut, keyed, lookup
 COORDINATES, LEAF = 64, 128
 #: From level TOP on nodes of so many leaves are compared, as each level costs a few jobs whatever its size.
 DEEP_LEAF = 8
-#: Draws at a node of the first TOP levels; below, every other node draws twice, so that a node with an average similarity
-#: below the threshold has fewer comparisons in its children together than in itself, and hardly more rows.
+#: Draws at a node of the first TOP levels; below, every other node draws twice, so that levels hardly add rows.
 BRANCH, TOP = 2, 6
-#: A node of this average similarity or more is compared as it is: 0.9 of the threshold. It is estimated from so many of
-#: the node's records and a quarter of the coordinates; the estimate decides where pairs are compared, never whether.
-DENSE, SAMPLE = 0.9, 64
+#: A node of this average similarity or more is compared as it is: each draw brings together again that share of its pairs,
+#: so two draws leave no fewer comparisons, in more rows. It is estimated from so many of the node's records and a quarter
+#: of the coordinates; the estimate decides where pairs are compared, never whether.
+DENSE, SAMPLE = 0.5, 64
 #: No path draws more coordinates than this. What is left there is compared in cells.
 DEPTH = 48
 #: Records of a block of a node that is compared in cells: BLOCK, and more where the node has over 16 blocks, up to
@@ -164,7 +163,7 @@ def _draws(depth: int) -> Column:
     return F.slice(free, F.lit(1), F.lit(BRANCH) if depth < TOP else F.when(F.pmod("node", F.lit(2)) == 0, 1).otherwise(BRANCH))
 
 
-def leaves(records: DataFrame, runs: int, similarity: float = 0.8) -> DataFrame:
+def leaves(records: DataFrame, runs: int) -> DataFrame:
     """(record, leaf, n, block): the leaves of two records or more that the records (record, size, sig) reach in all runs,
     with their sizes and the records of a block in them."""
     order = sorted(range(COORDINATES), key=lambda i: hashlib.blake2b(b"root%d" % i).digest())
@@ -187,7 +186,7 @@ def leaves(records: DataFrame, runs: int, similarity: float = 0.8) -> DataFrame:
             break
         known = cut(wide.groupBy("node").agg(F.first("n").alias("n")).join(density(wide, records), "node", "left"), f"density{depth}")
         judged = cut(with_sizes(wide.drop("n"), known), f"judged{depth}").withColumn("_draws", _draws(depth))
-        stays = F.coalesce(F.col("density") >= DENSE * similarity, F.lit(True)) | (F.size("_draws") == 0)
+        stays = F.coalesce(F.col("density") >= DENSE, F.lit(True)) | (F.size("_draws") == 0)
         found.append(judged.filter(stays).drop("density", "_draws"))
         drawn = judged.filter(~stays).select("record", "size", "node", "used", F.explode("_draws").alias("c"))
         level = drawn.join(records.select("record", "sig"), "record").select("record", "size", F.xxhash64("node", "c", F.get("sig", F.col("c"))).alias("node"), (F.col("used").bitwiseOR(bit(F.col("c")))).alias("used"))
@@ -380,7 +379,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))
+    return edges.select(F.inline(ends)).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -396,7 +396,7 @@ def classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
         signed.filter("record is not null").groupBy("record").agg(F.count(F.lit(1)).alias("docs"), F.min(key).alias("first"), F.min(F.struct(key, "_text_key")).alias("row"), F.min("size").alias("size"), F.min("sig").alias("sig")),
         "records",
     )
-    found = cut(leaves(records.select("record", "size", "sig"), runs_needed(similarity, recall), similarity), "leaves")
+    found = cut(leaves(records.select("record", "size", "sig"), runs_needed(similarity, recall)), "leaves")
     lists = found.groupBy("record").agg(F.collect_list(F.struct("leaf", "n", "block")).alias("all"))
     rows = lists.join(records.select("record", "size", "sig"), "record").withColumn("leaves", F.transform("all", lambda x: x["leaf"]))
     members = rows.select("record", "size", "sig", "leaves", F.inline("all"))

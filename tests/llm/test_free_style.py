@@ -113,8 +113,9 @@ def test_recall_on_documents(spark):
 
 
 def test_recall_within_boilerplate(spark, monkeypatch):
-    """Most words of 500 texts are the same, yet too few for a link; some have near copies. No leaf holds them all, and links are found."""
+    """Many words of 500 texts are the same, yet too few for a link; some have near copies. No leaf holds them all, and links are found."""
     monkeypatch.setattr(jaccard_join, "LEAF", 16)
+    monkeypatch.setattr(jaccard_join, "DENSE", 0.72)
     rng = random.Random(2)
     shared = " ".join(f"b{i}" for i in range(160))
     texts = [f"{shared} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
