@@ -54,11 +54,15 @@ def lines(source: str) -> str:
     FROM (SELECT path, string_split(text, chr(10)) AS parts FROM {source}))))"""
 
 
+#: The first group of a match by its own pattern; each with its literal expression.
+_OWN_GROUP = "CASE pattern_id " + " ".join(f"WHEN {i} THEN regexp_extract(matched_text, {q(re2(p.regex))}, 1)" for i, p in enumerate(BUILT_IN, 1) if p.groups) + " ELSE '' END"
+
+
 def matches(source: str) -> str:
     """(path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos, secret, line, pattern_description) of lines."""
     marked = " UNION ALL ".join(
         f"SELECT *, {i} AS pattern_id, {q(p.name)} AS secret_type, {q(p.description)} AS pattern_description, "
-        f"{'regexp_extract(line, ' + q(re2(p.regex)) + ', 1)' if p.groups else q('')} AS g, {q(re2(p.regex)) if p.groups else 'NULL'} AS re, "
+        f"{'regexp_extract(line, ' + q(re2(p.regex)) + ', 1)' if p.groups else q('')} AS g, "
         f"string_split(regexp_replace(regexp_replace(line, {q('(' + re2(p.regex) + ')')}, chr(64976) || '\\1' || chr(64977), 'g'), '[' || chr(64976) || chr(64977) || ']', chr(64976), 'g'), chr(64976)) AS ps "
         f"FROM src WHERE regexp_matches(line, {q(re2(p.regex))})"
         for i, p in enumerate(BUILT_IN, 1)
@@ -68,7 +72,7 @@ def matches(source: str) -> str:
   SELECT path, line_number, line, previous, pattern_id, secret_type, pattern_description, ps[k] AS matched_text,
          coalesce(list_sum(list_transform(ps[1:k - 1], lambda s: strlen(s))), 0)::INT AS start_pos,
          (coalesce(list_sum(list_transform(ps[1:k - 1], lambda s: strlen(s))), 0) + strlen(ps[k]))::INT AS end_pos,
-         CASE WHEN g = '' THEN ps[k] ELSE g END AS secret, re
+         CASE WHEN g = '' THEN ps[k] ELSE g END AS secret
   FROM spots WHERE ps[k] <> '')"""
 
 
@@ -108,13 +112,38 @@ def likely(column: str, threshold: str) -> str:
     return f"(strlen({column}) > 170 OR coalesce(p >= {threshold} AND (regexp_matches({column}, '[0-9]') OR p >= 10 * {threshold}), false))"
 
 
-def _scanned(source: str) -> str:
-    raw = matches(f"(SELECT * FROM {lines(source)} WHERE {_KEPT})")
+def blocks(source: str) -> str:
+    """(path, start_line, end_line): zero-based half-open ranges of test blocks.
+
+    Each start's end comes from running sums of braces or from indents; the walk then goes from block to block.
+    """
+    bare = f"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    return f"""(WITH RECURSIVE l AS MATERIALIZED (
+    SELECT path, line_number - 1 AS i, {_TEST_LINE} AS starts, {bare} = '' AS empty, strlen(line) - strlen(regexp_replace(line, '^{SPACE}+', '')) AS depth,
+           length(line) - length(replace(line, '{{', '')) AS ups, length(line) - length(replace(line, '}}', '')) AS downs FROM {lines(source)}),
+  c AS MATERIALIZED (
+    SELECT *, sum(ups - downs) OVER w AS level, sum(ups) OVER w AS all_ups, max(i) OVER (PARTITION BY path) + 1 AS n FROM l WINDOW w AS (PARTITION BY path ORDER BY i)),
+  e AS MATERIALIZED (
+    SELECT path, i, stop FROM (
+      SELECT s.path, s.i, CASE WHEN ends_with(s.path, '.py') THEN coalesce(min(x.i) FILTER (x.i > s.i AND NOT x.empty AND x.depth <= s.depth), any_value(s.n))
+                               ELSE min(x.i) FILTER (x.i >= s.i AND x.all_ups > s.all_ups - s.ups AND x.level = s.level - s.ups + s.downs) + 1 END AS stop
+      FROM c s JOIN c x USING (path) WHERE s.starts GROUP BY s.path, s.i) WHERE stop IS NOT NULL),
+  walk(path, i) AS (
+    SELECT path, min(i) FROM e GROUP BY path
+    UNION ALL
+    SELECT a.path, min(b.i) FROM walk JOIN e a ON a.path = walk.path AND a.i = walk.i JOIN e b ON b.path = a.path AND b.i >= greatest(a.stop, a.i + 1) GROUP BY a.path)
+  SELECT path, i::INT AS start_line, stop::INT AS end_line FROM walk JOIN e USING (path, i))"""
+
+
+def _scanned(source: str, outside: str = "true") -> str:
+    raw = matches(f"(SELECT * FROM {lines(source)} AS src WHERE {_KEPT} AND {outside})")
     return f"(SELECT * FROM {randomness(raw, 'secret')} WHERE {likely('secret', '1e-5')})"
 
 
 CORPUS = files(TOKENS, IGNORED, docs=True)
 SCANNED = _scanned(CORPUS)
+_BLOCKS = blocks(files(BLOCKS, IGNORED, docs=True))
+_OUTSIDE = _scanned(files(BLOCKS, docs=True), f"NOT EXISTS (SELECT 1 FROM {blocks(files(BLOCKS, docs=True))} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
 NAMES = "(SELECT unnest([" + ", ".join(f"{{'i': {i}, 'name': {q(p.name)}}}" for i, p in enumerate(BUILT_IN, 1)) + "], recursive := true))"
 PER_PATTERN = "SELECT i::INT AS pattern_id, name, count(pattern_id) AS matches FROM {names} LEFT JOIN {found} f ON f.pattern_id = i GROUP BY ALL"
 TRIM = f"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -132,10 +161,10 @@ _log = lambda p: f"CASE WHEN {p} > 0 THEN round(log10({p}), 6) + 0.0 WHEN {p} =
 _PATH_ROWS = "(WITH p AS (SELECT p_partkey::VARCHAR AS k, p_partkey FROM part) " + " UNION ALL ".join(f"SELECT {p} AS path, p_partkey::BIGINT * 104857 AS length FROM p" for p in _PATHS) + ")"
 _GLOBBED = " OR ".join(f"regexp_full_match(path, {q('(?s)' + g.replace('.', chr(92) + '.').replace('*', '.*'))})" for g in IGNORED_PATHS)
 _EXT = r"CASE WHEN regexp_matches(path, '(?s)[^/]\.[^./]*\z') THEN lower(regexp_extract(path, '(?s)[^/]\.([^./]*)\z', 1)) END"
-_FLAGGED = "(SELECT doc_id::VARCHAR AS path, text, source <> 'src3' AS success, n_chars < 200 AS is_binary FROM documents)"
+_FLAGGED = f"(SELECT path, text, true AS success, false AS is_binary FROM ({DOCUMENTS}) UNION ALL SELECT path, text, false, false FROM ({files_sql(IGNORED)}) UNION ALL SELECT path, text, true, true FROM ({files_sql(BLOCKS)}))"
 _FLAGGED_FOUND = _scanned(f"(SELECT path, coalesce(text, '') AS text FROM {_FLAGGED} WHERE success AND NOT is_binary)")
 _SOURCE = "(SELECT p_brand || '/' || p_partkey AS rel_path, p_size::BIGINT AS length, p_name AS body, p_partkey FROM part)"
-_THERE = "(SELECT p_brand || '/' || p_partkey AS rel_path, (p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS length, p_name || CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE '' END AS body FROM part WHERE p_partkey % 5 <> 0)"
+_THERE = "(SELECT p_brand || '/' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '.old' ELSE '' END AS rel_path, (p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS length, p_name || CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE '' END AS body FROM part)"
 _CHANGED = f"SELECT s.rel_path, s.length::VARCHAR AS source_length, d.length::VARCHAR AS destination_length FROM {_SOURCE} s LEFT JOIN {_THERE} d USING (rel_path) WHERE (d.rel_path IS NULL OR s.length <> d.length"
 _ADAPT = lambda n, m: f"CASE WHEN {n} <= 10 THEN least(2, {m}) WHEN {n} <= 50 THEN {m} // 2 WHEN {n} <= 100 THEN {m} * 3 // 4 ELSE {m} END"
 _NAMED = "lower(replace(c_name, '#', '-'))"
@@ -145,7 +174,7 @@ ORACLE: dict[str, str] = {
     "line_stats_by_lang": f"SELECT lang, count(*) AS lines, max(length(line))::INT AS longest, sum(strlen(line))::BIGINT AS bytes, count(*) FILTER (line = '') AS empty FROM {lines('(SELECT lang AS path, coalesce(text, chr(39) || chr(39)) AS text FROM documents)')} AS x(lang, n, line, p) GROUP BY lang",
     "findings_raw": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos, secret FROM {matches(lines(files(TOKENS, docs=True)))}",
     "findings": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos FROM {SCANNED}",
-    "findings_strict_groups": f"SELECT path, line_number, pattern_id, start_pos, matched_text, secret FROM (SELECT * EXCLUDE (secret), CASE WHEN re IS NULL OR regexp_extract(matched_text, re, 1) = '' THEN matched_text ELSE regexp_extract(matched_text, re, 1) END AS secret FROM {matches(lines(files(TOKENS)))}) WHERE secret <> matched_text",
+    "findings_strict_groups": f"SELECT path, line_number, pattern_id, start_pos, matched_text, own AS secret FROM (SELECT *, {_OWN_GROUP} AS own FROM {matches(lines(files(TOKENS, docs=True)))}) WHERE own <> '' AND own <> matched_text",
     "findings_per_pattern": PER_PATTERN.format(names=NAMES, found=SCANNED),
     "findings_per_file": f"SELECT path, count(*) AS matches, min(line_number) AS first_line, count(DISTINCT secret_type) AS types FROM {SCANNED} GROUP BY path",
     "findings_by_type": f"SELECT secret_type, count(*) AS matches FROM {SCANNED} GROUP BY secret_type",
@@ -155,9 +184,11 @@ ORACLE: dict[str, str] = {
     "first_per_file": f"SELECT path, line_number, pattern_id, start_pos, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number, pattern_id, start_pos) AS place FROM {SCANNED}) WHERE place <= 2",
     "entropy_probability": f"SELECT token, base, distinct_bytes::INT AS distinct_bytes, bigrams::INT AS bigrams, {_log('p_distinct')} AS log_distinct, {_log('p_class')} AS log_class, {_log('p_bigram')} AS log_bigram, {_log('p')} AS log_p FROM {randomness(_TOKENS, 'token')}",
     "likely_secret": f"SELECT token, {likely('token', '1e-5')} AS likely, {likely('token', '1e-3')} AS likely_strict FROM {randomness(_TOKENS, 'token')}",
-    "line_predicates": f"SELECT path, line_number, contains(line, 'scan:ignore') AS comment, contains(line, '# TEST_SECRET:') OR contains(line, 'DEMO_KEY_') OR contains(line, 'FAKE_') AS substring, {_TEST_LINE} AS test_line, coalesce(contains(previous, 'scan:ignore-next'), false) AS next, (strlen(line) - strlen(regexp_replace(line, '^{SPACE}+', '')))::INT AS indent FROM {lines(files(TOKENS, IGNORED, BLOCKS))}",
+    "line_predicates": f"SELECT path, line_number, contains(line, 'scan:ignore') AS comment, contains(line, '# TEST_SECRET:') OR contains(line, 'DEMO_KEY_') OR contains(line, 'FAKE_') AS substring, {_TEST_LINE} AS test_line, coalesce(contains(previous, 'scan:ignore-next'), false) AS next, (strlen(line) - strlen(regexp_replace(line, '^{SPACE}+', '')))::INT AS indent FROM {lines(files(TOKENS, IGNORED, BLOCKS, docs=True))}",
     "path_predicates": f"SELECT path, length, {_GLOBBED} AS ignored, len(list_intersect(string_split(path, '/'), {many(FILTERED_DIRECTORIES)})) > 0 AS filtered, coalesce(list_contains({many(BINARY_EXTENSIONS)}, {_EXT}), false) AS is_binary, {_EXT} AS extension, length // 1048576 > 10 AS large, length // 1048576 > 5 AS streamed, CASE WHEN strlen(path) > 40 THEN '...' || right(path, 37) ELSE path END AS shown FROM {_PATH_ROWS}",
     "fast_count": f"SELECT count(*) AS files FROM {_PATH_ROWS} WHERE len(list_intersect(string_split(path, '/')[:-2], {many(FILTERED_DIRECTORIES)})) = 0 AND length // 1048576 <= 10",
+    "test_block_ranges": f"SELECT path, start_line, end_line FROM {_BLOCKS}",
+    "findings_outside_tests": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_OUTSIDE}",
     "scan_stats": f"SELECT count(*) FILTER (success) AS files_scanned, count(*) FILTER (NOT success) AS files_skipped, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "live_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, count(*) FILTER (success AND NOT is_binary AND path IN (SELECT path FROM {_FLAGGED_FOUND})) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary FROM {_FLAGGED}",
     "warning_classes": "SELECT CASE lang WHEN 'en' THEN 'Scan Failures' WHEN 'de' THEN 'Directory Walk Errors' ELSE 'Other Warnings' END AS warning_type, count(*) AS warnings FROM documents GROUP BY 1",
@@ -172,7 +203,7 @@ ORACLE: dict[str, str] = {
     "sync_changed_files": _CHANGED + ")",
     "sync_changed_content": _CHANGED + " OR s.body <> d.body)",
     "sync_status": f"SELECT repo, CASE WHEN files IS NULL THEN 'InSync' ELSE 'OutOfSync' END AS status, coalesce(files, '') AS changed_files FROM (SELECT DISTINCT p_brand AS repo FROM part UNION ALL SELECT 'idle') r LEFT JOIN (SELECT split_part(rel_path, '/', 1) AS repo, string_agg(rel_path, ',' ORDER BY rel_path) AS files FROM ({_CHANGED})) GROUP BY 1) c USING (repo) WHERE NOT ends_with(repo, '1')",
-    "sync_line_diff": "SELECT path, line, CASE WHEN d > 0 THEN 'insert' ELSE 'delete' END AS tag, abs(d)::BIGINT AS n FROM (SELECT path, line, sum(d) AS d FROM (SELECT p_brand AS path, p_type AS line, -1 AS d FROM part UNION ALL SELECT p_brand, CASE WHEN p_size % 4 = 0 THEN lower(p_type) ELSE p_type END, 1 FROM part WHERE p_size % 9 <> 0) GROUP BY ALL) WHERE d <> 0",
+    "sync_line_diff": "SELECT path, line, CASE WHEN d > 0 THEN 'insert' ELSE 'delete' END AS tag, abs(d)::BIGINT AS n FROM (SELECT path, line, sum(d) AS d FROM (SELECT p_brand AS path, p_type AS line, -1 AS d FROM part UNION ALL SELECT p_brand, CASE WHEN p_size % 9 = 0 THEN p_type || '!' WHEN p_size % 4 = 0 THEN lower(p_type) ELSE p_type END, 1 FROM part) GROUP BY ALL) WHERE d <> 0",
     "commit_checks": r"""WITH m AS (SELECT o_orderkey, ['feat', 'fix(ui)', 'feat(api)!', 'docs:', 'no type', 'chore', '# only a comment'][o_orderkey % 7 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN ':' ELSE ': ' END || lower(o_orderpriority) AS body FROM orders),
       c AS (SELECT o_orderkey, CASE WHEN starts_with(body, '#') THEN '' ELSE trim(body) END AS clean FROM m),
       t AS (SELECT *, regexp_extract(clean, '^([A-Za-z][A-Za-z0-9_-]*)(\(([^()]+)\))?(!)?: *([^ ].*)$', ['type', 'x', 'scope', 'b', 'd']) AS g FROM c)

@@ -53,7 +53,7 @@ def lines_explode(spark, sf_dir):
 
 
 def line_stats_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.explode(text.lines_of(F.coalesce("text", F.lit("")))).alias("line"))
+    docs = tables.spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", F.explode(text.lines_of(F.coalesce("text", F.lit("")))).alias("line"))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.max(F.char_length("line")).alias("longest"), F.sum(F.octet_length("line")).alias("bytes"), F.count_if(F.col("line") == "").alias("empty"))
 
 
@@ -67,7 +67,7 @@ def findings(spark, sf_dir):
 
 
 def findings_strict_groups(spark, sf_dir):
-    found = find(tables.lines(samples(spark, sf_dir, TOKENS)), BUILT_IN, strict_groups=True)
+    found = find(tables.lines(documents(spark, sf_dir).unionByName(samples(spark, sf_dir, TOKENS))), BUILT_IN, strict_groups=True)
     return found.filter(F.col("secret") != F.col("matched_text")).select(*PLACE, "matched_text", "secret")
 
 
@@ -122,7 +122,7 @@ def likely_secret(spark, sf_dir):
 
 
 def line_predicates(spark, sf_dir):
-    rows = tables.lines(samples(spark, sf_dir, TOKENS, IGNORED, BLOCKS))
+    rows = tables.lines(documents(spark, sf_dir).unionByName(samples(spark, sf_dir, TOKENS, IGNORED, BLOCKS)))
     line = F.col("line")
     return rows.select(
         "path", "line_number", predicates.contains_any(line, predicates.IGNORE_COMMENTS).alias("comment"), predicates.contains_any(line, predicates.IGNORED_SUBSTRINGS).alias("substring"),
@@ -152,18 +152,19 @@ def fast_count(spark, sf_dir):
 
 
 def test_block_ranges(spark, sf_dir):
-    rows = samples(spark, sf_dir, BLOCKS, IGNORED)
+    rows = documents(spark, sf_dir).unionByName(samples(spark, sf_dir, BLOCKS, IGNORED))
     return rows.select("path", F.inline(test_blocks(text.lines_of(F.col("text")), F.col("path"), F.col("text"))))
 
 
 def findings_outside_tests(spark, sf_dir):
-    return Scanner().findings(samples(spark, sf_dir, BLOCKS)).select(*PLACE, "matched_text")
+    return Scanner().findings(documents(spark, sf_dir).unionByName(samples(spark, sf_dir, BLOCKS))).select(*PLACE, "matched_text")
 
 
 def _flagged(spark, sf_dir) -> DataFrame:
-    """Documents as files: those of one source stand for unreadable ones, short ones for binary ones."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("path"), "text", (F.col("source") != "src3").alias("success"), (F.col("n_chars") < 200).alias("is_binary"))
+    """All documents as files, and sample files that stand for unreadable and for binary ones."""
+    flag = lambda rows, success, binary: rows.withColumns({"success": F.lit(success), "is_binary": F.lit(binary)})
+    unreadable, binary = flag(samples(spark, sf_dir, IGNORED), False, False), flag(samples(spark, sf_dir, BLOCKS), True, True)
+    return flag(documents(spark, sf_dir), True, False).unionByName(unreadable).unionByName(binary)
 
 
 def scan_stats(spark, sf_dir):
@@ -202,7 +203,7 @@ def text_results(spark, sf_dir):
 
 def _scan_column(spark, sf_dir, name: str, path: Column, column: str) -> DataFrame:
     """Matches by pattern in a table's column and in the sample tokens appended to it, before the gate."""
-    rows = tables.as_files(table(spark, sf_dir, name), path, F.col(column)).unionByName(samples(spark, sf_dir, TOKENS))
+    rows = tables.as_files(tables.spread(table(spark, sf_dir, name)), path, F.col(column)).unionByName(samples(spark, sf_dir, TOKENS))
     return summaries.by_pattern(find(tables.lines(rows), BUILT_IN))
 
 
@@ -223,11 +224,11 @@ def patterns(spark, sf_dir):
 
 
 def _listings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Parts as files of a source; a destination that lacks, resizes or rewrites some of them."""
+    """Parts as files of a source; a destination that renames, resizes or rewrites some of them."""
     p = table(spark, sf_dir, "part")
     source = p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("rel_path"), F.col("p_size").cast("long").alias("length"), F.md5("p_name").alias("digest"))
     key = F.col("p_partkey")
-    there = p.filter(key % 5 != 0).select(F.concat("p_brand", F.lit("/"), key.cast("string")).alias("rel_path"), (F.col("p_size") + F.when(key % 7 == 0, 1).otherwise(0)).cast("long").alias("length"), F.md5(F.concat("p_name", F.when(key % 11 == 0, "x").otherwise(""))).alias("digest"))
+    there = p.select(F.concat("p_brand", F.lit("/"), key.cast("string"), F.when(key % 5 == 0, ".old").otherwise("")).alias("rel_path"), (F.col("p_size") + F.when(key % 7 == 0, 1).otherwise(0)).cast("long").alias("length"), F.md5(F.concat("p_name", F.when(key % 11 == 0, "x").otherwise(""))).alias("digest"))
     return source, there
 
 
@@ -253,12 +254,13 @@ def sync_status(spark, sf_dir):
 def sync_line_diff(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     old = p.select(F.col("p_brand").alias("path"), F.col("p_type").alias("line"))
-    new = p.filter(F.col("p_size") % 9 != 0).select(F.col("p_brand").alias("path"), F.when(F.col("p_size") % 4 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("line"))
+    changed = F.when(F.col("p_size") % 9 == 0, F.concat("p_type", F.lit("!"))).when(F.col("p_size") % 4 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    new = p.select(F.col("p_brand").alias("path"), changed.alias("line"))
     return drift.line_set_diff(old, new)
 
 
 def sync_grouped_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return drift.grouped_diff(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("old_text"), F.regexp_replace("text", r"\n(\S)", "\n\n$1").alias("new_text")))
 
 
