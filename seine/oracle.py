@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions.entropy import default_bigrams
 from .functions.patterns import BUILT_IN
 from .operators.predicates import BINARY_EXTENSIONS, FILTERED_DIRECTORIES, IGNORED_PATHS
-from .queries import _PATHS
+from .queries import _BESIDE, _PATHS
 from .samples import BLOCKS, IGNORED, TOKENS, files_sql
 
 
@@ -54,10 +54,6 @@ def lines(source: str) -> str:
     FROM (SELECT path, string_split(text, chr(10)) AS parts FROM {source}))))"""
 
 
-#: The first group of a match by its own pattern; each with its literal expression.
-_OWN_GROUP = "CASE pattern_id " + " ".join(f"WHEN {i} THEN regexp_extract(matched_text, {q(re2(p.regex))}, 1)" for i, p in enumerate(BUILT_IN, 1) if p.groups) + " ELSE '' END"
-
-
 def matches(source: str) -> str:
     """(path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos, secret, line, pattern_description) of lines."""
     marked = " UNION ALL ".join(
@@ -76,6 +72,9 @@ def matches(source: str) -> str:
   FROM spots WHERE ps[k] <> '')"""
 
 
+#: The first group of each match in m by its own pattern; a branch with a literal expression for each.
+_OWN_GROUP = " UNION ALL ".join(f"SELECT *, regexp_extract(matched_text, {q(re2(p.regex))}, 1) AS own FROM m WHERE pattern_id = {i}" for i, p in enumerate(BUILT_IN, 1) if p.groups)
+
 _TEST_LINE = f"""(SELECT bool_or(x) FROM (SELECT unnest([
   starts_with(b, '#[') AND ends_with(b, 'test]'), b = '#[bench]', b = '#[cfg(test)]', starts_with(b, 'def test_'), starts_with(b, 'class Test'), starts_with(b, '@pytest.'),
   starts_with(b, 'it('), starts_with(b, 'test('), starts_with(b, 'describe('), contains(b, 'mod tests {{'), contains(b, 'mod test {{'), contains(b, 'class Test'), contains(b, 'describe('), contains(b, '__tests__')]) AS x
@@ -143,6 +142,10 @@ def _scanned(source: str, outside: str = "true") -> str:
 CORPUS = files(TOKENS, IGNORED, docs=True)
 SCANNED = _scanned(CORPUS)
 _BLOCKS = blocks(files(BLOCKS, IGNORED, docs=True))
+_WRITTEN = f"(SELECT path, text FROM ({files_sql(TOKENS, IGNORED)}) UNION ALL " + " UNION ALL ".join(f"SELECT {p}, {t} FROM (SELECT chr(10) AS n)" for p, t in _BESIDE) + ")"
+_SEEN = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE (NOT starts_with(path, 'src/jwt') OR path = 'src/jwt1.txt') AND NOT starts_with(path, 'src/github') AND NOT starts_with(path, 'logs/') AND NOT starts_with(path, 'node_modules/') AND NOT ends_with(path, '.tmp'))"
+PNG = q("a.png")
+_LISTED = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE path IN ('a.png', 'logs/a.txt', 'src/jwt1.txt', 'src/github1.txt'))"
 _OUTSIDE = _scanned(files(BLOCKS, docs=True), f"NOT EXISTS (SELECT 1 FROM {blocks(files(BLOCKS, docs=True))} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
 NAMES = "(SELECT unnest([" + ", ".join(f"{{'i': {i}, 'name': {q(p.name)}}}" for i, p in enumerate(BUILT_IN, 1)) + "], recursive := true))"
 PER_PATTERN = "SELECT i::INT AS pattern_id, name, count(pattern_id) AS matches FROM {names} LEFT JOIN {found} f ON f.pattern_id = i GROUP BY ALL"
@@ -174,7 +177,7 @@ ORACLE: dict[str, str] = {
     "line_stats_by_lang": f"SELECT lang, count(*) AS lines, max(length(line))::INT AS longest, sum(strlen(line))::BIGINT AS bytes, count(*) FILTER (line = '') AS empty FROM {lines('(SELECT lang AS path, coalesce(text, chr(39) || chr(39)) AS text FROM documents)')} AS x(lang, n, line, p) GROUP BY lang",
     "findings_raw": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos, secret FROM {matches(lines(files(TOKENS, docs=True)))}",
     "findings": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos FROM {SCANNED}",
-    "findings_strict_groups": f"SELECT path, line_number, pattern_id, start_pos, matched_text, own AS secret FROM (SELECT *, {_OWN_GROUP} AS own FROM {matches(lines(files(TOKENS, docs=True)))}) WHERE own <> '' AND own <> matched_text",
+    "findings_strict_groups": f"WITH m AS MATERIALIZED (SELECT path, line_number, pattern_id, start_pos, matched_text FROM {matches(lines(files(TOKENS, docs=True)))}), o AS MATERIALIZED ({_OWN_GROUP}) SELECT path, line_number, pattern_id, start_pos, matched_text, own AS secret FROM o WHERE own <> '' AND own <> matched_text",
     "findings_per_pattern": PER_PATTERN.format(names=NAMES, found=SCANNED),
     "findings_per_file": f"SELECT path, count(*) AS matches, min(line_number) AS first_line, count(DISTINCT secret_type) AS types FROM {SCANNED} GROUP BY path",
     "findings_by_type": f"SELECT secret_type, count(*) AS matches FROM {SCANNED} GROUP BY secret_type",
@@ -189,6 +192,10 @@ ORACLE: dict[str, str] = {
     "fast_count": f"SELECT count(*) AS files FROM {_PATH_ROWS} WHERE len(list_intersect(string_split(path, '/')[:-2], {many(FILTERED_DIRECTORIES)})) = 0 AND length // 1048576 <= 10",
     "test_block_ranges": f"SELECT path, start_line, end_line FROM {_BLOCKS}",
     "findings_outside_tests": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_OUTSIDE}",
+    "directory_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(f'(SELECT * FROM {_SEEN} WHERE path <> {PNG})')}",
+    "directory_files": f"SELECT path AS rel_path, CASE WHEN path <> 'a.png' THEN strlen(text)::VARCHAR END AS bytes, path = 'a.png' AS is_binary, false AS is_large, true AS success FROM {_SEEN} UNION ALL SELECT 'bad.txt', NULL, false, false, false UNION ALL SELECT 'bin.dat2', NULL, true, false, true",
+    "directory_walk_errors": "SELECT * FROM (VALUES ('Directory Walk Errors', 1::BIGINT), ('Scan Failures', 1::BIGINT)) t(warning_type, warnings)",
+    "explicit_paths": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(_LISTED)}",
     "scan_stats": f"SELECT count(*) FILTER (success) AS files_scanned, count(*) FILTER (NOT success) AS files_skipped, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "live_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, count(*) FILTER (success AND NOT is_binary AND path IN (SELECT path FROM {_FLAGGED_FOUND})) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary FROM {_FLAGGED}",
     "warning_classes": "SELECT CASE lang WHEN 'en' THEN 'Scan Failures' WHEN 'de' THEN 'Directory Walk Errors' ELSE 'Other Warnings' END AS warning_type, count(*) AS warnings FROM documents GROUP BY 1",

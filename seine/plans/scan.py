@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..operators.matcher import find, gate_all, gated
 from ..operators.predicates import contains_any, ignored_next, streamed, test_line
 from ..operators.summaries import scan_stats
 from ..sources.config import ScanConfig
-from ..sources.files import decoded, from_paths, scannable, walk
+from ..sources.files import as_uri, decoded, listed, scannable, walk_all
 
 FINDINGS = ["path", "line_number", "line", "matched_text", "start_pos", "end_pos", "secret_type", "pattern_description", "pattern_id"]
 
@@ -73,22 +74,40 @@ class Scanner:
         flagged = files.withColumn("success", F.col("text").isNotNull())
         return self._result(flagged)
 
-    def scan_files(self, flagged: DataFrame, root: str, include_binary: bool | None = None) -> ScanResult:
+    def scan_files(self, flagged: DataFrame, root: str, include_binary: bool | None = None, errors: DataFrame | None = None) -> ScanResult:
         """Files of a listing with the flags of sources.files.scannable."""
         binary = self.config.include_binary if include_binary is None else include_binary
-        return self._result(decoded(flagged, root, binary).withColumn("streamed", streamed(F.col("length"))))
+        return self._result(decoded(flagged, root, binary).withColumn("streamed", streamed(F.col("length"))), errors)
 
-    def scan_directory(self, spark: SparkSession, root: str) -> ScanResult:
+    def _walked(self, spark: SparkSession, root: str, **rules) -> DataFrame:
         c = self.config
-        return self.scan_files(scannable(walk(spark, root), c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary), root)
+        return walk_all(spark, root, follow_symlinks=c.follow_symlinks, **rules)
+
+    def scan_directory(self, spark: SparkSession, root: str, ignore_files: bool = True, global_rules: Sequence[str] = ()) -> ScanResult:
+        """All files below a root that ignore files, directory names and the configuration leave.
+
+        Ignore files count as in git: those of every folder, the repository's exclude file, those of parent folders in
+        the repository, and last the lines of a global one. A folder that cannot be listed gives a warning.
+        """
+        c = self.config
+        found = self._walked(spark, root, ignore_files=ignore_files, rules=tuple(global_rules), directories=tuple(c.directories))
+        files = found.filter("kind = 'file'").drop("kind", "message")
+        errors = found.filter("kind = 'error'").select("path", "message")
+        return self.scan_files(scannable(files, c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary), root, errors=errors)
 
     def scan_paths(self, spark: SparkSession, root: str, paths: DataFrame) -> ScanResult:
-        """An explicit list of paths: neither directory names nor the binary test apply."""
+        """An explicit list of paths (path) below a root: neither ignore files, directory names nor the binary test apply. Only these are looked up."""
         c = self.config
-        return self.scan_files(scannable(from_paths(walk(spark, root), paths), c.ignore_paths, (), (), c.max_file_mib, True), root, True)
+        return self.scan_files(scannable(listed(paths, root), c.ignore_paths, (), (), c.max_file_mib, True), root, True)
+
+    def scan_file(self, spark: SparkSession, path: str) -> ScanResult:
+        """One file, which no rule but the configured ignore paths and size leaves out."""
+        folder, _, _ = path.rpartition("/")
+        return self.scan_paths(spark, folder or ".", spark.createDataFrame([(pafs.FileSystem.from_uri(as_uri(path))[1],)], "path string"))
 
-    def _result(self, files: DataFrame) -> ScanResult:
+    def _result(self, files: DataFrame, errors: DataFrame | None = None) -> ScanResult:
         findings = self.findings(files.filter(F.col("text").isNotNull()))
         failed = files.filter(~F.col("success")).select("path", F.concat(F.lit("Failed to scan "), F.col("path"), F.lit(": not readable as UTF-8")).alias("message"))
         own = files.sparkSession.createDataFrame([(None, w) for w in self.pattern_warnings], "path string, message string")
-        return ScanResult(findings, files, failed.unionByName(own))
+        warnings = failed.unionByName(own)
+        return ScanResult(findings, files, warnings if errors is None else warnings.unionByName(errors))

@@ -160,6 +160,63 @@ def findings_outside_tests(spark, sf_dir):
     return Scanner().findings(documents(spark, sf_dir).unionByName(samples(spark, sf_dir, BLOCKS))).select(*PLACE, "matched_text")
 
 
+#: Files beside the samples in a folder: ignore files, a hidden file, a file of an ignored folder, a binary name, binary content, invalid UTF-8. SQL over n, a line feed.
+_BESIDE = (
+    ("'.gitignore'", "'logs/' || n || '/src/jwt*' || n || '!src/jwt1.txt' || n || '*.tmp'"),
+    ("'src/.gitignore'", "'# kept out' || n || 'github*'"),
+    ("'logs/a.txt'", "'token = 0a1b2c3d4e5f60718293a4b5c6d7e8f9'"),
+    ("'src/deep/down/x.tmp'", "'token = 0a1b2c3d4e5f60718293a4b5c6d7e8f9'"),
+    ("'src/deep/down/x.txt'", "'token = 0a1b2c3d4e5f60718293a4b5c6d7e8f9'"),
+    ("'.hidden'", "'key = 9f8e7d6c5b4a39281706f5e4d3c2b1a0'"),
+    ("'node_modules/x.txt'", "'token = 0a1b2c3d4e5f60718293a4b5c6d7e8f9'"),
+    ("'a.png'", "'token = 0a1b2c3d4e5f60718293a4b5c6d7e8f9'"),
+)
+
+
+def _folder(spark, sf_dir) -> str:
+    """A folder on shared storage with the sample files and those beside them."""
+    made = F.array(*[F.struct(F.expr(p).alias("path"), F.expr(t).alias("text")) for p, t in _BESIDE])
+    rows = samples(spark, sf_dir, TOKENS, IGNORED).unionByName(spark.sql("SELECT '\n' AS n").select(F.inline(made)))
+    rows = rows.select(F.col("path").alias("rel_path"), F.col("text").cast("binary").alias("content"))
+    odd = spark.sql("SELECT 'bad.txt' AS rel_path, X'746F6BFFFE' AS content UNION ALL SELECT 'bin.dat2', X'007F454C4602'")
+    root = file_source.shared_folder(spark)
+    file_source.write_files(rows.unionByName(odd), root)
+    return root
+
+
+def _below(root: str) -> Column:
+    return F.substring_index("path", f"{root.rsplit('/', 1)[1]}/", -1)
+
+
+def directory_findings(spark, sf_dir):
+    """Findings of a scan of a folder of files that this query writes."""
+    root = _folder(spark, sf_dir)
+    return Scanner().scan_directory(spark, root).findings.select(_below(root).alias("path"), "line_number", "pattern_id", "start_pos", "matched_text")
+
+
+def directory_files(spark, sf_dir):
+    """The files that such a scan looks at, and what it takes them for."""
+    root = _folder(spark, sf_dir)
+    files = Scanner().scan_directory(spark, root).files
+    return files.select("rel_path", F.octet_length("text").cast("string").alias("bytes"), "is_binary", "is_large", "success")
+
+
+def directory_walk_errors(spark, sf_dir):
+    """Warnings of a scan of a folder that is not there, and of one with an unreadable file."""
+    root = _folder(spark, sf_dir)
+    found = Scanner().scan_directory(spark, root).warnings.unionByName(Scanner().scan_directory(spark, f"{root}/gone").warnings)
+    return summaries.warning_classes(found.select("message"))
+
+
+def explicit_paths(spark, sf_dir):
+    """Findings of an explicit list of paths, which no ignore file or binary name leaves out, and of a single file."""
+    root = _folder(spark, sf_dir)
+    top = file_source.as_uri(root).split("://", 1)[1]
+    listed = spark.sql("SELECT explode(array('a.png', 'logs/a.txt', 'src/jwt1.txt', 'not-there')) AS name").select(F.concat(F.lit(f"{top}/"), "name").alias("path"))
+    found = Scanner().scan_paths(spark, root, listed).findings.unionByName(Scanner().scan_file(spark, f"{root}/src/github1.txt").findings)
+    return found.select(_below(root).alias("path"), "line_number", "pattern_id", "start_pos", "matched_text")
+
+
 def _flagged(spark, sf_dir) -> DataFrame:
     """All documents as files, and sample files that stand for unreadable and for binary ones."""
     flag = lambda rows, success, binary: rows.withColumns({"success": F.lit(success), "is_binary": F.lit(binary)})
@@ -304,7 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, scan_stats, live_counters, warning_classes, json_results, csv_results, html_results,
+        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_walk_errors, explicit_paths, scan_stats, live_counters, warning_classes, json_results, csv_results, html_results,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

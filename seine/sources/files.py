@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -11,40 +14,148 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.predicates import BINARY_EXTENSIONS, FILTERED_DIRECTORIES, IGNORED_PATHS, binary_content, binary_extension, glob_regex, in_filtered_directory, matches_glob, too_large
+from ..operators.predicates import BINARY_EXTENSIONS, FILTERED_DIRECTORIES, IGNORED_PATHS, binary_content, binary_extension, in_filtered_directory, matches_glob, too_large
 
 
 LISTING = "path string, rel_path string, length long, modified timestamp"
+_WALKED = f"{LISTING}, kind string, message string"
+#: Names of ignore files in any folder; later ones outrank earlier ones. Below the root of a repository also the exclude file.
+IGNORE_FILES = (".gitignore", ".ignore")
+EXCLUDE_FILE = ".git/info/exclude"
 
 
-def _rows(infos, root: str) -> pa.RecordBatch:
-    files = [f for f in infos if f.type == pafs.FileType.File]
-    columns = [pa.array([f.path for f in files], pa.string()), pa.array([f.path[len(root) :].lstrip("/") for f in files], pa.string()), pa.array([f.size for f in files], pa.int64()), pa.array([f.mtime for f in files], pa.timestamp("us", "UTC"))]
-    return pa.RecordBatch.from_arrays(columns, names=["path", "rel_path", "length", "modified"])
+class Walker:
+    """Lists folders as ignore files and directory names allow; made anew in every task.
 
+    Ignore files of a folder hold for what is below it; the deepest outranks the others, and its last fitting line
+    decides. What an ignored folder holds cannot be taken back. Ignore files of the root's own parents count up to the
+    repository that holds it, and `rules` (lines of a global ignore file) rank last.
+    """
 
-def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, length, modified) of all regular files below a root, hidden ones included.
-
-    Spark's own file sources leave out names that start with a dot or an underscore, so folders are listed by Arrow:
-    the root's entries on the driver, each folder below it in a task. No content is read.
+    def __init__(self, uri: str, ignore_files: bool = True, follow_symlinks: bool = False, rules: Sequence[str] = (), directories: Sequence[str] = ()):
+        self.fs, self.top = pafs.FileSystem.from_uri(uri)
+        self.local = isinstance(self.fs, pafs.LocalFileSystem)
+        self.ignore_files, self.follow, self.directories = ignore_files, follow_symlinks, frozenset(directories)
+        self.base = self._repository() if ignore_files else self.top
+        self.common = [(drop, re.compile(x), only) for drop, x, only in entry_rules(rules)]
+        self.known: dict[str, list] = {}
+
+    def _exists(self, path: str) -> bool:
+        return self.fs.get_file_info(path).type != pafs.FileType.NotFound
+
+    def _repository(self) -> str:
+        """The root, or the folder above it that holds .git."""
+        folder = self.top
+        while True:
+            try:
+                if self._exists(f"{folder}/.git"):
+                    return folder
+            except OSError:
+                return self.top
+            above = folder.rsplit("/", 1)[0]
+            if not above or above == folder:
+                return self.top
+            folder = above
+
+    def _rules(self, folder: str) -> list[tuple[bool, re.Pattern, bool]]:
+        if folder not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            lines: list[str] = []
+            for name in ([EXCLUDE_FILE] if folder == self.base else []) + list(IGNORE_FILES):
+                try:
+                    with self.fs.open_input_stream(f"{folder}/{name}") as f:
+                        lines += f.read().decode(errors="replace").splitlines()
+                except OSError:
+                    pass
+            self.known[folder] = [(drop, re.compile(x), only) for drop, x, only in entry_rules(lines)]
+        return self.known[folder]
+
+    def ignored(self, path: str, is_folder: bool) -> bool:
+        """Whether an entry of a folder that is not ignored is."""
+        if not self.ignore_files:
+            return False
+        folder = path.rsplit("/", 1)[0]
+        while len(folder) >= len(self.base):
+            for drop, regex, only in reversed(self._rules(folder)):
+                if (is_folder or not only) and regex.match(path, len(folder) + 1):
+                    return drop
+            if folder == self.base:
+                break
+            folder = folder.rsplit("/", 1)[0]
+        return next((drop for drop, regex, only in reversed(self.common) if (is_folder or not only) and regex.match(path, len(self.base) + 1)), False)
+
+    def entries(self, folder: str) -> list[tuple]:
+        """Rows of _WALKED: a folder's files and folders, or what kept it from being listed."""
+        try:
+            found = self.fs.get_file_info(pafs.FileSelector(folder))
+        except OSError as e:
+            return [(folder, folder[len(self.top) :].lstrip("/"), None, None, "error", f"Walk error: {folder}: {e.strerror or e}")]
+        out = []
+        for f in sorted(found, key=lambda f: f.path):
+            is_folder = f.type == pafs.FileType.Directory
+            if f.type not in (pafs.FileType.File, pafs.FileType.Directory) or (is_folder and f.base_name in self.directories):
+                continue
+            if self.local and os.path.islink(f.path):
+                real = os.path.realpath(f.path)
+                if not self.follow or (is_folder and f"{os.path.realpath(folder)}/".startswith(f"{real}/")):
+                    continue  # a link to a folder above would go on for ever
+            if not self.ignored(f.path, is_folder):
+                out.append((f.path, f.path[len(self.top) :].lstrip("/"), f.size, f.mtime, "folder" if is_folder else "file", None))
+        return out
+
+    def below(self, folder: str) -> Iterable[list[tuple]]:
+        """Rows of all folders below, one folder at a time."""
+        held = [folder]
+        while held:
+            rows = self.entries(held.pop())
+            held += [r[0] for r in reversed(rows) if r[4] == "folder"]
+            yield rows
+
+
+def _table(rows: Sequence[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string())
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "rel_path", "length", "modified", "kind", "message"])
+
+
+def as_uri(root: str) -> str:
+    return root if "://" in root else f"file://{os.path.abspath(root)}"
+
+
+def walk_all(spark: SparkSession, root: str, **rules) -> DataFrame:
+    """Rows of files, folders and errors below a root: path, rel_path, length, modified, kind, message. rules: see Walker.
+
+    Spark's own file sources leave out names that start with a dot or an underscore, so folders are listed by Arrow. The
+    root and its folders are listed level by level, each level dealt out anew; from the third level on a task goes down
+    by itself, one folder at a time, so it holds one folder's entries. No content but that of ignore files is read.
     """
-    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
-    fs, top = pafs.FileSystem.from_uri(uri)
-    entries = fs.get_file_info(pafs.FileSelector(top))
-    here = spark.createDataFrame(pa.Table.from_batches([_rows(entries, top)]), LISTING)
-    folders = [(e.path,) for e in entries if e.type == pafs.FileType.Directory]
-    if not folders:
-        return here
-
-    def below(batches):
-        fs, _ = pafs.FileSystem.from_uri(uri)
+    uri = as_uri(root)
+
+    def one(batches):
+        walker = Walker(uri, **rules)
         for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                yield _rows(fs.get_file_info(pafs.FileSelector(folder, recursive=True)), top)
+            for folder in batch.column("path").to_pylist():
+                yield _table(walker.entries(folder))
 
-    spread = spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 1000))
-    return here.unionByName(spread.mapInArrow(below, LISTING))
+    def all_below(batches):
+        walker = Walker(uri, **rules)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                for rows in walker.below(folder):
+                    if rows:
+                        yield _table(rows)
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    first = spark.createDataFrame([(pafs.FileSystem.from_uri(uri)[1],)], "path string").mapInArrow(one, _WALKED)
+    second = first.filter("kind = 'folder'").select("path").repartition(tasks).mapInArrow(one, _WALKED)
+    third = second.filter("kind = 'folder'").select("path").repartition(tasks).mapInArrow(all_below, _WALKED)
+    return first.unionByName(second).unionByName(third)
+
+
+def walk(spark: SparkSession, root: str, **rules) -> DataFrame:
+    """(path, rel_path, length, modified) of all regular files below a root, hidden ones included."""
+    return walk_all(spark, root, **rules).filter("kind = 'file'").drop("kind", "message")
 
 
 def with_content(files: DataFrame, root: str, batch_bytes: int = 32 << 20) -> DataFrame:
@@ -71,22 +182,73 @@ def with_content(files: DataFrame, root: str, batch_bytes: int = 32 << 20) -> Da
     return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def ignore_rules(lines: Iterable[str]) -> list[tuple[bool, str]]:
-    """(ignored, expression) for each rule of an ignore file, for paths below the file's folder; later rules win."""
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name in spark.checkpoint.dir, which driver and executors share; only a local session may lack the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="seine-files-")
+    return f"{root.rstrip('/')}/seine-files/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write each row (rel_path, content: binary) as a file below a root. A task that is run again writes the same files."""
+    uri = as_uri(root)
+
+    def write(batches):
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{top}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("rel_path")], names=["rel_path"])
+
+    rows.select("rel_path", "content").mapInArrow(write, "rel_path string").write.format("noop").mode("overwrite").save()
+
+
+def entry_rules(lines: Iterable[str]) -> list[tuple[bool, str, bool]]:
+    """(ignored, expression, folders only) for each rule of an ignore file; the expression fits an entry's whole path below the file's folder; later rules win."""
     out = []
     for line in lines:
-        rule = line.rstrip()
+        rule = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
         if not rule or rule.startswith("#"):
             continue
         keep, rule = (True, rule[1:]) if rule.startswith("!") else (False, rule)
         only_dirs, rule = rule.endswith("/"), rule.rstrip("/")
-        anchored = "/" in rule
-        parts = [glob_regex(p)[6:-2].replace(".*", "[^/]*").replace("(?s)", "") if p != "**" else "**" for p in rule.strip("/").split("/")]
-        body = "/".join(parts).replace("**/", "(?:.*/)?").replace("/**", "/.*").replace("**", ".*")
-        out.append((not keep, rf"(?s)\A{'' if anchored else '(?:.*/)?'}{body}{'/.*' if only_dirs else r'(?:/.*)?'}\z"))
+        if not rule:
+            continue
+        anchored, at = "/" in rule, 0
+        rule = rule.lstrip("/")
+        body = ""
+        while at < len(rule):
+            rest = rule[at:]
+            if rest.startswith("**/") and (at == 0 or rule[at - 1] == "/"):
+                body, at = body + "(?:.*/)?", at + 3
+            elif rest == "**" and at and rule[at - 1] == "/":
+                body, at = body + ".+", at + 2
+            elif rest[0] == "*":
+                body, at = body + "[^/]*", at + 1
+            elif rest[0] == "?":
+                body, at = body + "[^/]", at + 1
+            elif rest[0] == "[" and "]" in rest[2:]:
+                end = rest.index("]", 2)
+                inside = rest[1:end].replace("\\", "\\\\").replace("[", "\\[")
+                body, at = body + f"(?!/)[{'^' + inside[1:] if inside[0] == '!' else inside}]", at + end + 1
+            elif rest[0] == "\\" and len(rest) > 1:
+                body, at = body + re.escape(rest[1]), at + 2
+            else:
+                body, at = body + re.escape(rest[0]), at + 1
+        out.append((not keep, rf"(?s){'' if anchored else '(?:.*/)?'}{body}\Z", only_dirs))
     return out
 
 
+def ignore_rules(lines: Iterable[str]) -> list[tuple[bool, str]]:
+    """(ignored, expression) for each rule, for the paths of files below the ignore file's folder, in the engine's dialect."""
+    return [(drop, rf"\A{x[:-2]}{'/.*' if only else '(?:/.*)?'}\z") for drop, x, only in entry_rules(lines)]
+
+
 def ignored_by_rules(rel_path: Column, rules: Sequence[tuple[bool, str]]) -> Column:
     ignored = F.lit(False)
     for drop, regex in rules:
@@ -127,6 +289,19 @@ def fast_count(files: DataFrame, most_mib: int = 10, directories: Sequence[str]
     return files.filter(~F.arrays_overlap(above, F.array(*[F.lit(d) for d in directories])) & ~too_large(F.col("length"), most_mib)).agg(F.count(F.lit(1)).alias("files"))
 
 
+def listed(paths: DataFrame, root: str) -> DataFrame:
+    """The listing's columns of an explicit list of paths (path) below a root, without a walk; paths that are no files are left out."""
+    uri = as_uri(root)
+
+    def look(batches):
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            found = (f for f in fs.get_file_info(batch.column("path").to_pylist()) if f.type == pafs.FileType.File)
+            yield _table([(f.path, f.path[len(top) :].lstrip("/") if f.path.startswith(top) else f.path, f.size, f.mtime, "file", None) for f in found])
+
+    return paths.select("path").distinct().mapInArrow(look, _WALKED).drop("kind", "message")
+
+
 def from_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     """The files of an explicit list of paths (path), such as staged files; no binary test applies to them."""
     return files.join(paths.select("path").distinct(), "path", "left_semi")

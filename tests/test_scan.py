@@ -1,6 +1,7 @@
 """The scanning engine on small inputs."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,6 +279,39 @@ def test_ignore_files(spark):
     assert got == {"x.log", "s/y.log", "top", "dir/f", "s/dir/f", "a/z", "a/b/z"}
 
 
+def test_walk_honours_ignore_files(spark, tmp_path):
+    made = {
+        ".git/HEAD": "", ".git/info/exclude": "excluded.txt\n", ".gitignore": "*.log\nbuilt/\n!keep.log\n/only-here.txt\n", "pkg/.gitignore": "!deep.log\nsecret*\n", "x.log": "", "keep.log": "", "pkg/deep.log": "", "pkg/secret.txt": "",
+        "built/a.txt": "", "built/keep.log": "", "pkg/built/b.txt": "", "only-here.txt": "", "pkg/only-here.txt": "", "excluded.txt": "", "pkg/a/b/c/d.txt": "", ".ignore": "ignored.txt", "ignored.txt": "", "global.txt": "",
+    }
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    seen = lambda root, **rules: {r["rel_path"] for r in files.walk(spark, str(root), directories=(".git",), **rules).collect()}
+    assert seen(tmp_path, rules=("global.txt",)) == {".gitignore", ".ignore", "pkg/.gitignore", "keep.log", "pkg/deep.log", "pkg/only-here.txt", "pkg/a/b/c/d.txt"}
+    assert seen(tmp_path / "pkg") == {".gitignore", "deep.log", "only-here.txt", "a/b/c/d.txt", "global.txt"} - {"global.txt"}
+    assert seen(tmp_path, ignore_files=False) == {n for n in made if not n.startswith(".git/")}
+
+
+def test_walk_follows_links_on_request_and_reports_errors(spark, tmp_path):
+    (tmp_path / "real" / "sub").mkdir(parents=True)
+    (tmp_path / "real" / "sub" / "a.txt").write_text(f"token = {HEX[:40]}")
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    (tmp_path / "real" / "sub" / "loop").symlink_to(tmp_path / "real")
+    seen = lambda follow: sorted(r["rel_path"] for r in files.walk(spark, str(tmp_path), follow_symlinks=follow).collect())
+    assert seen(False) == ["real/sub/a.txt"] and seen(True) == ["link/sub/a.txt", "real/sub/a.txt"]
+    gone = Scanner().scan_directory(spark, str(tmp_path / "gone"))
+    assert gone.findings.count() == 0 and gone.warnings.first()["message"].startswith("Walk error: ")
+    one = Scanner().scan_file(spark, str(tmp_path / "real" / "sub" / "a.txt"))
+    assert one.findings.count() == 1 and tuple(one.stats.first()) == (1, 0, 1)
+
+
+def test_entry_rules():
+    fits = lambda rule, path: bool(re.match(files.entry_rules([rule])[0][1], path))
+    assert fits("*.log", "a/b.log") and fits("a?c", "x/abc") and not fits("a?c", "a/c") and fits("a/**", "a/b/c") and not fits("a/**", "a") and fits("**/x", "x") and fits("**/x", "p/q/x")
+    assert fits("[ab]c", "bc") and fits("[!ab]c", "xc") and not fits("[!ab]c", "ac") and fits(r"\#x", "#x") and fits("x ", "x") and fits("/top", "top") and not fits("/top", "s/top") and fits("d.e", "d.e") and not fits("d.e", "dxe")
+
+
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('[scanner]\nthreshold = 0.001\nignore_patterns = ["x"]\nmax_file_mib = 1\n[other]\na = 1\n')
     tree = config.merge({"scanner": {"entropy": True}}, config.load_file(tmp_path / "c.toml"), config.from_environment({"SEINE_SCANNER__ENTROPY": "false", "SEINE_EMPTY": "", "X": "1"}))
