@@ -6,12 +6,39 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Java flags that give \\d, \\w, \\s, \\b their Unicode meaning and let . exclude the line feed only.
 DIALECT = "(?Ud)"
 
 
+def _engine():
+    """java.util.regex.Pattern of the running session, or None without one."""
+    session = SparkSession.getActiveSession()
+    return session._jvm.java.util.regex.Pattern if session else None
+
+
+def _groups(regex: str) -> int:
+    engine = _engine()
+    return engine.compile(DIALECT + regex).matcher("").groupCount() if engine else re.compile(regex.replace("(?s)", "")).groups
+
+
+def refused(regex: str) -> str | None:
+    """Why the engine that runs expressions refuses one, or None. Without a session Python's dialect stands in."""
+    try:
+        _groups(regex)
+    except (IllegalArgumentException, Py4JJavaError, re.error) as e:
+        return str(e).splitlines()[0]
+    return None
+
+
+def in_dialect(regex: str) -> str:
+    """An expression with named groups as the engine writes them: (?P<name> is (?<name>, without underscores."""
+    return re.sub(r"(?<!\\)\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", regex)
+
+
 @dataclass(frozen=True)
 class Pattern:
     """anchors: each match holds one of these texts; none: every line is tried."""
@@ -23,7 +50,7 @@ class Pattern:
 
     @property
     def groups(self) -> int:
-        return re.compile(self.regex.replace("(?s)", "")).groups
+        return _groups(self.regex)
 
 
 # Names, expressions and descriptions, in their order.
@@ -88,13 +115,12 @@ def library(configured: Iterable[str] = (), given: Iterable[str] = ()) -> tuple[
     out, warnings = list(BUILT_IN), []
     for kind, regexes in (("configured", list(configured)), ("given", list(given))):
         for i, r in enumerate(regexes, 1):
-            try:
-                re.compile(r)
-            except re.error as e:
-                warnings.append(f"Invalid custom pattern '{r}': {e}")
+            ours = in_dialect(r)
+            if why := refused(ours):
+                warnings.append(f"Invalid custom pattern '{r}': {why}")
                 continue
             name = f"Custom Pattern {i}" if kind == "configured" else "Custom Pattern"
-            out.append(Pattern(name, r, "User-defined pattern"))
+            out.append(Pattern(name, ours, "User-defined pattern"))
     return tuple(out), warnings
 
 

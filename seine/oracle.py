@@ -139,6 +139,8 @@ def _scanned(source: str, outside: str = "true") -> str:
     return f"(SELECT * FROM {randomness(raw, 'secret')} WHERE {likely('secret', '1e-5')})"
 
 
+#: The word key between what is no word character; such characters beside it are taken in, and no two keys share one here.
+_EDGED = r"(^|[^\p{L}\p{M}\p{N}\p{Pc}])(key)($|[^\p{L}\p{M}\p{N}\p{Pc}])"
 CORPUS = files(TOKENS, IGNORED, docs=True)
 SCANNED = _scanned(CORPUS)
 _BLOCKS = blocks(files(BLOCKS, IGNORED, docs=True))
@@ -202,6 +204,16 @@ ORACLE: dict[str, str] = {
     "json_results": f"SELECT path, line_number, pattern_id, start_pos, to_json(struct_pack(file := path, line := line_number, type := secret_type, content := {TRIM}, matched_text := matched_text, start_pos := start_pos, end_pos := end_pos))::VARCHAR AS json FROM {SCANNED}",
     "csv_results": f"SELECT path, line_number, pattern_id, start_pos, path || ',' || line_number || ',' || secret_type || ',\"' || replace({TRIM}, '\"', '\"\"') || '\"' AS csv FROM {SCANNED}",
     "html_results": f"SELECT secret_type, 'secrets-' || lower(replace(secret_type, ' ', '-')) AS section, path, line_number, pattern_id, start_pos, '<tr><td>' || path || '</td><td>' || line_number || '</td><td><code>' || replace(replace(replace({TRIM}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</code></td></tr>' AS html FROM {SCANNED}",
+    "html_page_lines": f"""WITH f AS MATERIALIZED (SELECT * FROM {SCANNED}), n AS (SELECT secret_type AS t, count(*) AS c FROM f GROUP BY 1)
+      SELECT '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Scan report</title></head><body><h1>Scan report</h1>' AS html
+      UNION ALL SELECT '<h2 id=' || chr(39) || 'secrets-' || lower(replace(t, ' ', '-')) || chr(39) || '>' || t || ' (' || c || ' matches)</h2><table><tr><th>File</th><th>Line</th><th>Context</th></tr>' FROM n
+      UNION ALL SELECT '<tr><td>' || path || '</td><td>' || line_number || '</td><td><code>' || replace(replace(replace({TRIM}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</code></td></tr>' FROM f
+      UNION ALL SELECT '</table>' FROM n UNION ALL SELECT '</body></html>'""",
+    "custom_patterns": rf"""WITH l AS MATERIALIZED (SELECT line FROM {lines(CORPUS)}),
+      m AS (SELECT 'Custom Pattern 1' AS secret_type, unnest(regexp_extract_all(line, '\p{{Lu}}{{2}}_\p{{L}}+')) AS hit, '' AS g FROM l
+        UNION ALL SELECT 'Custom Pattern 2', 'x', regexp_extract(line, '([a-z]+)-([0-9]+)\z', 1) FROM l WHERE regexp_matches(line, '([a-z]+)-([0-9]+)\z')
+        UNION ALL SELECT 'Custom Pattern 4', unnest(regexp_extract_all(line, '{_EDGED}', 2)), '' FROM l)
+      SELECT secret_type, count(*) AS matches, min(CASE WHEN g = '' THEN hit ELSE g END) AS least FROM m GROUP BY 1 UNION ALL SELECT 'warnings', 1, ''""",
     "text_results": f"SELECT path, path || ' (' || count(*) || ' matches)' AS header, string_agg('  line ' || line_number || ': ' || secret_type || ' ' || {TRIM}, chr(10) ORDER BY line_number, pattern_id, start_pos) AS lines FROM {SCANNED} GROUP BY path",
     "scan_pages": _column("page_id", "html", "pages"),
     "scan_conversations": _column("conv_id || '/' || turn", "text", "conversations"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import csv_quoted, html_escape, section_id, trim
 from ..operators.summaries import by_type
@@ -25,7 +26,7 @@ def json_lines(findings: DataFrame, full: bool = False) -> DataFrame:
 
 
 def json_document(findings: DataFrame, warnings: DataFrame, stats: DataFrame, duration_ms: int = 0) -> DataFrame:
-    """One row, json: results, warnings and statistics. It holds all findings in one value; use json_lines for many."""
+    """One row, json: results, warnings and statistics. All findings are one value of at most 2 GB; json_lines and write_reports have no such bound."""
     results = findings.select(F.struct(*ORDER).alias("o"), _match().alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda x: x["m"]).alias("results"))
     notes = warnings.agg(F.transform(F.array_sort(F.collect_list("message")), lambda m: F.struct(m.alias("message"))).alias("warnings"))
     joined = results.crossJoin(notes).crossJoin(stats)
@@ -34,7 +35,7 @@ def json_document(findings: DataFrame, warnings: DataFrame, stats: DataFrame, du
 
 
 def json_report(findings: DataFrame, warnings: DataFrame, stats: DataFrame, generated_at: int, duration_ms: int = 0, version: str = "1") -> DataFrame:
-    """One row, json: the report file with its metadata, summary, secrets and warnings."""
+    """One row, json: the report file with its metadata, summary, secrets and warnings. json_page is the same, line by line, of any size."""
     secrets = findings.select(F.struct(*ORDER).alias("o"), _match(True).alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda x: x["m"]).alias("secrets"))
     notes = warnings.agg(F.transform(F.array_sort(F.collect_list("message")), lambda m: F.struct(m.alias("message"))).alias("warnings"))
     joined = secrets.crossJoin(notes).crossJoin(stats)
@@ -65,20 +66,63 @@ def html_rows(findings: DataFrame) -> DataFrame:
     return findings.select("secret_type", F.concat(F.lit("secrets-"), section_id(F.col("secret_type"))).alias("section"), *ORDER, row.alias("html"))
 
 
+def html_page(findings: DataFrame, title: str = "Scan report") -> DataFrame:
+    """(value), one row a line of the page, in order: sections by type, most findings first. No value holds more than one finding."""
+    counts = by_type(findings)  # one row a pattern
+    ranked = counts.select("secret_type", "matches", F.row_number().over(Window.orderBy(F.col("matches").desc(), "secret_type")).alias("rank"))
+    place = [F.lit(None).cast(t).alias(c) for c, t in zip(ORDER, ("string", "int", "int", "int"), strict=True)]
+    one = findings.sparkSession.range(1)
+    name = html_escape(F.lit(title))
+    head = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1>"))
+    heading = F.concat(F.lit("<h2 id='secrets-"), section_id(F.col("secret_type")), F.lit("'>"), html_escape(F.col("secret_type")), F.lit(" ("), F.col("matches").cast("string"), F.lit(" matches)</h2><table><tr><th>File</th><th>Line</th><th>Context</th></tr>"))
+    parts = [
+        one.select(F.lit(0).alias("rank"), F.lit(0).alias("kind"), *place, head.alias("value")),
+        ranked.select("rank", F.lit(0), *place, heading),
+        html_rows(findings).join(F.broadcast(ranked), "secret_type").select("rank", F.lit(1), *[F.col(c) for c in ORDER], "html"),
+        ranked.select("rank", F.lit(2), *place, F.lit("</table>")),
+        counts.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(1), F.lit(0), *place, F.lit("<p>No findings.</p>")),
+        one.select(F.lit(2147483647), F.lit(0), *place, F.lit("</body></html>")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return whole.orderBy("rank", "kind", *ORDER).select("value")
+
+
 def html_report(findings: DataFrame, title: str = "Scan report") -> str:
-    """The whole page, its sections by type, most findings first. It is meant for reports that a person reads; its rows pass through the driver one partition at a time."""
-    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{title}</title></head><body><h1>{title}</h1>"]
-    sections = {r["secret_type"]: r["matches"] for r in by_type(findings).collect()}  # one row a pattern
-    rank = {name: i for i, name in enumerate(sections)}
-    order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]) if rank else None
-    last = None
-    if order is not None:
-        for r in html_rows(findings).withColumn("_rank", order[F.col("secret_type")]).orderBy("_rank", *ORDER).toLocalIterator():
-            if r["secret_type"] != last:
-                out.append(("</table>" if last else "") + f"<h2 id='{r['section']}'>{r['secret_type']} ({sections[r['secret_type']]} matches)</h2><table><tr><th>File</th><th>Line</th><th>Context</th></tr>")
-                last = r["secret_type"]
-            out.append(r["html"])
-    return "\n".join([*out, "</table>" if last else "<p>No findings.</p>", "</body></html>"])
+    """The whole page as one text, for reports that a person reads; write_reports has no such bound."""
+    return "\n".join(r["value"] for r in html_page(findings, title).toLocalIterator())
+
+
+def json_page(findings: DataFrame, warnings: DataFrame, stats: DataFrame, generated_at: int, duration_ms: int = 0, version: str = "1") -> DataFrame:
+    """(value), one row a line of the JSON report, in order: the object of json_report with a line for each finding and warning."""
+    place = F.struct(*ORDER)
+    first = findings.agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    least = warnings.agg(F.min("message").alias("first"), F.count(F.lit(1)).alias("n"))
+    comma = lambda is_first: F.when(is_first, "").otherwise(",")
+    about = F.struct(F.lit(generated_at).alias("generated_at"), F.lit(version).alias("tool_version"), F.lit(duration_ms).alias("scan_duration_ms"), F.col("files_scanned").alias("total_files_scanned"), F.col("files_skipped").alias("total_files_skipped"))
+    summary = F.struct(F.col("s.n").alias("total_secrets"), F.col("w.n").alias("total_warnings"))
+    totals = stats.crossJoin(first.alias("s")).crossJoin(least.alias("w"))  # one row each
+    head = totals.select(F.lit(0).alias("part"), F.lit(None).cast(findings.select(place).schema[0].dataType).alias("at"), F.lit("").alias("note"), F.concat(F.lit('{"report_metadata":'), F.to_json(about), F.lit(',"summary":'), F.to_json(summary), F.lit(',"secrets":[')).alias("value"))
+    secrets = findings.crossJoin(F.broadcast(first)).select(F.lit(1), place, F.lit(""), F.concat(comma(place == F.col("first")), F.to_json(_match(True))))
+    numbered = warnings.select("message", F.row_number().over(Window.partitionBy("message").orderBy("message")).alias("k"))
+    notes = numbered.crossJoin(F.broadcast(least)).select(F.lit(3), F.lit(None), "message", F.concat(comma((F.col("message") == F.col("first")) & (F.col("k") == 1)), F.to_json(F.struct("message"))))
+    one = findings.sparkSession.range(1)
+    whole = head.union(secrets).union(one.select(F.lit(2), F.lit(None), F.lit(""), F.lit('],"warnings":['))).union(notes).union(one.select(F.lit(4), F.lit(None), F.lit(""), F.lit("]}")))
+    return whole.orderBy("part", "at", "note", F.length("value")).select("value")
+
+
+def write_reports(findings: DataFrame, warnings: DataFrame, stats: DataFrame, folder: str, epoch: int, duration_ms: int = 0) -> tuple[str, str]:
+    """Write the HTML and the JSON report below a folder, each as a folder of part files that make up the report when put together in the order of their names."""
+    html, js = (f"{folder.rstrip('/')}/{name}" for name in report_names(epoch))
+    html_page(findings).write.text(html)
+    json_page(findings, warnings, stats, epoch, duration_ms).write.text(js)
+    return html, js
+
+
+def wants_report(findings: DataFrame, warnings: DataFrame) -> bool:
+    """Whether a text report writes report files as well: more than REPORT_ABOVE findings or warnings. No more rows than that are looked at."""
+    return any(rows.limit(REPORT_ABOVE + 1).count() > REPORT_ABOVE for rows in (findings, warnings))
 
 
 def report_names(epoch: int) -> tuple[str, str]:

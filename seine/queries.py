@@ -11,7 +11,7 @@ from .functions import entropy, text
 from .operators import drift, predicates, summaries
 from .operators.blocks import test_blocks
 from .operators.matcher import find
-from .functions.patterns import BUILT_IN, pattern_table
+from .functions.patterns import BUILT_IN, library, pattern_table
 from .plans import hooks, reports
 from .plans.scan import Scanner
 from .samples import BLOCKS, IGNORED, TOKENS
@@ -258,6 +258,19 @@ def text_results(spark, sf_dir):
     return rows.select("path", "header", F.array_join("lines", "\n").alias("lines"))
 
 
+def html_page_lines(spark, sf_dir):
+    return reports.html_page(scanned(spark, sf_dir)).withColumnRenamed("value", "html")
+
+
+def custom_patterns(spark, sf_dir):
+    """Matches of configured expressions, in the engine's own dialect, and the warning about a wrong one."""
+    regexes = (r"\p{Lu}{2}_\p{L}+", r"(?P<word_1>[a-z]+)-(?<n>\d+)\z", "(", r"\bkey\b")
+    own, warnings = library(regexes)
+    found = find(tables.lines(corpus(spark, sf_dir)), own[len(BUILT_IN) :])
+    counts = found.groupBy("secret_type").agg(F.count(F.lit(1)).alias("matches"), F.min("secret").alias("least"))
+    return counts.unionByName(spark.sql(f"SELECT 'warnings' AS secret_type, CAST({len(warnings)} AS BIGINT) AS matches, '' AS least"))
+
+
 def _scan_column(spark, sf_dir, name: str, path: Column, column: str) -> DataFrame:
     """Matches by pattern in a table's column and in the sample tokens appended to it, before the gate."""
     rows = tables.as_files(tables.spread(table(spark, sf_dir, name)), path, F.col(column)).unionByName(samples(spark, sf_dir, TOKENS))
@@ -361,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_walk_errors, explicit_paths, scan_stats, live_counters, warning_classes, json_results, csv_results, html_results,
+        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_walk_errors, explicit_paths, scan_stats, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

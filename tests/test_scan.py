@@ -2,6 +2,7 @@
 
 import json
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,6 +259,32 @@ def test_reports(spark):
     assert json.loads(reports.json_document(empty.findings, empty.warnings, empty.stats).first()["json"])["results"] == []
 
 
+def test_report_files_are_whole_in_parts(spark, tmp_path):
+    result = Scanner().scan_table(spark.createDataFrame([(f"{i}.txt", f"token = {HEX[i:40 + i]}\nkey={HEX[:30]} <b>") for i in range(15)] + [("null", None), ("none", None)], "path string, text string"))
+    html, js = reports.write_reports(result.findings, result.warnings, result.stats, str(tmp_path), 99, 7)
+    text = lambda folder: "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
+    assert html.endswith("scan-report-99.html") and text(html).rstrip("\n") == reports.html_report(result.findings)
+    assert json.loads(text(js)) == json.loads(reports.json_report(result.findings, result.warnings, result.stats, 99, 7).first()["json"])
+    assert reports.wants_report(result.findings, result.warnings) and not reports.wants_report(result.findings.limit(20), result.warnings)
+    empty = Scanner().scan_table(spark.createDataFrame([], "path string, text string"))
+    _, js = reports.write_reports(empty.findings, empty.warnings, empty.stats, str(tmp_path), 100)
+    assert json.loads(text(js))["secrets"] == []
+
+
+def test_custom_patterns_speak_the_engines_dialect(spark):
+    session_patterns, warnings = library((r"\p{L}+\z", r"(?P<a_b>x)(y)", "(", r"(?<n>z)"))
+    assert [p.groups for p in session_patterns[38:]] == [0, 2, 1] and len(warnings) == 1 and "'('" in warnings[0]
+    found = Scanner(config.ScanConfig(custom_patterns=(r"(?P<a_b>xq)(y)",), entropy=False)).findings(spark.createDataFrame([("p", "xqy")], "path string, text string"))
+    assert [r["matched_text"] for r in found.collect()] == ["xqy"]
+
+
+def test_diff_lines_end_at_line_feeds_only(spark):
+    frame = spark.createDataFrame([("p", "a\x0cb\r\nc\n", "a\x0cb\nd\n"), ("q", None, ""), ("r", "same\n" * 5000, "same\n" * 5000 + "x")], "path string, old_text string, new_text string")
+    got = [(r["path"], r["tag"], r["line"], r["old_index"], r["new_index"]) for r in drift.grouped_diff(frame).orderBy("path", "hunk", "place").collect()]
+    assert got[:3] == [("p", "equal", "a\x0cb", 0, 0), ("p", "delete", "c", 1, None), ("p", "insert", "d", None, 1)]
+    assert got[3:] == [("r", "equal", "same", i, i) for i in (4997, 4998, 4999)] + [("r", "insert", "x", None, 5000)]
+
+
 def test_directory_scan(spark, tmp_path):
     secret = f"token = {HEX[:40]}"
     for name, content in {"a.txt": secret, "sub/b.txt": secret, "tests/c.txt": secret, "target/d.txt": secret, "e.png": secret, ".env": secret, "f.bin2": "x\0" + secret}.items():
