@@ -32,8 +32,8 @@ DEEP_LEAF = 8
 #: Draws at a node of the first TOP levels; below, every other node draws twice, so that levels hardly add rows.
 BRANCH, TOP = 2, 6
 #: A node of this average similarity or more is compared as it is: each draw brings together again that share of its pairs,
-#: so two draws leave no fewer comparisons, in more rows. It is estimated from so many of the node's records and a quarter
-#: of the coordinates; the estimate decides where pairs are compared, never whether.
+#: so two draws leave no fewer comparisons, in more rows. It is estimated from so many of the node's records; the
+#: estimate decides where pairs are compared, never whether.
 DENSE, SAMPLE = 0.5, 64
 #: No path draws more coordinates than this. What is left there is compared in cells.
 DEPTH = 48
@@ -148,12 +148,23 @@ def with_sizes(level: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def density(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """(node, density) of nodes (record, node, used, n): the average similarity of a sample of their records, from coordinates that the path has not used."""
+    """(node, density) of nodes (record, node, used, n): the average similarity of about SAMPLE of their records, from the
+    coordinates that the path has not drawn. Null for fewer than two records or no such coordinate."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for used, values in zip(batch.column("used").to_pylist(), batch.column("sigs"), strict=True):
+                sig = values.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+                free = [c for c in range(COORDINATES) if not used >> c & 1]
+                sig, n = sig[:, free], len(sig)
+                pairs = n * (n - 1) * len(free)
+                found.append((int((sig[:, None, :] == sig[None, :, :]).sum()) - n * len(free)) / pairs if pairs else None)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.float64())], names=["node", "density"])
+
     picked = rows.filter(F.pmod(F.xxhash64("record", "node", F.lit("pick")), F.col("n")) < SAMPLE).select("record", "node", "used")
-    values = picked.join(records.select("record", "sig"), "record").select("node", "used", F.posexplode("sig").alias("c", "v"))
-    values = values.filter((F.pmod(F.xxhash64("node", "c"), F.lit(4)) == 0) & ((F.call_function("shiftright", "used", "c") % 2) == 0))
-    counts = values.groupBy("node", "c", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("node", "c").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-    return counts.groupBy("node").agg(F.try_divide(F.sum(F.col("kk") - F.col("m")), F.sum(F.col("m") * (F.col("m") - 1))).alias("density"))
+    sampled = picked.join(records.select("record", "sig"), "record").groupBy("node").agg(F.first("used").alias("used"), F.collect_list("sig").alias("sigs"))
+    return sampled.mapInArrow(run, "node long, density double")
 
 
 def _draws(depth: int) -> Column:
