@@ -25,7 +25,12 @@ _CLUSTERS = "bl br ch ck cl cr ct dr ff fl fr gh gl gr ks ld lf lk ll lp ls lt m
 
 
 def default_bigrams() -> tuple[str, ...]:
-    """Pairs that are common in source text, by rule: two hexadecimal digits, a vowel beside a frequent consonant, frequent clusters, and joints of names and paths."""
+    """A stand-in for a table of pairs that are common in source text, by rule: two hexadecimal digits, a vowel beside a
+    frequent consonant, frequent clusters, and joints of names and paths.
+
+    It has 488 pairs, the number that the gate is calibrated for, but not the pairs of any collected table: verdicts near
+    the threshold differ from such a table's. One is given as ScanConfig.bigrams, or as a file (config.load_bigrams).
+    """
     pairs = [a + b for a in _HEX for b in _HEX]
     pairs += [x for v in _VOWELS for c in _CONSONANTS for x in (v + c, c + v)]
     pairs += _CLUSTERS

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import tomllib
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields, replace
@@ -70,9 +72,59 @@ def from_environment(env: Mapping[str, str], prefix: str = "SEINE_") -> dict[str
 
 
 def load_file(path: str | Path) -> dict[str, Any]:
-    """A TOML or JSON file on the driver."""
+    """A TOML, JSON or YAML file on the driver; YAML needs a YAML package. An empty file is an empty configuration."""
     raw = Path(path).read_text(encoding="utf-8")
-    return json.loads(raw) if str(path).endswith(".json") else tomllib.loads(raw)
+    if str(path).endswith(".json"):
+        return json.loads(raw) if raw.strip() else {}
+    if str(path).endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: no YAML package is installed") from e
+        return yaml.safe_load(raw) or {}
+    return tomllib.loads(raw)
+
+
+SUFFIXES = (".toml", ".yaml", ".yml", ".json")
+
+
+def found_files(start: str | Path, name: str = "seine", system: str | Path = "/etc", home: str | Path | None = None) -> list[Path]:
+    """The configuration files that hold for a folder, from the lowest precedence to the highest: the system's
+    (system/name/name.*), the user's (home/.config/name/name.*), and those named name.* or .name.* in the folder's parents,
+    from the top down to itself."""
+    home = Path(home) if home else Path.home()
+    folders = [Path(system) / name, home / ".config" / name, *reversed(Path(start).resolve().parents), Path(start).resolve()]
+    stems = [(f, (name,) if i < 2 else (name, f".{name}")) for i, f in enumerate(folders)]
+    return [f / f"{stem}{suffix}" for f, names in stems for stem in names for suffix in SUFFIXES if (f / f"{stem}{suffix}").is_file()]
+
+
+def layered(start: str | Path = ".", custom: str | Path | None = None, env: Mapping[str, str] | None = None, request: Mapping[str, Any] | None = None, **places: Any) -> dict[str, Any]:
+    """The merged configuration: found files, a custom file, the environment, and the request, each above the ones before."""
+    layers = [load_file(f) for f in found_files(start, **places)]
+    layers += [load_file(custom)] if custom else []
+    return merge(*layers, from_environment(os.environ if env is None else env), request or {})
+
+
+def problems(tree: Mapping[str, Any]) -> list[str]:
+    """What is wrong with the `scanner` table of a configuration: unknown keys, and values of another kind than their default's."""
+    kinds = {f.name: type(getattr(ScanConfig(), f.name)) for f in fields(ScanConfig) if f.name != "extra"} | {"bigrams": tuple, "bigrams_file": str}
+    out = []
+    for k, v in (get(tree, "scanner") or {}).items():
+        if k not in kinds:
+            out.append(f"unknown key: scanner.{k}")
+            continue
+        want = (list, tuple) if kinds[k] is tuple else (int, float) if kinds[k] is float else kinds[k]
+        if not isinstance(v, want) or (isinstance(v, bool) and kinds[k] is not bool):
+            out.append(f"scanner.{k}: {type(v).__name__} in place of {'list' if kinds[k] is tuple else kinds[k].__name__}")
+    return out
+
+
+def load_bigrams(path: str | Path) -> tuple[str, ...]:
+    """A table of pairs for the randomness gate from a text file: pairs parted by commas or line feeds, in any order."""
+    pairs = tuple(dict.fromkeys(p for p in re.split(r"[,\r\n]", Path(path).read_text(encoding="utf-8")) if p))
+    if bad := [p for p in pairs if len(p.encode()) != 2]:
+        raise ValueError(f"{path}: not a pair: {bad[0]!r}")
+    return pairs
 
 
 def get(tree: Mapping[str, Any], dotted: str, default: Any = None) -> Any:
@@ -89,6 +141,8 @@ def scan_config(tree: Mapping[str, Any]) -> ScanConfig:
     skipped = {"follow_symlinks", "max_file_mib", "binary_extensions", "extra"}
     known = {f.name for f in fields(ScanConfig)} - skipped
     given = {k: tuple(v) if isinstance(v, list) else v for k, v in (get(tree, "scanner") or {}).items() if k in known}
+    if table := get(tree, "scanner.bigrams_file"):
+        given["bigrams"] = load_bigrams(table)
     return ScanConfig(**given, extra={k: v for k, v in tree.items() if k != "scanner"})
 
 

@@ -1,6 +1,7 @@
 """The scanning engine on small inputs."""
 
 import json
+import math
 import re
 from pathlib import Path
 
@@ -352,6 +353,28 @@ def test_config(tmp_path):
     assert tomllib.loads(config.export(tree, "toml")) == tree
 
 
+def test_layers_of_configuration(tmp_path):
+    made = {"etc/seine/seine.toml": "a = 1\nb = 1\n[scanner]\nthreshold = 0.5\n", "home/.config/seine/seine.json": '{"b": 2, "c": 2}', "p/.seine.yaml": "c: 3\nd: 3\n", "p/q/seine.toml": "d = 4\n", "own.yml": "e: 5\n", "empty.json": ""}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    tree = config.layered(tmp_path / "p" / "q", tmp_path / "own.yml", {"SEINE_F": "6", "SEINE_E": ""}, {"g": 7}, system=tmp_path / "etc", home=tmp_path / "home")
+    assert tree == {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "f": 6, "g": 7, "scanner": {"threshold": 0.5}} and config.load_file(tmp_path / "empty.json") == {}
+    assert config.problems(tree) == [] and config.problems({"scanner": {"entropy": 1, "x": 2, "threshold": 1, "custom_patterns": "a"}}) == ["scanner.entropy: int in place of bool", "unknown key: scanner.x", "scanner.custom_patterns: str in place of list"]
+
+
+def test_a_table_of_pairs_is_a_parameter(spark, tmp_path):
+    (tmp_path / "pairs.txt").write_text("er,te\nan,er\n")
+    c = config.scan_config({"scanner": {"bigrams_file": str(tmp_path / "pairs.txt")}})
+    assert c.bigrams == ("er", "te", "an")
+    rows = spark.createDataFrame([("xerteranQ",)], "t string")
+    got = entropy.with_randomness(rows, "t", c.bigrams).first()
+    assert abs(got["p_bigram"] - sum(math.comb(9, k) * (3 / 4096) ** k * (1 - 3 / 4096) ** (9 - k) for k in range(4, 10))) < 1e-15
+    (tmp_path / "bad.txt").write_text("abc")
+    with pytest.raises(ValueError):
+        config.load_bigrams(tmp_path / "bad.txt")
+
+
 def test_stream_finds_what_a_batch_finds(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text(f"token = {HEX[:40]}\nnothing\nkey={HEX[:30]} # scan:ignore\n")
