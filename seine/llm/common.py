@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +38,37 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+_noted: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that operators make within the block, in order, for delete()."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables and files that operators of this application have written in the shared folder. Results that are not yet written or read need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, [f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}"])
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

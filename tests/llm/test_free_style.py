@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -587,3 +588,44 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     whole = pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in whole.collect()) == seen[4]
     assert all(x is not None for x in (decontam, mixing, quality, sharding))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, and an empty table: each stage and the whole run."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(90))
+    twice = prose()
+    good = [(100 + i, prose(), "en", "s1", 1) for i in range(30)] + [(None, prose(), "en", None, None), (200, twice, None, "s1", 1), (200, twice, None, "s1", 1), (201, prose(), None, None, 1)]
+    docs = odd_docs(spark).unionByName(spark.createDataFrame(good, DOCS))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "x y z"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in got}
+    assert {None, 200, 201} <= kept and len({r["text"] for r in got if r["doc_id"] == 200}) == 1 and not {1, 2, 3, 4, 5, 7} & kept
+    root = common.shared_root(spark).removeprefix("file://")
+    assert not [p for p in Path(root, "seine", spark.sparkContext.applicationId).glob("stage-*") if not p.name.startswith("stage-sharding")]
+    clash = clashing(docs)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clash, str(tmp_path))
+        assert set(out.columns) == set(clash.columns) and out.count() > 0, name
+        assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+def test_the_join_and_chat_queries_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    tops, links = naive_classes([d["text"] for d in docs])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op1_jaccard_join"](spark, str(SF)).collect()}
+    assert got == {d["doc_id"]: (docs[t]["doc_id"], n) for d, t, n in zip(docs, tops, links, strict=True)}
+    convs = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        convs[r["conv_id"]].append((r["role"], r["text"] or ""))
+    says = "</s>[INST] ok [/INST]"
+    convs[-7] = [("user", says), ("assistant", says)]
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for r in QUERIES["op2_chat_format"](spark, str(SF)).collect():
+        turns = convs.pop(r["conv_id"])
+        learned = "".join(t for role, t in turns if role == "assistant")
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(learned), sha(learned))
+    assert not convs
