@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seine.llm import decontam, jaccard_join, mixing, quality, sharding
-from seine.llm.common import blank_words, cut, keyed, lookup
+from seine.llm.common import blank_words, cut, delete, keyed, lookup, noted
 from seine.sources.tables import spread
 
 SHARDS = 24
@@ -79,8 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over `documents`."""
+    """The rows of the last stage over `documents`. What a stage has written is deleted once the next stage's rows are, so only the result stays."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    with noted() as written:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            delete(spark, written[:-1])
+            del written[:-1]
     return docs
