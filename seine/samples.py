@@ -21,7 +21,7 @@ TOKENS: tuple[tuple[str, str], ...] = (
     ("'src/mail' || k || '.txt'", "'SG.' || substr(h, 1, 22) || '.' || g || substr(h, 1, 11) || ' ' || h || '-us12 AC' || g || ' SK' || h"),
     ("'src/intra' || k || '.txt'", "'s-s4t2ud-' || h || g || ' PuTTY-User-Key-File-2: ssh-rsa AGE-SECRET-KEY-1' || upper(h || substr(g, 1, 26))"),
     ("'src/pem' || k || '.txt'", "'-----BEGIN RSA PRIVATE KEY-----' || n || h || g || n || '-----END RSA PRIVATE KEY-----'"),
-    ("'src/pem1' || k || '.txt'", "'-----BEGIN EC PRIVATE KEY-----' || h || g || h || '-----END EC PRIVATE KEY----- -----BEGIN CERTIFICATE REQUEST-----' || h || g || h || '-----END CERTIFICATE REQUEST-----'"),
+    ("'src/pemline' || k || '.txt'", "'-----BEGIN EC PRIVATE KEY-----' || h || g || h || '-----END EC PRIVATE KEY----- -----BEGIN CERTIFICATE REQUEST-----' || h || g || h || '-----END CERTIFICATE REQUEST-----'"),
     ("'src/ssh' || k || '.txt'", "'ssh-ed25519 ' || h || g || h || substr(g, 1, 8) || '= me@host'"),
     ("'src/llm' || k || '.txt'", "'sk-proj-' || h || substr(g, 1, 12) || ' sk-' || h || substr(g, 1, 12) || ' sk-ant-api03-' || h || g || ' hf_' || h || 'abcde co.' || h || ' r8_' || h || substr(g, 1, 8)"),
     ("'src/uuid' || k || '.txt'", "'id ' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"),
