@@ -71,10 +71,10 @@ def release(spark: SparkSession) -> None:
     delete(spark, [f"{shared_root(spark)}/seine/{spark.sparkContext.applicationId}"])
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: later stages start from files that outlive any executor."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -145,3 +145,20 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[Colu
     Rows that agree in both are repeated rows; they always get the same result.
     """
     return [F.col(key), F.xxhash64(F.col(text), F.octet_length(text)).alias("_text_key")]
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that name a text: the start of its SHA-256. Null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def copy_groups(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(_key, _first, _copies) of the texts that more than one row of (key, _key) holds: their least key, their rows. Written; it combines before it shuffles, so a text that a third of all rows hold is no hot key."""
+    groups = rows.groupBy("_key").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    return cut(groups.filter("_copies > 1"), "copies")
+
+
+def one_of_each(rows: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows (key, _key, ...) with each text once, that of its least key. Rows that agree in key and text all stay: a consumer skips what it has seen, as their order is the same."""
+    known = lookup(rows, groups, ["_key"])
+    return known.filter(F.col("_copies").isNull() | F.col(key).eqNullSafe(F.col("_first"))).drop("_first")

@@ -148,6 +148,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM rates JOIN over USING (rid)
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+                regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN least USING (t) LEFT JOIN lab USING (doc_id)),
+cell AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+letter AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+perm AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+step AS (
+  SELECT part, o, s, o[s] AS i,
+         sum(n) FILTER (len(list_filter(o[1:s], lambda j: fails[j])) = 0) AS kept,
+         sum(n) FILTER (fails[o[s]] AND len(list_filter(o[1:s - 1], lambda j: fails[j])) = 0) AS removed,
+         sum(n) FILTER (fails[o[s]] AND len(list_filter(o[1:s - 1], lambda j: fails[j])) > 0) AS redundant,
+         sum(n) FILTER (fails[o[s]] AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails,
+         sum(g) FILTER (fails[o[s]] AND len(list_filter(o[1:s - 1], lambda j: fails[j])) = 0) AS good_lost,
+         sum(x) FILTER (fails[o[s]] AND len(list_filter(o[1:s - 1], lambda j: fails[j])) = 0) AS toxic_lost
+  FROM cell, perm, (SELECT unnest([1, 2, 3, 4, 5]) AS s) GROUP BY part, o, s)
+SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order, s::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, i))::BIGINT AS shapley
+FROM step
+"""
 
 ORACLE: dict[str, str] = {
     "op4_mixing": OP4,
@@ -155,4 +183,5 @@ ORACLE: dict[str, str] = {
     "op7_url_filter": OP7,
     "op8_decontamination": OP8,
     "op10_quality": _op10(),
+    "op12_filter_audit": OP12,
 }
