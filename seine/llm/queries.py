@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import chat, decontam, filter_audit, html_text, jaccard_join, mixing, quality, sharding, token_counts, token_files, url_filter
+from . import alignment, chat, decontam, filter_audit, html_text, jaccard_join, mixing, quality, sharding, token_counts, token_files, url_filter
 from .common import blank_words
 
 
@@ -113,6 +113,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -125,4 +130,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_alignment": op13_token_alignment,
 }

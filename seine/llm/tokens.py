@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -240,7 +241,7 @@ def longest_prefix(table: np.ndarray, budget: int) -> int:
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-_made: dict[tuple[type, str], object] = {}
+_made: dict[tuple, object] = {}
 
 
 def shared(kind: type, path: str):
@@ -248,3 +249,115 @@ def shared(kind: type, path: str):
     if (kind, path) not in _made:
         _made[kind, path] = kind(path)
     return _made[kind, path]
+
+
+#: White space of any tokenizer's rules, as a class of Arrow's expressions.
+_ANY_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+class TwinEncoder:
+    """The ids of one text by two tokenizers: a byte-level BPE file (A, of the text behind a space) and a sentencepiece BPE model (B, which adds the space itself).
+
+    Both part texts at a single space between characters that are no white space: A's pre-tokenizer puts the space to
+    what follows, and no piece of B holds a space behind another character. So distinct words are encoded once while they
+    stay cached. Texts with other runs of white space around a space are encoded whole, and so are all texts if a file
+    has other rules.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = a = Tokenizer.from_file(path_a)
+        a.no_truncation()
+        a.no_padding()
+        a.encode_special_tokens = True
+        self.b = b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        if max(a.get_vocab_size(with_added_tokens=True), b.get_piece_size()) > 1 << 16:
+            raise ValueError("vocabularies of more than 65,536 tokens do not fit the ids")
+        with open(path_a, encoding="utf-8") as f:
+            rules = json.load(f)
+        byte_of = {c: i for i, c in _byte_level()}
+        self.a_bytes = [b""] * a.get_vocab_size(with_added_tokens=True)
+        for piece, i in a.get_vocab(with_added_tokens=True).items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a_bytes, self.b_bytes))
+        before = rules["pre_tokenizer"] or {}
+        self.by_word = (
+            rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+            and not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not b.is_control(i)) and b.encode("a b") == b.encode("a") + b.encode("b")
+        )
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _both(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and B of each text as 16-bit integers; none if the bytes of either do not join to a space and the text."""
+        out = []
+        for text, a, b in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
+            whole, a = f" {text}".encode(), a.ids
+            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+            out.append((np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None)
+        return out
+
+    def _words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        if len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        new = [w for w in words if w not in cache]
+        fresh = {w: old[w] for w in new if w in old}
+        rest = [w for w in new if w not in fresh]
+        fresh.update(zip(rest, self._both(rest), strict=True))
+        found = [cache[w] if w in cache else fresh[w] for w in words]
+        cache.update((w, t) for w, t in fresh.items() if len(w) <= CACHE_CHARS)
+        return found
+
+    def encode_batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """For each text of a string array without nulls: its ids by A and by B; none if it is empty or its bytes do not join to it."""
+        if not self.by_word:
+            yield from self._whole(texts.to_pylist())
+            return
+        odd = pc.match_substring_regex(texts, rf"{_ANY_SPACE} {_ANY_SPACE}|^ | $|  |^$").to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self._words([w for w in words if w])
+        wrong = np.zeros(len(words), bool)
+        at, sides = iter(known), ([], [])
+        for i, w in enumerate(words):
+            pair = next(at) if w else (b"", b"")
+            wrong[i] = pair is None
+            for side, ids in zip(sides, pair or (b"", b""), strict=True):
+                side.append(ids)
+        place, ends = coded.indices.to_numpy(zero_copy_only=False), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        bad = np.concatenate([[0], np.cumsum(wrong[place])])[ends]
+        bad = bad[1:] > bad[:-1]
+        gathered = []
+        for side in sides:
+            ids, sizes = _gather(np.frombuffer(b"".join(side), "<u2"), np.fromiter(map(len, side), np.int64, len(side)) // 2, coded, parts)
+            gathered.append(np.split(ids, np.cumsum(sizes)[:-1]))
+        whole = iter(list(self._whole(texts.filter(pa.array(odd)).to_pylist())))
+        for i, (a, b) in enumerate(zip(*gathered, strict=True)):
+            yield next(whole) if odd[i] else None if bad[i] else (a, b)
+
+    def _whole(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        for text in texts:
+            both = self._both([text])[0] if text else None
+            yield both and (np.frombuffer(both[0], "<u2"), np.frombuffer(both[1], "<u2"))
+
+
+def _byte_level() -> Iterator[tuple[int, str]]:
+    """(byte, character) of the byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for those from 256 on, in turn."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    for i in range(256):
+        yield i, chr(i if i in own else next(rest))
+
+
+def twins(path_a: str, path_b: str) -> TwinEncoder:
+    """One twin encoder for each pair of files in a worker process."""
+    if (TwinEncoder, path_a, path_b) not in _made:
+        _made[TwinEncoder, path_a, path_b] = TwinEncoder(path_a, path_b)
+    return _made[TwinEncoder, path_a, path_b]
