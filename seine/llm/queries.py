@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import alignment, chat, decontam, filter_audit, html_text, jaccard_join, mixing, quality, sharding, token_counts, token_files, url_filter
+from . import alignment, chat, decontam, filter_audit, html_text, jaccard_join, mixing, quality, sharding, substring_dedup, token_counts, token_files, url_filter
 from .common import blank_words
 
 
@@ -108,6 +108,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(dealt(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(spark, sf_dir, "documents", "doc_id", "text", "source")
     return filter_audit.audit_documents(docs, table(spark, sf_dir, "labels"))
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_token_alignment": op13_token_alignment,
 }
