@@ -20,7 +20,7 @@ from .common import copy_groups, cut, may_broadcast, one_of_each, text_key
 from .tokens import TwinEncoder, twins
 
 #: Tokens of a block, bytes of text that an encoding step holds, and bounds of the table of pairs in a broadcast.
-BLOCK, TEXT_BYTES, PAIR_ROWS, PAIR_BYTES = 4096, 8 << 20, 1_000_000, 128 << 20
+BLOCK, TEXT_BYTES, PAIR_ROWS, PAIR_BYTES = 4096, 4 << 20, 1_000_000, 128 << 20
 
 _EVENTS = pa.schema([("key", pa.binary()), ("copies", pa.int64()), ("first_end", pa.int64()), ("side", pa.int8()), ("block", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
 _SWEPT = pa.schema([("key", pa.binary()), ("copies", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.list_(pa.int64()))])
@@ -110,7 +110,8 @@ class Sweep:
         (a_ids, b_ids), (a, b) = (x[:n] for x, n in zip(self.ids, k, strict=True)), (x[:n] for x, n in zip(self.ends, k, strict=True))
         self.ids, self.ends = ([x[n:] for x, n in zip(xs, k, strict=True)] for xs in (self.ids, self.ends))
         # between two neighbouring ends lies one token of either side: a link
-        spots = np.union1d(a, b)
+        last_a, last_b = b[np.searchsorted(b, a)] == a, a[np.searchsorted(a, b)] == b
+        spots = np.sort(np.concatenate([a, b[~last_b]]), kind="stable")
         codes = a_ids[np.searchsorted(a, spots)].astype(np.uint32) << 16 | b_ids[np.searchsorted(b, spots)]
         codes, counts = np.unique(codes, return_counts=True)
         if len(self.codes):
@@ -118,7 +119,6 @@ class Sweep:
             codes, counts = both, np.bincount(place, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
         self.codes, self.counts = codes, counts
         self.n_links += len(spots)
-        last_a, last_b = b[np.searchsorted(b, a)] == a, a[np.searchsorted(a, b)] == b
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         groups = int(last_a.sum())
         before_a, before_b = (np.concatenate([[0], np.cumsum(np.bincount(g, minlength=groups))]) for g in (group_a, group_b))

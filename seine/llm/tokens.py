@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -251,6 +252,8 @@ def shared(kind: type, path: str):
     return _made[kind, path]
 
 
+#: Words that a twin encoder hands to the libraries at a time, and those it keeps before it starts anew.
+TWIN_WORDS, TWIN_PIECES = 8192, 150_000
 #: White space of any tokenizer's rules, as a class of Arrow's expressions.
 _ANY_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -296,14 +299,17 @@ class TwinEncoder:
     def _both(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of A and B of each text as 16-bit integers; none if the bytes of either do not join to a space and the text."""
         out = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            whole, a = f" {text}".encode(), a.ids
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None)
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        for at in range(0, len(texts), TWIN_WORDS):
+            part = texts[at : at + TWIN_WORDS]
+            for text, a, b in zip(part, self.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
+                whole, a = f" {text}".encode(), a.ids
+                same = b"".join(map(a_bytes, a)) == whole == b"".join(map(b_bytes, b))
+                out.append((array("H", a).tobytes(), array("H", b).tobytes()) if same else None)
         return out
 
     def _words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > TWIN_PIECES:
             self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
         new = [w for w in words if w not in cache]
