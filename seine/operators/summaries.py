@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BUILT_IN, Pattern, pattern_table
@@ -54,6 +54,13 @@ def live_counters(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(done).alias("scanned"), F.count_if(done & (F.col("matches") > 0)).alias("with_secrets"), F.count_if(~F.col("success")).alias("skipped"), F.count_if(F.col("is_binary")).alias("binary"))
 
 
+def observed_counts(columns: Iterable[str]) -> list[Column]:
+    """What a scan counts of its files while it passes over them: files_scanned, scanned (without binary files), skipped, binary."""
+    binary = F.col("is_binary") if "is_binary" in columns else F.lit(False)
+    ok = F.col("success")
+    return [F.count_if(ok).alias("files_scanned"), F.count_if(ok & ~binary).alias("scanned"), F.count_if(~ok).alias("skipped"), F.count_if(binary).alias("binary")]
+
+
 def warning_classes(warnings: DataFrame) -> DataFrame:
     """(warning_type, warnings), most first; equal counts by name."""
     m = F.col("message")

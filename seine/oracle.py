@@ -81,6 +81,9 @@ _TEST_LINE = f"""(SELECT bool_or(x) FROM (SELECT unnest([
   FROM (SELECT regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g') AS b)))"""
 _KEPT = f"NOT contains(line, 'scan:ignore') AND NOT contains(line, '# TEST_SECRET:') AND NOT contains(line, 'DEMO_KEY_') AND NOT contains(line, 'FAKE_') AND NOT coalesce(contains(previous, 'scan:ignore-next'), false) AND NOT {_TEST_LINE}"
 
+#: The same for lines that come without their files.
+_KEPT_ALONE = _KEPT.replace("NOT coalesce(contains(previous, 'scan:ignore-next'), false) AND ", "")
+
 
 def randomness(source: str, column: str) -> str:
     """source plus base, distinct_bytes, bigrams, p_distinct, p_class, p_bigram and p of a column."""
@@ -135,7 +138,11 @@ def blocks(source: str) -> str:
 
 
 def _scanned(source: str, outside: str = "true") -> str:
-    raw = matches(f"(SELECT * FROM {lines(source)} AS src WHERE {_KEPT} AND {outside})")
+    return _scanned_lines(source, f"{_KEPT} AND {outside}")
+
+
+def _scanned_lines(source: str, kept: str) -> str:
+    raw = matches(f"(SELECT * FROM {lines(source)} AS src WHERE {kept})")
     return f"(SELECT * FROM {randomness(raw, 'secret')} WHERE {likely('secret', '1e-5')})"
 
 
@@ -146,6 +153,7 @@ SCANNED = _scanned(CORPUS)
 _BLOCKS = blocks(files(BLOCKS, IGNORED, docs=True))
 _WRITTEN = f"(SELECT path, text FROM ({files_sql(TOKENS, IGNORED)}) UNION ALL " + " UNION ALL ".join(f"SELECT {p}, {t} FROM (SELECT chr(10) AS n)" for p, t in _BESIDE) + ")"
 _SEEN = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE (NOT starts_with(path, 'src/jwt') OR path = 'src/jwt1.txt') AND NOT starts_with(path, 'src/github') AND NOT starts_with(path, 'logs/') AND NOT starts_with(path, 'node_modules/') AND NOT ends_with(path, '.tmp'))"
+_STREAMED = f"(SELECT path, repeat(text || chr(13) || chr(10), 30) AS text FROM ({files_sql(TOKENS, IGNORED, BLOCKS)}))"
 PNG = q("a.png")
 _LISTED = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE path IN ('a.png', 'logs/a.txt', 'src/jwt1.txt', 'src/github1.txt'))"
 _OUTSIDE = _scanned(files(BLOCKS, docs=True), f"NOT EXISTS (SELECT 1 FROM {blocks(files(BLOCKS, docs=True))} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
@@ -179,7 +187,7 @@ ORACLE: dict[str, str] = {
     "line_stats_by_lang": f"SELECT lang, count(*) AS lines, max(length(line))::INT AS longest, sum(strlen(line))::BIGINT AS bytes, count(*) FILTER (line = '') AS empty FROM {lines('(SELECT lang AS path, coalesce(text, chr(39) || chr(39)) AS text FROM documents)')} AS x(lang, n, line, p) GROUP BY lang",
     "findings_raw": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos, secret FROM {matches(lines(files(TOKENS, docs=True)))}",
     "findings": f"SELECT path, line_number, pattern_id, start_pos, secret_type, matched_text, end_pos FROM {SCANNED}",
-    "findings_strict_groups": f"WITH m AS MATERIALIZED (SELECT path, line_number, pattern_id, start_pos, matched_text FROM {matches(lines(files(TOKENS, docs=True)))}), o AS MATERIALIZED ({_OWN_GROUP}) SELECT path, line_number, pattern_id, start_pos, matched_text, own AS secret FROM o WHERE own <> '' AND own <> matched_text",
+    "findings_strict_groups": f"WITH m AS MATERIALIZED (SELECT path, line_number, pattern_id, start_pos, matched_text FROM {matches(lines(files(TOKENS, docs=True)))}), o AS MATERIALIZED ({_OWN_GROUP}) SELECT path, line_number, pattern_id, start_pos, matched_text, coalesce(nullif(own, ''), matched_text) AS secret FROM o UNION ALL SELECT *, matched_text FROM m WHERE pattern_id NOT IN (SELECT pattern_id FROM o)",
     "findings_per_pattern": PER_PATTERN.format(names=NAMES, found=SCANNED),
     "findings_per_file": f"SELECT path, count(*) AS matches, min(line_number) AS first_line, count(DISTINCT secret_type) AS types FROM {SCANNED} GROUP BY path",
     "findings_by_type": f"SELECT secret_type, count(*) AS matches FROM {SCANNED} GROUP BY secret_type",
@@ -196,6 +204,12 @@ ORACLE: dict[str, str] = {
     "findings_outside_tests": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_OUTSIDE}",
     "directory_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(f'(SELECT * FROM {_SEEN} WHERE path <> {PNG})')}",
     "directory_files": f"SELECT path AS rel_path, CASE WHEN path <> 'a.png' THEN strlen(text)::VARCHAR END AS bytes, path = 'a.png' AS is_binary, false AS is_large, true AS success FROM {_SEEN} UNION ALL SELECT 'bad.txt', NULL, false, false, false UNION ALL SELECT 'bin.dat2', NULL, true, false, true",
+    "directory_shapes": f"SELECT shape, replace(path, '/', '-') AS name, count(*) AS matches FROM {_scanned(files(TOKENS))}, (SELECT unnest(['flat', 'branch']) AS shape) GROUP BY ALL",
+    "directory_shares": f"""WITH f AS (SELECT replace(path, '/', '-') AS rel_path, strlen(text)::BIGINT AS length FROM {files(TOKENS)}),
+      s AS (SELECT rel_path, length, sum(length + 100) OVER (ORDER BY rel_path) - length - 100 AS before, sum(length + 100) OVER () AS total FROM f)
+      SELECT rel_path, length, (before // greatest(least(67108864, -(-total // 7)), 1))::INT AS task FROM (SELECT rel_path, length, before::BIGINT AS before, ceil(total / 7)::BIGINT * 7 AS total FROM s)""",
+    "streamed_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned_lines(_STREAMED, _KEPT_ALONE)}",
+    "scan_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, (SELECT count(DISTINCT path) FROM {_FLAGGED_FOUND}) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "directory_walk_errors": "SELECT * FROM (VALUES ('Directory Walk Errors', 1::BIGINT), ('Scan Failures', 1::BIGINT)) t(warning_type, warnings)",
     "explicit_paths": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(_LISTED)}",
     "scan_stats": f"SELECT count(*) FILTER (success) AS files_scanned, count(*) FILTER (NOT success) AS files_skipped, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
@@ -218,11 +232,25 @@ ORACLE: dict[str, str] = {
     "scan_pages": _column("page_id", "html", "pages"),
     "scan_conversations": _column("conv_id || '/' || turn", "text", "conversations"),
     "scan_event_props": _column("event_id", "props", "events"),
-    "patterns": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(p.name)}, {q(p.regex)}, {p.groups}, {q(p.description)})" for i, p in enumerate(BUILT_IN, 1)) + ") t(pattern_id, name, regex, n_groups, description)",
+    "patterns": "WITH l AS MATERIALIZED (SELECT line FROM " + lines("(" + DOCUMENTS + ")") + "), p AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(p.name)}, {q(p.regex)}, {p.groups}, {q(p.description)}, {many(p.anchors) if p.anchors else many([''])})" for i, p in enumerate(BUILT_IN, 1)) + ") t(pattern_id, name, regex, n_groups, description, anchors)), "
+    "a AS (SELECT DISTINCT unnest(anchors) AS anchor FROM p), h AS MATERIALIZED (SELECT rid, anchor FROM (SELECT line, row_number() OVER () AS rid FROM l) JOIN a ON contains(line, anchor)) "
+    "SELECT pattern_id, name, regex, n_groups, description, (SELECT count(DISTINCT rid) FROM h WHERE list_contains(anchors, anchor)) AS candidate_lines FROM p",
     "sync_changed_files": _CHANGED + ")",
     "sync_changed_content": _CHANGED + " OR s.body <> d.body)",
     "sync_status": f"SELECT repo, CASE WHEN files IS NULL THEN 'InSync' ELSE 'OutOfSync' END AS status, coalesce(files, '') AS changed_files FROM (SELECT DISTINCT p_brand AS repo FROM part UNION ALL SELECT 'idle') r LEFT JOIN (SELECT split_part(rel_path, '/', 1) AS repo, string_agg(rel_path, ',' ORDER BY rel_path) AS files FROM ({_CHANGED})) GROUP BY 1) c USING (repo) WHERE NOT ends_with(repo, '1')",
     "sync_line_diff": "SELECT path, line, CASE WHEN d > 0 THEN 'insert' ELSE 'delete' END AS tag, abs(d)::BIGINT AS n FROM (SELECT path, line, sum(d) AS d FROM (SELECT p_brand AS path, p_type AS line, -1 AS d FROM part UNION ALL SELECT p_brand, CASE WHEN p_size % 9 = 0 THEN p_type || '!' WHEN p_size % 4 = 0 THEN lower(p_type) ELSE p_type END, 1 FROM part) GROUP BY ALL) WHERE d <> 0",
+    "sync_diff_edits": """WITH RECURSIVE raw AS (
+        SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+      pair AS (
+        SELECT path, ls AS a, [ls[-1]] || flatten(list_transform(list_filter(ls, lambda x, i: (i - 1) % 5 <> 3), lambda x, i: CASE WHEN (i - 1) % 7 = 2 THEN [x, x] ELSE [x] END)) AS b FROM raw),
+      f AS MATERIALIZED (
+        SELECT path, list_transform(CASE WHEN a[-1] = '' THEN a[1:-2] ELSE a END, lambda s: rtrim(s, chr(13))) AS a, list_transform(CASE WHEN b[-1] = '' THEN b[1:-2] ELSE b END, lambda s: rtrim(s, chr(13))) AS b FROM pair),
+      dp(path, i, r) AS (
+        SELECT path, 0, list_transform(range(len(b) + 1), lambda x: 0) FROM f
+        UNION ALL
+        SELECT dp.path, i + 1, [0] || list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: greatest(r[t + 1], r[t] + CASE WHEN a[i + 1] = b[t] THEN 1 ELSE 0 END))))
+        FROM dp JOIN f USING (path) WHERE i < len(a))
+      SELECT path, (len(a) - r[-1])::BIGINT AS deleted, (len(b) - r[-1])::BIGINT AS inserted FROM dp JOIN f USING (path) WHERE i = len(a) AND len(a) + len(b) > 2 * r[-1]""",
     "commit_checks": r"""WITH m AS (SELECT o_orderkey, ['feat', 'fix(ui)', 'feat(api)!', 'docs:', 'no type', 'chore', '# only a comment'][o_orderkey % 7 + 1] || CASE WHEN o_orderkey % 3 = 0 THEN ':' ELSE ': ' END || lower(o_orderpriority) AS body FROM orders),
       c AS (SELECT o_orderkey, CASE WHEN starts_with(body, '#') THEN '' ELSE trim(body) END AS clean FROM m),
       t AS (SELECT *, regexp_extract(clean, '^([A-Za-z][A-Za-z0-9_-]*)(\(([^()]+)\))?(!)?: *([^ ].*)$', ['type', 'x', 'scope', 'b', 'd']) AS g FROM c)
@@ -234,5 +262,7 @@ ORACLE: dict[str, str] = {
       FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN 'v' || c_custkey WHEN 1 THEN substr(md5(c_custkey::VARCHAR), 1, c_custkey % 45) WHEN 2 THEN c_custkey || '.0' ELSE 'main' END AS version FROM customer)""",
     "scan_times": "SELECT l_orderkey, l_linenumber, CASE WHEN ms < 10000 THEN ms || 'ms' ELSE CASE WHEN ms >= 60000 THEN ms // 60000 || 'm ' ELSE '' END || (ms // 1000) % 60 || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') || 's' END AS shown FROM (SELECT *, l_orderkey * 37 + l_linenumber AS ms FROM lineitem)",
     "worker_counts": f"SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN least(greatest(1, m * p_size // 100), p_size % 4) ELSE greatest(1, m * p_size // 100) END::INT AS workers, greatest(1, {_ADAPT('n', 'm')})::INT AS adapted, greatest(0, {_ADAPT('n', 'm')})::INT AS scanner, least(greatest(1, {_ADAPT('n', 'm')}), n, 8)::INT AS hook FROM (SELECT *, p_partkey % 150 AS n, p_size % 16 + 1 AS m FROM part)",
-    "directory_analysis": "SELECT * FROM (VALUES ('target/', 'Rust build directory', 'properly_ignored'), ('dist/', 'Build output directory', 'properly_ignored'), ('venv/', 'Python virtual environment', 'needs_gitignore'), ('vendor/', 'Go dependencies', 'needs_gitignore'), ('__pycache__/', 'Python cache directory', 'needs_gitignore')) t(dir, description, status)",
+    "directory_analysis": """WITH k AS (SELECT unnest(['target', 'node_modules', 'dist', 'build', '__pycache__', 'venv', '.venv', 'vendor']) AS name, unnest(range(8)) AS i,
+        unnest(['Rust build directory', 'Node.js dependencies', 'Build output directory', 'Build output directory', 'Python cache directory', 'Python virtual environment', 'Python virtual environment', 'Go dependencies']) AS description)
+      SELECT s_suppkey::VARCHAR AS repo, name || '/' AS dir, description, CASE WHEN (s_suppkey * (i + 1)) % 5 IN (0, 2) THEN 'properly_ignored' ELSE 'needs_gitignore' END AS status FROM supplier, k WHERE (s_suppkey + i) % 3 <> 0""",
 }

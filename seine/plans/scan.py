@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern, library
@@ -14,22 +16,53 @@ from ..functions.text import lines_of
 from ..operators.blocks import test_blocks
 from ..operators.matcher import find, gate_all, gated
 from ..operators.predicates import contains_any, ignored_next, streamed, test_line
-from ..operators.summaries import scan_stats
+from ..operators.summaries import observed_counts
+from ..sources.chunks import RANGE, counted, file_states, lines_of_parts, ranges
 from ..sources.config import ScanConfig
-from ..sources.files import as_uri, decoded, listed, scannable, walk_all
+from ..sources.files import as_uri, decoded, listed, scannable, skipped, walk_all
+from ..sources.written import written
 
 FINDINGS = ["path", "line_number", "line", "matched_text", "start_pos", "end_pos", "secret_type", "pattern_description", "pattern_id"]
 
 
-@dataclass(frozen=True)
+@dataclass
 class ScanResult:
+    """findings, files and warnings are lazy, each a plan of its own."""
+
     findings: DataFrame
     files: DataFrame
     warnings: DataFrame
+    observed: Callable[[Observation], DataFrame]
+
+    @cached_property
+    def _job(self) -> tuple[DataFrame, dict[str, int]]:
+        observation = Observation()
+        rows = written(self.observed(observation))
+        try:
+            counts = observation.get
+        except Py4JError:  # a plan without any row is optimized away, and its metrics with it
+            counts = dict.fromkeys(("files_scanned", "scanned", "skipped", "binary"), 0)
+        return rows, counts
+
+    @property
+    def saved(self) -> DataFrame:
+        """The findings, written in the shared folder by one job, which also counts the files on its way."""
+        return self._job[0]
+
+    @cached_property
+    def counters(self) -> dict[str, int]:
+        """scanned (without binary files), with_secrets, skipped, binary, files_scanned and total_matches of the job that writes `saved`.
+
+        Those of files are metrics of that job's own pass over them; with_secrets and total_matches count what it wrote.
+        """
+        rows = self.saved.agg(F.countDistinct("path").alias("with_secrets"), F.count(F.lit(1)).alias("total_matches")).first()
+        return {**self._job[1], **rows.asDict()}
 
     @property
     def stats(self) -> DataFrame:
-        return scan_stats(self.files, self.findings)
+        """One row: files_scanned, files_skipped, total_matches. Nothing is scanned again."""
+        c = self.counters
+        return self.findings.sparkSession.createDataFrame([(c["files_scanned"], c["skipped"], c["total_matches"])], "files_scanned long, files_skipped long, total_matches long")
 
 
 class Scanner:
@@ -54,7 +87,11 @@ class Scanner:
         if c.ignore_test_code:
             # blocks are few and most files have none, so most lines are not tested against any
             kept = F.when(F.size("blocks") == 0, kept).otherwise(F.filter(kept, lambda r: ~F.exists(F.col("blocks"), lambda b: (b["start_line"] < r["line_number"]) & (r["line_number"] <= b["end_line"]))))
-        rows = rows.select("path", "streamed", F.inline(kept))
+        return self._wanted(rows.select("path", "streamed", F.inline(kept)))
+
+    def _wanted(self, rows: DataFrame) -> DataFrame:
+        """The lines of (path, streamed, line_number, line, previous) that no rule about lines leaves out."""
+        c = self.config
         rows = rows.filter(gate_all(F.col("line"), self.patterns))
         line = F.col("line")
         rows = rows.filter(~contains_any(line, c.ignore_comments) & ~contains_any(line, c.ignore_patterns))
@@ -63,8 +100,15 @@ class Scanner:
         return rows.filter(F.col("streamed") | ~ignored_next(F.col("previous"), c.ignore_next)).select("path", "line_number", "line")
 
     def findings(self, files: DataFrame) -> DataFrame:
+        return self._found(self.lines(files))
+
+    def line_findings(self, lines: DataFrame) -> DataFrame:
+        """Findings in lines (path, line_number, line) that come without their files, as of files that are read in parts."""
+        return self._found(self._wanted(lines.withColumns({"streamed": F.lit(True), "previous": F.lit(None).cast("string")})))
+
+    def _found(self, lines: DataFrame) -> DataFrame:
         c = self.config
-        found = find(self.lines(files), self.patterns, strict_groups=c.strict_groups)
+        found = find(lines, self.patterns, strict_groups=c.strict_groups)
         if c.entropy:
             found = gated(found, c.threshold, c.bigrams)
         return found.select(*FINDINGS)
@@ -74,10 +118,30 @@ class Scanner:
         flagged = files.withColumn("success", F.col("text").isNotNull())
         return self._result(flagged)
 
-    def scan_files(self, flagged: DataFrame, root: str, include_binary: bool | None = None, errors: DataFrame | None = None) -> ScanResult:
-        """Files of a listing with the flags of sources.files.scannable."""
+    def scan_flagged(self, files: DataFrame) -> ScanResult:
+        """files: path, text, success, is_binary; files with a null text are counted and not looked at."""
+        return self._result(files)
+
+    def scan_files(self, flagged: DataFrame, root: str, include_binary: bool | None = None, errors: DataFrame | None = None, balanced: bool = False, range_bytes: int = RANGE) -> ScanResult:
+        """Files of a listing with the flags of sources.files.scannable.
+
+        Files that are streamed are read in ranges by many tasks; this is prepared when called, in one pass over them.
+        balanced: the others are dealt out by their bytes.
+        """
         binary = self.config.include_binary if include_binary is None else include_binary
-        return self._result(decoded(flagged, root, binary).withColumn("streamed", streamed(F.col("length"))), errors)
+        in_parts = streamed(F.col("length"), self.config.whole_mib) & ~skipped()
+        rest = decoded(flagged.filter(~in_parts), root, binary, balanced)
+        large = flagged.filter(in_parts)
+        if large.isEmpty():
+            return self._result(rest, errors)
+        parts = counted(ranges(large, range_bytes), root)
+        states = file_states(parts)
+        if binary:
+            states = states.join(parts.groupBy("path").agg(F.max("bad").alias("bad")), "path").select("path", (~F.col("bad")).alias("success"), F.lit(False).alias("is_binary"))
+        states = written(states)
+        known = large.drop("is_binary").join(states, "path").withColumn("text", F.lit(None).cast("string")).select(*rest.columns)
+        good = parts.join(states.filter("success and not is_binary").select("path"), "path", "left_semi")
+        return self._result(rest, errors, known, lines_of_parts(good, root))
 
     def _walked(self, spark: SparkSession, root: str, **rules) -> DataFrame:
         c = self.config
@@ -87,13 +151,14 @@ class Scanner:
         """All files below a root that ignore files, directory names and the configuration leave.
 
         Ignore files count as in git: those of every folder, the repository's exclude file, those of parent folders in
-        the repository, and last the lines of a global one. A folder that cannot be listed gives a warning.
+        the repository, and last the lines of a global one. A folder that cannot be listed gives a warning. The walk runs
+        when this is called, once; its written listing is dealt out to reading tasks by bytes.
         """
         c = self.config
         found = self._walked(spark, root, ignore_files=ignore_files, rules=tuple(global_rules), directories=tuple(c.directories))
         files = found.filter("kind = 'file'").drop("kind", "message")
         errors = found.filter("kind = 'error'").select("path", "message")
-        return self.scan_files(scannable(files, c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary), root, errors=errors)
+        return self.scan_files(scannable(files, c.ignore_paths, c.directories, c.binary_extensions, c.max_file_mib, c.include_binary), root, errors=errors, balanced=True)
 
     def scan_paths(self, spark: SparkSession, root: str, paths: DataFrame) -> ScanResult:
         """An explicit list of paths (path) below a root: neither ignore files, directory names nor the binary test apply. Only these are looked up."""
@@ -105,9 +170,16 @@ class Scanner:
         folder, _, _ = path.rpartition("/")
         return self.scan_paths(spark, folder or ".", spark.createDataFrame([(pafs.FileSystem.from_uri(as_uri(path))[1],)], "path string"))
 
-    def _result(self, files: DataFrame, errors: DataFrame | None = None) -> ScanResult:
-        findings = self.findings(files.filter(F.col("text").isNotNull()))
-        failed = files.filter(~F.col("success")).select("path", F.concat(F.lit("Failed to scan "), F.col("path"), F.lit(": not readable as UTF-8")).alias("message"))
-        own = files.sparkSession.createDataFrame([(None, w) for w in self.pattern_warnings], "path string, message string")
+    def _result(self, files: DataFrame, errors: DataFrame | None = None, in_parts: DataFrame | None = None, part_lines: DataFrame | None = None) -> ScanResult:
+        """in_parts: files like `files`, without texts; part_lines: their lines."""
+        every = files if in_parts is None else files.unionByName(in_parts)
+
+        def found(rows: DataFrame) -> DataFrame:
+            findings = self.findings(rows.filter(F.col("text").isNotNull()))
+            return findings if part_lines is None else findings.unionByName(self.line_findings(part_lines))
+
+        failed = every.filter(~F.col("success")).select("path", F.concat(F.lit("Failed to scan "), F.col("path"), F.lit(": not readable as UTF-8")).alias("message"))
+        own = every.sparkSession.createDataFrame([(None, w) for w in self.pattern_warnings], "path string, message string")
         warnings = failed.unionByName(own)
-        return ScanResult(findings, files, warnings if errors is None else warnings.unionByName(errors))
+        observed = lambda observation: found(every.observe(observation, *observed_counts(every.columns)))
+        return ScanResult(found(every), every, warnings if errors is None else warnings.unionByName(errors), observed)

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from .functions import entropy, text
 from .operators import drift, predicates, summaries
 from .operators.blocks import test_blocks
-from .operators.matcher import find
+from .operators.matcher import find, gate
 from .functions.patterns import BUILT_IN, library, pattern_table
 from .plans import hooks, reports
 from .plans.scan import Scanner
 from .samples import BLOCKS, IGNORED, TOKENS
 from .sources import files as file_source
-from .sources import tables
+from .sources import tables, written
+from .sources.config import ScanConfig
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +69,7 @@ def findings(spark, sf_dir):
 
 def findings_strict_groups(spark, sf_dir):
     found = find(tables.lines(documents(spark, sf_dir).unionByName(samples(spark, sf_dir, TOKENS))), BUILT_IN, strict_groups=True)
-    return found.filter(F.col("secret") != F.col("matched_text")).select(*PLACE, "matched_text", "secret")
+    return found.select(*PLACE, "matched_text", "secret")
 
 
 def findings_per_pattern(spark, sf_dir):
@@ -201,6 +202,46 @@ def directory_files(spark, sf_dir):
     return files.select("rel_path", F.octet_length("text").cast("string").alias("bytes"), "is_binary", "is_large", "success")
 
 
+#: Two shapes of a tree for the same files: one folder, and a single branch of forty folders that holds them at its end. SQL over rel_path.
+_SHAPES = {"flat": "replace(rel_path, '/', '-')", "branch": "concat(repeat('b/', 40), replace(rel_path, '/', '-'))"}
+
+
+def _shaped(spark, sf_dir, shape: str) -> str:
+    root = file_source.shared_folder(spark)
+    rows = samples(spark, sf_dir, TOKENS).select(F.col("path").alias("rel_path"), F.col("text").cast("binary").alias("content"))
+    file_source.write_files(rows.withColumn("rel_path", F.expr(_SHAPES[shape])), root)
+    return root
+
+
+def directory_shapes(spark, sf_dir):
+    """Findings by file of folder scans of a flat tree and of one long branch that hold the same files."""
+    found = None
+    for shape in _SHAPES:
+        rows = Scanner().scan_directory(spark, _shaped(spark, sf_dir, shape)).findings
+        rows = rows.groupBy(F.lit(shape).alias("shape"), F.substring_index("path", "/", -1).alias("name")).agg(F.count(F.lit(1)).alias("matches"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def directory_shares(spark, sf_dir):
+    """Files of a folder by path, with the reading task that each is given: a share of the bytes for every task."""
+    listed = file_source.walk(spark, _shaped(spark, sf_dir, "flat")).select("rel_path", "path", "length")
+    return written.shared_out(listed, ["rel_path", "path"], F.col("length"), open_cost=100, tasks=7).select("rel_path", "length", "task")
+
+
+#: How often a sample file's text is repeated in a file that is read in ranges of so many bytes.
+_REPEATS, _RANGE = 30, 700
+
+
+def streamed_findings(spark, sf_dir):
+    """Findings in files that are read in byte ranges by several tasks; only rules about single lines apply to them."""
+    root = file_source.shared_folder(spark)
+    rows = samples(spark, sf_dir, TOKENS, IGNORED, BLOCKS)
+    file_source.write_files(rows.select(F.col("path").alias("rel_path"), F.repeat(F.concat("text", F.lit("\r\n")), F.lit(_REPEATS)).cast("binary").alias("content")), root)
+    result = Scanner(ScanConfig(whole_mib=-1)).scan_files(file_source.scannable(file_source.walk(spark, root), (), ()), root, range_bytes=_RANGE)
+    return result.findings.select(_below(root).alias("path"), "line_number", "pattern_id", "start_pos", "matched_text")
+
+
 def directory_walk_errors(spark, sf_dir):
     """Warnings of a scan of a folder that is not there, and of one with an unreadable file."""
     root = _folder(spark, sf_dir)
@@ -235,6 +276,15 @@ def live_counters(spark, sf_dir):
     return summaries.live_counters(files.join(counts, "path", "left").withColumn("matches", F.coalesce("matches", F.lit(0))))
 
 
+def scan_counters(spark, sf_dir):
+    """All counters of a scan, as metrics of the one job that writes its findings."""
+    flagged = _flagged(spark, sf_dir)
+    files = flagged.withColumn("text", F.when(F.col("success") & ~F.col("is_binary"), F.col("text")))
+    counters = Scanner().scan_flagged(files).counters
+    names = ("scanned", "with_secrets", "skipped", "binary", "total_matches")
+    return spark.createDataFrame([tuple(counters[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def warning_classes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("lang") == "en", "Failed to scan ").when(F.col("lang") == "de", "Walk error: ").otherwise("Note: ")
@@ -290,7 +340,11 @@ def scan_event_props(spark, sf_dir):
 
 
 def patterns(spark, sf_dir):
-    return pattern_table(spark)
+    """The library, and how many lines of documents hold a literal that a match of each expression needs."""
+    lines = tables.lines(documents(spark, sf_dir))
+    counts = lines.agg(*[F.count_if(gate(F.col("line"), p)).alias(str(i)) for i, p in enumerate(BUILT_IN, 1)])
+    counts = counts.unpivot([], [str(i) for i in range(1, len(BUILT_IN) + 1)], "i", "candidate_lines").select(F.col("i").cast("int").alias("pattern_id"), "candidate_lines")
+    return pattern_table(spark).join(counts, "pattern_id")
 
 
 def _listings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -334,6 +388,17 @@ def sync_grouped_diff(spark, sf_dir):
     return drift.grouped_diff(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("old_text"), F.regexp_replace("text", r"\n(\S)", "\n\n$1").alias("new_text")))
 
 
+def sync_diff_edits(spark, sf_dir):
+    """Lines deleted and inserted by the grouped diff of every document and a version of it that drops, doubles and moves lines; a shortest script has as many as no other has fewer."""
+    docs = tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda x, i: i % 5 != 3)
+    doubled = F.flatten(F.transform(kept, lambda x, i: F.when(i % 7 == 2, F.array(x, x)).otherwise(F.array(x))))
+    moved = F.array_join(F.concat(F.array(F.element_at(lines, -1)), doubled), "\n")
+    hunks = drift.grouped_diff(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("old_text"), moved.alias("new_text")))
+    return hunks.groupBy("path").agg(F.count_if(F.col("tag") == "delete").alias("deleted"), F.count_if(F.col("tag") == "insert").alias("inserted")).filter("deleted + inserted > 0")
+
+
 def commit_checks(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("feat", "fix(ui)", "feat(api)!", "docs:", "no type", "chore", "# only a comment")]), (F.col("o_orderkey") % 7 + 1).cast("int"))
@@ -365,17 +430,22 @@ def worker_counts(spark, sf_dir):
 
 
 def directory_analysis(spark, sf_dir):
-    names = spark.sql("SELECT explode(array('target', 'dist', 'venv', 'src', 'vendor', '__pycache__')) AS name")
-    rules = spark.sql("SELECT explode(array('target/', '# venv', ' dist ', '', 'vendor/x', '!src')) AS line")
-    return file_source.directory_analysis(spark, names, rules)
+    """Known directories of every supplier's repository, against the lines of its ignore file: with or without a slash, commented out, or for something below."""
+    known = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("name")) for i, (d, _) in enumerate(file_source.ANALYZED_DIRECTORIES)])
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(known))
+    repo = F.col("s_suppkey").cast("string").alias("repo")
+    present = rows.filter((F.col("s_suppkey") + F.col("i")) % 3 != 0).select(repo, "name")
+    turn = F.col("s_suppkey") * (F.col("i") + 1) % 5
+    line = F.when(turn == 0, F.concat("name", F.lit("/"))).when(turn == 1, F.concat(F.lit("# "), "name")).when(turn == 2, F.concat(F.lit(" "), "name", F.lit(" "))).when(turn == 3, F.concat("name", F.lit("/x"))).otherwise("")
+    return file_source.directory_analysis(spark, present, rows.select(repo, line.alias("line")), by=["repo"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_walk_errors, explicit_paths, scan_stats, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
-        text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, commit_checks, hook_files, repository_names,
+        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
+        text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, sync_diff_edits, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )
 }

@@ -21,6 +21,7 @@ class ScanConfig:
     entropy: bool = True
     threshold: float = 1e-5
     max_file_mib: int = 10
+    whole_mib: int = 5
     include_binary: bool = False
     follow_symlinks: bool = False
     ignore_paths: tuple[str, ...] = IGNORED_PATHS

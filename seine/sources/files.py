@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.predicates import BINARY_EXTENSIONS, FILTERED_DIRECTORIES, IGNORED_PATHS, binary_content, binary_extension, in_filtered_directory, matches_glob, too_large
+from .written import dealt_by_task, shared_folder, shared_out, written
 
 
 LISTING = "path string, rel_path string, length long, modified timestamp"
@@ -104,14 +103,6 @@ class Walker:
                 out.append((f.path, f.path[len(self.top) :].lstrip("/"), f.size, f.mtime, "folder" if is_folder else "file", None))
         return out
 
-    def below(self, folder: str) -> Iterable[list[tuple]]:
-        """Rows of all folders below, one folder at a time."""
-        held = [folder]
-        while held:
-            rows = self.entries(held.pop())
-            held += [r[0] for r in reversed(rows) if r[4] == "folder"]
-            yield rows
-
 
 def _table(rows: Sequence[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string())
@@ -123,34 +114,48 @@ def as_uri(root: str) -> str:
     return root if "://" in root else f"file://{os.path.abspath(root)}"
 
 
-def walk_all(spark: SparkSession, root: str, **rules) -> DataFrame:
+#: Entries that a task lists before it hands back the folders that are left: in the first round, and later.
+FIRST_ENTRIES, ENTRIES = 64, 4096
+
+
+def walk_all(spark: SparkSession, root: str, entries: int = ENTRIES, **rules) -> DataFrame:
     """Rows of files, folders and errors below a root: path, rel_path, length, modified, kind, message. rules: see Walker.
 
     Spark's own file sources leave out names that start with a dot or an underscore, so folders are listed by Arrow. The
-    root and its folders are listed level by level, each level dealt out anew; from the third level on a task goes down
-    by itself, one folder at a time, so it holds one folder's entries. No content but that of ignore files is read.
+    walk goes in rounds: folders are dealt out, a task goes down from those it has until it has listed so many entries,
+    and hands back what is left; the next round deals these out anew, whatever the tree's shape. Each round is written, so
+    a listing is made once however often it is read. A task holds the entries of one folder and the folders it has not
+    yet listed. The walk runs when this is called. No content but that of ignore files is read.
     """
     uri = as_uri(root)
 
-    def one(batches):
-        walker = Walker(uri, **rules)
-        for batch in batches:
-            for folder in batch.column("path").to_pylist():
-                yield _table(walker.entries(folder))
-
-    def all_below(batches):
-        walker = Walker(uri, **rules)
-        for batch in batches:
-            for folder in batch.column("path").to_pylist():
-                for rows in walker.below(folder):
-                    if rows:
-                        yield _table(rows)
+    def lister(most: int):
+        def some(batches):
+            walker, listed = Walker(uri, **rules), 0
+            for batch in batches:
+                held = batch.column("path").to_pylist()[::-1]
+                while held and listed < most:
+                    rows = walker.entries(held.pop())
+                    listed += 1 + len(rows)
+                    held += [r[0] for r in reversed(rows) if r[4] == "folder"]
+                    for at in range(0, len(rows), 10_000):
+                        yield _table(rows[at : at + 10_000])
+                if held:
+                    yield _table([(f, f[len(walker.top) :].lstrip("/"), None, None, "open", None) for f in held])
+
+        return some
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    first = spark.createDataFrame([(pafs.FileSystem.from_uri(uri)[1],)], "path string").mapInArrow(one, _WALKED)
-    second = first.filter("kind = 'folder'").select("path").repartition(tasks).mapInArrow(one, _WALKED)
-    third = second.filter("kind = 'folder'").select("path").repartition(tasks).mapInArrow(all_below, _WALKED)
-    return first.unionByName(second).unionByName(third)
+    folder, paths = shared_folder(spark), []
+    left = spark.createDataFrame([(pafs.FileSystem.from_uri(uri)[1],)], "path string")
+    while True:
+        paths.append(f"{folder}/{len(paths)}")
+        rows = written(left.mapInArrow(lister(entries if len(paths) > 1 else min(entries, FIRST_ENTRIES)), _WALKED), paths[-1])
+        left = rows.filter("kind = 'open'").select("path")
+        n = left.count()
+        if not n:
+            return spark.read.schema(rows.schema).parquet(*paths).filter("kind != 'open'")
+        left = left.repartition(min(n, tasks))
 
 
 def walk(spark: SparkSession, root: str, **rules) -> DataFrame:
@@ -182,16 +187,6 @@ def with_content(files: DataFrame, root: str, batch_bytes: int = 32 << 20) -> Da
     return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name in spark.checkpoint.dir, which driver and executors share; only a local session may lack the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="seine-files-")
-    return f"{root.rstrip('/')}/seine-files/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def write_files(rows: DataFrame, root: str) -> None:
     """Write each row (rel_path, content: binary) as a file below a root. A task that is run again writes the same files."""
     uri = as_uri(root)
@@ -268,18 +263,29 @@ def scannable(files: DataFrame, ignore: Sequence[str] = IGNORED_PATHS, directori
     return kept.withColumns({"is_ignored": matches_glob(F.col("rel_path"), ignore), "is_large": too_large(F.col("length"), most_mib), "is_binary": binary})
 
 
-def decoded(files: DataFrame, root: str, include_binary: bool = False) -> DataFrame:
+def skipped() -> Column:
+    """Whether a flagged file is not read."""
+    return F.col("is_ignored") | F.col("is_large") | F.col("is_binary")
+
+
+def dealt_by_bytes(files: DataFrame) -> DataFrame:
+    """Listed files dealt out to tasks of about equal bytes, consecutive paths together; see shared_out()."""
+    return dealt_by_task(shared_out(files, ["rel_path", "path"], F.coalesce("length", F.lit(0))))
+
+
+def decoded(files: DataFrame, root: str, include_binary: bool = False, balanced: bool = False) -> DataFrame:
     """Flagged files plus text and success. Only files without a flag are read; invalid UTF-8, or a file that cannot be read, makes no text and no success.
 
-    Read files whose first bytes look binary are flagged as well.
+    Read files whose first bytes look binary are flagged as well. balanced: files are dealt out by their bytes first.
     """
-    skip = F.col("is_ignored") | F.col("is_large") | F.col("is_binary")
+    skip = skipped()
     none = F.lit(None).cast("string")
-    skipped = files.filter(skip).withColumns({"text": none, "success": F.lit(True)})
-    read = with_content(files.filter(~skip), root)
+    unread = files.filter(skip).withColumns({"text": none, "success": F.lit(True)})
+    read = files.filter(~skip)
+    read = with_content(dealt_by_bytes(read) if balanced else read, root)
     looks = F.lit(False) if include_binary else F.coalesce(binary_content(F.col("content")), F.lit(False))
     read = read.withColumn("is_binary", looks).withColumn("text", F.when(~F.col("is_binary"), F.try_validate_utf8(F.col("content").cast("string"))))
-    return skipped.unionByName(read.withColumn("success", F.col("is_binary") | F.col("text").isNotNull()).drop("content"))
+    return unread.unionByName(read.withColumn("success", F.col("is_binary") | F.col("text").isNotNull()).drop("content"))
 
 
 def fast_count(files: DataFrame, most_mib: int = 10, directories: Sequence[str] = FILTERED_DIRECTORIES) -> DataFrame:
@@ -320,10 +326,11 @@ ANALYZED_DIRECTORIES = (
 )
 
 
-def directory_analysis(spark: SparkSession, present: DataFrame, rules: DataFrame) -> DataFrame:
+def directory_analysis(spark: SparkSession, present: DataFrame, rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(dir, description, status) of known directories that are present (name): properly_ignored if the ignore file's
-    lines (line) hold the name, with or without a slash; else needs_gitignore."""
-    known = spark.createDataFrame([*ANALYZED_DIRECTORIES], "name string, description string")
-    bare = rules.select(F.trim("line").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).select(F.regexp_replace("line", "/$", "").alias("ignored")).distinct()
-    joined = known.join(present.select("name").distinct(), "name", "left_semi").join(bare, F.col("name") == F.col("ignored"), "left")
-    return joined.select(F.concat("name", F.lit("/")).alias("dir"), "description", F.when(F.col("ignored").isNotNull(), "properly_ignored").otherwise("needs_gitignore").alias("status"))
+    lines (line) hold the name, with or without a slash; else needs_gitignore. by: columns of both that tell repositories apart."""
+    by = list(by)
+    known = F.broadcast(spark.createDataFrame([*ANALYZED_DIRECTORIES], "name string, description string"))
+    bare = rules.select(*by, F.trim("line").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#")).select(*by, F.regexp_replace("line", "/$", "").alias("name"), F.lit(True).alias("_ignored")).distinct()
+    joined = present.select(*by, "name").distinct().join(known, "name").join(bare, [*by, "name"], "left")
+    return joined.select(*by, F.concat("name", F.lit("/")).alias("dir"), "description", F.when(F.col("_ignored"), "properly_ignored").otherwise("needs_gitignore").alias("status"))

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from seine.functions import entropy, text
 from seine.functions.patterns import BUILT_IN, library, pattern_table
-from seine.operators import drift, predicates, summaries
-from seine.operators.blocks import block_ranges
+from seine.operators import blocks, drift, predicates, summaries
 from seine.operators.matcher import find
 from seine.plans import hooks, reports
 from seine.plans.scan import Scanner
@@ -137,8 +136,10 @@ PYTHON = ['api_key = "x"', "", "def test_function():", '    secret = "y"', "
         ([], False, []),
     ],
 )
-def test_blocks(lines, python, expected):
-    assert block_ranges(lines, python) == expected
+def test_blocks(spark, lines, python, expected):
+    row = spark.createDataFrame([(lines, "a.py" if python else "a.rs")], "lines array<string>, path string")
+    found = row.select(blocks.test_blocks(F.col("lines"), F.col("path"), F.array_join("lines", "\n"))).first()[0]
+    assert [tuple(r) for r in found] == expected
 
 
 def scan(spark, *texts, **options):
