@@ -12,13 +12,13 @@ from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled_pages
+from .markup import events
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is no text of the page.
@@ -73,7 +73,7 @@ def _named(attrs: Sequence[tuple[str, str | None]]) -> int:
     return found
 
 
-class _Blocks(HTMLParser):
+class _Blocks:
     """Cuts a page into blocks. Open elements are kept with what they mean; unclosed ones end with what holds them.
 
     A head may lack its end tag. Hidden elements are counted from 1 in their order: those that end with what holds them
@@ -85,7 +85,6 @@ class _Blocks(HTMLParser):
     """
 
     def __init__(self, ended: frozenset[int] = frozenset()) -> None:
-        super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[tuple[str, bool, bool, int, str | None]] = []  # tag, hidden, in main, beside, label; each with what holds it
         self.count: Counter[str] = Counter()  # open elements by tag
@@ -126,11 +125,6 @@ class _Blocks(HTMLParser):
             self.count[tag] += 1
             self.heading = len(tag) == 2 and tag[0] == "h" and tag != "hr"
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in HIDDEN:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
@@ -176,10 +170,19 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str) -> list[Block]:
+    found = list(events(html))
+
     def parsed(ended: frozenset[int] = frozenset()) -> _Blocks:
         parser = _Blocks(ended)
-        parser.feed(html)
-        parser.close()
+        for kind, value, attributes in found:
+            if kind == "text":
+                parser.handle_data(value)
+            elif kind == "end":
+                parser.handle_endtag(value)
+            else:
+                parser.handle_starttag(value, attributes)
+                if kind == "empty" and value in HIDDEN and value not in VOID:
+                    parser.handle_endtag(value)
         parser.flush()
         return parser
 
