@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -77,78 +78,85 @@ def parse_inst(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 
 @dataclass(frozen=True)
 class Piece:
-    """What one turn added to the output, whether the output before it was changed, and whether it was found by
-    rendering a window of turns in place of the whole prefix."""
+    """What one turn added to the output, its start there, and whether the output before it was changed."""
 
     text: str
+    start: int
     rewrites: bool
-    windowed: bool = False
-
-
-#: From so many turns on, a template that is declared local() is rendered on two turns and the new one.
-WINDOW = 64
-#: Characters of turns that are held to compare a declared template's whole output now and then.
-HELD = 1 << 24
 
 
 class Incremental:
-    """Renders a conversation turn by turn.
-
-    Every prefix is rendered whole and compared with the output before, however long the conversation. Only a template
-    declared local() is rendered in bounded memory beyond its first WINDOW turns: there a turn's piece is what it adds
-    to the rendering of the first turn and the turn before it, and says so (`windowed`). Both ways are compared on each
-    of the first WINDOW turns, and a template that fails or rewrites is rendered on whole prefixes throughout. Later the
-    pieces put out are compared with the whole output whenever the number of turns has doubled, as long as the turns
-    have at most HELD characters. A template that is found to break its declaration raises an error.
+    """Renders a conversation turn by turn; one law holds for conversations of every length.
+
+    Every prefix is rendered whole and compared with the output before. For a template declared local() a turn's piece is
+    what it adds to the rendering of the first turn and the turn before it, which bounds the work of a turn; whole
+    outputs are then rendered and compared with the pieces at 1, 2, 4, 8, ... turns and at the end, so all of it takes
+    twice the turns. Pieces are given out once a whole output has confirmed them. Where one does not, or a turn does not
+    add to its neighbours' rendering, the pieces since the last whole output that agreed are found anew by whole
+    prefixes, and so are all later ones: a declaration that does not hold costs time, and no result. What a declared
+    template changes and takes back between two whole outputs, unseen by the neighbours, is not marked; rewrites_history()
+    renders every prefix of any template.
     """
 
     def __init__(self, render: Render):
         self.render = render
         self.turns: list[Turn] = []
-        self.out = ""
-        self.local = getattr(render, "local", False)
-        self.count = self.chars = 0
-        self.held: list[Turn] | None = []
+        self.near = getattr(render, "local", False)
+        self.out = ""  # the last whole output; of a declared template while that holds, it is rendered anew when needed
+        self.held: list[Piece] = []
+        self.length = self.settled = 0
         self.digest = hashlib.sha256()
 
-    def add(self, turn: Turn) -> Piece:
-        self.count += 1
-        if self.count > WINDOW and self.local:
-            piece = self._near(turn)
-            if piece is None:
-                raise ValueError("a template declared local changes earlier output")
-            self.turns = [self.turns[0], turn]
-            self._check(turn, piece)
-            return Piece(piece, False, True)
-        now = self.render([*self.turns, turn])
+    def add(self, turn: Turn) -> list[Piece]:
+        """Take the next turn. Pieces of turns that are now settled, in order; of this one as well unless `near`."""
+        self.turns.append(turn)
+        if not self.near:
+            return [self._whole(len(self.turns))]
+        text = self._added()
+        if text is None:
+            return self._anew()
+        self.held.append(Piece(text, self.length, False))
+        self.length += len(text)
+        n = len(self.turns)
+        return self._settle() if n & (n - 1) == 0 else []
+
+    def end(self) -> list[Piece]:
+        """The pieces that are left at the end of the conversation."""
+        return self._settle() if self.held else []
+
+    def _added(self) -> str | None:
+        """What the last turn adds to the rendering of the first turn and the turn before it; none if it does not just add."""
+        ends = self.turns[:1] if len(self.turns) == 2 else [self.turns[0], self.turns[-2]] if len(self.turns) > 2 else []
+        before = self.render(list(ends)) if ends else ""
+        after = self.render([*ends, self.turns[-1]])
+        return after[len(before) :] if after.startswith(before) else None
+
+    def _settle(self) -> list[Piece]:
+        digest = self.digest.copy()
+        for p in self.held:
+            digest.update(_raw(p.text))
+        if hashlib.sha256(_raw(self.render(list(self.turns)))).digest() != digest.digest():
+            return self._anew()
+        self.digest, self.settled, settled, self.held = digest, len(self.turns), self.held, []
+        return settled
+
+    def _anew(self) -> list[Piece]:
+        """Whole prefixes from the last whole output that agreed."""
+        self.near = False
+        known = self.turns[: self.settled]
+        self.held, self.out = [], self.render(known) if known else ""
+        return [self._whole(n) for n in range(len(known) + 1, len(self.turns) + 1)]
+
+    def _whole(self, n: int) -> Piece:
+        now = self.render(self.turns[:n])
         same = now.startswith(self.out)
         at = len(self.out) if same else _common(now, self.out)
-        if self.local and self.turns:
-            self.local = same and self._near(turn) == now[at:]
-        self.turns.append(turn)
         self.out = now
-        if self.count == WINDOW and self.local:
-            self.digest.update(now.encode("utf-8", "surrogatepass"))
-            self.held, self.chars = list(self.turns), sum(len(r) + len(t) for r, t in self.turns)
-            self.turns, self.out = [self.turns[0], turn], ""
-        return Piece(now[at:], not same)
-
-    def _check(self, turn: Turn, piece: str) -> None:
-        if self.held is None:
-            return
-        self.chars += len(turn[0]) + len(turn[1])
-        if self.chars > HELD:
-            self.held = None
-            return
-        self.held.append(turn)
-        self.digest.update(piece.encode("utf-8", "surrogatepass"))
-        if self.count & (self.count - 1) == 0 and hashlib.sha256(self.render(list(self.held)).encode("utf-8", "surrogatepass")).digest() != self.digest.digest():
-            raise ValueError("a template declared local looks further back than the turn before")
-
-    def _near(self, turn: Turn) -> str | None:
-        ends = [self.turns[0], self.turns[-1]] if self.count > 2 else self.turns[:1]
-        before, after = self.render(list(ends)), self.render([*ends, turn])
-        return after[len(before) :] if after.startswith(before) else None
+        return Piece(now[at:], at, not same)
+
+
+def _raw(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _common(a: str, b: str) -> int:
@@ -162,15 +170,15 @@ def _common(a: str, b: str) -> int:
 
 def rewrites_history(render: Render, turns: Iterable[Turn]) -> bool:
     """Whether a template changes earlier output anywhere in a conversation; every prefix is rendered."""
-    steps = Incremental(lambda prefix: render(prefix))
-    return any(steps.add(t).rewrites for t in turns)
+    steps = Incremental(lambda prefix: render(prefix))  # declares nothing
+    return any(p.rewrites for t in turns for p in steps.add(t))
 
 
 def in_order(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """Rows with their conversation together and its turns in order (ties: role, then text), null role or text as empty.
 
-    The turns of one conversation meet in one task, as its output is one sequence; they pass through it as a stream,
-    so the task's memory does not grow with the conversation.
+    The turns of one conversation meet in one task, as its output is one sequence; they pass through it as a stream, and
+    the task holds one conversation, which its whole outputs need.
     """
     known = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     return known.repartition("conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "role", "text")
@@ -202,17 +210,26 @@ def _batches(rows: Iterable[Row], schema: pa.Schema, text: int | None = None, mo
 
 
 def _pieces(turns: Iterable[Row], render: Render, learn: str) -> Iterator[Row]:
-    """(conv, turn, place, role, piece, start, loss, rewrites, windowed) of ordered (conv, turn, role, text)."""
+    """(conv, turn, place, role, piece, start, loss, rewrites) of ordered (conv, turn, role, text)."""
     current, steps = None, None
-    at = place = 0
+    waiting: deque[tuple] = deque()
+
+    def settled(pieces: list[Piece]) -> Iterator[Row]:
+        for p in pieces:
+            conv, turn, place, role = waiting.popleft()
+            yield conv, turn, place, role, p.text, p.start, role == learn, p.rewrites
+
+    place = 0
     for conv, turn, role, text in turns:
         if steps is None or conv != current:
-            current, steps, at, place = conv, Incremental(render), 0, 0
-        piece = steps.add((role, text))
-        if piece.rewrites:
-            at = len(steps.out) - len(piece.text)
-        yield conv, turn, place, role, piece.text, at, role == learn, piece.rewrites, piece.windowed
-        at, place = at + len(piece.text), place + 1
+            if steps is not None:
+                yield from settled(steps.end())
+            current, steps, place = conv, Incremental(render), 0
+        waiting.append((conv, turn, place, role))
+        place += 1
+        yield from settled(steps.add((role, text)))
+    if steps is not None:
+        yield from settled(steps.end())
 
 
 def _digests(pieces: Iterable[Row]) -> Iterator[Row]:
@@ -243,13 +260,13 @@ def _schema(kind: T.DataType, columns: str) -> T.StructType:
     return T.StructType([T.StructField("conv", kind), *T._parse_datatype_string(columns).fields])
 
 
-_PIECES = "place long, role string, piece string, start long, loss boolean, rewrites boolean, windowed boolean"
+_PIECES = "place long, role string, piece string, start long, loss boolean, rewrites boolean"
 _DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
 
 
 def format_turns(rows: DataFrame, render: Render = render_inst, learn: str = "assistant", conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each turn: conv, turn, place (from 0), role, piece (the text that the turn adds), start (its place in
-    the conversation's output, in code points), loss (role = learn), rewrites, windowed (see Incremental).
+    the conversation's output, in code points), loss (role = learn), rewrites (see Incremental).
 
     Joining the pieces of a conversation by place gives its formatted text, unless a turn has `rewrites`: then the
     template went back behind the turn's start, and pieces before it no longer stand as they are.

@@ -218,10 +218,10 @@ def test_templates_that_rewrite_history(spark):
     assert [r["rewrites"] for r in chat.format_turns(frame, last_only).orderBy("place").collect()] == [False, True, True]
 
 
-def test_a_template_that_looks_far_back_is_rendered_whole():
-    numbered = lambda turns: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
-    steps = chat.Incremental(numbered)
-    assert "".join(steps.add(("user", "x")).text for _ in range(150)) == numbered([("user", "x")] * 150)
+def stepped(render, turns):
+    """(piece, start, rewrites) of each turn."""
+    steps = chat.Incremental(render)
+    return [(p.text, p.start, p.rewrites) for p in [*(p for t in turns for p in steps.add(t)), *steps.end()]]
 
 
 def naive_pieces(render, turns):
@@ -247,39 +247,47 @@ def test_templates_that_rewrite_long_conversations(spark):
         assert [p[2] for p in got].index(True) == first if first is not None else not any(p[2] for p in got)
 
 
-def test_only_a_declared_template_forgets_turns():
-    bounded, steps = chat.Incremental(chat.render_inst), chat.Incremental(lambda turns: chat.render_inst(turns))
-    for i in range(150):
-        turn = ("user", f"t{i}")
-        a, b = bounded.add(turn), steps.add(turn)
-        assert (a.text, a.rewrites) == (b.text, b.rewrites) and a.windowed == (i >= chat.WINDOW) and not b.windowed
-    assert len(bounded.turns) == 2 and len(steps.turns) == 150
-    late = chat.local(lambda turns: "".join(f"{t}." if t != "stop" else "" for _, t in turns) if turns[-1][1] != "stop" else "gone")
-    steps = chat.Incremental(late)
-    for _ in range(100):
-        steps.add(("user", "t"))
-    with pytest.raises(ValueError):
-        steps.add(("user", "stop"))
-    # keeps the last 100 turns: no window of two shows it, the whole output at a doubling does
-    forgets = chat.Incremental(chat.local(lambda turns: "".join(t for _, t in turns[-100:])))
-    with pytest.raises(ValueError):
-        for i in range(200):
-            forgets.add(("user", f"t{i}"))
-
-
-def test_a_template_that_keeps_the_last_hundred_turns():
+LAST_ONLY = lambda turns: "".join(f"{r}:{t}\n" if i + 1 == len(turns) else f"{r}:.\n" for i, (r, t) in enumerate(turns))
+NUMBERED = lambda turns: "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+LAST_50 = lambda turns: "".join(t for _, t in turns[-50:])
+STOPPED = lambda turns: "gone" if turns[-1][1] == "t60." else "".join(t for _, t in turns if t != "t60.")
+
+
+@pytest.mark.parametrize("render", [chat.render_inst, LAST_ONLY, NUMBERED, LAST_50, STOPPED])
+@pytest.mark.parametrize("declared", [True, False])
+def test_one_law_at_every_length(render, declared):
+    """A declaration, right or wrong, changes no piece, at any number of turns; turns are given out once and in order."""
+    template = (lambda turns: render(turns)) if not declared else chat.local(lambda turns: render(turns))
+    turns = [("user" if i % 2 else "assistant", f"t{i}.") for i in range(140)]
+    expected = naive_pieces(render, turns)
+    for n in (0, 1, 2, 3, 31, 32, 33, 49, 50, 51, 61, 62, 63, 64, 65, 66, 127, 128, 129, 140):
+        got = stepped(template, turns[:n])
+        assert got == expected[:n]
+
+
+def test_rewriting_is_marked_wherever_it_begins():
     turns = [("user", f"t{i}.") for i in range(150)]
     kept = lambda prefix: "".join(t for _, t in prefix[-100:])
-    steps = chat.Incremental(kept)
-    assert [steps.add(t).rewrites for t in turns] == [False] * 100 + [True] * 50
+    for template in (kept, chat.local(lambda prefix: kept(prefix))):
+        assert [p[2] for p in stepped(template, turns)] == [False] * 100 + [True] * 50
     emptied = lambda prefix: "".join(f"{r}:{t}\n" if len(prefix) < 80 or i + 1 == len(prefix) else "" for i, (r, t) in enumerate(prefix))
-    assert chat.rewrites_history(emptied, turns)
+    assert chat.rewrites_history(emptied, turns) and chat.rewrites_history(chat.local(lambda prefix: emptied(prefix)), turns)
 
 
 def test_five_thousand_turns():
-    steps, out = chat.Incremental(lambda turns: "".join(t for _, t in turns)), []
-    out = [steps.add(("user", f"{i};")) for i in range(5000)]
-    assert "".join(p.text for p in out) == "".join(f"{i};" for i in range(5000)) and not any(p.rewrites or p.windowed for p in out)
+    turns = [("user", f"{i};") for i in range(5000)]
+    plain = lambda turns: "".join(t for _, t in turns)
+    for template in (plain, chat.local(lambda turns: plain(turns)), chat.render_inst):
+        got = stepped(template, turns)
+        assert "".join(p[0] for p in got) == template(turns) and not any(p[2] for p in got) and len(got) == 5000
+
+
+def test_more_than_sixteen_million_characters():
+    turns = [("user", "x" * 150_000 + str(i)) for i in range(130)]
+    kept = lambda prefix: "".join(t for _, t in prefix[-120:])
+    got = stepped(chat.local(lambda prefix: kept(prefix)), turns)
+    assert [p[2] for p in got] == [False] * 120 + [True] * 10
+    assert "".join(p[0] for p in stepped(chat.render_inst, turns)) == chat.render_inst(turns)
 
 
 def test_large_ids_beside_a_missing_one(spark):
