@@ -157,6 +157,7 @@ _STREAMED = f"(SELECT path, repeat(text || chr(13) || chr(10), 30) AS text FROM
 PNG = q("a.png")
 _LISTED = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE path IN ('a.png', 'logs/a.txt', 'src/jwt1.txt', 'src/github1.txt'))"
 _OUTSIDE = _scanned(files(BLOCKS, docs=True), f"NOT EXISTS (SELECT 1 FROM {blocks(files(BLOCKS, docs=True))} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
+_OUTSIDE_ALL = _scanned(files(BLOCKS, IGNORED, docs=True), f"NOT EXISTS (SELECT 1 FROM {_BLOCKS} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
 NAMES = "(SELECT unnest([" + ", ".join(f"{{'i': {i}, 'name': {q(p.name)}}}" for i, p in enumerate(BUILT_IN, 1)) + "], recursive := true))"
 PER_PATTERN = "SELECT i::INT AS pattern_id, name, count(pattern_id) AS matches FROM {names} LEFT JOIN {found} f ON f.pattern_id = i GROUP BY ALL"
 TRIM = f"regexp_replace(line, '^{SPACE}+|{SPACE}+$', '', 'g')"
@@ -209,6 +210,9 @@ ORACLE: dict[str, str] = {
       s AS (SELECT rel_path, length, sum(length + 100) OVER (ORDER BY rel_path) - length - 100 AS before, sum(length + 100) OVER () AS total FROM f)
       SELECT rel_path, length, (before // greatest(least(67108864, -(-total // 7)), 1))::INT AS task FROM (SELECT rel_path, length, before::BIGINT AS before, ceil(total / 7)::BIGINT * 7 AS total FROM s)""",
     "streamed_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned_lines(_STREAMED, _KEPT_ALONE)}",
+    "stream_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_OUTSIDE_ALL}",
+    "folder_source": f"SELECT replace(path, '/', '-') AS rel_path, strlen(text)::BIGINT AS length, md5(text) AS digest FROM {files(TOKENS)} WHERE starts_with(path, 'src/g') AND strlen(text) <= 90",
+    "sync_copy": f"SELECT path AS rel_path, md5(text) AS digest, substr(md5(path), 1, 1) >= '8' OR substr(md5(path), 2, 1) < '8' AS copied FROM {files(TOKENS)}",
     "scan_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, (SELECT count(DISTINCT path) FROM {_FLAGGED_FOUND}) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "directory_walk_errors": "SELECT * FROM (VALUES ('Directory Walk Errors', 1::BIGINT), ('Scan Failures', 1::BIGINT)) t(warning_type, warnings)",
     "explicit_paths": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(_LISTED)}",

@@ -106,6 +106,10 @@ class Scanner:
         """Findings in lines (path, line_number, line) that come without their files, as of files that are read in parts."""
         return self._found(self._wanted(lines.withColumns({"streamed": F.lit(True), "previous": F.lit(None).cast("string")})))
 
+    def outside_findings(self, lines: DataFrame) -> DataFrame:
+        """Findings in lines (path, line_number, line, previous) that stand outside test blocks."""
+        return self._found(self._wanted(lines.withColumn("streamed", F.lit(False))))
+
     def _found(self, lines: DataFrame) -> DataFrame:
         c = self.config
         found = find(lines, self.patterns, strict_groups=c.strict_groups)

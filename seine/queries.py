@@ -16,8 +16,10 @@ from .plans import hooks, reports
 from .plans.scan import Scanner
 from .samples import BLOCKS, IGNORED, TOKENS
 from .sources import files as file_source
+from .sources import folder_tree
 from .sources import tables, written
 from .sources.config import ScanConfig
+from .streaming import blocks as blocks_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -242,6 +244,47 @@ def streamed_findings(spark, sf_dir):
     return result.findings.select(_below(root).alias("path"), "line_number", "pattern_id", "start_pos", "matched_text")
 
 
+def folder_source(spark, sf_dir):
+    """Files of a folder as a data source, with conditions that are applied before any file is opened."""
+    files = folder_tree.read_tree(spark, _shaped(spark, sf_dir, "flat"))
+    return files.filter(F.col("rel_path").startswith("src-g") & (F.col("length") <= 90)).select("rel_path", "length", F.md5("content").alias("digest"))
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Sample files, and a version of some of them of which some are longer."""
+    source = samples(spark, sf_dir, TOKENS).select(F.col("path").alias("rel_path"), "text")
+    there = source.filter(F.substring(F.md5("rel_path"), 1, 1) < "8").withColumn("text", F.when(F.substring(F.md5("rel_path"), 2, 1) < "8", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return source, there
+
+
+def sync_copy(spark, sf_dir):
+    """A destination folder after a copy of what differs, read back, with what was copied."""
+    roots = [file_source.shared_folder(spark) for _ in range(2)]
+    for rows, root in zip(_versions(spark, sf_dir), roots, strict=True):
+        folder_tree.write_tree(rows.select("rel_path", F.col("text").cast("binary").alias("content")), root)
+    copied = folder_tree.sync_copy(spark, *roots).select("rel_path", F.lit(True).alias("copied"))
+    after = folder_tree.read_tree(spark, roots[1]).select("rel_path", F.md5("content").alias("digest"))
+    return after.join(copied, "rel_path", "left").select("rel_path", "digest", F.coalesce("copied", F.lit(False)).alias("copied"))
+
+
+def stream_findings(spark, sf_dir):
+    """Findings of a stream of files' lines in micro-batches, by the rules about whole files."""
+    files = documents(spark, sf_dir).unionByName(samples(spark, sf_dir, BLOCKS, IGNORED))
+    rows = tables.lines(files).select("path", "line_number", "line")
+    ends = files.select("path", (F.size(text.lines_of(F.col("text"))) + 1).alias("line_number"), F.lit(None).cast("string").alias("line"))
+    root = file_source.shared_folder(spark)
+    out = f"{root}/findings"
+    stream = spark.readStream.schema("path string, line_number int, line string").parquet(f"{root}/lines")
+    found = blocks_stream.scan_files_stream(stream)
+    # lines arrive in three turns by their numbers, ends in the last; each turn goes on from the state of the one before
+    turn = F.least(F.floor((F.col("line_number") - 1) / 3), F.lit(2))
+    for n in range(3):
+        part = rows.filter(turn == n)
+        (part.unionByName(ends) if n == 2 else part).write.mode("append").parquet(f"{root}/lines")
+        found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select(*PLACE, "matched_text")
+
+
 def directory_walk_errors(spark, sf_dir):
     """Warnings of a scan of a folder that is not there, and of one with an unreadable file."""
     root = _folder(spark, sf_dir)
@@ -444,7 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
+        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, sync_diff_edits, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -188,7 +189,7 @@ def with_content(files: DataFrame, root: str, batch_bytes: int = 32 << 20) -> Da
 
 
 def write_files(rows: DataFrame, root: str) -> None:
-    """Write each row (rel_path, content: binary) as a file below a root. A task that is run again writes the same files."""
+    """Write each row (rel_path, content: binary) as a file below a root. A file gets its name once it is whole; a task that is run again writes the same files. folder_tree.write_tree writes all files or none."""
     uri = as_uri(root)
 
     def write(batches):
@@ -196,8 +197,10 @@ def write_files(rows: DataFrame, root: str) -> None:
         for batch in batches:
             for name, content in zip(batch.column("rel_path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 fs.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(f"{top}/{name}") as f:
+                beside = f"{top}/{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(beside) as f:
                     f.write(content)
+                fs.move(beside, f"{top}/{name}")
             yield pa.RecordBatch.from_arrays([batch.column("rel_path")], names=["rel_path"])
 
     rows.select("rel_path", "content").mapInArrow(write, "rel_path string").write.format("noop").mode("overwrite").save()
