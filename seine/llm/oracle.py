@@ -93,13 +93,19 @@ FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
 _BIN = "(greatest(length(bin({v})) - 6, 0) * 32 + ({v} >> greatest(length(bin({v})) - 6, 0)))"
-#: measure: (low %, high %, spread, least distance, whether it has a lower limit)
-_MEASURES = {"symbol_rate": (25, 75, 6, 50, False), "dup_line_rate": (50, 95, 3, 1200, False), "repeat_rate": (50, 95, 8, 100, False), "mean_chars": (10, 90, 3, 16, True)}
+#: measure: (low %, high %, spread, the least distance by the group's upper quantile and median lengths, whether it has a lower limit)
+_MEASURES = {
+    "symbol_rate": (25, 75, 6, "10000 // greatest(med_words, 1)", False),
+    "dup_line_rate": (50, 95, 3, "10000 // greatest(med_lines, 1)", False),
+    "repeat_rate": (50, 95, 8, "60000 // greatest(med_words, 1)", False),
+    "mean_chars": (10, 90, 3, "high // 32", True),
+}
 
 
 def _op10() -> str:
-    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM rates" for m in _MEASURES)
-    fences = ", ".join(f"('{m}', {a}, {b}, {c}, {d}, {e})" for m, (a, b, c, d, e) in _MEASURES.items())
+    long = " UNION ALL ".join(f"SELECT rid, lang, source, base_failed, '{m}' AS measure, {m} AS v FROM rates" for m in (*_MEASURES, "n_words", "n_lines"))
+    fences = ", ".join(f"('{m}', {a}, {b}, {c}, {e})" for m, (a, b, c, _, e) in _MEASURES.items())
+    least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {d}" for m, (_, _, _, d, _) in _MEASURES.items()) + " END"
     return rf"""
 WITH t AS (
   SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -119,7 +125,7 @@ rates AS (
          CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeat_rate,
          CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS mean_chars FROM base),
 long AS ({long}),
-fence(measure, p_low, p_high, spread, least, two_sided) AS (VALUES {fences}),
+fence(measure, p_low, p_high, spread, two_sided) AS (VALUES {fences}, ('n_words', 50, 50, 0, false), ('n_lines', 50, 50, 0, false)),
 cells AS (
   SELECT lang, source, measure, {_BIN.format(v="v")} AS cell, any_value((((v >> greatest(length(bin(v)) - 6, 0)) + 1) << greatest(length(bin(v)) - 6, 0)) - 1) AS top, count(*)::HUGEINT AS c
   FROM long WHERE NOT base_failed GROUP BY ALL),
@@ -137,10 +143,14 @@ mix AS (
 ranked AS (
   SELECT *, sum(c) OVER (PARTITION BY lang, source, measure ORDER BY cell) AS below, sum(c) OVER (PARTITION BY lang, source, measure) AS n
   FROM (SELECT lang, source, measure, cell, any_value(top) AS top, sum(c)::HUGEINT AS c FROM mix GROUP BY ALL)),
-quant AS (
-  SELECT lang, source, measure, any_value(spread) AS spread, any_value(least) AS least, any_value(two_sided) AS two_sided,
+read AS (
+  SELECT lang, source, measure, any_value(spread) AS spread, any_value(two_sided) AS two_sided,
          min(top) FILTER (below * 100 >= n * p_low) AS low, min(top) FILTER (below * 100 >= n * p_high) AS high
   FROM ranked JOIN fence USING (measure) GROUP BY lang, source, measure),
+quant AS (
+  SELECT *, {least} AS least FROM (
+    SELECT *, max(low) FILTER (measure = 'n_words') OVER g AS med_words, max(low) FILTER (measure = 'n_lines') OVER g AS med_lines FROM read WINDOW g AS (PARTITION BY lang, source))
+  WHERE measure NOT IN ('n_words', 'n_lines')),
 over AS (
   SELECT rid, max(coalesce(v > high + spread * greatest(high - low, least) OR (two_sided AND v < low - spread * greatest(high - low, least)), false)) AS out
   FROM long LEFT JOIN quant ON long.lang IS NOT DISTINCT FROM quant.lang AND long.source IS NOT DISTINCT FROM quant.source AND long.measure = quant.measure GROUP BY rid)

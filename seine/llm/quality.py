@@ -7,7 +7,7 @@ counts, and neither the order nor the partitioning of the rows changes the resul
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,25 +21,33 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure's limits in a language and source: the quantile at `high` percent plus `spread` times the distance from
-    the quantile at `low` percent, and with `both` also the latter minus as much. The distance counts as `least` where
-    it is less, so that a measure which is the same in most documents does not reject every other value."""
+    """A measure's limits in a language and source: the quantile at `high` percent plus `spread` times a distance, and with
+    `both` also the quantile at `low` percent minus as much.
+
+    The distance is that of the two quantiles. A measure that is the same in most texts of a group has none; there it is
+    what `step` more of the thing counted makes in a text of the group's median length, by the sketch of `per`. Without
+    `per` it is the width of the sketch's bin at the upper quantile.
+    """
 
     low: int
     high: int
     spread: int
-    least: int
+    step: int = 0
+    per: str | None = None
     both: bool = False
 
 
 #: Measures are shares in units of 1/10000, but for mean_chars (1/100 of a code point). Measures that are 0 in most
-#: texts are judged by their upper tail; symbols by quartiles, as these stand up to a quarter of bad documents.
+#: texts are judged by their upper tail; symbols by quartiles, as these stand up to a quarter of bad documents. The steps
+#: are one symbol, one line, and a window of three words and its repeat.
 FENCES: Mapping[str, Fence] = {
-    "symbol_rate": Fence(25, 75, 6, 50),
-    "dup_line_rate": Fence(50, 95, 3, 1200),
-    "repeat_rate": Fence(50, 95, 8, 100),
-    "mean_chars": Fence(10, 90, 3, 16, both=True),
+    "symbol_rate": Fence(25, 75, 6, 1, "n_words"),
+    "dup_line_rate": Fence(50, 95, 3, 1, "n_lines"),
+    "repeat_rate": Fence(50, 95, 8, 6, "n_words"),
+    "mean_chars": Fence(10, 90, 3, both=True),
 }
+#: Lengths, which have sketches as well.
+LENGTHS = ("n_words", "n_lines")
 #: Every group's sketch is merged with a prior of so many rows: the sketch of its language, scaled down, and as far as
 #: that has fewer rows the sketch of all. So limits of small groups lean on their language, and those of large ones do not.
 PRIOR_ROWS = 100
@@ -121,7 +129,7 @@ def sketch(rows: DataFrame) -> DataFrame:
     summed on the map side first, so a hot source sends a few hundred rows a task.
     """
     good = rows.filter(~base_failed())
-    cells = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in FENCES])
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), bin_of(F.col(m)).alias("bin")) for m in (*FENCES, *LENGTHS)])
     return good.select("lang", "source", F.explode(cells).alias("c")).groupBy("lang", "source", "c.measure", "c.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,15 +151,13 @@ def merged(cells: DataFrame, groups: DataFrame, prior_rows: int = PRIOR_ROWS) ->
     columns = lambda t, n: ["g.lang", "g.source", f"{t}.measure", f"{t}.bin", n.alias("n")]
     g, n = sized.alias("g"), F.col("n").cast("decimal(38,0)")
     fine = g.join(cells.alias("f"), key("g", "f") & F.col("g.source").eqNullSafe(F.col("f.source"))).select(*columns("f", n * F.col("rows_lang") * F.col("rows_all")))
-    mid = g.join(of_lang.alias("c"), key("g", "c")).select(*columns("c", n * F.col("from_lang") * F.col("rows_all")))
-    top = g.join(F.broadcast(of_all).alias("a")).select(*columns("a", n * F.col("from_all") * F.col("rows_lang")))
+    # most groups lean on their language alone, or on nothing
+    leans, alone = sized.filter("from_lang > 0").alias("g"), sized.filter("from_all > 0").alias("g")
+    mid = leans.join(of_lang.alias("c"), key("g", "c")).select(*columns("c", n * F.col("from_lang") * F.col("rows_all")))
+    top = alone.join(F.broadcast(of_all).alias("a")).select(*columns("a", n * F.col("from_all") * F.col("rows_lang")))
     return fine.unionByName(mid).unionByName(top).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
 
 
-def _by_measure(value: Callable[[Fence], int]) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for m, f in FENCES.items() for x in (m, value(f))]), F.col("measure"))
-
-
 def limits(rows: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(lang, source, max_ and min_ of each measure) for each language and source of the rows, read from merged sketches.
 
@@ -162,12 +168,16 @@ def limits(rows: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     up = Window.partitionBy("lang", "source", "measure").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("lang", "source", "measure")
     ranked = merged(cells, groups, prior_rows).withColumns({"below": F.sum("n").over(up), "rows": F.sum("n").over(whole)})
-    at = lambda percent: F.min(F.when(F.col("below") * 100 >= F.col("rows") * _by_measure(percent), bin_top(F.col("bin"))))
-    read = ranked.groupBy("lang", "source", "measure").agg(at(lambda f: f.low).alias("low"), at(lambda f: f.high).alias("high"))
-    reach = _by_measure(lambda f: f.spread) * F.greatest(F.col("high") - F.col("low"), _by_measure(lambda f: f.least))
-    read = read.select("lang", "source", "measure", (F.col("high") + reach).alias("most"), F.when(_by_measure(lambda f: f.both), F.col("low") - reach).alias("least"))
-    each = [F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{k}_{m}") for m in FENCES for k, c in (("max", "most"), ("min", "least"))]
-    return read.groupBy("lang", "source").agg(*each)
+    at = lambda m, percent: F.min(F.when((F.col("measure") == m) & (F.col("below") * 100 >= F.col("rows") * percent), bin_top(F.col("bin"))))
+    quantiles = [at(m, p).alias(f"{k}_{m}") for m, f in FENCES.items() for k, p in (("low", f.low), ("high", f.high))]
+    read = ranked.groupBy("lang", "source").agg(*quantiles, *[at(m, 50).alias(f"median_{m}") for m in LENGTHS])
+    out = []
+    for m, f in FENCES.items():
+        low, high = F.col(f"low_{m}"), F.col(f"high_{m}")
+        step = F.floor(F.lit(f.step * 10_000) / F.greatest(F.col(f"median_{f.per}"), F.lit(1))) if f.per else F.floor(high / (1 << BIN_BITS))
+        reach = f.spread * F.greatest(high - low, step.cast("long"))
+        out += [(high + reach).alias(f"max_{m}"), (low - reach if f.both else F.lit(None).cast("long")).alias(f"min_{m}")]
+    return read.select("lang", "source", *out)
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, prior_rows: int = PRIOR_ROWS) -> DataFrame:

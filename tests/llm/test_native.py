@@ -260,7 +260,7 @@ def measures(spark, groups):
     """Measured rows of groups {(lang, source): values}: every measure has the value."""
     rows = [(lang, source, v) for (lang, source), values in groups.items() for v in values]
     made = spark.createDataFrame(rows, "lang string, source string, v long")
-    return made.select("lang", "source", *[F.col("v").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
+    return made.select("lang", "source", *[F.col("v").alias(m) for m in quality.FENCES], F.lit(100).alias("n_words"), F.lit(40).alias("n_lines"), F.lit(0).alias("n_repeat_words"))
 
 
 def naive_limits(groups, prior=quality.PRIOR_ROWS):
@@ -290,7 +290,9 @@ def naive_limits(groups, prior=quality.PRIOR_ROWS):
 
         for m, f in quality.FENCES.items():
             low, high = quantile(f.low), quantile(f.high)
-            reach = f.spread * max(high - low, f.least)
+            # what a step makes in a text of the median length, as the sketch has it
+            step = f.step * 10_000 // top({"n_words": 100, "n_lines": 40}[f.per]) if f.per else high // 32
+            reach = f.spread * max(high - low, step)
             out[lang, source, m] = (high + reach, low - reach if f.both else None)
     return out
 
@@ -329,6 +331,23 @@ def test_sources_have_limits_of_their_own(spark):
     assert verdict(code + moved + probes) == {2000: True, 2001: True}
 
 
+def test_clean_groups_have_limits_of_their_own(spark):
+    """On the test tables most texts have no symbols at all; still the limits differ with the lengths of a group's texts, and so do verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(docs, keep=["doc_id", "lang", "source"]).withColumns({"lang": F.col("__row.lang"), "source": F.col("__row.source")}).withColumns(quality.rates())
+    table = quality.limits(rows.cache()).collect()
+    most = {r["max_symbol_rate"] for r in table}
+    assert len(most) > 5
+    low, high = (f(table, key=lambda r: r["max_symbol_rate"]) for f in (min, max))
+    # a clean text of 1,000 words with symbols between the two limits
+    n = (low["max_symbol_rate"] + high["max_symbol_rate"]) // 20
+    probe = " ".join(["#" * (i < n) + f"w{'abcde'[i % 5] * (i % 4)}{i:03}" for i in range(1000)])
+    own = [(-1 - i, probe, r["lang"], r["source"], 1) for i, r in enumerate((low, high))]
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(own, DOCS).select("doc_id", "text", "lang", "source"))
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(both, keep=["doc_id"]).filter("__row.doc_id < 0").select("__row.doc_id", "kept").collect()}
+    assert got == {-1: False, -2: True}
+
+
 @pytest.mark.parametrize("rows", [99, 100, 101])
 def test_limits_do_not_jump_with_the_size_of_a_group(spark, rows):
     """A few rows more or less move a limit by a bin or two: no group size is a switch."""
