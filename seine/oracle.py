@@ -232,7 +232,13 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'Custom Pattern 2', 'x', regexp_extract(line, '([a-z]+)-([0-9]+)\z', 1) FROM l WHERE regexp_matches(line, '([a-z]+)-([0-9]+)\z')
         UNION ALL SELECT 'Custom Pattern 4', unnest(regexp_extract_all(line, '{_EDGED}', 2)), '' FROM l)
       SELECT secret_type, count(*) AS matches, min(CASE WHEN g = '' THEN hit ELSE g END) AS least FROM m GROUP BY 1 UNION ALL SELECT 'warnings', 1, ''""",
-    "text_results": f"SELECT path, path || ' (' || count(*) || ' matches)' AS header, string_agg('  line ' || line_number || ': ' || secret_type || ' ' || {TRIM}, chr(10) ORDER BY line_number, pattern_id, start_pos) AS lines FROM {SCANNED} GROUP BY path",
+    "text_results": f"WITH f AS MATERIALIZED (SELECT * FROM {SCANNED}) SELECT path, line_number, pattern_id, start_pos, '  line ' || line_number || ': ' || secret_type || ' ' || {TRIM} AS text FROM f UNION ALL SELECT path, 0, 0, 0, path || ' (' || count(*) || ' matches)' FROM f GROUP BY path",
+    "report_lines": f"""WITH f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY path, line_number, pattern_id, start_pos) AS k FROM {_FLAGGED_FOUND}),
+      w AS (SELECT 'Failed to scan ' || path || ': not readable as UTF-8' AS message, row_number() OVER (ORDER BY path) AS k FROM {_FLAGGED} WHERE NOT success)
+      SELECT '{{"report_metadata":{{"generated_at":1,"tool_version":"1","scan_duration_ms":0,"total_files_scanned":' || (SELECT count(*) FROM {_FLAGGED} WHERE success) || ',"total_files_skipped":' || (SELECT count(*) FROM w)
+             || '}},"summary":{{"total_secrets":' || (SELECT count(*) FROM f) || ',"total_warnings":' || (SELECT count(*) FROM w) || '}},"secrets":[' AS value
+      UNION ALL SELECT CASE WHEN k = 1 THEN '' ELSE ',' END || to_json(struct_pack(file := path, line := line_number, type := secret_type, content := {TRIM}, matched_text := matched_text, start_pos := start_pos, end_pos := end_pos, pattern_description := pattern_description))::VARCHAR FROM f
+      UNION ALL SELECT '],"warnings":[' UNION ALL SELECT CASE WHEN k = 1 THEN '' ELSE ',' END || to_json(struct_pack(message := message))::VARCHAR FROM w UNION ALL SELECT ']}}'""",
     "scan_pages": _column("page_id", "html", "pages"),
     "scan_conversations": _column("conv_id || '/' || turn", "text", "conversations"),
     "scan_event_props": _column("event_id", "props", "events"),
@@ -241,7 +247,7 @@ ORACLE: dict[str, str] = {
     "SELECT pattern_id, name, regex, n_groups, description, (SELECT count(DISTINCT rid) FROM h WHERE list_contains(anchors, anchor)) AS candidate_lines FROM p",
     "sync_changed_files": _CHANGED + ")",
     "sync_changed_content": _CHANGED + " OR s.body <> d.body)",
-    "sync_status": f"SELECT repo, CASE WHEN files IS NULL THEN 'InSync' ELSE 'OutOfSync' END AS status, coalesce(files, '') AS changed_files FROM (SELECT DISTINCT p_brand AS repo FROM part UNION ALL SELECT 'idle') r LEFT JOIN (SELECT split_part(rel_path, '/', 1) AS repo, string_agg(rel_path, ',' ORDER BY rel_path) AS files FROM ({_CHANGED})) GROUP BY 1) c USING (repo) WHERE NOT ends_with(repo, '1')",
+    "sync_status": f"SELECT repo, CASE WHEN rel_path IS NULL THEN 'InSync' ELSE 'OutOfSync' END AS status, rel_path AS changed_file FROM (SELECT DISTINCT p_brand AS repo FROM part UNION ALL SELECT 'idle') r LEFT JOIN (SELECT split_part(rel_path, '/', 1) AS repo, rel_path FROM ({_CHANGED}))) c USING (repo) WHERE NOT ends_with(repo, '1')",
     "sync_line_diff": "SELECT path, line, CASE WHEN d > 0 THEN 'insert' ELSE 'delete' END AS tag, abs(d)::BIGINT AS n FROM (SELECT path, line, sum(d) AS d FROM (SELECT p_brand AS path, p_type AS line, -1 AS d FROM part UNION ALL SELECT p_brand, CASE WHEN p_size % 9 = 0 THEN p_type || '!' WHEN p_size % 4 = 0 THEN lower(p_type) ELSE p_type END, 1 FROM part) GROUP BY ALL) WHERE d <> 0",
     "sync_diff_edits": """WITH RECURSIVE raw AS (
         SELECT doc_id::VARCHAR AS path, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),

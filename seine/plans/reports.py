@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import csv_quoted, html_escape, section_id, trim
 from ..operators.summaries import by_type
+from ..sources.written import written
+from .scan import ScanResult
 
 ORDER = ("path", "line_number", "pattern_id", "start_pos")
 #: More findings or warnings than this make a text report write files as well.
@@ -25,23 +27,37 @@ def json_lines(findings: DataFrame, full: bool = False) -> DataFrame:
     return findings.select(*ORDER, F.to_json(_match(full)).alias("json"))
 
 
+def _pages(findings: DataFrame, warnings: DataFrame, stats: DataFrame, full: bool, head: Column, tail: Column) -> DataFrame:
+    """(value), one row a line of a JSON object, in order: head, a line a finding, a line a warning, tail. No value holds more than one of them.
+
+    head and tail may use the columns of stats, n_findings and n_warnings.
+    """
+    place = F.struct(*ORDER)
+    first = findings.agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    least = warnings.agg(F.min("message").alias("first"), F.count(F.lit(1)).alias("n"))
+    comma = lambda is_first: F.when(is_first, "").otherwise(",")
+    totals = stats.crossJoin(first.select(F.col("n").alias("n_findings"))).crossJoin(least.select(F.col("n").alias("n_warnings")))  # one row each
+    at = F.lit(None).cast(findings.select(place).schema[0].dataType).alias("at")
+    secrets = findings.crossJoin(F.broadcast(first)).select(F.lit(1), place, F.lit(""), F.concat(comma(place == F.col("first")), F.to_json(_match(full))))
+    numbered = warnings.select("message", F.row_number().over(Window.partitionBy("message").orderBy("message")).alias("k"))
+    notes = numbered.crossJoin(F.broadcast(least)).select(F.lit(3), F.lit(None), "message", F.concat(comma((F.col("message") == F.col("first")) & (F.col("k") == 1)), F.to_json(F.struct("message"))))
+    between = findings.sparkSession.range(1).select(F.lit(2), F.lit(None), F.lit(""), F.lit('],"warnings":['))
+    frame = totals.select(F.lit(0).alias("part"), at, F.lit("").alias("note"), head.alias("value")), totals.select(F.lit(4), F.lit(None), F.lit(""), tail)
+    return frame[0].union(secrets).union(between).union(notes).union(frame[1]).orderBy("part", "at", "note", F.length("value")).select("value")
+
+
 def json_document(findings: DataFrame, warnings: DataFrame, stats: DataFrame, duration_ms: int = 0) -> DataFrame:
-    """One row, json: results, warnings and statistics. All findings are one value of at most 2 GB; json_lines and write_reports have no such bound."""
-    results = findings.select(F.struct(*ORDER).alias("o"), _match().alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda x: x["m"]).alias("results"))
-    notes = warnings.agg(F.transform(F.array_sort(F.collect_list("message")), lambda m: F.struct(m.alias("message"))).alias("warnings"))
-    joined = results.crossJoin(notes).crossJoin(stats)
-    counts = F.struct("files_scanned", "files_skipped", F.col("total_matches").alias("secrets_found"), F.size("warnings").alias("warnings_count"), F.lit(duration_ms).alias("scan_duration_ms"))
-    return joined.select(F.to_json(F.struct("results", "warnings", counts.alias("statistics"))).alias("json"))
-
-
-def json_report(findings: DataFrame, warnings: DataFrame, stats: DataFrame, generated_at: int, duration_ms: int = 0, version: str = "1") -> DataFrame:
-    """One row, json: the report file with its metadata, summary, secrets and warnings. json_page is the same, line by line, of any size."""
-    secrets = findings.select(F.struct(*ORDER).alias("o"), _match(True).alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "m"))), lambda x: x["m"]).alias("secrets"))
-    notes = warnings.agg(F.transform(F.array_sort(F.collect_list("message")), lambda m: F.struct(m.alias("message"))).alias("warnings"))
-    joined = secrets.crossJoin(notes).crossJoin(stats)
+    """(value), one row a line, in order: an object of results, warnings and statistics."""
+    counts = F.struct("files_scanned", "files_skipped", F.col("total_matches").alias("secrets_found"), F.col("n_warnings").alias("warnings_count"), F.lit(duration_ms).alias("scan_duration_ms"))
+    return _pages(findings, warnings, stats, False, F.lit('{"results":['), F.concat(F.lit('],"statistics":'), F.to_json(counts), F.lit("}")))
+
+
+def json_page(findings: DataFrame, warnings: DataFrame, stats: DataFrame, generated_at: int, duration_ms: int = 0, version: str = "1") -> DataFrame:
+    """(value), one row a line, in order: the report file with its metadata, summary, secrets and warnings."""
     about = F.struct(F.lit(generated_at).alias("generated_at"), F.lit(version).alias("tool_version"), F.lit(duration_ms).alias("scan_duration_ms"), F.col("files_scanned").alias("total_files_scanned"), F.col("files_skipped").alias("total_files_skipped"))
-    summary = F.struct(F.size("secrets").alias("total_secrets"), F.size("warnings").alias("total_warnings"))
-    return joined.select(F.to_json(F.struct(about.alias("report_metadata"), summary.alias("summary"), "secrets", "warnings")).alias("json"))
+    summary = F.struct(F.col("n_findings").alias("total_secrets"), F.col("n_warnings").alias("total_warnings"))
+    head = F.concat(F.lit('{"report_metadata":'), F.to_json(about), F.lit(',"summary":'), F.to_json(summary), F.lit(',"secrets":['))
+    return _pages(findings, warnings, stats, True, head, F.lit("]}"))
 
 
 CSV_HEADER = "file,line,type,content"
@@ -53,11 +69,11 @@ def csv_rows(findings: DataFrame) -> DataFrame:
 
 
 def text_report(findings: DataFrame, show_content: bool = False) -> DataFrame:
-    """(path, header, lines) by path. A file's findings are one row, as a report shows them together."""
+    """(path, line_number, pattern_id, start_pos, text), one row a line of the report, in order: a header for each file, with line_number 0, and its findings."""
     one = F.concat(F.lit("  line "), F.col("line_number").cast("string"), F.lit(": "), F.col("secret_type"), *([F.lit(" "), trim(F.col("line"))] if show_content else []))
-    rows = findings.select("path", F.struct("line_number", "pattern_id", "start_pos", one.alias("text")).alias("r"))
-    grouped = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("r")).alias("rs"))
-    return grouped.select("path", F.concat("path", F.lit(" ("), F.col("n").cast("string"), F.lit(" matches)")).alias("header"), F.transform("rs", lambda r: r["text"]).alias("lines")).orderBy("path")
+    counts = findings.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    headers = counts.select("path", *[F.lit(0).alias(c) for c in ORDER[1:]], F.concat("path", F.lit(" ("), F.col("n").cast("string"), F.lit(" matches)")).alias("text"))
+    return headers.unionByName(findings.select(*ORDER, one.alias("text"))).orderBy(*ORDER)
 
 
 def html_rows(findings: DataFrame) -> DataFrame:
@@ -89,29 +105,6 @@ def html_page(findings: DataFrame, title: str = "Scan report") -> DataFrame:
     return whole.orderBy("rank", "kind", *ORDER).select("value")
 
 
-def html_report(findings: DataFrame, title: str = "Scan report") -> str:
-    """The whole page as one text, for reports that a person reads; write_reports has no such bound."""
-    return "\n".join(r["value"] for r in html_page(findings, title).toLocalIterator())
-
-
-def json_page(findings: DataFrame, warnings: DataFrame, stats: DataFrame, generated_at: int, duration_ms: int = 0, version: str = "1") -> DataFrame:
-    """(value), one row a line of the JSON report, in order: the object of json_report with a line for each finding and warning."""
-    place = F.struct(*ORDER)
-    first = findings.agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    least = warnings.agg(F.min("message").alias("first"), F.count(F.lit(1)).alias("n"))
-    comma = lambda is_first: F.when(is_first, "").otherwise(",")
-    about = F.struct(F.lit(generated_at).alias("generated_at"), F.lit(version).alias("tool_version"), F.lit(duration_ms).alias("scan_duration_ms"), F.col("files_scanned").alias("total_files_scanned"), F.col("files_skipped").alias("total_files_skipped"))
-    summary = F.struct(F.col("s.n").alias("total_secrets"), F.col("w.n").alias("total_warnings"))
-    totals = stats.crossJoin(first.alias("s")).crossJoin(least.alias("w"))  # one row each
-    head = totals.select(F.lit(0).alias("part"), F.lit(None).cast(findings.select(place).schema[0].dataType).alias("at"), F.lit("").alias("note"), F.concat(F.lit('{"report_metadata":'), F.to_json(about), F.lit(',"summary":'), F.to_json(summary), F.lit(',"secrets":[')).alias("value"))
-    secrets = findings.crossJoin(F.broadcast(first)).select(F.lit(1), place, F.lit(""), F.concat(comma(place == F.col("first")), F.to_json(_match(True))))
-    numbered = warnings.select("message", F.row_number().over(Window.partitionBy("message").orderBy("message")).alias("k"))
-    notes = numbered.crossJoin(F.broadcast(least)).select(F.lit(3), F.lit(None), "message", F.concat(comma((F.col("message") == F.col("first")) & (F.col("k") == 1)), F.to_json(F.struct("message"))))
-    one = findings.sparkSession.range(1)
-    whole = head.union(secrets).union(one.select(F.lit(2), F.lit(None), F.lit(""), F.lit('],"warnings":['))).union(notes).union(one.select(F.lit(4), F.lit(None), F.lit(""), F.lit("]}")))
-    return whole.orderBy("part", "at", "note", F.length("value")).select("value")
-
-
 def write_reports(findings: DataFrame, warnings: DataFrame, stats: DataFrame, folder: str, epoch: int, duration_ms: int = 0) -> tuple[str, str]:
     """Write the HTML and the JSON report below a folder, each as a folder of part files that make up the report when put together in the order of their names."""
     html, js = (f"{folder.rstrip('/')}/{name}" for name in report_names(epoch))
@@ -125,6 +118,17 @@ def wants_report(findings: DataFrame, warnings: DataFrame) -> bool:
     return any(rows.limit(REPORT_ABOVE + 1).count() > REPORT_ABOVE for rows in (findings, warnings))
 
 
+def report(result: ScanResult, folder: str, epoch: int, duration_ms: int = 0, show_content: bool = False) -> tuple[DataFrame | None, tuple[str, str] | None]:
+    """(text, None) of a scan with few findings and warnings, or (None, paths of its HTML and JSON report).
+
+    Findings and warnings are each written once; every part of the report starts from them.
+    """
+    findings, warnings = result.saved, written(result.warnings)
+    if not wants_report(findings, warnings):
+        return text_report(findings, show_content), None
+    return None, write_reports(findings, warnings, result.stats, folder, epoch, duration_ms)
+
+
 def report_names(epoch: int) -> tuple[str, str]:
     return f"scan-report-{epoch}.html", f"scan-report-{epoch}.json"
 

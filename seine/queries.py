@@ -347,8 +347,15 @@ def html_results(spark, sf_dir):
 
 
 def text_results(spark, sf_dir):
-    rows = reports.text_report(scanned(spark, sf_dir), True)
-    return rows.select("path", "header", F.array_join("lines", "\n").alias("lines"))
+    return reports.text_report(scanned(spark, sf_dir), True)
+
+
+def report_lines(spark, sf_dir):
+    """The lines of the JSON report that a scan with many findings writes, read back."""
+    flagged = _flagged(spark, sf_dir)
+    result = Scanner().scan_flagged(flagged.withColumn("text", F.when(F.col("success") & ~F.col("is_binary"), F.col("text"))))
+    _, (_, js) = reports.report(result, file_source.shared_folder(spark), 1)
+    return spark.read.text(js)
 
 
 def html_page_lines(spark, sf_dir):
@@ -415,7 +422,7 @@ def sync_changed_content(spark, sf_dir):
 def sync_status(spark, sf_dir):
     changed = drift.changed_files(*_listings(spark, sf_dir)).select(F.substring_index("rel_path", "/", 1).alias("repo"), "rel_path")
     repos = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo")).distinct().unionByName(spark.sql("SELECT 'idle' AS repo")).withColumn("cached", ~F.col("repo").endswith("1"))
-    return drift.sync_status(repos, changed).select("repo", "status", F.array_join("changed_files", ",").alias("changed_files"))
+    return drift.sync_status(repos, changed)
 
 
 def sync_line_diff(spark, sf_dir):
@@ -487,7 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, custom_patterns,
+        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, report_lines, custom_patterns,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, sync_diff_edits, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

@@ -233,7 +233,7 @@ def test_drift(spark):
     assert sorted(r[0] for r in drift.changed_files(source, there, by_content=True).collect()) == ["b", "c", "d"]
     repos = spark.createDataFrame([("r", True), ("s", True), ("t", False)], "repo string, cached boolean")
     changed = spark.createDataFrame([("r", "b"), ("r", "a")], "repo string, rel_path string")
-    assert sorted((r["repo"], r["status"], tuple(r["changed_files"])) for r in drift.sync_status(repos, changed).collect()) == [("r", "OutOfSync", ("a", "b")), ("s", "InSync", ())]
+    assert sorted(map(str, map(tuple, drift.sync_status(repos, changed).collect()))) == sorted(map(str, [("r", "OutOfSync", "a"), ("r", "OutOfSync", "b"), ("s", "InSync", None)]))
     assert drift.sync_status(repos.limit(0), changed.limit(0)).first()["status"] == "NotConfigured"
     assert drift.listing(source, exclude=["a", "b"]).count() == 2 and drift.listing(source, include=["a"]).count() == 4 and drift.listing(source, include=["a"], apply_include=True).count() == 1
 
@@ -247,28 +247,36 @@ def test_grouped_diff(spark):
 
 def test_reports(spark):
     result = Scanner().scan_table(spark.createDataFrame([("b.txt", f'  token = "{HEX[:40]}" <x>'), ("a.txt", f"key={HEX[:30]}\nkey={HEX[30:60]}")], "path string, text string"))
-    doc = json.loads(reports.json_document(result.findings, result.warnings, result.stats, 7).first()["json"])
+    whole = lambda lines: "\n".join(r["value"] for r in lines.collect())
+    doc = json.loads(whole(reports.json_document(result.findings, result.warnings, result.stats, 7)))
     assert [(m["file"], m["line"]) for m in doc["results"]] == [("a.txt", 1), ("a.txt", 2), ("b.txt", 1)]
     assert doc["statistics"] == {"files_scanned": 2, "files_skipped": 0, "secrets_found": 3, "warnings_count": 0, "scan_duration_ms": 7}
-    full = json.loads(reports.json_report(result.findings, result.warnings, result.stats, 1).first()["json"])
+    full = json.loads(whole(reports.json_page(result.findings, result.warnings, result.stats, 1)))
     assert full["summary"] == {"total_secrets": 3, "total_warnings": 0} and full["secrets"][0]["pattern_description"]
     assert reports.csv_rows(result.findings).filter("path = 'b.txt'").first()["csv"] == f'b.txt,1,Generic Secret Pattern,"token = ""{HEX[:40]}"" <x>"'
-    assert [r["header"] for r in reports.text_report(result.findings).collect()] == ["a.txt (2 matches)", "b.txt (1 matches)"]
-    page = reports.html_report(result.findings)
+    kind = "Generic Secret Pattern"
+    assert [r["text"] for r in reports.text_report(result.findings).collect()] == ["a.txt (2 matches)", f"  line 1: {kind}", f"  line 2: {kind}", "b.txt (1 matches)", f"  line 1: {kind}"]
+    page = whole(reports.html_page(result.findings))
     assert "&lt;x&gt;" in page and page.count("<tr><td>") == 3 and reports.exit_code(result.findings) == 1
     empty = Scanner().scan_table(spark.createDataFrame([], "path string, text string"))
-    assert "No findings" in reports.html_report(empty.findings) and reports.exit_code(empty.findings) == 0
-    assert json.loads(reports.json_document(empty.findings, empty.warnings, empty.stats).first()["json"])["results"] == []
+    assert "No findings" in whole(reports.html_page(empty.findings)) and reports.exit_code(empty.findings) == 0
+    assert json.loads(whole(reports.json_document(empty.findings, empty.warnings, empty.stats)))["results"] == []
 
 
 def test_report_files_are_whole_in_parts(spark, tmp_path):
     result = Scanner().scan_table(spark.createDataFrame([(f"{i}.txt", f"token = {HEX[i:40 + i]}\nkey={HEX[:30]} <b>") for i in range(15)] + [("null", None), ("none", None)], "path string, text string"))
     html, js = reports.write_reports(result.findings, result.warnings, result.stats, str(tmp_path), 99, 7)
     text = lambda folder: "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
-    assert html.endswith("scan-report-99.html") and text(html).rstrip("\n") == reports.html_report(result.findings)
-    assert json.loads(text(js)) == json.loads(reports.json_report(result.findings, result.warnings, result.stats, 99, 7).first()["json"])
+    assert html.endswith("scan-report-99.html") and text(html) == "".join(r["value"] + "\n" for r in reports.html_page(result.findings).collect())
+    found = json.loads(text(js))
+    assert len(found["secrets"]) == found["summary"]["total_secrets"] == 30 and len(found["warnings"]) == 2 and found["report_metadata"]["scan_duration_ms"] == 7
+    assert [(m["file"], m["line"]) for m in found["secrets"]] == [(r["path"], r["line_number"]) for r in result.findings.orderBy(*reports.ORDER).collect()]
     assert reports.wants_report(result.findings, result.warnings) and not reports.wants_report(result.findings.limit(20), result.warnings)
     empty = Scanner().scan_table(spark.createDataFrame([], "path string, text string"))
+    shown, paths = reports.report(result, str(tmp_path / "auto"), 7)
+    assert shown is None and json.loads(text(paths[1]))["summary"] == found["summary"] and text(paths[0]) == text(html)
+    shown, paths = reports.report(empty, str(tmp_path / "auto"), 8)
+    assert shown.count() == 0 and paths is None
     _, js = reports.write_reports(empty.findings, empty.warnings, empty.stats, str(tmp_path), 100)
     assert json.loads(text(js))["secrets"] == []
 
