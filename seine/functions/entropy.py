@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .reuse import reused
+
 MAX_BYTES = 170
 BASES = (16, 36, 64)
 
@@ -93,25 +95,29 @@ def bigram_count(text: Column, bigrams: Collection[str]) -> Column:
 DIGITS, UPPERS, LOWERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@reused
+def _probabilities(text: str, bigrams: tuple[str, ...]) -> dict[str, Column]:
+    """The three probabilities of a text, from the table's row for its length."""
+    t, base = F.col(text), F.col("base")
+    at = lambda name, x: F.get(F.col(name), x)
+    distinct, digits, uppers, lowers = distinct_bytes(t), _count(t, DIGITS), _count(t, UPPERS), _count(t, LOWERS)
+    return {
+        "p_distinct": F.when(base == 16, at("distinct16", distinct)).when(base == 36, at("distinct36", distinct)).otherwise(at("distinct64", distinct)),
+        "p_class": F.when(base == 16, at("digit16", digits))
+        .when(base == 36, F.least(at("digit36", digits), at("upper36", uppers)))
+        .otherwise(F.least(at("digit64", digits), at("upper64", uppers), at("lower64", lowers))),
+        "p_bigram": at("bigram", bigram_count(t, bigrams)),
+    }
+
+
 def with_randomness(rows: DataFrame, text: str, bigrams: Sequence[str] | None = None) -> DataFrame:
     """rows plus base, p_distinct, p_class, p_bigram and p of a text column; all null beyond MAX_BYTES and for empty texts."""
-    bigrams = bigrams or default_bigrams()
+    bigrams = tuple(bigrams or default_bigrams())
     t = F.col(text)
     table = F.broadcast(length_table(rows.sparkSession, bigrams).withColumnRenamed("n", "_n"))
     rows = rows.withColumns({"base": base_of(t), "_len": F.octet_length(t)})
-    rows = rows.join(table, F.col("_len") == F.col("_n"), "left")
+    rows = rows.join(table, F.col("_len") == F.col("_n"), "left").withColumns(_probabilities(text, bigrams))
     base = F.col("base")
-    at = lambda name, x: F.get(F.col(name), x)
-    distinct, digits, uppers, lowers = distinct_bytes(t), _count(t, DIGITS), _count(t, UPPERS), _count(t, LOWERS)
-    rows = rows.withColumns(
-        {
-            "p_distinct": F.when(base == 16, at("distinct16", distinct)).when(base == 36, at("distinct36", distinct)).otherwise(at("distinct64", distinct)),
-            "p_class": F.when(base == 16, at("digit16", digits))
-            .when(base == 36, F.least(at("digit36", digits), at("upper36", uppers)))
-            .otherwise(F.least(at("digit64", digits), at("upper64", uppers), at("lower64", lowers))),
-            "p_bigram": at("bigram", bigram_count(t, bigrams)),
-        }
-    )
     p = F.col("p_distinct") * F.col("p_class") * F.when(base == 64, F.col("p_bigram")).otherwise(F.lit(1.0))
     return rows.withColumn("p", p).drop("_n", "_len", *[f"distinct{b}" for b in BASES], *class_rates(bigrams))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entropy import likely, with_randomness
 from ..functions.patterns import DIALECT, Pattern
+from ..functions.reuse import reused
 from .predicates import any_of, contains_one
 
 #: Two code points that are no characters stand around matches while they are cut out; in a line they become a third one
@@ -39,16 +40,20 @@ def matches_of(line: Column, pattern: Pattern) -> Column:
     return F.split(marked, f"[{_OPEN}{_CLOSE}]")
 
 
-def find(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line", strict_groups: bool = False) -> DataFrame:
-    """A row for each match: all columns of lines, and pattern_id, secret_type, pattern_description, matched_text,
-    start_pos, end_pos (bytes from 0, end exclusive) and secret.
+@reused
+def gate_lines(line: str, patterns: tuple[Pattern, ...]) -> Column:
+    return gate_all(F.col(line), patterns)
 
-    secret is what the gate judges. For an expression with a group it is group 1 of the line's first match (with
-    strict_groups: of this match), or the matched text if that group took no part; else the matched text. Everything
-    stays in one stage without a shuffle.
-    """
+
+@reused
+def _clean(line: str) -> Column:
     clean = F.translate(F.col(line), _OPEN + _CLOSE, _OTHER * 2)
-    rows = lines.filter(gate_all(F.col(line), patterns)).withColumn("_clean", F.when(F.col(line).contains(_OPEN) | F.col(line).contains(_CLOSE), clean).otherwise(F.col(line)))
+    return F.when(F.col(line).contains(_OPEN) | F.col(line).contains(_CLOSE), clean).otherwise(F.col(line))
+
+
+@reused
+def _hits(line: str, patterns: tuple[Pattern, ...]) -> Column:
+    """A row for each expression that matches in _clean."""
     empty = F.lit(None).cast("struct<pattern_id:int,name:string,description:string,parts:array<string>,first:string,regex:string>")
     found = []
     for i, p in enumerate(patterns, 1):
@@ -56,16 +61,38 @@ def find(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line", stri
         first = F.regexp_extract(F.col("_clean"), expression, 1) if p.groups else F.lit("")
         hit = F.struct(F.lit(i).alias("pattern_id"), F.lit(p.name).alias("name"), F.lit(p.description).alias("description"), matches_of(F.col("_clean"), p).alias("parts"), first.alias("first"), F.lit(expression if p.groups else None).cast("string").alias("regex"))
         found.append(F.when(gate(F.col(line), p) & F.rlike("_clean", F.lit(expression)), hit).otherwise(empty))
-    rows = rows.withColumn("_hit", F.explode(F.filter(F.array(*found), lambda h: h.isNotNull()))).drop("_clean")
-    parts = F.col("_hit.parts")
+    return F.explode(F.filter(F.array(*found), lambda h: h.isNotNull()))
+
+
+@reused
+def _ends() -> Column:
     # parts: outside, match, outside, match, ..., outside
-    ends = F.transform(parts, lambda x: F.octet_length(x))
-    rows = rows.withColumn("_ends", ends)
+    return F.transform(F.col("_hit.parts"), lambda x: F.octet_length(x))
+
+
+@reused
+def _spots() -> Column:
+    """A row for each match of a hit, and its first byte."""
+    parts = F.col("_hit.parts")
     spots = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
         lambda i: F.struct(F.get(parts, i).alias("m"), F.aggregate(F.slice(F.col("_ends"), F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("at")),
     )
-    rows = rows.withColumn("_spot", F.explode(F.when(F.size(parts) > 1, spots))).filter("_spot.m != ''")
+    return F.explode(F.when(F.size(parts) > 1, spots))
+
+
+def find(lines: DataFrame, patterns: Sequence[Pattern], line: str = "line", strict_groups: bool = False) -> DataFrame:
+    """A row for each match: all columns of lines, and pattern_id, secret_type, pattern_description, matched_text,
+    start_pos, end_pos (bytes from 0, end exclusive) and secret.
+
+    secret is what the gate judges. For an expression with a group it is group 1 of the line's first match (with
+    strict_groups: of this match), or the matched text if that group took no part; else the matched text. Everything
+    stays in one stage without a shuffle.
+    """
+    patterns = tuple(patterns)
+    rows = lines.filter(gate_lines(line, patterns)).withColumn("_clean", _clean(line))
+    rows = rows.withColumn("_hit", _hits(line, patterns)).drop("_clean")
+    rows = rows.withColumn("_ends", _ends()).withColumn("_spot", _spots()).filter("_spot.m != ''")
     matched, hit = F.col("_spot.m"), F.col("_hit")
     own = F.when(hit["regex"].isNotNull(), F.call_function("regexp_extract", matched, hit["regex"], F.lit(1))) if strict_groups else hit["first"]
     out = rows.withColumns(

@@ -8,13 +8,14 @@ from functools import cached_property
 
 import pyarrow.fs as pafs
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern, library
+from ..functions.reuse import reused
 from ..functions.text import lines_of
 from ..operators.blocks import test_blocks
-from ..operators.matcher import find, gate_all, gated
+from ..operators.matcher import find, gate_lines, gated
 from ..operators.predicates import contains_any, ignored_next, streamed, test_line
 from ..operators.summaries import observed_counts
 from ..sources.chunks import RANGE, counted, file_states, lines_of_parts, ranges
@@ -65,6 +66,30 @@ class ScanResult:
         return self.findings.sparkSession.createDataFrame([(c["files_scanned"], c["skipped"], c["total_matches"])], "files_scanned long, files_skipped long, total_matches long")
 
 
+@reused
+def _line_rules(comments: tuple[str, ...], substrings: tuple[str, ...], attributes: tuple[str, ...] | None, modules: tuple[str, ...]) -> Column:
+    """Whether no rule about a line alone leaves it out; without attributes test lines stay."""
+    line = F.col("line")
+    kept = ~contains_any(line, comments) & ~contains_any(line, substrings)
+    return kept if attributes is None else kept & ~test_line(line, attributes, modules)
+
+
+@reused
+def _blocks(attributes: tuple[str, ...], modules: tuple[str, ...]) -> Column:
+    none = F.array().cast("array<struct<start_line:int,end_line:int>>")
+    return F.when(F.col("streamed"), none).otherwise(test_blocks(F.col("lines"), F.col("path"), F.col("text"), attributes, modules))
+
+
+@reused
+def _numbered(outside_blocks: bool) -> Column:
+    """The lines of a file, as rows."""
+    kept = F.transform(F.col("lines"), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line"), F.get(F.col("lines"), i - 1).alias("previous")))
+    if outside_blocks:
+        # blocks are few and most files have none, so most lines are not tested against any
+        kept = F.when(F.size("blocks") == 0, kept).otherwise(F.filter(kept, lambda r: ~F.exists(F.col("blocks"), lambda b: (b["start_line"] < r["line_number"]) & (r["line_number"] <= b["end_line"]))))
+    return F.inline(kept)
+
+
 class Scanner:
     """Scans tables of (path, text) or folders. Every result is lazy."""
 
@@ -82,21 +107,14 @@ class Scanner:
         whole = F.col("streamed") if "streamed" in files.columns else F.lit(False)
         rows = files.select("path", whole.alias("streamed"), "text", lines_of(F.col("text")).alias("lines"))
         if c.ignore_test_code:
-            rows = rows.withColumn("blocks", F.when(F.col("streamed"), F.array().cast("array<struct<start_line:int,end_line:int>>")).otherwise(test_blocks(F.col("lines"), F.col("path"), F.col("text"), c.test_attributes, c.test_modules)))
-        kept = F.transform(F.col("lines"), lambda x, i: F.struct((i + 1).alias("line_number"), x.alias("line"), F.get(F.col("lines"), i - 1).alias("previous")))
-        if c.ignore_test_code:
-            # blocks are few and most files have none, so most lines are not tested against any
-            kept = F.when(F.size("blocks") == 0, kept).otherwise(F.filter(kept, lambda r: ~F.exists(F.col("blocks"), lambda b: (b["start_line"] < r["line_number"]) & (r["line_number"] <= b["end_line"]))))
-        return self._wanted(rows.select("path", "streamed", F.inline(kept)))
+            rows = rows.withColumn("blocks", _blocks(tuple(c.test_attributes), tuple(c.test_modules)))
+        return self._wanted(rows.select("path", "streamed", _numbered(c.ignore_test_code)))
 
     def _wanted(self, rows: DataFrame) -> DataFrame:
         """The lines of (path, streamed, line_number, line, previous) that no rule about lines leaves out."""
         c = self.config
-        rows = rows.filter(gate_all(F.col("line"), self.patterns))
-        line = F.col("line")
-        rows = rows.filter(~contains_any(line, c.ignore_comments) & ~contains_any(line, c.ignore_patterns))
-        if c.ignore_test_code:
-            rows = rows.filter(~test_line(line, c.test_attributes, c.test_modules))
+        rows = rows.filter(gate_lines("line", self.patterns))
+        rows = rows.filter(_line_rules(tuple(c.ignore_comments), tuple(c.ignore_patterns), tuple(c.test_attributes) if c.ignore_test_code else None, tuple(c.test_modules)))
         return rows.filter(F.col("streamed") | ~ignored_next(F.col("previous"), c.ignore_next)).select("path", "line_number", "line")
 
     def findings(self, files: DataFrame) -> DataFrame:

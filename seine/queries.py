@@ -274,14 +274,13 @@ def stream_findings(spark, sf_dir):
     ends = files.select("path", (F.size(text.lines_of(F.col("text"))) + 1).alias("line_number"), F.lit(None).cast("string").alias("line"))
     root = file_source.shared_folder(spark)
     out = f"{root}/findings"
-    stream = spark.readStream.schema("path string, line_number int, line string").parquet(f"{root}/lines")
-    found = blocks_stream.scan_files_stream(stream)
     # lines arrive in three turns by their numbers, ends in the last; each turn goes on from the state of the one before
     turn = F.least(F.floor((F.col("line_number") - 1) / 3), F.lit(2))
     for n in range(3):
         part = rows.filter(turn == n)
         (part.unionByName(ends) if n == 2 else part).write.mode("append").parquet(f"{root}/lines")
-        found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+        stream = spark.readStream.schema("path string, line_number int, line string").parquet(f"{root}/lines")
+        blocks_stream.scan_files_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select(*PLACE, "matched_text")
 
 
