@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .reuse import reused
 
@@ -40,6 +41,27 @@ def default_bigrams() -> tuple[str, ...]:
     return tuple(dict.fromkeys(pairs))
 
 
+#: The characters whose pairs the gate's table may hold.
+PAIRED = "A-Za-z0-9_./=-"
+
+
+def common_bigrams(texts: DataFrame, text: str, n: int = 488) -> DataFrame:
+    """(pair, times, place): the n most frequent pairs of neighbouring characters in a column, for ScanConfig.bigrams; ties by the pair.
+
+    Words are counted first, so pairs are cut from distinct words only.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"([{PAIRED}]{{2,}})"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))
+    counts = words.select("times", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("times").alias("times"))
+    first = counts.orderBy(F.desc("times"), "pair").limit(n)
+    return first.select("pair", "times", F.row_number().over(Window.orderBy(F.desc("times"), "pair")).alias("place"))
+
+
+def collected_bigrams(texts: DataFrame, text: str, n: int = 488) -> tuple[str, ...]:
+    """The same as a tuple, most frequent first: n pairs at most come to the driver."""
+    return tuple(r["pair"] for r in common_bigrams(texts, text, n).orderBy("place").collect())
+
+
 def occupancy(n: int, base: int) -> np.ndarray:
     """P(at most d distinct values among n draws from base), for d from 0 to n, by the recurrence over draws."""
     q = np.zeros(n + 1)

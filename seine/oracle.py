@@ -197,6 +197,7 @@ ORACLE: dict[str, str] = {
     "first_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {SCANNED} ORDER BY path, line_number, pattern_id, start_pos LIMIT 5",
     "first_per_file": f"SELECT path, line_number, pattern_id, start_pos, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number, pattern_id, start_pos) AS place FROM {SCANNED}) WHERE place <= 2",
     "entropy_probability": f"SELECT token, base, distinct_bytes::INT AS distinct_bytes, bigrams::INT AS bigrams, {_log('p_distinct')} AS log_distinct, {_log('p_class')} AS log_class, {_log('p_bigram')} AS log_bigram, {_log('p')} AS log_p FROM {randomness(_TOKENS, 'token')}",
+    "common_bigrams": f"SELECT pair, times::BIGINT AS times, (row_number() OVER (ORDER BY times DESC, pair))::INT AS place FROM (SELECT pair, count(*) AS times FROM (SELECT unnest(list_transform(range(1, length(word)), lambda i: substr(word, i, 2))) AS pair FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_./=-]{{2,}}')) AS word FROM {CORPUS})) GROUP BY pair) QUALIFY place <= 488",
     "likely_secret": f"SELECT token, {likely('token', '1e-5')} AS likely, {likely('token', '1e-3')} AS likely_strict FROM {randomness(_TOKENS, 'token')}",
     "line_predicates": f"SELECT path, line_number, contains(line, 'scan:ignore') AS comment, contains(line, '# TEST_SECRET:') OR contains(line, 'DEMO_KEY_') OR contains(line, 'FAKE_') AS substring, {_TEST_LINE} AS test_line, coalesce(contains(previous, 'scan:ignore-next'), false) AS next, (strlen(line) - strlen(regexp_replace(line, '^{SPACE}+', '')))::INT AS indent FROM {lines(files(TOKENS, IGNORED, BLOCKS, docs=True))}",
     "path_predicates": f"SELECT path, length, {_GLOBBED} AS ignored, len(list_intersect(string_split(path, '/'), {many(FILTERED_DIRECTORIES)})) > 0 AS filtered, coalesce(list_contains({many(BINARY_EXTENSIONS)}, {_EXT}), false) AS is_binary, {_EXT} AS extension, length // 1048576 > 10 AS large, length // 1048576 > 5 AS streamed, CASE WHEN strlen(path) > 40 THEN '...' || right(path, 37) ELSE path END AS shown FROM {_PATH_ROWS}",

@@ -119,6 +119,11 @@ def entropy_probability(spark, sf_dir):
     return rows.select("token", "base", entropy.distinct_bytes(F.col("token")).alias("distinct_bytes"), entropy.bigram_count(F.col("token"), entropy.default_bigrams()).alias("bigrams"), *[_log(F.col(f"p_{x}")).alias(f"log_{x}") for x in ("distinct", "class", "bigram")], _log(F.col("p")).alias("log_p"))
 
 
+def common_bigrams(spark, sf_dir):
+    """The 488 most frequent pairs of characters in documents and sample files, as a table for the gate."""
+    return entropy.common_bigrams(corpus(spark, sf_dir), "text")
+
+
 def likely_secret(spark, sf_dir):
     rows = entropy.with_randomness(_tokens(spark, sf_dir), "token")
     return rows.select("token", entropy.likely(F.col("token"), F.col("p"), 1e-5).alias("likely"), entropy.likely(F.col("token"), F.col("p"), 1e-3).alias("likely_strict"))
@@ -493,7 +498,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, report_lines, custom_patterns,
+        entropy_probability, common_bigrams, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, report_lines, custom_patterns,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, sync_diff_edits, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

@@ -119,6 +119,12 @@ def test_gate_verdicts(spark):
     assert {t for t, v in got.items() if v} == set(good)
 
 
+def test_bigrams_are_collected_from_texts(spark):
+    texts = spark.createDataFrame([("aab aab-x é ab",), ("b",), (None,), ("",)], "t string")
+    assert [(r["pair"], r["times"]) for r in entropy.common_bigrams(texts, "t", 3).orderBy("place").collect()] == [("ab", 3), ("aa", 2), ("-x", 1)]
+    assert entropy.collected_bigrams(texts, "t", 2) == ("ab", "aa") and entropy.collected_bigrams(texts.limit(0), "t") == ()
+
+
 RUST = ['const API_KEY = "x";', "", "#[test]", "fn test_function() {", '    let secret = "y";', "    assert_eq!(1, 1);", "}", "", "const B = 1;"]
 TYPESCRIPT = ["const a = 1;", "", 'describe("My test", () => {', "    const s = 1;", '    it("works", () => {', "        f();", "    });", "});", "", "const z = 2;"]
 PYTHON = ['api_key = "x"', "", "def test_function():", '    secret = "y"', "    assert True", "", "final = 1"]
