@@ -109,7 +109,8 @@ def ordered_table(df: DataFrame, order: Sequence[Column], tag: str) -> DataFrame
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    # a task writes one file, whatever the session says: places are counted within files
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 0).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     split = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     return back.select("*", split.alias("_split"), F.col("_metadata.row_index").alias("_pos"))

@@ -48,6 +48,14 @@ def test_slots_and_mixes_over_many_files(spark, many_files):
     assert len(taken) == 2 and all(r["n"] == int(r["t"]) for r in taken)
 
 
+def test_slots_and_mixes_where_sessions_bound_files(spark, many_files):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "100")
+    try:
+        test_slots_and_mixes_over_many_files(spark, None)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_ordered_table_and_bases(spark, many_files):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.lit(1).alias("same"), F.col("id").alias("v"))
     table = common.ordered_table(df, [F.col("g"), F.col("same"), F.col("v")], "t").cache()
