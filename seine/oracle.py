@@ -214,6 +214,7 @@ ORACLE: dict[str, str] = {
     "stream_findings": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_OUTSIDE_ALL}",
     "folder_source": f"SELECT replace(path, '/', '-') AS rel_path, strlen(text)::BIGINT AS length, md5(text) AS digest FROM {files(TOKENS)} WHERE starts_with(path, 'src/g') AND strlen(text) <= 90",
     "sync_copy": f"SELECT path AS rel_path, md5(text) AS digest, substr(md5(path), 1, 1) >= '8' OR substr(md5(path), 2, 1) < '8' AS copied FROM {files(TOKENS)}",
+    "staged_files": "SELECT s_suppkey::VARCHAR AS repo, 'd' || (i % 2) || '/f' || i || '.txt' AS rel_path, CASE (s_suppkey + i) % 5 WHEN 0 THEN 'D' ELSE 'M' END AS change FROM supplier, (SELECT unnest(range(5)) AS i) WHERE (s_suppkey + i) % 5 < 2 UNION ALL SELECT s_suppkey::VARCHAR, 'new/' || s_suppkey || '.txt', 'A' FROM supplier",
     "scan_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, (SELECT count(DISTINCT path) FROM {_FLAGGED_FOUND}) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "directory_walk_errors": "SELECT * FROM (VALUES ('Directory Walk Errors', 1::BIGINT), ('Scan Failures', 1::BIGINT)) t(warning_type, warnings)",
     "explicit_paths": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(_LISTED)}",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,9 @@ from .operators.matcher import find, gate
 from .functions.patterns import BUILT_IN, library, pattern_table
 from .plans import hooks, reports
 from .plans.scan import Scanner
-from .samples import BLOCKS, IGNORED, TOKENS
+from .samples import BLOCKS, IGNORED, TOKENS, repository_files
 from .sources import files as file_source
-from .sources import folder_tree
-from .sources import tables, written
+from .sources import folder_tree, staged, tables, written
 from .sources.config import ScanConfig
 from .streaming import blocks as blocks_stream
 
@@ -289,6 +289,27 @@ def stream_findings(spark, sf_dir):
     return spark.read.parquet(out).select(*PLACE, "matched_text")
 
 
+def staged_files(spark, sf_dir):
+    """What is staged in repositories that this query writes, one for each supplier: of five committed files some change, some go, and one is new."""
+
+    def made(batches):
+        for batch in batches:
+            names, contents = [], []
+            for k in batch.column("s_suppkey").to_pylist():
+                before = {f"d{i % 2}/f{i}.txt": f"{k}-{i}".encode() for i in range(5)}
+                now = {p: body + b"!" * ((k + i) % 5 == 1) for i, (p, body) in enumerate(before.items()) if (k + i) % 5} | {f"new/{k}.txt": b"new"}
+                for name, content in repository_files(before, now).items():
+                    names.append(f"{k}/{name}")
+                    contents.append(content)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["rel_path", "content"])
+
+    suppliers = tables.spread(table(spark, sf_dir, "supplier").select("s_suppkey"))
+    root = file_source.shared_folder(spark)
+    file_source.write_files(suppliers.mapInArrow(made, "rel_path string, content binary"), root)
+    repos = suppliers.select(F.concat(F.lit(f"{root}/"), F.col("s_suppkey").cast("string")).alias("path"))
+    return staged.staged_files(repos).select(F.substring_index("repo", "/", -1).alias("repo"), "rel_path", "change")
+
+
 def directory_walk_errors(spark, sf_dir):
     """Warnings of a scan of a folder that is not there, and of one with an unreadable file."""
     root = _folder(spark, sf_dir)
@@ -498,7 +519,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, line_stats_by_lang, findings_raw, findings, findings_strict_groups, findings_per_pattern, findings_per_file, findings_by_type, files_with_findings, count_only, first_findings, first_per_file,
-        entropy_probability, common_bigrams, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, report_lines, custom_patterns,
+        entropy_probability, common_bigrams, likely_secret, line_predicates, path_predicates, fast_count, test_block_ranges, findings_outside_tests, directory_findings, directory_files, directory_shapes, directory_shares, streamed_findings, stream_findings, folder_source, sync_copy, staged_files, directory_walk_errors, explicit_paths, scan_stats, scan_counters, live_counters, warning_classes, json_results, csv_results, html_results, html_page_lines, report_lines, custom_patterns,
         text_results, scan_pages, scan_conversations, scan_event_props, patterns, sync_changed_files, sync_changed_content, sync_status, sync_line_diff, sync_grouped_diff, sync_diff_edits, commit_checks, hook_files, repository_names,
         scan_times, worker_counts, directory_analysis,
     )

@@ -6,6 +6,9 @@ a line feed.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 #: (path, text) as SQL expressions over k, h, g, n.
 TOKENS: tuple[tuple[str, str], ...] = (
     ("'src/url' || k || '.txt'", "'see https://user:' || substr(h, 1, 16) || '@host.example/x and ftp://a1b2:' || substr(g, 1, 12) || '@files.example'"),
@@ -52,3 +55,27 @@ def files_sql(*groups: tuple[tuple[str, str], ...]) -> str:
     parts = [f"SELECT {p} AS path, {t} AS text FROM seeds" for g in groups for p, t in g]
     seeds = "SELECT cast(s_suppkey AS string) AS k, md5(cast(s_suppkey AS string)) AS h, md5('g' || cast(s_suppkey AS string)) AS g, chr(10) AS n FROM supplier"
     return f"WITH seeds AS ({seeds}) " + " UNION ALL ".join(parts)
+
+
+def repository_files(before: dict[str, bytes], now: dict[str, bytes]) -> dict[str, bytes]:
+    """The files of a repository's folder whose last commit holds the paths `before`, with `now` staged."""
+    out: dict[str, bytes] = {}
+
+    def keep(kind: str, body: bytes) -> bytes:
+        whole = f"{kind} {len(body)}".encode() + b"\0" + body
+        oid = hashlib.sha1(whole, usedforsecurity=False)
+        out[f".git/objects/{oid.hexdigest()[:2]}/{oid.hexdigest()[2:]}"] = zlib.compress(whole)
+        return oid.digest()
+
+    def tree(files: dict[str, bytes]) -> bytes:
+        own = {name: (b"100644", keep("blob", body)) for name, body in files.items() if "/" not in name}
+        for folder in {name.split("/", 1)[0] for name in files if "/" in name}:
+            own[folder] = (b"40000", tree({n.split("/", 1)[1]: b for n, b in files.items() if n.startswith(f"{folder}/")}))
+        return keep("tree", b"".join(mode + b" " + name.encode() + b"\0" + oid for name, (mode, oid) in sorted(own.items())))
+
+    commit = keep("commit", b"tree " + tree(before).hex().encode() + b"\nauthor a <a> 0 +0000\n\nx\n")
+    index = b"DIRC" + (2).to_bytes(4, "big") + len(now).to_bytes(4, "big")
+    for name, body in sorted(now.items()):
+        raw = bytes(24) + (0o100644).to_bytes(4, "big") + bytes(12) + keep("blob", body) + min(len(name), 0xFFF).to_bytes(2, "big") + name.encode()
+        index += raw + bytes(8 - len(raw) % 8)
+    return out | now | {".git/HEAD": b"ref: refs/heads/main\n", ".git/refs/heads/main": commit.hex().encode() + b"\n", ".git/index": index}
