@@ -2,8 +2,9 @@
 
 The index holds postings (term, document, position) of the training words that are among the rarest of some test
 window. A window's two rarest terms give two posting lists; each list, less the term's offset in the window, is a list
-of places where the window could start. The lists are intersected, rarest first, and the words around the rarest term,
-which its postings carry, settle every remaining word of the window. The training texts themselves are never shuffled.
+of places where the window could start. The lists are intersected, and the words around the rarest term, which its
+postings carry, settle what is left. The two terms near each other, in any order, are a proximity match. The training
+texts themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -87,18 +88,17 @@ def build_index(docs: DataFrame, windows: DataFrame, width: int, key: str = "doc
 
 def phrase_matches(index: PositionalIndex, key: str = "doc_id") -> DataFrame:
     """(doc key columns, window, start, length, items): every place where a document has all words of a window in order."""
-    size = F.size("words")
     lead = index.anchors.filter("rank = 1").join(index.windows, "window").select("window", "term", "off", "words", "items")
     second = index.anchors.filter("rank = 2").select("window", "term", F.col("off").alias("off2"))
-    at = (F.col("pos") - F.col("off")).alias("start")
+    size = F.size("words")
     before = F.col("pos") - F.greatest(F.col("pos") - (index.width - 1), F.lit(0))  # words that `around` has before the term
-    fits = F.slice("around", F.greatest(before - F.col("off") + 1, F.lit(1)), size) == F.col("words")
-    starts = index.postings.filter("around is not null").join(_small(cut(lead, "leads")), "term").filter((F.col("pos") >= F.col("off")) & (before >= F.col("off")) & fits)
-    starts = starts.select(key, "_text_key", "window", at, size.alias("length"), "items")
+    starts = index.postings.filter("around is not null").join(_small(cut(lead, "leads")), "term").filter((F.col("pos") >= F.col("off")) & (before >= F.col("off")))
+    starts = starts.select(key, "_text_key", "window", (F.col("pos") - F.col("off")).alias("start"), size.alias("length"), "words", "items", F.slice("around", F.greatest(before - F.col("off") + 1, F.lit(1)), size).alias("there"))
     others = index.postings.join(_small(cut(second, "seconds")), "term").filter("pos >= off2").select(F.col(key).alias("_k"), F.col("_text_key").alias("_t"), F.col("window").alias("_w"), (F.col("pos") - F.col("off2")).alias("_s")).distinct()
     same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_text_key").eqNullSafe(F.col("_t")) & (F.col("window") == F.col("_w")) & (F.col("start") == F.col("_s"))
-    both = starts.filter("length > 1").distinct().join(others, same, "left_semi")
-    return both.unionByName(starts.filter("length = 1").distinct())
+    # the lists are intersected; the words around settle what is left
+    both = starts.filter("length > 1").join(others, same, "left_semi").unionByName(starts.filter("length = 1"))
+    return both.filter("there = words").select(key, "_text_key", "window", "start", "length", "items").distinct()
 
 
 def proximity_matches(index: PositionalIndex, slop: int, key: str = "doc_id") -> DataFrame:
@@ -118,12 +118,17 @@ def proximity_matches(index: PositionalIndex, slop: int, key: str = "doc_id") ->
     return near.groupBy(key, "_text_key", "window").agg(F.min("distance").alias("distance"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_items(index: PositionalIndex, slop: int, key: str = "doc_id") -> DataFrame:
+    """(doc key columns, n_near): how many items have a window whose two rarest terms stand near each other in a document; see proximity_matches. Items without an id count as one."""
+    near = proximity_matches(index, slop, key).join(_small(index.windows.select("window", "items")), "window")
+    return near.select(key, "_text_key", F.explode("items").alias("item")).distinct().groupBy(key, "_text_key").agg(F.count(F.lit(1)).cast("long").alias("n_near"))
+
+
+def hits(index: PositionalIndex, key: str = "doc_id") -> DataFrame:
     """One row for each contaminated document: key, _text_key, n_hit (words inside any occurrence), n_items, items (sorted, as strings).
 
     All items without an id count as one in n_items; items does not hold it.
     """
-    index = build_index(docs, test_windows(benchmark, width), width, key, text)
     found = phrase_matches(index, key)
     reach = Window.partitionBy(key, "_text_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.groupBy(key, "_text_key", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
@@ -135,17 +140,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc
     return joined.select(f"c.{key}", "c._text_key", "n_hit", "n_items", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: key, n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text", slop: int = 5) -> DataFrame:
+    """Per document row: key, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items by proximity, see near_items).
 
     Null and empty texts have no words and no hits. Repeated rows each get their row. Without items nothing is hit.
     A benchmark row whose id is null hits like any other: all such rows are one item in n_items, and add nothing to items_sha256.
     """
-    found = cut(hits(docs, benchmark, width, key, text), "hits")
+    index = build_index(docs, test_windows(benchmark, width), width, key, text)
+    found, near = cut(hits(index, key), "hits"), cut(near_items(index, slop, key), "near")
     rows = lookup(docs.select(*keyed(docs, key, text), n_terms(F.col(text)).alias("n_words")), found, [key, "_text_key"])
+    rows = lookup(rows, near, [key, "_text_key"])
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select(key, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return rows.select(key, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,6 +161,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: s
     Null and empty texts stay. Repeated rows share their verdict. Benchmark rows without an id count like any other, and
     those without words have no window. Columns of docs may have any names. Empty tables: nothing is taken.
     """
-    found = cut(hits(docs, benchmark, width, key, text).select(key, "_text_key"), "hits")
+    found = cut(hits(build_index(docs, test_windows(benchmark, width), width, key, text), key).select(key, "_text_key"), "hits")
     marked = found.select(F.col(key).alias("__k"), F.col("_text_key").alias("__t"))
     return docs.join(_small(marked), docs[key].eqNullSafe(F.col("__k")) & (keyed(docs, key, text)[1] == F.col("__t")), "left_anti")

@@ -86,10 +86,18 @@ grams AS (
   SELECT rid, i, n, w[i:i + n - 1] AS ws FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, lens WHERE len(w) >= n)),
 found AS (SELECT g.rid, g.i, g.n, win.item_id FROM grams g JOIN win ON g.ws = win.ws),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found) GROUP BY rid)
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found) GROUP BY rid),
+term AS (SELECT ws, unnest(ws) AS x, unnest(range(len(ws))) AS off FROM (SELECT DISTINCT ws FROM win)),
+words AS MATERIALIZED (SELECT rid, p, x FROM (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p FROM t) WHERE x IN (SELECT x FROM term)),
+rare AS MATERIALIZED (
+  SELECT ws, x, off, row_number() OVER (PARTITION BY ws ORDER BY coalesce(n, 0), off) AS k FROM term LEFT JOIN (SELECT x, count(*) AS n FROM words GROUP BY x) USING (x)),
+two AS (SELECT a.ws, a.x AS x1, b.x AS x2, abs(a.off - b.off) + 5 AS reach FROM rare a JOIN rare b ON a.ws = b.ws AND a.k = 1 AND b.k = 2),
+near AS (
+  SELECT DISTINCT p.rid, win.item_id FROM two JOIN words p ON p.x = two.x1 JOIN words q ON q.x = two.x2 AND q.rid = p.rid AND p.p <> q.p AND abs(p.p - q.p) <= reach JOIN win ON win.ws = two.ws),
+nears AS (SELECT rid, count(*) AS n_near FROM near GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM t LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN nears USING (rid)
 """
 
 _BIN = "(greatest(length(bin({v})) - 6, 0) * 32 + ({v} >> greatest(length(bin({v})) - 6, 0)))"

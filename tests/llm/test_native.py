@@ -216,11 +216,37 @@ def test_items_without_an_id_hit(spark):
     items = spark.createDataFrame([(None, "a b c d e f g h i j k"), (None, "only this"), (7, "a b c d e f g h i j"), (8, "x")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "z a b c d e f g h i j k"), (2, "but only this one, only this"), (3, "x"), (4, "none")], "doc_id long, text string")
     sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
-    got = {r["doc_id"]: tuple(r)[2:] for r in decontam.contamination(docs, items).collect()}
+    got = {r["doc_id"]: tuple(r)[2:6] for r in decontam.contamination(docs, items).collect()}
     assert got == {1: (11, 2, sha("7"), True), 2: (4, 1, sha(""), True), 3: (1, 1, sha("8"), True), 4: (0, 0, sha(""), False)}
     assert [r["doc_id"] for r in decontam.decontaminate(docs, items).collect()] == [4]
 
 
+def test_near_items_by_brute_force(spark):
+    """Items of which a window's two rarest terms stand near each other, in any order."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(25)]
+    draw = lambda n: [rng.choice(vocabulary[: rng.choice([8, 25])]) for _ in range(n)]
+    items = [(i, draw(rng.choice([1, 2, 4, 10, 13]))) for i in range(15)] + [(None, ["w1", "w20"]), (None, ["w2", "w21"])]
+    docs = [(i, draw(rng.randrange(40))) for i in range(60)]
+    counts = Counter(x for _, w in docs for x in w)
+    expected = {}
+    for doc, w in docs:
+        near = set()
+        for item, iw in items:
+            for s in range(max(len(iw) - 9, 1)):
+                win = iw[s : s + 10]
+                if len(win) < 2:
+                    continue
+                a, b = sorted(range(len(win)), key=lambda k: (counts[win[k]], k))[:2]
+                reach = abs(a - b) + 5
+                if any(x == win[a] and w[q] == win[b] and p != q and abs(p - q) <= reach for p, x in enumerate(w) for q in range(len(w))):
+                    near.add(item)
+        expected[doc] = len(near)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = decontam.contamination(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {r["doc_id"]: r["n_near"] for r in got} == expected and sum(expected.values()) > 50
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "beta x alpha"), (2, "alpha " + "x " * 30 + "beta"), (3, "alpha only")], "doc_id long, text string")
