@@ -155,7 +155,7 @@ _WRITTEN = f"(SELECT path, text FROM ({files_sql(TOKENS, IGNORED)}) UNION ALL "
 _SEEN = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE (NOT starts_with(path, 'src/jwt') OR path = 'src/jwt1.txt') AND NOT starts_with(path, 'src/github') AND NOT starts_with(path, 'logs/') AND NOT starts_with(path, 'node_modules/') AND NOT ends_with(path, '.tmp'))"
 _STREAMED = f"(SELECT path, repeat(text || chr(13) || chr(10), 30) AS text FROM ({files_sql(TOKENS, IGNORED, BLOCKS)}))"
 PNG = q("a.png")
-_LISTED = f"(SELECT * FROM {_WRITTEN} AS w(path, text) WHERE path IN ('a.png', 'logs/a.txt', 'src/jwt1.txt', 'src/github1.txt'))"
+_LISTED = f"(SELECT path, text FROM ({files_sql(TOKENS)}) UNION ALL SELECT path, text FROM {_WRITTEN} AS w(path, text) WHERE path IN ('a.png', 'logs/a.txt', '.hidden'))"
 _OUTSIDE = _scanned(files(BLOCKS, docs=True), f"NOT EXISTS (SELECT 1 FROM {blocks(files(BLOCKS, docs=True))} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
 _OUTSIDE_ALL = _scanned(files(BLOCKS, IGNORED, docs=True), f"NOT EXISTS (SELECT 1 FROM {_BLOCKS} b WHERE b.path = src.path AND b.start_line < src.line_number AND src.line_number <= b.end_line)")
 NAMES = "(SELECT unnest([" + ", ".join(f"{{'i': {i}, 'name': {q(p.name)}}}" for i, p in enumerate(BUILT_IN, 1)) + "], recursive := true))"
@@ -216,7 +216,7 @@ ORACLE: dict[str, str] = {
     "sync_copy": f"SELECT path AS rel_path, md5(text) AS digest, substr(md5(path), 1, 1) >= '8' OR substr(md5(path), 2, 1) < '8' AS copied FROM {files(TOKENS)}",
     "staged_files": "SELECT s_suppkey::VARCHAR AS repo, 'd' || (i % 2) || '/f' || i || '.txt' AS rel_path, CASE (s_suppkey + i) % 5 WHEN 0 THEN 'D' ELSE 'M' END AS change FROM supplier, (SELECT unnest(range(5)) AS i) WHERE (s_suppkey + i) % 5 < 2 UNION ALL SELECT s_suppkey::VARCHAR, 'new/' || s_suppkey || '.txt', 'A' FROM supplier",
     "scan_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, (SELECT count(DISTINCT path) FROM {_FLAGGED_FOUND}) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
-    "directory_walk_errors": "SELECT * FROM (VALUES ('Directory Walk Errors', 1::BIGINT), ('Scan Failures', 1::BIGINT)) t(warning_type, warnings)",
+    "directory_walk_errors": "SELECT 'Directory Walk Errors' AS warning_type, 1::BIGINT AS warnings UNION ALL SELECT 'Scan Failures', count(*) FROM supplier",
     "explicit_paths": f"SELECT path, line_number, pattern_id, start_pos, matched_text FROM {_scanned(_LISTED)}",
     "scan_stats": f"SELECT count(*) FILTER (success) AS files_scanned, count(*) FILTER (NOT success) AS files_skipped, (SELECT count(*) FROM {_FLAGGED_FOUND}) AS total_matches FROM {_FLAGGED}",
     "live_counters": f"SELECT count(*) FILTER (success AND NOT is_binary) AS scanned, count(*) FILTER (success AND NOT is_binary AND path IN (SELECT path FROM {_FLAGGED_FOUND})) AS with_secrets, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (is_binary) AS binary FROM {_FLAGGED}",

@@ -311,18 +311,21 @@ def staged_files(spark, sf_dir):
 
 
 def directory_walk_errors(spark, sf_dir):
-    """Warnings of a scan of a folder that is not there, and of one with an unreadable file."""
-    root = _folder(spark, sf_dir)
+    """Classes of warnings of a scan of a folder in which every supplier has a good file and one of invalid UTF-8, and of a folder that is not there."""
+    root = file_source.shared_folder(spark)
+    rows = tables.spread(table(spark, sf_dir, "supplier").select("s_suppkey")).selectExpr("inline(array(named_struct('rel_path', 'good/' || s_suppkey, 'content', CAST('fine' AS BINARY)), named_struct('rel_path', 'bad/' || s_suppkey, 'content', X'746F6BFFFE')))")
+    file_source.write_files(rows, root)
     found = Scanner().scan_directory(spark, root).warnings.unionByName(Scanner().scan_directory(spark, f"{root}/gone").warnings)
     return summaries.warning_classes(found.select("message"))
 
 
 def explicit_paths(spark, sf_dir):
-    """Findings of an explicit list of paths, which no ignore file or binary name leaves out, and of a single file."""
+    """Findings of an explicit list of paths, with two that a folder scan leaves out and one that is not there, and of a single file."""
     root = _folder(spark, sf_dir)
     top = file_source.as_uri(root).split("://", 1)[1]
-    listed = spark.sql("SELECT explode(array('a.png', 'logs/a.txt', 'src/jwt1.txt', 'not-there')) AS name").select(F.concat(F.lit(f"{top}/"), "name").alias("path"))
-    found = Scanner().scan_paths(spark, root, listed).findings.unionByName(Scanner().scan_file(spark, f"{root}/src/github1.txt").findings)
+    own = samples(spark, sf_dir, TOKENS).select(F.col("path").alias("name"))
+    listed = own.unionByName(spark.sql("SELECT explode(array('a.png', 'logs/a.txt', 'not-there')) AS name")).select(F.concat(F.lit(f"{top}/"), "name").alias("path"))
+    found = Scanner().scan_paths(spark, root, listed).findings.unionByName(Scanner().scan_file(spark, f"{root}/.hidden").findings)
     return found.select(_below(root).alias("path"), "line_number", "pattern_id", "start_pos", "matched_text")
 
 
