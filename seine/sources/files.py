@@ -22,6 +22,8 @@ _WALKED = f"{LISTING}, kind string, message string"
 #: Names of ignore files in any folder; later ones outrank earlier ones. Below the root of a repository also the exclude file.
 IGNORE_FILES = (".gitignore", ".ignore")
 EXCLUDE_FILE = ".git/info/exclude"
+#: Where folder_tree keeps files that are not yet committed; no walk looks into it.
+STAGING = ".seine-staging"
 
 
 class Walker:
@@ -94,7 +96,7 @@ class Walker:
         out = []
         for f in sorted(found, key=lambda f: f.path):
             is_folder = f.type == pafs.FileType.Directory
-            if f.type not in (pafs.FileType.File, pafs.FileType.Directory) or (is_folder and f.base_name in self.directories):
+            if f.type not in (pafs.FileType.File, pafs.FileType.Directory) or (is_folder and (f.base_name in self.directories or f.base_name == STAGING)):
                 continue
             if self.local and os.path.islink(f.path):
                 real = os.path.realpath(f.path)
