@@ -1,8 +1,11 @@
-"""Test blocks and the directive for the next line over streams of lines, with a state for each file.
+"""Test blocks and the directive for the next line over streams of lines, with a state for each file that has not ended.
 
 A start may lie batches before its end, so lines behind an open start wait in the state until it closes, which drops
 them, or the file ends, which lets them through: a start whose braces never close makes no block. Only lines that may
 hold a match wait.
+
+Files are put into a fixed number of groups by a hash of their paths, and a group keeps the states of its files
+together: what a stateful call costs beside its lines is paid once a group and micro-batch, not once a file.
 """
 
 from __future__ import annotations
@@ -22,34 +25,35 @@ from ..plans.scan import Scanner
 
 _OUT = "path string, line_number int, line string, previous string"
 _FACTS = ("starts", "blank", "depth", "opened", "closed", "wanted")
+#: Groups of files with one state; a stream that goes on from a checkpoint needs the number that it began with.
+GROUPS = 512
 
 
 class BlockState:
     """What the walk through one file knows: the last line, the brace level, starts that are open, and lines that wait."""
 
-    def __init__(self, python: bool, saved: str | None):
+    def __init__(self, python: bool, saved: list | None = None):
         self.python = python
-        s = json.loads(saved) if saved else {"n": 0, "last": None, "level": 0, "open": [], "held": []}
-        self.n, self.last, self.level, self.open, self.held = s["n"], s["last"], s["level"], s["open"], s["held"]
+        self.n, self.last, self.level, self.open, self.held = saved or (0, None, 0, [], [])
 
-    def saved(self) -> str:
-        return json.dumps({"n": self.n, "last": self.last, "level": self.level, "open": self.open, "held": self.held})
+    def saved(self) -> list:
+        return [self.n, self.last, self.level, self.open, self.held]
 
-    def take(self, number: int, line: str, facts: dict) -> list[tuple]:
+    def take(self, number: int, line: str, starts: bool, blank: bool, depth: int, opened: int, closed: int, wanted: bool) -> list[tuple]:
         """The next line; returns lines that are now known to stand outside blocks."""
         if self.python:
             # [start, indentation]; the line that ends a block is outside it and may start one
-            if self.open and not facts["blank"] and facts["depth"] <= self.open[0][1]:
+            if self.open and not blank and depth <= self.open[0][1]:
                 self.open, self.held = [], []
-            if not self.open and facts["starts"]:
-                self.open = [[number, facts["depth"]]]
+            if not self.open and starts:
+                self.open = [[number, depth]]
             keep = not self.open
         else:
             # [start, level before it, whether a brace was opened since]
-            if facts["starts"]:
+            if starts:
                 self.open.append([number, self.level, False])
-            self.level += facts["opened"] - facts["closed"]
-            if facts["opened"]:
+            self.level += opened - closed
+            if opened:
                 self.open = [[s, at, True] for s, at, _ in self.open]
             keep = True
             done = next((s for s, at, seen in self.open if seen and at == self.level), None)
@@ -58,7 +62,7 @@ class BlockState:
                 self.held = [h for h in self.held if h[0] < done]
                 keep = False
         out = []
-        if keep and facts["wanted"]:
+        if keep and wanted:
             self.held.append([number, line, self.last])
         if not self.open:
             out, self.held = [tuple(h) for h in self.held], []
@@ -69,11 +73,12 @@ class BlockState:
         return [] if self.python and self.open else [tuple(h) for h in self.held]
 
 
-def lines_outside_blocks(lines: DataFrame, scanner: Scanner) -> DataFrame:
+def lines_outside_blocks(lines: DataFrame, scanner: Scanner, groups: int = GROUPS) -> DataFrame:
     """(path, line_number, line, previous) of a stream of lines (path, line_number, line) that stand outside test blocks and may hold a match.
 
     A row whose line is null ends its file: its line_number is behind the last. Lines of a file come in order over the
-    micro-batches; within one they may be mixed. State is kept for files that have not ended.
+    micro-batches; within one they may be mixed. State is kept for files that have not ended. A task holds the lines of
+    a micro-batch of one of so many groups of files, and the states of its files.
     """
     c = scanner.config
     line = F.coalesce("line", F.lit(""))
@@ -81,24 +86,30 @@ def lines_outside_blocks(lines: DataFrame, scanner: Scanner) -> DataFrame:
     facts = {
         "starts": test_line(line, c.test_attributes, c.test_modules), "blank": trim(line) == "", "depth": indent(line), "opened": count("{"), "closed": count("}"), "wanted": gate_all(line, scanner.patterns),
     }
-    rows = lines.select("path", "line_number", "line", *[facts[f].alias(f) for f in _FACTS])
+    rows = lines.select(F.pmod(F.xxhash64("path"), F.lit(groups)).cast("int").alias("_group"), "path", "line_number", "line", *[facts[f].alias(f) for f in _FACTS])
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = BlockState(key[0].endswith(".py"), state.get[0] if state.exists else None)
-        found, ended = [], False
-        for r in pd.concat(frames).sort_values("line_number").to_dict("records"):
-            if r["line"] is None:
-                found += known.end()
-                ended = True
-            elif r["line_number"] > known.n:  # a batch that is delivered again changes nothing
-                found += known.take(int(r["line_number"]), r["line"], r)
-        if ended:
+        saved = json.loads(state.get[0]) if state.exists else {}
+        known: dict[str, BlockState] = {}
+        found: list[tuple] = []
+        batch = pd.concat(frames).sort_values(["path", "line_number"])
+        for path, number, line, *own in zip(*(batch[x].tolist() for x in ("path", "line_number", "line", *_FACTS)), strict=True):
+            file = known.get(path)
+            if file is None:
+                file = known[path] = BlockState(path.endswith(".py"), saved.pop(path, None))
+            if line is None:
+                found += ((path, *f) for f in file.end())
+                known[path] = BlockState(file.python)
+            elif number > file.n:  # a batch that is delivered again changes nothing
+                found += ((path, *f) for f in file.take(number, line, *own))
+        saved |= {path: file.saved() for path, file in known.items() if file.n}
+        if saved:
+            state.update((json.dumps(saved),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((known.saved(),))
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=["path", "line_number", "line", "previous"]).astype({"line_number": "int32"})
+        yield pd.DataFrame(found, columns=["path", "line_number", "line", "previous"]).astype({"line_number": "int32"})
 
-    return rows.groupBy("path").applyInPandasWithState(walk, _OUT, "saved string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("_group").applyInPandasWithState(walk, _OUT, "saved string", "append", GroupStateTimeout.NoTimeout)
 
 
 def scan_files_stream(lines: DataFrame, scanner: Scanner | None = None) -> DataFrame:
