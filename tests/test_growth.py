@@ -33,3 +33,13 @@ def test_sync_status_lists_all_changed_files_of_a_repository(spark):
     assert rows["idle"]["status"] == "InSync" and rows["idle"]["changed_files"] == ""
     for repo in {p.split("/")[0] for p in changed if not p.split("/")[0].endswith("1")}:
         assert rows[repo]["changed_files"] == ",".join(sorted(p for p in changed if p.startswith(f"{repo}/")))
+
+
+def test_short_sequences_have_the_script_of_the_method_for_long_ones():
+    from seine.operators import edits
+
+    random = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (random.integers(0, random.integers(2, 9), random.integers(0, 40)) for _ in range(2))
+        short, long = edits._short_matches(a.tolist(), b.tolist()), edits._long_matches(a, b)
+        assert all(np.array_equal(x, y) for x, y in zip(short, long, strict=True))
