@@ -43,3 +43,16 @@ def test_short_sequences_have_the_script_of_the_method_for_long_ones():
         a, b = (random.integers(0, random.integers(2, 9), random.integers(0, 40)) for _ in range(2))
         short, long = edits._short_matches(a.tolist(), b.tolist()), edits._long_matches(a, b)
         assert all(np.array_equal(x, y) for x, y in zip(short, long, strict=True))
+
+
+def test_diffs_of_small_files_go_out_together(spark):
+    from seine.operators import drift
+
+    rows = [(str(i), f"a\nb{i}\nc", f"a\nc\nd{i}") for i in range(500)]
+    found = drift.grouped_diff(spark.createDataFrame(rows, "path string, old_text string, new_text string").coalesce(1))
+    assert found.count() == 500 * 4
+    assert [tuple(r) for r in found.filter("path = '7'").orderBy("place").collect()] == [
+        ("7", 0, 0, "equal", 0, 0, "a"), ("7", 0, 1, "delete", 1, None, "b7"), ("7", 0, 2, "equal", 2, 1, "c"), ("7", 0, 3, "insert", None, 2, "d7"),
+    ]
+    batches = found.mapInArrow(lambda xs: (x.slice(0, 1).select(["path"]) for x in xs), "path string")
+    assert batches.count() == 1
