@@ -58,6 +58,13 @@ def test_diffs_of_small_files_go_out_together(spark):
     assert batches.count() == 1
 
 
+def test_html_page_scans_once(spark):
+    from seine.queries import QUERIES
+
+    plan = QUERIES["html_page_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "supplier" not in plan and "s_suppkey" not in plan
+
+
 def test_tasks_rename_what_is_written(spark, tmp_path, monkeypatch):
     from seine.sources import folder_tree
 
