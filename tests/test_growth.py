@@ -35,6 +35,16 @@ def test_sync_status_lists_all_changed_files_of_a_repository(spark):
         assert rows[repo]["changed_files"] == ",".join(sorted(p for p in changed if p.startswith(f"{repo}/")))
 
 
+def test_sync_status_has_a_row_for_each_of_two_repositories_of_a_name(spark, tmp_path):
+    from seine.queries import QUERIES
+
+    # the query adds a repository named idle to the brands
+    parts = [(5, "n", "idle", 1), (10, "n", "idle", 1), (1, "n", "idle", 1), (7, "n", "b", 1), (2, "n", "calm", 1), (5, "n", "x1", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = sorted(tuple(r) for r in QUERIES["sync_status"](spark, str(tmp_path)).collect())
+    assert found == [("b", "OutOfSync", "b/7"), ("calm", "InSync", ""), *[("idle", "OutOfSync", "idle/10,idle/5")] * 2]
+
+
 def test_short_sequences_have_the_script_of_the_method_for_long_ones():
     from seine.operators import edits
 
